@@ -18,8 +18,9 @@ SYMBOLS = "#*$%&|<>"
 CLASSES = ("[a-z]", "[A-Z]", "[0-9]", "[ \\t\\n\\x0b\\f\\r]", "[.,;:!?'\"()-]", "[#*$%&|<>/@_=+~^\\\\{}\\[\\]`]", "[^\\x00-\\x7f]")
 #: Most common words of each language that a histogram tells apart.
 COMMON = 64
-#: Largest Jensen-Shannon distance (base 2) from the nearest language: of character classes, of common words.
-CLASS_LIMIT, WORD_LIMIT = 0.28, 0.5
+#: Largest Jensen-Shannon distance (base 2) from the nearest language: of character classes, of common words. A short text's
+#: word histogram strays by chance, so NOISE over the root of its words is added to the limit.
+CLASS_LIMIT, WORD_LIMIT, NOISE = 0.28, 0.45, 0.6
 #: A histogram counts from so many characters or words; shorter texts pass by the other rules.
 LEAST_CHARS, LEAST_WORDS = 100, 40
 
@@ -197,7 +198,7 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
             "word_distance": word_distance(C.words(text), by_word),
         }
     )
-    far = (F.coalesce("class_distance", F.lit(0.0)) > CLASS_LIMIT) | (F.coalesce("word_distance", F.lit(0.0)) > WORD_LIMIT)
+    far = (F.coalesce("class_distance", F.lit(0.0)) > CLASS_LIMIT) | (F.coalesce("word_distance", F.lit(0.0)) > WORD_LIMIT + NOISE / F.sqrt(F.greatest("n_words", F.lit(1))))
     return out.withColumn("kept", ~F.col("base_failed") & ~far)
 
 
