@@ -94,7 +94,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     the shared folder; rounds grow with the logarithm of the nodes. No edges give no rows."""
     e = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     now = staged(edges.where("a != b").select(*e).distinct(), name)
-    mark = [F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum((F.col("a") - F.col("b")).cast("decimal(38,0)"))]
+    mark = [F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.shiftright(F.xxhash64("b", "a"), 32))]
     seen = tuple(now.agg(*mark).first())
     while seen[0]:
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
