@@ -26,8 +26,9 @@ def running_hashes(ws: Column) -> Column:
 
         def chained(begin: Column) -> Column:
             inside = lambda b, k: F.aggregate(b, F.array(begin[k]), lambda a, w: F.array_append(a, F.xxhash64(last(a), w)))
-            whole = F.flatten(F.transform(blocks, lambda b, k: F.slice(inside(b, k), 1, F.size(b))))
-            return F.array_append(whole, last(begin))
+            # a full block's last hash is the next block's first
+            whole = F.flatten(F.transform(blocks, lambda b, k: F.when(F.size(b) == CHAIN, F.slice(inside(b, k), 1, CHAIN)).otherwise(inside(b, k))))
+            return F.when(F.size(last(blocks)) == CHAIN, F.array_append(whole, last(begin))).otherwise(whole)
 
         return C.let(begins, chained)
 
@@ -57,7 +58,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
 
 
 def _variants(found: DataFrame) -> DataFrame:
-    """(key, role, at, place, ...): all that a line is with one word less or changed, as hashed keys, for each half key that it shares.
+    """(key, role, at, place, h1, h2): all that a line is with one word less or changed, as hashed keys, for each half key that it shares.
 
     Lines of one length that agree but for word at share a key of role s. A line as it stands (role w), parted at a place,
     shares a key with one that has one word more at that place (role d). Words of the shared half are not taken out."""
@@ -71,7 +72,7 @@ def _variants(found: DataFrame) -> DataFrame:
     less = F.transform(F.sequence(lo, hi - 1), lambda i: out("d", i, n - 1 - i))
     each = F.when(F.col("which") < 2, F.concat(changed, whole)).otherwise(less)
     halves = found.select("place", "h1", "h2", "words", F.explode("shared").alias("which"), "front", "back")
-    return halves.where(hi > lo).select("place", "h1", "h2", "words", F.explode(each).alias("v")).select("v.*", "place", "h1", "h2", "words").distinct()
+    return halves.where(hi > lo).select("place", "h1", "h2", F.explode(each).alias("v")).select("v.*", "place", "h1", "h2")
 
 
 def _without(words: Column, at: Column) -> Column:
@@ -93,8 +94,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     found = texts.select(F.explode(F.transform("wanted", lambda x: F.struct(x.alias("x"), F.regexp_extract_all(F.col("lines")[x["line"]], F.lit(WORD), F.lit(0)).alias("words")))).alias("y"))
     found = C.staged(found.select("y.x.h1", "y.x.h2", "y.x.place", "y.x.shared", "y.words"), "line-near").distinct()
     found = found.withColumns({"front": running_hashes(F.col("words")), "back": running_hashes(F.reverse("words"))})
-    variants = _variants(found)
-    slim = variants.select("key", "role", "at", "place", "h1", "h2")
+    slim = _variants(found)
     least = lambda role: F.min(F.when(F.col("role") == role, F.col("place"))).alias(f"first_{role}")
     firsts = slim.groupBy("key").agg(least("s"), least("w"), least("d"), F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo != hi").drop("lo", "hi")
     partner = F.when(F.col("role") == "s", F.col("first_s")).when(F.col("role") == "w", F.col("first_d")).otherwise(F.col("first_w"))
