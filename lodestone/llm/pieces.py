@@ -6,6 +6,7 @@ import functools
 import heapq
 import itertools
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -21,8 +22,8 @@ from lodestone.llm import common as C
 SPACE, UNKNOWN_PENALTY = "▁", 10.0
 #: Segmentations of each text in the query.
 N_BEST = 4
-#: Distinct units whose segmentations a worker keeps.
-KEPT = 400_000
+#: Distinct units in each of the two tables of segmentations that a worker keeps.
+KEPT = 250_000
 
 
 class Lattice:
@@ -47,7 +48,7 @@ class Lattice:
             raise ValueError("a piece spans a word's end, so that words can't be told apart")
 
     def forward(self, unit: str) -> tuple[list[float], float, list[list[tuple[int, int, float]]]]:
-        """The best score of every prefix, the second best of the whole, and the edges (start, id, score) into every place."""
+        """The best score of every prefix, the second best of the whole, and the edges (start, id, score) into every place, by start."""
         size, opens = len(unit), self.opens
         low = float("-inf")
         best, second, into = [low] * (size + 1), [low] * (size + 1), [[] for _ in range(size + 1)]
@@ -61,22 +62,35 @@ class Lattice:
                     break
                 if found:
                     i, score = found
-                    self._reach(best, second, end, b + score, c + score)
                     into[end].append((start, i, score))
+                    x = b + score
+                    if x > best[end]:
+                        second[end] = max(best[end], c + score)
+                        best[end] = x
+                    elif x > second[end]:
+                        second[end] = x
                     single = single or end == start + 1
                 end += 1
             if not single:
-                self._reach(best, second, start + 1, b + self.unknown, c + self.unknown)
-                into[start + 1].append((start, -1, self.unknown))
+                end, x = start + 1, b + self.unknown
+                into[end].append((start, -1, self.unknown))
+                if x > best[end]:
+                    second[end] = max(best[end], c + self.unknown)
+                    best[end] = x
+                elif x > second[end]:
+                    second[end] = x
         return best, second[size], into
 
-    @staticmethod
-    def _reach(best: list[float], second: list[float], at: int, x: float, y: float) -> None:
-        if x > best[at]:
-            second[at] = best[at] if best[at] > y else y
-            best[at] = x
-        elif x > second[at]:
-            second[at] = x
+    def best(self, unit: str, forward: list[float], into: list[list[tuple[int, int, float]]]) -> list[int]:
+        """The ids of the path that segmentations() finds first: of equal scores the edge that starts first."""
+        at, ids = len(unit), []
+        while at:
+            for start, i, score in into[at]:
+                if forward[start] + score == forward[at]:
+                    ids.append([self.bytes[b] for b in reversed(unit[start:at].encode())] if i < 0 else (i,))
+                    at = start
+                    break
+        return [i for edge in reversed(ids) for i in (reversed(edge) if len(edge) > 1 else edge)]
 
     def segmentations(self, unit: str, n: int, known: tuple | None = None) -> list[tuple[float, list[int]]]:
         """The n best (score, ids) of a string, best first; of equal scores the one found first by the search, the same each time.
@@ -110,16 +124,19 @@ class Encoder:
     """N-best segmentations of texts. No piece goes on after a word's end, so that a text's segmentations are made of its units': a word with the spaces before it."""
 
     def __init__(self, path: str, n: int) -> None:
-        self.lattice, self.n, self.known, self.wider = Lattice(path), n, {}, {}
+        self.lattice, self.n = Lattice(path), n
+        self.known, self.before, self.wider = {}, {}, {}
 
     def _unit(self, key: str) -> tuple[bytes, float, float]:
         """Of a unit without its first space: best ids, their score, and what the second best loses."""
         if len(self.known) > KEPT:
-            self.known.clear()
-        unit = " " + key
-        found = self.lattice.forward(unit)
-        score, ids = self.lattice.segmentations(unit, 1, found)[0]
-        self.known[key] = out = (np.array(ids, "<u4").tobytes(), score, score - found[1])
+            self.known, self.before = {}, self.known
+        if (out := self.before.get(key)) is None:
+            unit = " " + key
+            forward, second, into = self.lattice.forward(unit)
+            ids = self.lattice.best(unit, forward, into)
+            out = struct.pack(f"<{len(ids)}I", *ids), forward[-1], forward[-1] - second
+        self.known[key] = out
         return out
 
     def _ways(self, key: str) -> list[tuple[float, bytes]]:
@@ -141,8 +158,8 @@ class Encoder:
         keys = text.split(" ")
         if "" in keys:
             keys = [u[1:] for u in re.findall(" +[^ ]*", " " + text)]
-        known = self.known
-        units = [known.get(k) or self._unit(k) for k in keys]
+        known = self.known.get
+        units = [known(k) or self._unit(k) for k in keys]
         best = [u[0] for u in units]
         score = sum(u[1] for u in units)
         loss = [u[2] for u in units]
