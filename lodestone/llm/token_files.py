@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import functools
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,8 +20,8 @@ from lodestone.llm import common as C
 MAX_BITS = 20
 #: Ids of a block (each block's bit offset is kept) and of a segment, about: a segment holds whole documents.
 BLOCK, SEGMENT = 256, 1 << 18
-#: Distinct words whose ids a worker keeps.
-KEPT = 400_000
+#: Distinct words in each of the two tables of ids that a worker keeps, and punctuation that may end a word.
+KEPT, STOPS = 150_000, ".,;:!?"
 END_ID = 2
 
 
@@ -32,56 +32,91 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+class Known:
+    """Ids of words by their text, as bytes: those met since the table was last full, and the table before it."""
+
+    def __init__(self) -> None:
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def turn(self) -> None:
+        if len(self.now) > KEPT:
+            self.now, self.before = {}, self.now
+
+    def missing(self, words: set[str]) -> set[str]:
+        """The words that are in neither table; the others are in the present one from here on."""
+        new = words - self.now.keys()
+        back = new & self.before.keys()
+        self.now.update((w, self.before[w]) for w in back)
+        return new - back
+
+
 class Encoder:
     """Ids of whole texts as the tokenizers library gives them, as little-endian 32-bit integers.
 
     The vocabulary's pre-tokenizer never joins what stands before a space to what follows it, where neither neighbour is
-    white space, so a text's ids are those of its first word and of each further word with its space; words come back
-    again and again and are encoded once. A text where a space has white space beside it is encoded in one piece."""
+    white space, nor a letter to punctuation after it. So a text's ids are those of its first word and of each further
+    word with its space, and a word's are those of its stem and of the punctuation that ends it; words and stems come back
+    again and again and are encoded once, and a line end between letters parts words too. A text where a space has white space beside it is encoded in one piece."""
 
     def __init__(self, path: str) -> None:
-        self.path, self.first, self.inner = path, {}, {}
-
-    def _learn(self, known: dict[str, bytes], words: set[str], lead: str) -> None:
-        if words <= known.keys():
-            return
-        if len(known) > KEPT:
-            known.clear()
-        new = [w for w in words if w not in known]
-        known.update(zip(new, self._whole([lead + w for w in new]), strict=True))
+        self.path, self.first, self.inner, self.ends = path, Known(), Known(), {}
+        self.line_end = np.frombuffer(self._whole(["\n"])[0], "<u4")
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in _tokenizer(self.path).encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _split(self, texts: list[str]) -> list[list[str] | None]:
-        """The words of each text, all of them known from here on; None for a text that goes in one piece."""
+    def _apart(self, words: list[str]) -> list[bytes]:
+        """_whole() of words without line ends, by way of one text: a line end after a word is a token of its own."""
+        if not words:
+            return []
+        raw = self._whole(["".join(f"{w}\n" for w in words)])[0]
+        ends = (4 * np.flatnonzero(np.frombuffer(raw, "<u4") == self.line_end)).tolist()
+        if len(ends) != len(words):
+            return self._whole(words)
+        return [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends, strict=False)]
+
+    def _learn(self, known: Known, words: set[str], lead: str) -> set[str]:
+        """Learns all words but those that begin or end with white space, or are empty; gives these."""
+        new = known.missing(words)
+        if not new:
+            return new
+        odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
+        lines = {w: w.split("\n") for w in new - odd if "\n" in w}
+        if lines:
+            whole = [w for w, x in lines.items() if any(not y or y[0].isspace() or y[-1].isspace() for y in x)]
+            known.now.update(zip(whole, self._whole([lead + w for w in whole]), strict=True))
+            parted = {w: x for w, x in lines.items() if w not in known.now}
+            self._learn(known, {x[0] for x in parted.values()}, lead)
+            self._learn(self.first, {y for x in parted.values() for y in x[1:]}, "")
+            end = self.line_end.tobytes()
+            known.now.update((w, end.join([known.now[x[0]], *(self.first.now[y] for y in x[1:])])) for w, x in parted.items())
+        parts = {w: (stem, w[len(stem) :]) if (stem := w.rstrip(STOPS)) and stem[-1].isalpha() else (w, "") for w in new - odd - lines.keys()}
+        stems = sorted(known.missing({stem for stem, _ in parts.values()}))
+        known.now.update(zip(stems, self._apart([lead + s for s in stems]), strict=True))
+        for end in {e for _, e in parts.values()} - self.ends.keys():
+            self.ends[end] = self._whole([end])[0]
+        known.now.update((w, known.now[stem] + self.ends[end]) for w, (stem, end) in parts.items() if end)
+        return odd
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        self.first.turn()
+        self.inner.turn()
         parts: list[list[str] | None] = [t.split(" ") for t in texts]
-        words = set().union(*parts)
-        odd = {w for w in words if not w or w[0].isspace() or w[-1].isspace()}
+        odd = self._learn(self.inner, set().union(*parts), " ")
         if odd:
             parts = [p if len(p) == 1 or odd.isdisjoint(p) else None for p in parts]
-        self._learn(self.first, {p[0] for p in parts if p}, "")
-        self._learn(self.inner, words - odd, " ")
-        return parts
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = self._split(texts)
+        lone = self._learn(self.first, {p[0] for p in parts if p}, "")
+        if lone:  # a first word that begins with white space, or an empty text
+            self.first.now.update(zip(sorted(lone), self._whole(sorted(lone)), strict=True))
         whole = iter(self._whole([t for t, p in zip(texts, parts, strict=True) if p is None]))
-        inner = self.inner.__getitem__
-        return [np.frombuffer(next(whole) if p is None else self.first[p[0]] + b"".join(map(inner, p[1:])), "<u4") for p in parts]
-
-    def count(self, texts: list[str], size: int) -> np.ndarray:
-        """How often each id occurs in the texts."""
-        parts = self._split(texts)
-        once = self._whole([t for t, p in zip(texts, parts, strict=True) if p is None])
-        once += [self.first[p[0]] for p in parts if p]
-        tally: Counter[str] = Counter()
-        for p in parts:
-            tally.update(p[1:] if p else ())
-        inner = [self.inner[w] for w in tally]
-        times = np.repeat(np.fromiter(tally.values(), np.int64, len(tally)), np.fromiter((len(b) // 4 for b in inner), np.int64, len(inner)))
-        often = np.bincount(np.frombuffer(b"".join(inner), "<u4"), weights=times, minlength=size)
-        return np.bincount(np.frombuffer(b"".join(once), "<u4"), minlength=size) + often.astype(np.int64)
+        first, inner = self.first.now, self.inner.now.__getitem__
+        return [np.frombuffer(next(whole) if p is None else first[p[0]] + b"".join(map(inner, p[1:])), "<u4") for p in parts]
+
+
+@functools.cache
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -169,20 +204,37 @@ class Decoder:
 FILE_SCHEMA = "part int, segment int, first long, n_ids long, payload binary, checkpoints binary, doc_ids array<long>, doc_lengths array<long>"
 
 
-def count_ids(docs: DataFrame, tokenizer: str, end_id: int) -> np.ndarray:
-    """How often each id occurs in all documents. A task gives its totals, one row an id at most; the driver holds one number an id of the vocabulary."""
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> DataFrame:
+    """(id, rev, ids, tally), written under path: each document's ids as compressed 32-bit integers, and a last row of each task with how often each id occurred in it."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, size = _encoder(tokenizer), max(_tokenizer(tokenizer).get_vocab_size(), end_id + 1)
+        total, packer, end = np.zeros(size, np.int64), zstandard.ZstdCompressor(level=3), np.array([end_id], "<u4")
+        row = lambda i, r, x, t: pa.RecordBatch.from_arrays([i, r, pa.array(x, pa.binary()), pa.array(t, pa.binary())], names=["id", "rev", "ids", "tally"])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            every = [np.concatenate([ids, end]) for ids in encoder.encode(batch.column(1).to_pylist())]
+            total += np.bincount(np.concatenate(every), minlength=size)
+            # the low and the high halves apart, for the latter are mostly zero
+            yield row(batch.column(0), batch.column(2), [packer.compress(ids.view("<u2").reshape(-1, 2).T.tobytes()) for ids in every], [None] * len(every))
+        yield row(pa.array([None], pa.int64()), pa.array([None], pa.int64()), [None], [packer.compress(total.tobytes())])
+
+    rows = docs.select("id", "text", F.xxhash64("text").alias("rev")).mapInArrow(work, "id long, rev long, ids binary, tally binary")
+    rows.write.option("compression", "none").parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def id_counts(rows: DataFrame) -> np.ndarray:
+    """How often each id occurs in all documents; the driver holds one number an id of the vocabulary."""
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, size = Encoder(tokenizer), _tokenizer(tokenizer).get_vocab_size()
-        total = np.zeros(max(size, end_id + 1), np.int64)
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            total += encoder.count(texts, len(total))
-            total[end_id] += len(texts)
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "n"])
+            for raw in batch.column(0).to_pylist():
+                n = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], names=["id", "n"])
 
-    found = docs.select("text").mapInArrow(tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    found = rows.where("tally is not null").select("tally").mapInArrow(unpack, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r["id"] for r in found), default=0) + 1, np.int64)
     for r in found:
         counts[r["id"]] = r["n"]
@@ -192,7 +244,7 @@ def count_ids(docs: DataFrame, tokenizer: str, end_id: int) -> np.ndarray:
 def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID) -> None:
     """Encodes every whole text (null: empty), appends end_id, and writes the ids in ascending id_col order under path.
 
-    Two passes over the texts: ids are counted over all documents, then documents are range-partitioned by id, sorted and
+    Texts are encoded once; ids are counted over all documents, then documents are range-partitioned by id, sorted and
     written. path/codes has (id, length), all that canonical codes need; path/segments has a row for each segment of whole
     documents: its Huffman bits, the bit offset of every BLOCK-th id, and its documents' ids and lengths; part and segment
     give the order. An empty table writes empty files; null ids come first; rows of one id keep the order of their text's hash."""
@@ -200,16 +252,16 @@ def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     C.small_batches(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    lengths = code_lengths(count_ids(slim, tokenizer, end_id))
+    rows = tokenized(slim, tokenizer, end_id, temporary := C.new_path(spark, "tokenized"))
+    lengths = code_lengths(id_counts(rows))
     codes = canonical_codes(lengths)
     spark.createDataFrame([(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)], "id int, length int").coalesce(1).write.parquet(f"{path}/codes")
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        unpacker = zstandard.ZstdDecompressor()
         names = [f.split()[0] for f in FILE_SCHEMA.split(", ")]
         part, seq, first, held, ids, sizes = 0, 0, 0, 0, [], []
         chunks: list[np.ndarray] = []
-        end = np.array([end_id], "<u4")
 
         def flush() -> pa.RecordBatch:
             nonlocal seq, first, held
@@ -224,19 +276,21 @@ def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
         for batch in batches:
             part = batch.column(2)[0].as_py() if batch.num_rows else part
-            for i, got in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
-                chunks += [got, end]
+            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                low, high = np.frombuffer(unpacker.decompress(raw), "<u2").reshape(2, -1).astype(np.int64)
+                chunks.append(low | high << 16)
                 ids.append(i)
-                sizes.append(len(got) + 1)
-                held += len(got) + 1
+                sizes.append(len(low))
+                held += len(low)
                 if held >= SEGMENT:
                     yield flush()
         if ids:
             yield flush()
 
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = slim.repartitionByRange(n_parts, "id").sortWithinPartitions("id", F.xxhash64("text"))
+    ordered = rows.where("tally is null").select("id", "ids", "rev").repartitionByRange(n_parts, "id").sortWithinPartitions("id", "rev").drop("rev")
     ordered.withColumn("part", F.spark_partition_id()).mapInArrow(segments, FILE_SCHEMA).write.option("compression", "none").parquet(f"{path}/segments")
+    C.drop_path(spark, temporary)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
