@@ -172,16 +172,18 @@ def near_pairs(distinct: DataFrame, reach: int = 4) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, reach: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id): component_id is the smallest id that links of reach bits or fewer reach.
 
-    Null and empty texts have fingerprint zero and link like any other; rows with one id are separate rows of one node; an
-    empty table gives no rows; further columns of docs are not read. Equal fingerprints are one node, so copies cost a row
+    Null and empty texts have fingerprint zero and link like any other; rows with one id are one component; a row without an
+    id has its component's smallest id, null if no row there has one; an empty table gives no rows; further columns of docs are not read. Equal fingerprints are one node, so copies cost a row
     each and never a pair."""
     each = C.staged(fingerprints(docs, id_col, text_col, k), "simhash-fp")
-    table = C.staged(each.groupBy("_fp").agg(F.min("_id").alias("node"), F.count("*").alias("_n")), "simhash-distinct")
-    # an id on rows of several texts ties their fingerprints together: they are the same node
-    ties = each.groupBy("_id").agg(F.min("_fp").alias("_lo"), F.max("_fp").alias("_hi")).where("_lo != _hi").select(F.col("_id").alias("_tie"))
-    tied = each.join(ties, each["_id"] == F.col("_tie"), "left_semi").join(table, "_fp").select(F.col("_id").alias("a"), F.col("node").alias("b"))
+    table = C.staged(each.groupBy("_fp").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).withColumn("node", F.col("_fp")), "simhash-distinct")
+    # an id on rows of several texts ties their fingerprints together
+    ties = each.where("_id is not null").groupBy("_id").agg(F.min("_fp").alias("b"), F.max("_fp").alias("_hi")).where("b != _hi").select(F.col("_id").alias("_tie"), "b")
+    tied = each.join(ties, F.col("_id") == F.col("_tie")).select(F.col("_fp").alias("a"), "b")
     links = C.components(near_pairs(table).unionAll(tied), "simhash-links")
-    known = table.join(links, "node", "left").select("_fp", "_n", F.coalesce("component", "node").alias("component_id"))
+    parts = table.join(links, "node", "left").select("_fp", "_first", "_n", F.coalesce("component", "node").alias("_part"))
+    smallest = parts.groupBy("_part").agg(F.min("_first").alias("component_id"))
+    known = parts.join(smallest, "_part").select("_fp", "_n", "component_id")
     out = C.lookup(each, C.staged(known, "simhash-known"), "_fp", ["component_id"], "_n", F.col("_id"))
     return out.select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
 
