@@ -13,9 +13,12 @@ from pyspark.sql.window import Window
 from lodestone.llm import common as C
 
 #: Symbols that count as such (fixed values).
-SYMBOLS = "#*$%&|<>"
-#: Character classes, in the order in which they are taken from a text, and what stands for the rest.
-CLASSES = ("[a-z]", "[A-Z]", "[0-9]", "[ \\t\\n\\x0b\\f\\r]", "[.,;:!?'\"()-]", "[#*$%&|<>/@_=+~^\\\\{}\\[\\]`]", "[^\\x00-\\x7f]")
+SYMBOLS = "[#*$%&|<>]"
+#: What a word is, and what parts the words of the lower-cased text that histograms count: white space and common punctuation.
+WORD, SPACE, PARTED = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]", r"[\x20\x09-\x0D.,;:!?'\"()]+"
+#: Character classes that are counted; bytes beyond a character's first are one more, and the other characters the last.
+CLASSES = ("[A-Z]", "[0-9]", SPACE, "[.,;:!?'\"()-]", r"[#*$%&|<>/@_=+~^\\{}\[\]`]")
+N_CLASSES = len(CLASSES) + 2
 #: Most common words of each language that a histogram tells apart.
 COMMON = 64
 #: Largest Jensen-Shannon distance (base 2) from the nearest language: of character classes, of common words. A short text's
@@ -25,12 +28,17 @@ CLASS_LIMIT, WORD_LIMIT, NOISE = 0.28, 0.45, 0.6
 LEAST_CHARS, LEAST_WORDS = 100, 40
 
 
+def text_words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+
+
 def repeat_words(ws: Column, k: int = 5) -> Column:
-    """Words in k-word windows that occur twice or more: windows are hashed, sorted with their places, and the places of equal neighbours are covered."""
+    """Words in k-word windows that occur twice or more. Windows are hashed; where a hash set finds any twice, they are sorted
+    with their places, and the places of equal neighbours are covered."""
 
     def covered(places: Column) -> Column:
         gaps = F.transform(F.sequence(F.lit(1), F.size(places) - 1), lambda i: F.least(F.lit(k), places[i] - places[i - 1]))
-        return F.when(F.size(places) == 0, 0).otherwise(k + F.when(F.size(places) == 1, 0).otherwise(F.aggregate(gaps, F.lit(0), lambda a, x: a + x)))
+        return k + F.aggregate(gaps, F.lit(0), lambda a, x: a + x)
 
     def places(sorted_: Column) -> Column:
         n = F.size(sorted_)
@@ -40,57 +48,57 @@ def repeat_words(ws: Column, k: int = 5) -> Column:
         )
         return F.array_sort(F.transform(same, lambda i: sorted_[i]["p"]))
 
+    def repeated(h: Column) -> Column:
+        placed = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(C.let(C.let(placed, places), covered))
+
     def hashed(w: Column) -> Column:
-        windows = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.struct(F.xxhash64(*[w[i + j] for j in range(k)]).alias("h"), i.alias("p")))
-        return F.when(F.size(w) <= k, 0).otherwise(C.let(F.array_sort(windows), lambda s: C.let(places(s), covered)))
+        windows = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*[w[i + j] for j in range(k)]))
+        return F.when(F.size(w) <= k, 0).otherwise(C.let(windows, repeated))
 
     return C.let(ws, hashed).cast("long")
 
 
 def dup_lines(text: Column) -> Column:
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.translate(x, " " + C.SPACES, "") != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     return C.let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
 def base_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (a null text counts as empty)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(
-        "*",
-        F.size(C.words(text)).cast("long").alias("n_words"),
-        F.length(F.translate(text, " " + C.SPACES, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+    of_words = C.let(text_words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).alias("repeat")))
+    return docs.withColumn("_words", of_words).select(
+        *docs.columns,
+        F.col("_words.n").alias("n_words"),
+        (F.length(text) - F.regexp_count(text, F.lit(SPACE))).cast("long").alias("word_chars"),
+        F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         dup_lines(text).alias("n_dup_lines"),
-        repeat_words(C.words(text)).alias("n_repeat_words"),
+        F.col("_words.repeat").alias("n_repeat_words"),
     )
 
 
 def class_counts(text: Column) -> Column:
-    """Characters of each class and of none of them."""
-    n = F.length(text)
-    by = [n - F.length(F.regexp_replace(text, c, "")) for c in CLASSES]
-    return F.array(*[x.cast("double") for x in [*by, n - reduce(lambda a, b: a + b, by)]])
-
-
-def bare(w: Column) -> Column:
-    """A word as the histograms count it: lower case, without punctuation at its ends."""
-    return F.btrim(F.lower(w), F.lit(".,;:!?'\"()"))
+    """Characters of each of CLASSES, bytes beyond the first of a character, and all other characters."""
+    by = [F.regexp_count(text, F.lit(c)) for c in CLASSES]
+    beyond = F.octet_length(text) - F.length(text)
+    return C.let(F.array(*by, beyond), lambda c: F.concat(c, F.array(F.length(text) - reduce(lambda a, b: a + b, [c[i] for i in range(len(by))])))).cast("array<double>")
 
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[dict[str, list[float]], dict[str, dict[str, float]]]:
     """Of each language over all documents: the shares of its character classes, and of its COMMON most common words among all its words.
 
-    Rows without a language are left out. The driver holds len(CLASSES) + 1 and COMMON numbers a language."""
+    Rows without a language are left out. The driver holds N_CLASSES and COMMON numbers a language."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counts = known.select("lang", class_counts(F.col("text")).alias("c"))
-    classes = counts.groupBy("lang").agg(*[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 1)]).collect()
-    each = known.select("lang", F.explode(F.transform(C.words(F.col("text")), bare)).alias("w"))
+    classes = counts.groupBy("lang").agg(*[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(N_CLASSES)]).collect()
+    each = known.select("lang", F.explode(F.split(F.lower("text"), PARTED)).alias("w")).where("w != ''")
     tally = each.groupBy("lang", "w").agg(F.count("*").alias("n"))
     top = tally.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))).where(F.col("r") <= COMMON)
     sums = tally.groupBy("lang").agg(F.sum("n").alias("all"))
-    by_class = {r["lang"]: [r[f"c{i}"] / total for i in range(len(CLASSES) + 1)] for r in classes if (total := sum(r[1:]))}
+    by_class = {r["lang"]: [r[f"c{i}"] / total for i in range(N_CLASSES)] for r in classes if (total := sum(r[1:]))}
     by_word: dict[str, dict[str, float]] = {}
-    for r in top.where("w != ''").join(sums, "lang").collect():
+    for r in top.join(sums, "lang").collect():
         by_word.setdefault(r["lang"], {})[r["w"]] = r["n"] / r["all"]
     return by_class, by_word
 
@@ -175,7 +183,7 @@ def word_distance(ws: Column, refs: dict[str, dict[str, float]]) -> Column:
         return lambda counted: F.array_min(F.array(*[_distance(counted, n, q, mass) for q, mass in each]))
 
     def of_words(w: Column) -> Column:
-        ids = F.array_sort(F.filter(F.transform(w, lambda x: bucket(bare(x))), lambda i: i >= 0))
+        ids = F.array_sort(F.filter(F.transform(w, bucket), lambda i: i >= 0))
         return F.when(F.size(w) >= LEAST_WORDS, C.let(C.let(ids, _runs), nearest(F.size(w).cast("double"))))
 
     return C.let(ws, of_words)
@@ -195,7 +203,7 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
         {
             "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
             "class_distance": class_distance(text, by_class),
-            "word_distance": word_distance(C.words(text), by_word),
+            "word_distance": word_distance(F.split(F.lower(text), PARTED), by_word),
         }
     )
     far = (F.coalesce("class_distance", F.lit(0.0)) > CLASS_LIMIT) | (F.coalesce("word_distance", F.lit(0.0)) > WORD_LIMIT + NOISE / F.sqrt(F.greatest("n_words", F.lit(1))))
