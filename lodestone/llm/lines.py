@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +10,8 @@ from lodestone.llm import common as C
 #: What a word is (fixed), and the words that a line must have to be compared at all.
 WORD = r"[^\x20\x09-\x0D]+"
 LEAST_WORDS = 5
+#: Bits of the map that tells which documents have none of the lines asked for.
+MARKS = 1 << 23
 #: Words whose running hashes are chained in one go.
 CHAIN = 512
 
@@ -58,21 +58,31 @@ def _occurrences(docs: DataFrame) -> DataFrame:
 
 
 def _variants(found: DataFrame) -> DataFrame:
-    """(key, role, at, place, h1, h2): all that a line is with one word less or changed, as hashed keys, for each half key that it shares.
+    """(key, role, at, place): all that a line is with one word less or changed, as hashed keys, for each half key that it shares.
 
     Lines of one length that agree but for word at share a key of role s. A line as it stands (role w), parted at a place,
     shares a key with one that has one word more at that place (role d). Words of the shared half are not taken out."""
-    n = F.size("words")
-    lo = F.when(F.col("which") == 0, F.floor(n / 2)).when(F.col("which") == 2, F.floor((n - 1) / 2)).otherwise(0).cast("int")
-    hi = F.when(F.col("which") == 1, n - F.ceil(n / 2)).when(F.col("which") == 3, n - F.ceil((n - 1) / 2)).otherwise(n).cast("int")
+    n, which = F.size("words"), F.col("which")
+    lo = F.when(which == 0, F.floor(n / 2)).when(which == 2, F.floor((n - 1) / 2)).otherwise(0).cast("int")
+    hi = F.when(which == 1, n - F.ceil(n / 2)).when(which == 3, n - F.ceil((n - 1) / 2)).otherwise(n).cast("int")
     front, back = F.col("front"), F.col("back")  # back[k]: hash of the last k words
     out = lambda role, at, rest: F.struct(F.lit(role).alias("role"), at.alias("at"), F.xxhash64(F.lit("s" if role == "s" else "d"), at, front[at], back[rest]).alias("key"))
     changed = F.transform(F.sequence(lo, hi - 1), lambda i: out("s", i, n - 1 - i))
     whole = F.transform(F.sequence(lo, hi), lambda i: out("w", i, n - i))
     less = F.transform(F.sequence(lo, hi - 1), lambda i: out("d", i, n - 1 - i))
-    each = F.when(F.col("which") < 2, F.concat(changed, whole)).otherwise(less)
-    halves = found.select("place", "h1", "h2", "words", F.explode("shared").alias("which"), "front", "back")
-    return halves.where(hi > lo).select("place", "h1", "h2", F.explode(each).alias("v")).select("v.*", "place", "h1", "h2")
+    each = F.when(which < 2, F.concat(changed, whole)).otherwise(less)
+    shared = F.filter(F.array(*[F.lit(i) for i in range(4)]), lambda i: F.getbit("sides", i) == 1)
+    halves = found.select("place", "words", F.explode(shared).alias("which"), "front", "back")
+    return halves.where(hi > lo).select("place", F.explode(each).alias("v")).select("v.*", "place")
+
+
+def _marked(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """docs with maybe: false only where (doc, rev) isn't among keys. A bitmap of MARKS bits, whatever the data's size, comes by a broadcast."""
+    at = F.pmod(F.xxhash64("doc", "rev"), F.lit(MARKS))
+    slot, bit = F.shiftright(at, 6), F.pmod(at, F.lit(64)).cast("int")
+    marks = keys.select(slot.alias("_slot"), bit.alias("_bit")).groupBy("_slot").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_m"))
+    told = docs.withColumns({"_at": slot, "_bit": bit}).join(F.broadcast(marks), F.col("_at") == F.col("_slot"), "left")
+    return told.withColumn("maybe", F.coalesce(F.getbit("_m", F.col("_bit")) == 1, F.lit(False))).drop("_at", "_bit", "_slot", "_m")
 
 
 def _without(words: Column, at: Column) -> Column:
@@ -85,22 +95,23 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     place = F.struct("doc", "rev", "line")
     distinct = C.staged(seen.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("n"), F.first("keys").alias("keys")), "line-distinct")
     # lines that share no half with another one have no neighbour
-    halves = distinct.select("h1", "h2", "place", F.posexplode("keys").alias("which", "half")).withColumn("half", F.xxhash64("half"))
+    halves = distinct.select("h1", F.posexplode("keys").alias("which", "half"))
     shared = halves.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo != hi").select("half")
-    near = halves.join(shared, "half", "left_semi").groupBy("h1", "h2", "place").agg(F.collect_set("which").alias("shared"))
-    near = near.select("h1", "h2", "place", "shared", F.col("place.doc").alias("doc"), F.col("place.rev").alias("rev"), F.col("place.line").alias("line"))
-    of_doc = near.groupBy("doc", "rev").agg(F.collect_list(F.struct("line", "h1", "h2", "place", "shared")).alias("wanted"))  # one entry a line of the document
-    texts = docs.join(of_doc, docs["doc"].eqNullSafe(of_doc["doc"]) & (docs["rev"] == of_doc["rev"])).select("wanted", F.split("text", "\n").alias("lines"))
-    found = texts.select(F.explode(F.transform("wanted", lambda x: F.struct(x.alias("x"), F.regexp_extract_all(F.col("lines")[x["line"]], F.lit(WORD), F.lit(0)).alias("words")))).alias("y"))
-    found = C.staged(found.select("y.x.h1", "y.x.h2", "y.x.place", "y.x.shared", "y.words"), "line-near").distinct()
-    found = found.withColumns({"front": running_hashes(F.col("words")), "back": running_hashes(F.reverse("words"))})
-    slim = _variants(found)
-    least = lambda role: F.min(F.when(F.col("role") == role, F.col("place"))).alias(f"first_{role}")
-    firsts = slim.groupBy("key").agg(least("s"), least("w"), least("d"), F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo != hi").drop("lo", "hi")
-    partner = F.when(F.col("role") == "s", F.col("first_s")).when(F.col("role") == "w", F.col("first_d")).otherwise(F.col("first_w"))
-    pairs = slim.join(firsts, "key").withColumn("partner", partner).where(F.col("partner") < F.col("place")).select("place", "h1", "h2", "role", "at", "partner").distinct()
-    words = found.select(F.col("place").alias("_place"), F.col("words").alias("_words")).distinct()
-    both = pairs.join(words.withColumnsRenamed({"_place": "place", "_words": "words"}), "place").join(words, F.col("partner") == F.col("_place"))
+    sides = halves.join(shared, "half", "left_semi").groupBy("h1").agg(F.bit_or(F.expr("shiftleft(1, which)")).alias("sides"))
+    near = C.staged(distinct.select("h1", "h2", "place.*").join(sides, "h1"), "line-near")
+    of_doc = near.groupBy(F.col("doc").alias("_doc"), F.col("rev").alias("_rev")).agg(F.collect_list(F.struct("h1", "h2", "line", "sides")).alias("wanted"))  # one entry a line of the document
+    texts = _marked(docs, near).where("maybe").join(of_doc, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("rev") == F.col("_rev"))).select("doc", "rev", "wanted", F.split("text", "\n").alias("lines"))
+    entry = lambda x: F.struct(x.alias("x"), F.regexp_extract_all(F.col("lines")[x["line"]], F.lit(WORD), F.lit(0)).alias("words"))
+    found = texts.select("doc", "rev", F.explode(F.transform("wanted", entry)).alias("y"))
+    found = C.staged(found.select("y.x.h1", "y.x.h2", F.struct("doc", "rev", F.col("y.x.line").alias("line")).alias("place"), "y.x.sides", "y.words"), "line-words")
+    hashed = found.withColumns({"front": running_hashes(F.col("words")), "back": running_hashes(F.reverse("words"))})
+    slim = _variants(hashed)
+    least = lambda role: F.min(F.when(F.col("role") != role, F.col("place")))
+    firsts = slim.groupBy("key").agg(least("d").alias("whole"), least("w").alias("longer"), F.count("*").alias("c")).where("c > 1 and whole is not null and longer is not null").drop("c")
+    partner = F.when(F.col("role") == "w", F.col("longer")).otherwise(F.col("whole"))
+    pairs = slim.join(firsts, "key").withColumn("partner", partner).where(F.col("partner") < F.col("place")).select("place", "role", "at", "partner").distinct()
+    other_words = found.select(F.col("place").alias("_place"), F.col("words").alias("_words")).distinct()
+    both = pairs.join(found.select("place", "h1", "h2", "words").distinct(), "place").join(other_words, F.col("partner") == F.col("_place"))
     mine, other, at = F.col("words"), F.col("_words"), F.col("at")
     same = F.when(F.col("role") == "s", (F.size(mine) == F.size(other)) & (_without(mine, at) == _without(other, at))).when(F.col("role") == "w", mine == _without(other, at)).otherwise(_without(mine, at) == other)
     edited = both.where(same).select("h1", "h2").distinct().withColumn("edited", F.lit(True))
@@ -123,20 +134,26 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     within one edit as hashed keys. Groups of equal keys are only ever reduced to their earliest line, so a large group
     costs a row a line; each line is verified against that one."""
     rows = docs.drop("n_lines", "n_dropped")
-    keyed = rows.withColumns({"_doc": F.col(id_col), "_rev": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    slim = keyed.where(F.col(text_col).isNotNull()).select(F.col("_doc").alias("doc"), F.col("_rev").alias("rev"), F.col(text_col).alias("text"))
-    gone = dropped_lines(slim).groupBy("doc", "rev").agg(F.collect_set("line").alias("gone"))
-    out = keyed.join(gone, F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_rev") == F.col("rev")), "left")
-    lines = F.split(F.col(text_col), "\n")
-    left = C.let(F.struct(lines.alias("l"), F.array_sort("gone").alias("g")), lambda x: F.array_join(F.filter(x["l"], lambda _, i: ~F.array_contains(x["g"], i)), "\n"))
-    text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(left)
-    n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-    return out.select(*[(text if c == text_col else F.col(c)).alias(c) for c in rows.columns], F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = rows.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("rev"), F.struct(*[F.col(c) for c in rows.columns]).alias("row"))
+    slim = keyed.where(F.col("row")[text_col].isNotNull()).select("doc", "rev", F.col("row")[text_col].alias("text"))
+    gone = dropped_lines(slim).groupBy(F.col("doc").alias("_doc"), F.col("rev").alias("_rev")).agg(F.array_sort(F.collect_set("line")).alias("gone"))
+    gone = C.staged(gone, "line-gone")
+    told = _marked(keyed, gone.select(F.col("_doc").alias("doc"), F.col("_rev").alias("rev")))
+    some = told.where("maybe").join(gone, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("rev") == F.col("_rev")), "left").select("row", "gone")
+    out = some.unionAll(told.where("not maybe").select("row", F.lit(None).cast("array<int>").alias("gone")))  # nothing of these goes: they aren't shuffled
+    own = F.col("row")[text_col]
+    lines = F.split(own, "\n")
+    left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone", i)), "\n")
+    kept = F.when(F.col("gone").isNull(), own).otherwise(left)
+    n_lines = F.when(own.isNull(), 0).otherwise(F.size(lines)).cast("long")
+    n_gone = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
+    return out.select(*[(kept if c == text_col else F.col("row")[c]).alias(c) for c in rows.columns], n_lines.alias("n_lines"), n_gone.alias("n_dropped"))
 
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return done.select("doc_id", "n_lines", F.when(F.col("n_dropped") < 0, 0).otherwise(F.col("n_dropped")).alias("n_dropped"), F.length("text").cast("long").alias("n_chars"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
 
 
 QUERIES = {"op4_lines": op4_lines}
