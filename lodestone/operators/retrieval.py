@@ -35,7 +35,8 @@ def norms(weights: DataFrame) -> DataFrame:
 
 
 def tfidf_search(docs: DataFrame, query: str, k: int, id_col: str = "doc_id", text_col: str = "text", stop: Sequence[str] = (), max_df: float = 0.95) -> DataFrame:
-    """(id, score): the k documents with the highest cosine to the query over 1- and 2-gram weights, scores above 0 only; ties by id.
+    """(id, score): the k documents with the highest cosine to the query over 1- and 2-gram weights, scores above 0 only; ties by id,
+    where scores that differ by less than rounding errors are equal.
 
     The query's few terms come by a broadcast; everything else is keyed by term or document."""
     if k <= 0:
@@ -52,7 +53,7 @@ def tfidf_search(docs: DataFrame, query: str, k: int, id_col: str = "doc_id", te
     # one pass over the weights gives both the norm and the part of the product that the query's terms make
     both = weights.join(F.broadcast(own), "term", "left")  # at most one row a term of the query
     scored = both.groupBy("id").agg((F.sum(F.col("w") * F.coalesce("wq", F.lit(0.0))) / F.sqrt(F.sum(F.col("w") * F.col("w")))).alias("score"))
-    return scored.orderBy(F.desc("score"), "id").limit(k).where("score > 0")
+    return scored.orderBy(F.desc(F.round("score", 10)), "id").limit(k).where("score > 0")
 
 
 def dense_search(vectors: DataFrame, query: Sequence[float], k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -61,7 +62,7 @@ def dense_search(vectors: DataFrame, query: Sequence[float], k: int, id_col: str
         raise ValueError("k must be positive")
     q = X.unit(F.array(*[F.lit(float(x)) for x in query]))
     scored = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), X.dot(X.unit(F.col(vector_col)), q).alias("score"))
-    return scored.orderBy(F.desc("score"), "id").limit(k)
+    return scored.orderBy(F.desc(F.round("score", 10)), "id").limit(k)
 
 
 def best_match(queries: DataFrame, rows: DataFrame, id_col: str, vector_col: str, by: str) -> DataFrame:
@@ -74,7 +75,7 @@ def best_match(queries: DataFrame, rows: DataFrame, id_col: str, vector_col: str
 
 def ranked(hits: DataFrame, name: str) -> DataFrame:
     """Top-k hits with their place from 1; hits is a short list."""
-    return hits.withColumn(f"{name}_rank", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).withColumnRenamed("score", f"{name}_score")
+    return hits.withColumn(f"{name}_rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 10)), "id"))).withColumnRenamed("score", f"{name}_score")
 
 
 def fuse(lexical: DataFrame, dense: DataFrame, k: int, rrf_k: int = 60) -> DataFrame:

@@ -24,7 +24,7 @@ ASKED_SQL = (
 SCORES_SQL = "scores AS (SELECT id, sum(w * coalesce(wq, 0)) / sqrt(sum(w * w)) AS score FROM weights LEFT JOIN own2 USING (term) GROUP BY id)"
 DENSE_SQL = (
     "unit AS (SELECT vec_id AS id, label, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings WHERE embedding IS NOT NULL), "
-    "dense AS (SELECT a.id, list_inner_product(a.v, b.v) AS score FROM unit a, unit b WHERE b.id = (SELECT min(id) FROM unit) ORDER BY score DESC, id LIMIT {k})"
+    "dense AS (SELECT a.id, list_inner_product(a.v, b.v) AS score FROM unit a, unit b WHERE b.id = (SELECT min(id) FROM unit) ORDER BY round(score, 10) DESC, id LIMIT {k})"
 )
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -48,7 +48,7 @@ def first_vector(vectors: DataFrame) -> list[float]:
     return list(vectors.where("embedding is not null").orderBy("vec_id").select("embedding").first()[0])
 
 
-@query("lex08_tfidf_topk", f"WITH {TERMS_SQL}, {IDF_SQL}, {WEIGHTS_SQL}, {ASKED_SQL}, {SCORES_SQL} SELECT id AS doc_id, round(score, 6) AS score FROM scores WHERE score > 0 ORDER BY scores.score DESC, id LIMIT 10")
+@query("lex08_tfidf_topk", f"WITH {TERMS_SQL}, {IDF_SQL}, {WEIGHTS_SQL}, {ASKED_SQL}, {SCORES_SQL} SELECT id AS doc_id, round(score, 6) AS score FROM scores WHERE score > 0 ORDER BY round(scores.score, 10) DESC, id LIMIT 10")
 def lex08(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = retrieval.tfidf_search(table(spark, sf_dir, "documents"), ASKED, 10, stop=STOP)
     return hits.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
@@ -98,8 +98,8 @@ def vec06(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "hyb02_rrf",
-    f"WITH {TERMS_SQL}, {IDF_SQL}, {WEIGHTS_SQL}, {ASKED_SQL}, {SCORES_SQL}, lex AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS tfidf_rank FROM (SELECT * FROM scores WHERE score > 0 ORDER BY score DESC, id LIMIT 20)), {DENSE_SQL.format(k=20)}, "
-    "den AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS dense_rank FROM dense), both_ AS (SELECT coalesce(lex.id, den.id) AS id, tfidf_rank, dense_rank, round(coalesce(1.0 / (60 + tfidf_rank), 0) + coalesce(1.0 / (60 + dense_rank), 0), 6) AS score FROM lex FULL JOIN den ON lex.id = den.id) "
+    f"WITH {TERMS_SQL}, {IDF_SQL}, {WEIGHTS_SQL}, {ASKED_SQL}, {SCORES_SQL}, lex AS (SELECT id, row_number() OVER (ORDER BY round(score, 10) DESC, id) AS tfidf_rank FROM (SELECT * FROM scores WHERE score > 0 ORDER BY round(score, 10) DESC, id LIMIT 20)), {DENSE_SQL.format(k=20)}, "
+    "den AS (SELECT id, row_number() OVER (ORDER BY round(score, 10) DESC, id) AS dense_rank FROM dense), both_ AS (SELECT coalesce(lex.id, den.id) AS id, tfidf_rank, dense_rank, round(coalesce(1.0 / (60 + tfidf_rank), 0) + coalesce(1.0 / (60 + dense_rank), 0), 6) AS score FROM lex FULL JOIN den ON lex.id = den.id) "
     "SELECT id, score, tfidf_rank, dense_rank FROM both_ ORDER BY score DESC, tfidf_rank NULLS LAST, dense_rank NULLS FIRST LIMIT 10",
 )
 def hyb02(spark: SparkSession, sf_dir: str) -> DataFrame:
