@@ -21,7 +21,7 @@ MAX_BITS = 20
 #: Ids of a block (each block's bit offset is kept) and of a segment, about: a segment holds whole documents.
 BLOCK, SEGMENT = 256, 1 << 18
 #: Distinct words in each of the two tables of ids that a worker keeps, and punctuation that may end a word.
-KEPT, STOPS = 150_000, ".,;:!?"
+KEPT, STOPS = 400_000, ".,;:!?"
 END_ID = 2
 
 
@@ -81,8 +81,17 @@ class Encoder:
         new = known.missing(words)
         if not new:
             return new
-        odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
-        lines = {w: w.split("\n") for w in new - odd if "\n" in w}
+        plain = {w for w in new if w.isalnum()}
+        rest = new - plain
+        odd = {w for w in rest if not w or w[0].isspace() or w[-1].isspace()}
+        rest -= odd
+        lines = {w: w.split("\n") for w in rest if "\n" in w}
+        parts = {w: (stem, w[len(stem) :]) if (stem := w.rstrip(STOPS)) and stem[-1].isalpha() else (w, "") for w in rest - lines.keys()}
+        stems = list(plain | known.missing({stem for stem, _ in parts.values()}))
+        known.now.update(zip(stems, self._apart([lead + s for s in stems]), strict=True))
+        for end in {e for _, e in parts.values()} - self.ends.keys():
+            self.ends[end] = self._whole([end])[0]
+        known.now.update((w, known.now[stem] + self.ends[end]) for w, (stem, end) in parts.items() if end)
         if lines:
             whole = [w for w, x in lines.items() if any(not y or y[0].isspace() or y[-1].isspace() for y in x)]
             known.now.update(zip(whole, self._whole([lead + w for w in whole]), strict=True))
@@ -91,12 +100,6 @@ class Encoder:
             self._learn(self.first, {y for x in parted.values() for y in x[1:]}, "")
             end = self.line_end.tobytes()
             known.now.update((w, end.join([known.now[x[0]], *(self.first.now[y] for y in x[1:])])) for w, x in parted.items())
-        parts = {w: (stem, w[len(stem) :]) if (stem := w.rstrip(STOPS)) and stem[-1].isalpha() else (w, "") for w in new - odd - lines.keys()}
-        stems = sorted(known.missing({stem for stem, _ in parts.values()}))
-        known.now.update(zip(stems, self._apart([lead + s for s in stems]), strict=True))
-        for end in {e for _, e in parts.values()} - self.ends.keys():
-            self.ends[end] = self._whole([end])[0]
-        known.now.update((w, known.now[stem] + self.ends[end]) for w, (stem, end) in parts.items() if end)
         return odd
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
