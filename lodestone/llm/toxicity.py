@@ -78,15 +78,19 @@ class Machine:
     def fit(self, examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, shrink: float = SHRINK, seed: int = SEED, least_rows: int = LEAST_ROWS) -> None:
         """AdaGrad on the log loss, a document at a time by the window that now scores highest; the rarer label weighs more. Terms of fewer than least_rows documents stay at zero."""
         rng = np.random.default_rng(seed)
-        seen = np.bincount(np.concatenate([np.unique(ids) for ids, _ in examples]), minlength=len(self.w)) >= least_rows
+        of_docs = np.zeros(len(self.w), np.int32)
+        for ids, _ in examples:
+            of_docs[np.unique(ids)] += 1
+        seen = of_docs >= least_rows
         self.v[~seen] = 0
-        examples = [(ids[seen[ids]], rows[seen[ids]]) for ids, rows in examples]
         share = float(np.clip(labels.mean(), 1e-6, 1 - 1e-6))
         weight = {1: 0.5 / share, 0: 0.5 / (1 - share)}
         gw, gv, gb = np.full(len(self.w), START, np.float32), np.full(self.v.shape, START, np.float32), START
         for _ in range(epochs):
             for k in rng.permutation(len(examples)):
                 ids, rows = examples[k]
+                keep = seen[ids]
+                ids, rows = ids[keep], rows[keep]
                 if not len(ids):
                     continue
                 scores = self.raw(ids, rows, int(rows[-1]) + 1)
@@ -129,9 +133,11 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, bucket
     y = found.column("toxic").to_numpy()
     if len(y) and 0 < y.mean() < 1:
         order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
-        ids, windows = found.column("ids").combine_chunks(), found.column("windows").combine_chunks()
-        ends, a, b = ids.offsets.to_numpy(), ids.values.to_numpy(), windows.values.to_numpy()
-        machine.fit([(a[ends[i] : ends[i + 1]], b[ends[i] : ends[i + 1]]) for i in order], y[order], epochs)
+        examples = []  # views of the table's memory, not copies
+        for ids, windows in zip(found.column("ids").chunks, found.column("windows").chunks, strict=True):
+            a, b = ids.values.to_numpy(), windows.values.to_numpy()
+            examples += [(a[i:j], b[i:j]) for i, j in itertools.pairwise(ids.offsets.to_numpy())]
+        machine.fit([examples[i] for i in order], y[order], epochs)
     else:
         machine.bias = 30.0 if len(y) and y.mean() == 1 else -30.0
         machine.v[:] = 0
