@@ -1,15 +1,31 @@
-"""Line dedup by a deletion-neighbourhood join over words, in DataFrame functions only."""
+"""Line dedup by word edits: a deletion-neighbourhood join for one edit, shared fingerprints and verification for the more edits of longer lines."""
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestone.llm import common as C
 
 #: What a word is (fixed), and the words that a line must have to be compared at all.
 WORD = r"[^\x20\x09-\x0D]+"
 LEAST_WORDS = 5
+#: A line of n words is compared within n // WORDS_AN_EDIT edits, one at least; from LONG words on these are two or more.
+WORDS_AN_EDIT = 20
+LONG = 2 * WORDS_AN_EDIT
+#: The fewest words of a line that one of LONG words or more may be close to.
+PARTNER = LONG - LONG // WORDS_AN_EDIT
+#: Words in a gram and grams in a window, whose least hash is a fingerprint. k = n // 20 edits part a line's n - k or more
+#: unedited words into k + 1 runs, so that one has 13 words or more: the GRAM + WINDOW - 1 words of a whole window.
+GRAM, WINDOW = 7, 7
+#: Bits of a line's signature, the parities of its words by hash; an edit turns two at most.
+BITS = 256
 #: Bits of the map that tells which documents have none of the lines asked for.
 MARKS = 1 << 23
 #: Words whose running hashes are chained in one go.
@@ -50,11 +66,57 @@ def half_keys(w: Column) -> Column:
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """A row for each line with LEAST_WORDS words or more: its place (doc, text hash, line), two hashes of its words, its half keys."""
+    """A row for each line with LEAST_WORDS words or more: its place (doc, text hash, line), two hashes of its words, its half keys if it has less than LONG words, and its words' number, fingerprints and signature if it has PARTNER words or more."""
     lines = docs.select("doc", "rev", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    hashed = lambda w: F.struct(F.size(w).alias("n"), F.xxhash64(w).alias("h1"), F.xxhash64(F.lit(7), w).alias("h2"), F.when(F.size(w) >= LEAST_WORDS, half_keys(w)).alias("keys"))
+    hashed = lambda w: F.struct(F.size(w).alias("n"), F.xxhash64(w).alias("h1"), F.xxhash64(F.lit(7), w).alias("h2"), F.when(F.size(w).between(LEAST_WORDS, LONG - 1), half_keys(w)).alias("keys"), F.when(F.size(w) >= PARTNER, F.transform(w, lambda x: F.xxhash64(x))).alias("hashes"))
     rows = lines.select("doc", "rev", "line", C.let(F.regexp_extract_all("raw", F.lit(WORD), F.lit(0)), hashed).alias("x"))
-    return rows.where(F.col("x.n") >= LEAST_WORDS).select("doc", "rev", "line", "x.h1", "x.h2", "x.keys")
+    return _printed(rows.where(F.col("x.n") >= LEAST_WORDS).select("doc", "rev", "line", "x.h1", "x.h2", "x.keys", F.col("x.n").alias("n_words"), "x.hashes"))
+
+
+def fingerprints(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints of lines with sizes words, whose hashes follow each other: all lines' distinct ones, how many each has, and signatures."""
+    n, owner = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+    parity = np.bincount(owner * BITS + (hashes & np.uint64(BITS - 1)).astype(np.int64), minlength=n * BITS) & 1
+    signs = np.packbits(parity.astype(np.uint8).reshape(n, BITS), axis=1).view(np.int64)
+    grams = max(0, len(hashes) - GRAM + 1)
+    g = np.zeros(grams, np.uint64)
+    for j in range(GRAM):
+        g = g * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + grams]
+    g = (g ^ (g >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    g ^= g >> np.uint64(29)
+    windows = max(0, grams - WINDOW + 1)
+    low = g[:windows].copy()
+    for j in range(1, WINDOW):
+        np.minimum(low, g[j : j + windows], out=low)
+    whole = owner[:windows] == owner[GRAM + WINDOW - 2 :][:windows]
+    low, of = low[whole], owner[:windows][whole]
+    order = np.lexsort((low, of))
+    low, of = low[order], of[order]
+    new = np.ones(len(low), bool)
+    new[1:] = (low[1:] != low[:-1]) | (of[1:] != of[:-1])
+    return low[new].view(np.int64), np.bincount(of[new], minlength=n), signs
+
+
+def _printed(rows: DataFrame) -> DataFrame:
+    """rows with prints and sign, made of the words' hashes, in place of these; null where they are null."""
+    rest = [c for c in rows.columns if c != "hashes"]
+    C.small_batches(rows.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(len(rest))
+            long = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+            own = column.take(pa.array(long))
+            sizes = own.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            prints, counts, signs = fingerprints(own.flatten().to_numpy(zero_copy_only=False).view(np.uint64), sizes)
+            to = np.full(batch.num_rows, -1)
+            to[long] = np.arange(len(long))
+            at = pa.array(to, mask=to < 0)
+            lists = lambda values, each: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(each)]).astype(np.int32)), pa.array(values)).take(at)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], lists(prints, counts), lists(signs.reshape(-1), np.full(len(long), BITS // 64))], names=[*rest, "prints", "sign"])
+
+    longs = F.lit(None).cast("array<long>")
+    return rows.select(*rest, "hashes").mapInArrow(work, rows.select(*rest, longs.alias("prints"), longs.alias("sign")).schema)
 
 
 def _variants(found: DataFrame) -> DataFrame:
@@ -89,21 +151,90 @@ def _without(words: Column, at: Column) -> Column:
     return F.concat(F.slice(words, 1, at), F.slice(words, at + 2, F.size(words)))
 
 
+def within(a: Sequence[str], b: Sequence[str], most: int) -> bool:
+    """Whether most edits, each of one word changed, more or less, make b of a: the furthest places that 0, 1, ... edits reach on each diagonal."""
+    n, m = len(a), len(b)
+    ours, theirs = Counter(a), Counter(b)
+    if max((ours - theirs).total(), (theirs - ours).total()) > most:
+        return False
+    none = -(n + m + 2)
+    far: dict[int, int] = {}
+    for e in range(most + 1):
+        now = {}
+        for d in range(-min(e, n), min(e, m) + 1):
+            i = 0 if e == 0 else min(n, m - d, max(far.get(d - 1, none), far.get(d, none) + 1, far.get(d + 1, none) + 1))
+            if i < max(0, -d):
+                continue
+            while i < n and i + d < m and a[i] == b[i + d]:
+                i += 1
+            if i == n and i + d == m:
+                return True
+            now[d] = i
+        far = now
+    return False
+
+
+def _with_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (doc, rev, line, ...) with the words of each line."""
+    rest = [c for c in wanted.columns if c not in ("doc", "rev")]
+    of_doc = wanted.groupBy(F.col("doc").alias("_doc"), F.col("rev").alias("_rev")).agg(F.collect_list(F.struct(*rest)).alias("wanted"))  # one entry a line of the document
+    texts = _marked(docs, wanted).where("maybe").join(of_doc, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("rev") == F.col("_rev"))).select("doc", "rev", "wanted", F.split("text", "\n").alias("lines"))
+    entry = lambda x: F.struct(x.alias("x"), F.regexp_extract_all(F.col("lines")[x["line"]], F.lit(WORD), F.lit(0)).alias("words"))
+    return texts.select("doc", "rev", F.explode(F.transform("wanted", entry)).alias("y")).select("doc", "rev", *[F.col(f"y.x.{c}") for c in rest], "y.words")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(h1, h2) of the pairs (h1, h2, place, partner, most) whose lines are within most edits."""
+    pairs = C.staged(pairs.distinct(), "line-pairs")
+    wanted = C.staged(pairs.select("place.*").unionAll(pairs.select("partner.*")).distinct(), "line-wanted")
+    words = C.staged(_with_words(docs, wanted).select(F.struct("doc", "rev", "line").alias("_place"), "words").distinct(), "line-long")
+    mine = pairs.join(words.withColumnRenamed("words", "_mine"), F.col("place") == F.col("_place")).drop("place", "_place")
+    both = mine.join(words.withColumnRenamed("words", "_other"), F.col("partner") == F.col("_place")).select("h1", "h2", "most", "_mine", "_other")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most, mine, other = (batch.column(i) for i in (2, 3, 4))
+            yield batch.select(["h1", "h2"]).filter(pa.array([within(mine[i].as_py(), other[i].as_py(), most[i].as_py()) for i in range(batch.num_rows)], pa.bool_()))
+
+    return C.staged(both.mapInArrow(work, "h1 long, h2 long").distinct(), "line-close")
+
+
+def _long_edited(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(h1, h2) of the lines that are within n // WORDS_AN_EDIT edits of an earlier one, n (LONG or more) the words of the longer of both.
+
+    Close lines share a fingerprint. Each line is verified against the earliest of each of its fingerprints, and only lines
+    that none of these settles against all earlier ones that share a fingerprint and whose length and signature allow it."""
+    long = distinct.where("prints is not null").select("h1", "h2", "place", "n_words", "sign", "prints")
+    each = long.select("h1", F.explode("prints").alias("print"))
+    along = Window.partitionBy("print").orderBy("h1")
+    shared = each.withColumns({"_before": F.lag("h1").over(along), "_after": F.lead("h1").over(along)}).where("_before is not null or _after is not null").select("h1", "print")
+    rows = C.staged(shared.join(long.drop("prints"), "h1").select("print", "h1", "h2", "place", "n_words", "sign"), "line-prints")
+    longer = F.greatest("n_words", "b.n_words")
+    most = F.floor(longer / WORDS_AN_EDIT).cast("int")
+    apart = F.abs(F.col("n_words") - F.col("b.n_words"))
+    turned = sum((F.bit_count(F.col("sign")[i].bitwiseXOR(F.col("b.sign")[i])) for i in range(BITS // 64)), F.lit(0))
+    close = (F.col("b.place") < F.col("place")) & (longer >= LONG) & (apart <= most) & (turned <= 2 * most - apart)
+
+    def pairs(of: DataFrame, others: DataFrame) -> DataFrame:
+        return of.join(others.withColumnRenamed("print", "_print"), F.col("print") == F.col("_print")).where(close).select("h1", "h2", "place", F.col("b.place").alias("partner"), most.alias("most"))
+
+    other = F.struct("place", "n_words", "sign")
+    first = _verified(docs, pairs(rows, rows.groupBy("print").agg(F.min(other).alias("b"))))
+    rest = _verified(docs, pairs(rows.join(first, ["h1", "h2"], "left_anti"), rows.select("print", other.alias("b"))))
+    return first.unionAll(rest)
+
+
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc, rev, line) of every line that goes. docs: doc, rev (hash of the text), text without nulls."""
     seen = C.staged(_occurrences(docs), "line-seen")
     place = F.struct("doc", "rev", "line")
-    distinct = C.staged(seen.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("n"), F.first("keys").alias("keys")), "line-distinct")
+    distinct = C.staged(seen.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("keys", "n_words", "prints", "sign")]), "line-distinct")
     # lines that share no half with another one have no neighbour
     halves = distinct.select("h1", F.posexplode("keys").alias("which", "half"))
     shared = halves.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo != hi").select("half")
     sides = halves.join(shared, "half", "left_semi").groupBy("h1").agg(F.bit_or(F.expr("shiftleft(1, which)")).alias("sides"))
     near = C.staged(distinct.select("h1", "h2", "place.*").join(sides, "h1"), "line-near")
-    of_doc = near.groupBy(F.col("doc").alias("_doc"), F.col("rev").alias("_rev")).agg(F.collect_list(F.struct("h1", "h2", "line", "sides")).alias("wanted"))  # one entry a line of the document
-    texts = _marked(docs, near).where("maybe").join(of_doc, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("rev") == F.col("_rev"))).select("doc", "rev", "wanted", F.split("text", "\n").alias("lines"))
-    entry = lambda x: F.struct(x.alias("x"), F.regexp_extract_all(F.col("lines")[x["line"]], F.lit(WORD), F.lit(0)).alias("words"))
-    found = texts.select("doc", "rev", F.explode(F.transform("wanted", entry)).alias("y"))
-    found = C.staged(found.select("y.x.h1", "y.x.h2", F.struct("doc", "rev", F.col("y.x.line").alias("line")).alias("place"), "y.x.sides", "y.words"), "line-words")
+    found = C.staged(_with_words(docs, near).select("h1", "h2", place.alias("place"), "sides", "words"), "line-words")
     hashed = found.withColumns({"front": running_hashes(F.col("words")), "back": running_hashes(F.reverse("words"))})
     slim = _variants(hashed)
     least = lambda role: F.min(F.when(F.col("role") != role, F.col("place")))
@@ -114,7 +245,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     both = pairs.join(found.select("place", "h1", "h2", "words").distinct(), "place").join(other_words, F.col("partner") == F.col("_place"))
     mine, other, at = F.col("words"), F.col("_words"), F.col("at")
     same = F.when(F.col("role") == "s", (F.size(mine) == F.size(other)) & (_without(mine, at) == _without(other, at))).when(F.col("role") == "w", mine == _without(other, at)).otherwise(_without(mine, at) == other)
-    edited = both.where(same).select("h1", "h2").distinct().withColumn("edited", F.lit(True))
+    edited = both.where(same).select("h1", "h2").unionAll(_long_edited(docs, distinct)).distinct().withColumn("edited", F.lit(True))
     table = distinct.select("h1", "h2", "place", "n").join(edited, ["h1", "h2"], "left").select(F.struct("h1", "h2").alias("hash"), "n", F.col("place").alias("first"), F.coalesce("edited", F.lit(False)).alias("edited"))
     rows = seen.select("doc", "rev", "line", F.struct("h1", "h2").alias("hash"))
     told = C.lookup(rows, C.staged(table, "line-table"), "hash", ["first", "edited"], "n", F.struct("doc", "rev", "line"))
@@ -126,13 +257,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     Lines end at \\n and count as their words [^\\x20\\x09-\\x0D]+. A line of LEAST_WORDS words or more goes if a line that
     comes before it, by document id (null first), hash of the text and place in the text, has the same words or is one
-    word edit away (one word changed, more or less). Shorter lines always stay. A line goes for an earlier one that went
+    word edit away (one word changed, more or less), or n // WORDS_AN_EDIT edits where the longer of both has n words and
+    these are more. Shorter lines always stay. A line goes for an earlier one that went
     itself. Null and empty texts stay as they are; rows of equal id and text are one document and come out alike; an empty
     table gives no rows; columns named n_lines or n_dropped are replaced.
 
-    Lines that share no half with another can't have a neighbour and are left out first; all others emit the variants
-    within one edit as hashed keys. Groups of equal keys are only ever reduced to their earliest line, so a large group
-    costs a row a line; each line is verified against that one."""
+    Of lines with less than LONG words, those that share no half with another can't have a neighbour and are left out
+    first; all others emit the variants within one edit as hashed keys. Groups of equal keys are only ever reduced to their
+    earliest line, so a large group costs a row a line; each line is verified against that one. Longer lines meet on shared
+    fingerprints: see _long_edited."""
     rows = docs.drop("n_lines", "n_dropped")
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = rows.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("rev"), F.struct(*[F.col(c) for c in rows.columns]).alias("row"))

@@ -407,3 +407,38 @@ def test_stages_on_awkward_rows(spark, awkward, empty, tmp_path):
             now = common.staged(stage(spark, now, str(tmp_path)), f"test-{name}")
             assert stage is corpus_pipeline.pieces_stage or now.columns == before
         assert (now.count() > 0) == (df is awkward)
+
+
+# 4, lines with more than one edit
+def word_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_longer_lines_go_within_more_edits(spark):
+    r = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(60)]
+    texts = []
+    for size in (38, 39, 40, 41, 59, 60, 61, 80, 130):
+        head = [r.choice(vocabulary) for _ in range(15)]
+        for _ in range(3):
+            words = head + [r.choice(vocabulary) for _ in range(size - 15)]
+            texts.append(words)
+            for edits in range(1, size // 20 + 3):
+                own = list(r.choice(texts[-3:]))
+                for _ in range(edits):
+                    at, what = r.randrange(len(own)), r.randrange(3)
+                    own[at : at + (what != 0)] = [] if what == 1 else [r.choice(vocabulary)]
+                texts.append(own)
+    # the earliest line that shares words with the last isn't close to it, the next is
+    start = [f"s{i}" for i in range(20)]
+    other = start + [f"t{i}" for i in range(40)]
+    texts += [start + [f"u{i}" for i in range(40)], other, [*other[:30], "x", *other[31:50], "y", *other[51:]]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    got = {x["doc_id"] for x in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).where("n_dropped = 1").collect()}
+    want = {j for j in range(len(texts)) if any(word_distance(texts[i], texts[j]) <= max(1, max(len(texts[i]), len(texts[j])) // 20) for i in range(j))}
+    assert got == want and len(texts) - 1 in want and 20 < len(want) < len(texts) - 20
