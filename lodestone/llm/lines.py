@@ -65,12 +65,12 @@ def half_keys(w: Column) -> Column:
     return F.array(side(True, n), side(False, n), side(True, n - 1), side(False, n - 1))
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
-    """A row for each line with LEAST_WORDS words or more: its place (doc, text hash, line), two hashes of its words, its half keys if it has less than LONG words, and its words' number, fingerprints and signature if it has PARTNER words or more."""
+def _occurrences(docs: DataFrame, least: int) -> DataFrame:
+    """A row for each line with least words or more: its place (doc, text hash, line), two hashes of its words, its half keys if it has LEAST_WORDS words to less than LONG, and its words' number, fingerprints and signature if it has PARTNER words or more."""
     lines = docs.select("doc", "rev", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
     hashed = lambda w: F.struct(F.size(w).alias("n"), F.xxhash64(w).alias("h1"), F.xxhash64(F.lit(7), w).alias("h2"), F.when(F.size(w).between(LEAST_WORDS, LONG - 1), half_keys(w)).alias("keys"), F.when(F.size(w) >= PARTNER, F.transform(w, lambda x: F.xxhash64(x))).alias("hashes"))
     rows = lines.select("doc", "rev", "line", C.let(F.regexp_extract_all("raw", F.lit(WORD), F.lit(0)), hashed).alias("x"))
-    return _printed(rows.where(F.col("x.n") >= LEAST_WORDS).select("doc", "rev", "line", "x.h1", "x.h2", "x.keys", F.col("x.n").alias("n_words"), "x.hashes"))
+    return _printed(rows.where(F.col("x.n") >= least).select("doc", "rev", "line", "x.h1", "x.h2", "x.keys", F.col("x.n").alias("n_words"), "x.hashes"))
 
 
 def fingerprints(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -224,9 +224,9 @@ def _long_edited(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     return first.unionAll(rest)
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
+def dropped_lines(docs: DataFrame, short_repeats: bool = False) -> DataFrame:
     """(doc, rev, line) of every line that goes. docs: doc, rev (hash of the text), text without nulls."""
-    seen = C.staged(_occurrences(docs), "line-seen")
+    seen = C.staged(_occurrences(docs, 1 if short_repeats else LEAST_WORDS), "line-seen")
     place = F.struct("doc", "rev", "line")
     distinct = C.staged(seen.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("keys", "n_words", "prints", "sign")]), "line-distinct")
     # lines that share no half with another one have no neighbour
@@ -252,13 +252,14 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     return told.where(F.col("edited") | ~place.eqNullSafe(F.col("first"))).select("doc", "rev", "line")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_repeats: bool = False) -> DataFrame:
     """docs with text_col less the dropped lines, and n_lines and n_dropped.
 
     Lines end at \\n and count as their words [^\\x20\\x09-\\x0D]+. A line of LEAST_WORDS words or more goes if a line that
     comes before it, by document id (null first), hash of the text and place in the text, has the same words or is one
     word edit away (one word changed, more or less), or n // WORDS_AN_EDIT edits where the longer of both has n words and
-    these are more. Shorter lines always stay. A line goes for an earlier one that went
+    these are more. Shorter lines stay, but with short_repeats those of one word or more go if one that comes before has the
+    same words. A line goes for an earlier one that went
     itself. Null and empty texts stay as they are; rows of equal id and text are one document and come out alike; an empty
     table gives no rows; columns named n_lines or n_dropped are replaced.
 
@@ -270,7 +271,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = rows.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("rev"), F.struct(*[F.col(c) for c in rows.columns]).alias("row"))
     slim = keyed.where(F.col("row")[text_col].isNotNull()).select("doc", "rev", F.col("row")[text_col].alias("text"))
-    gone = dropped_lines(slim).groupBy(F.col("doc").alias("_doc"), F.col("rev").alias("_rev")).agg(F.array_sort(F.collect_set("line")).alias("gone"))
+    gone = dropped_lines(slim, short_repeats).groupBy(F.col("doc").alias("_doc"), F.col("rev").alias("_rev")).agg(F.array_sort(F.collect_set("line")).alias("gone"))
     gone = C.staged(gone, "line-gone")
     told = _marked(keyed, gone.select(F.col("_doc").alias("doc"), F.col("_rev").alias("rev")))
     some = told.where("maybe").join(gone, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("rev") == F.col("_rev")), "left").select("row", "gone")
@@ -285,7 +286,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    done = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), short_repeats=True)
     return done.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
 
 

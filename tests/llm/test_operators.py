@@ -442,3 +442,10 @@ def test_longer_lines_go_within_more_edits(spark):
     got = {x["doc_id"] for x in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).where("n_dropped = 1").collect()}
     want = {j for j in range(len(texts)) if any(word_distance(texts[i], texts[j]) <= max(1, max(len(texts[i]), len(texts[j])) // 20) for i in range(j))}
     assert got == want and len(texts) - 1 in want and 20 < len(want) < len(texts) - 20
+
+
+def test_exact_repeats_of_short_lines_go(spark, tmp_path):
+    rows = [(1, "All rights reserved.\nHi\n\n  \nbye now", "en", "s1", 1), (2, "Hi\nAll  rights reserved.\n\n  \nbye then", "en", "s1", 1), (3, "Hi", "en", "s1", 1)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    done = {x["doc_id"]: (x["n_lines"], x["n_dropped"]) for x in lines.op4_lines(spark, str(tmp_path)).collect()}
+    assert done == {1: (5, 0), 2: (5, 2), 3: (1, 1)}
