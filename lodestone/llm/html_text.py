@@ -26,6 +26,8 @@ PAGE = frozenset("copyright footer header legal masthead site title top".split()
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 #: Reach and width of the smoothing in blocks; a region's peak must come to this share of the ratios' standard deviation.
 REACH, SIGMA, SHARE = 2, 1.0, 0.5
+#: Ratios count in the deviation up to this many scaled median deviations over the median of those above 0.
+SPREAD = 3.0
 PARTS = re.compile(r"[a-z]+")
 SPLIT_CASE = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -124,13 +126,22 @@ def smoothed(ratios: np.ndarray) -> np.ndarray:
     return full / np.convolve(np.ones(len(ratios)), kernel)[REACH : REACH + len(ratios)]
 
 
+def deviation(ratios: np.ndarray) -> float:
+    """The ratios' standard deviation, where one far above the others counts as SPREAD scaled median deviations over their median."""
+    own = ratios[ratios > 0]
+    if not len(own):
+        return 0.0
+    middle = float(np.median(own))
+    return float(np.minimum(ratios, middle + SPREAD * 1.4826 * float(np.median(np.abs(own - middle)))).std())
+
+
 def main_text(html: str | None) -> str:
     """The blocks of the content regions in page order, joined by two line ends; empty for a null or empty page or one without content.
 
     A line's ratio is its characters outside links over the tags since the line before; ratios are smoothed over the
     neighbouring lines. A region, the lines that one element holds without a break, is content if its peak comes to SHARE
-    of the ratios' standard deviation (the region with the highest peak always is), unless most of its text is links.
-    Where regions inside article or main are content, only those count."""
+    of the ratios' deviation (the region with the highest peak always is), unless most of its text is links.
+    Where a region inside article or main is content, all there count but those of links, and no others."""
     if not html:
         return ""
     parser = Lines()
@@ -142,16 +153,19 @@ def main_text(html: str | None) -> str:
         return ""
     ratios = np.array([(len(t) - linked) / max(1, tags) for t, tags, linked, _, _ in lines])
     smooth = smoothed(ratios)
-    least = min(SHARE * float(ratios.std()), float(smooth.max()))
-    found, at = [], 0
+    least = min(SHARE * deviation(ratios), float(smooth.max()))
+    found, inside, at = [], [], 0
     for (_, main), run in groupby(lines, key=lambda x: (x[3], x[4])):
         own = list(run)
         peak = float(smooth[at : at + len(own)].max())
         at += len(own)
-        if peak >= least and sum(x[2] for x in own) <= 0.5 * sum(len(x[0]) for x in own):
-            found.append((main, [x[0] for x in own]))
+        if sum(x[2] for x in own) <= 0.5 * sum(len(x[0]) for x in own):
+            if main:
+                inside.append((main, [x[0] for x in own]))
+            if peak >= least:
+                found.append((main, [x[0] for x in own]))
     if any(main for main, _ in found):
-        found = [x for x in found if x[0]]
+        found = inside
     return "\n\n".join(t for _, own in found for t in own)
 
 

@@ -449,3 +449,12 @@ def test_exact_repeats_of_short_lines_go(spark, tmp_path):
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     done = {x["doc_id"]: (x["n_lines"], x["n_dropped"]) for x in lines.op4_lines(spark, str(tmp_path)).collect()}
     assert done == {1: (5, 0), 2: (5, 2), 3: (1, 1)}
+
+
+# 6, one huge block among short ones
+@pytest.mark.parametrize("holder, name", [("article", "section"), ("div", "div")])
+def test_a_huge_block_does_not_hide_short_sections(holder, name):
+    texts = [f"{i} " + "word " * 79 + "end" for i in range(11)]
+    texts.insert(5, "long " * 12000 + "end")
+    page = f"<body><nav><a href=x>Menu</a></nav><{holder}>" + "".join(f"<{name}><p>{t}</p></{name}>" for t in texts) + f"</{holder}></body>"
+    assert html_text.main_text(page) == "\n\n".join(texts)
