@@ -197,15 +197,17 @@ def merge(mention_rows: DataFrame, canonical: DataFrame, merges: DataFrame) -> t
     return moved, canonical.join(to, F.col("id") == F.col("_from"), "left_anti")
 
 
-def merge_rounds(entities: DataFrame, least: str = "HIGH", most_rounds: int = 20) -> DataFrame:
-    """(drop_id, keep_id) after merging the best pairs until none of the confidence is left; a round takes each entity's best pair and at most one merge an entity."""
+def merge_rounds(entities: DataFrame, least: str = "HIGH") -> DataFrame:
+    """(drop_id, keep_id) after merging the best pairs until none of the confidence is left; a round takes the pairs that are the best of the one dropped and that none which drops the one kept comes before."""
     levels = ["HIGH", "MEDIUM", "REVIEW"][: ["HIGH", "MEDIUM", "REVIEW"].index(least) + 1]
     spark, left, done = entities.sparkSession, entities, []
-    for _ in range(most_rounds):
+    while True:  # each round takes an entity out at least
         pairs = survivors(duplicates(left).where(F.col("confidence").isin(*levels))).select("keep_id", "drop_id", "combined")
         ends = pairs.select(F.col("keep_id").alias("e"), "*").unionAll(pairs.select(F.col("drop_id").alias("e"), "*"))
         best = ends.groupBy("e").agg(F.max(F.struct("combined", "keep_id", "drop_id")).alias("b"))
-        both = checkpointed(best.groupBy("b").agg(F.count("*").alias("n")).where("n = 2").select("b.drop_id", "b.keep_id"))
+        lost = pairs.groupBy(F.col("drop_id").alias("_h")).agg(F.max(F.struct("combined", "keep_id", "drop_id")).alias("_l"))
+        both = best.where("e = b.drop_id").join(lost, F.col("b.keep_id") == F.col("_h"), "left").where("_l is null or _l < b")
+        both = checkpointed(both.select("b.drop_id", "b.keep_id"))
         if both.isEmpty():
             break
         done.append(both)
@@ -213,5 +215,5 @@ def merge_rounds(entities: DataFrame, least: str = "HIGH", most_rounds: int = 20
     out = spark.createDataFrame([], done[0].schema) if done else spark.createDataFrame([], entities.select(F.col("id").alias("drop_id"), F.col("id").alias("keep_id")).schema)
     for x in done:
         moved = out.join(x.withColumnsRenamed({"drop_id": "_d", "keep_id": "_k"}), F.col("keep_id") == F.col("_d"), "left").select("drop_id", F.coalesce("_k", "keep_id").alias("keep_id"))
-        out = moved.unionAll(x)
+        out = checkpointed(moved.unionAll(x))  # rounds may be many: plans don't grow with them
     return out

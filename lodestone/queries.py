@@ -287,7 +287,7 @@ def gra07(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gra06(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = table(spark, sf_dir, "supplier").where("s_suppkey = 1").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     region = supplier.select("n_regionkey").first()[0]
-    return graph.shortest_path(star_graph(spark, sf_dir)[1], "S1", f"R{region}", 3)
+    return graph.shortest_path(star_graph(spark, sf_dir)[1], "S1", f"R{region}")
 
 
 @query("gra09_centrality", f"WITH {GRAPH_SQL}, deg AS (SELECT u AS id, count(DISTINCT v) AS degree FROM und GROUP BY u) SELECT id, round(least(1.0, coalesce(degree, 0) / ((SELECT count(*) FROM nodes) - 1)), 6) AS importance FROM nodes LEFT JOIN deg USING (id)")

@@ -118,3 +118,13 @@ def test_set_metrics(spark):
     side = lambda names: spark.createDataFrame([(n,) for n in names], "name string")
     r = views.set_metrics(side(["a", " B ", "c"]), side(["A", "b", "d", ""])).first()
     assert (r["tp"], r["fp"], r["fn"]) == (2, 1, 1) and abs(r["f1"] - 2 / 3) < 1e-9
+
+
+def test_merging_and_paths_go_on_to_the_end(spark):
+    rows = [(0, "payment processing")] + [(i, f"w{i} payment processing") for i in range(1, 26)]
+    found = spark.createDataFrame([(i, n, "SYSTEM", [1.0, 0.0]) for i, n in rows], "id int, normalized_name string, entity_type string, vector array<double>")
+    assert {tuple(r) for r in entities.merge_rounds(found, "REVIEW").collect()} == {(i, 0) for i in range(1, 26)}
+    chain = [(f"n{i}", f"n{i + 1}", "USES", 0.9) for i in range(9)]
+    edges = spark.createDataFrame(chain, "source string, target string, relationship_type string, confidence double")
+    assert graph.shortest_path(edges, "n9", "n0").first()["path"] == [f"n{i}" for i in reversed(range(10))]
+    assert graph.shortest_path(edges, "n0", "x").count() == graph.shortest_path(edges, "n0", "n9", 8).count() == 0
