@@ -6,6 +6,7 @@ import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 #: The white space of the word pattern [^\x20\x09-\x0D]+ and the letters that lower-casing touches (fixed values).
 SPACES = "\t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bits of the map that tells which rows have none of the keys asked for.
+MARKS = 1 << 23
 #: A key is hot when it holds more than 1/HOT_SHARE of the rows, so at most HOT_SHARE keys are.
 HOT_SHARE = 1000
 
@@ -21,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return _own_dir()
 
 
@@ -71,15 +76,15 @@ def words(text: Column, lower: bool = False) -> Column:
     return F.filter(F.split(flat, " "), lambda w: w != "")
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, values: Sequence[str], n: str, spread: Column) -> DataFrame:
-    """rows left-joined with table (one row a key, n: how many of rows have it), adding values.
+def lookup(rows: DataFrame, table: DataFrame, key: str, values: Sequence[str], n: str, spread: Column, key_of: str | None = None) -> DataFrame:
+    """rows left-joined with table (one row a key, in key_of if that has another name; n: how many of rows have it), adding values.
 
     Keys with over 1/HOT_SHARE of all rows, at most HOT_SHARE of them by count, come by a broadcast; rows that have one are
     dealt by spread in the shuffled join of the others, so that no task gets a hot group whole. A null key finds nothing."""
     total = table.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
     is_hot = F.col(n) * HOT_SHARE > total
-    hot = table.where(is_hot).select(F.col(key).alias("_hot_key"), F.struct(*values).alias("_hot"))
-    cold = table.where(~is_hot).select(F.col(key).alias("_cold_key"), F.lit(0).alias("_cold_salt"), F.struct(*values).alias("_cold"))
+    hot = table.where(is_hot).select(F.col(key_of or key).alias("_hot_key"), F.struct(*values).alias("_hot"))
+    cold = table.where(~is_hot).select(F.col(key_of or key).alias("_cold_key"), F.lit(0).alias("_cold_salt"), F.struct(*values).alias("_cold"))
     named = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
     salt = F.when(F.col("_hot_key").isNotNull() | F.col(key).isNull(), F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int") + 1).otherwise(0)
     out = named.withColumn("_salt", salt).join(cold, (F.col(key) == F.col("_cold_key")) & (F.col("_salt") == F.col("_cold_salt")), "left")
@@ -87,6 +92,27 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, values: Sequence[str], n
     return out.select(*[F.col(c) for c in rows.columns], *[found[v].alias(v) for v in values])
 
 
+def word_count(text: Column) -> Column:
+    """The number of matches of [^\\x20\\x09-\\x0D]+; 0 for a null text. Texts with single spaces and line ends only aren't parted for it."""
+    flat = F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(" "))
+
+    def counted(t: Column) -> Column:
+        odd = reduce(lambda a, b: a | b, [F.contains(t, F.lit(x)) for x in ("  ", *SPACES)]) | F.startswith(t, F.lit(" ")) | F.endswith(t, F.lit(" "))
+        plain = F.octet_length(t) - F.octet_length(F.replace(t, F.lit(" "))) + 1
+        return F.when(t == "", 0).when(odd, F.regexp_count(t, F.lit(r"[^\x20\x09-\x0D]+"))).otherwise(plain)
+
+    return counted(flat).cast("long")
+
+
+def marked(rows: DataFrame, keys: DataFrame, by: Sequence[str]) -> DataFrame:
+    """rows with _maybe: false only where the columns by aren't among keys. A bitmap of MARKS bits, whatever the data's size, comes by a broadcast."""
+    at = F.pmod(F.xxhash64(*by), F.lit(MARKS))
+    slot, bit = F.shiftright(at, 6), F.pmod(at, F.lit(64)).cast("int")
+    marks = keys.select(slot.alias("_slot"), bit.alias("_bit")).groupBy("_slot").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_m"))
+    told = rows.withColumns({"_at": slot, "_bit": bit}).join(F.broadcast(marks), F.col("_at") == F.col("_slot"), "left")
+    return told.withColumn("_maybe", F.coalesce(F.getbit("_m", F.col("_bit")) == 1, F.lit(False))).drop("_at", "_bit", "_slot", "_m")
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for every node of edges (a, b: longs): component is the smallest node that links reach.
 

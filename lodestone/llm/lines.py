@@ -1,20 +1,16 @@
-"""Line dedup by word edits: a deletion-neighbourhood join for one edit, shared fingerprints and verification for the more edits of longer lines."""
+"""Line dedup by word edits in DataFrame functions only: a deletion-neighbourhood join for one edit, shared fingerprints and verification for the more edits of longer lines."""
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator, Sequence
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.llm import common as C
 
-#: What a word is (fixed), and the words that a line must have to be compared at all.
-WORD = r"[^\x20\x09-\x0D]+"
+#: The words that a line must have to be compared at all.
 LEAST_WORDS = 5
 #: A line of n words is compared within n // WORDS_AN_EDIT edits, one at least; from LONG words on these are two or more.
 WORDS_AN_EDIT = 20
@@ -23,13 +19,18 @@ LONG = 2 * WORDS_AN_EDIT
 PARTNER = LONG - LONG // WORDS_AN_EDIT
 #: Words in a gram and grams in a window, whose least hash is a fingerprint. k = n // 20 edits part a line's n - k or more
 #: unedited words into k + 1 runs, so that one has 13 words or more: the GRAM + WINDOW - 1 words of a whole window.
-GRAM, WINDOW = 7, 7
-#: Bits of a line's signature, the parities of its words by hash; an edit turns two at most.
-BITS = 256
-#: Bits of the map that tells which documents have none of the lines asked for.
-MARKS = 1 << 23
+GRAM, WINDOW = 5, 9
 #: Words whose running hashes are chained in one go.
 CHAIN = 512
+#: Signs that stand for words where lines are verified: SIGNS characters beyond the first plane, by two hashes.
+SIGNS, FIRST_SIGN = 1 << 20, 1 << 16
+
+
+def normal(text: Column) -> Column:
+    """text with one space between words and none at the ends of lines; most texts are so already and are only looked through."""
+    odd = [F.contains(text, F.lit(x)) for x in ("  ", "\t", "\x0b", "\x0c", "\r", " \n", "\n ")]
+    odd = reduce(lambda a, b: a | b, [*odd, F.startswith(text, F.lit(" ")), F.endswith(text, F.lit(" "))])
+    return F.when(odd, F.trim(F.regexp_replace(F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " "), " ?\n ?", "\n"))).otherwise(text)
 
 
 def running_hashes(ws: Column) -> Column:
@@ -52,204 +53,168 @@ def running_hashes(ws: Column) -> Column:
     return F.when(F.size(ws) == 0, seed).otherwise(C.let(cut, joined))
 
 
-def half_keys(w: Column) -> Column:
-    """Hashes of the front and back half of a line, as of one that is compared with lines of its length or one more (0, 1) and of one less (2, 3).
+def half_keys(line: Column, n: Column) -> Column:
+    """Hashes of the front and back half of a line of n words, as of one that is compared with lines of its length or one more (0, 1) and of one less (2, 3).
 
     An edit of one word leaves the front or the back half alone, so lines that are one edit apart share a key of the same side."""
-    n = F.size(w)
 
     def side(front: bool, of: Column) -> Column:
         m = (F.floor(of / 2) if front else F.ceil(of / 2)).cast("int")
-        return F.xxhash64(F.lit(front), m, F.slice(w, 1, m) if front else F.slice(w, n - m + 1, m))
+        return F.xxhash64(F.lit(front), m, F.call_function("substring_index", line, F.lit(" "), m if front else -m))
 
     return F.array(side(True, n), side(False, n), side(True, n - 1), side(False, n - 1))
 
 
+def fingerprints(words: Column) -> Column:
+    """The distinct least hashes of all windows of WINDOW grams; words are GRAM + WINDOW - 1 or more."""
+    spans = lambda a, of, work: F.transform(F.sequence(F.lit(0), F.size(a) - of), lambda i: work(*[a[i + j] for j in range(of)]))
+    grams = lambda h: spans(h, GRAM, F.xxhash64)
+    return F.array_distinct(C.let(C.let(F.transform(words, lambda w: F.xxhash64(w)), grams), lambda g: spans(g, WINDOW, F.least)))
+
+
 def _occurrences(docs: DataFrame, least: int) -> DataFrame:
-    """A row for each line with least words or more: its place (doc, text hash, line), two hashes of its words, its half keys if it has LEAST_WORDS words to less than LONG, and its words' number, fingerprints and signature if it has PARTNER words or more."""
-    lines = docs.select("doc", "rev", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    hashed = lambda w: F.struct(F.size(w).alias("n"), F.xxhash64(w).alias("h1"), F.xxhash64(F.lit(7), w).alias("h2"), F.when(F.size(w).between(LEAST_WORDS, LONG - 1), half_keys(w)).alias("keys"), F.when(F.size(w) >= PARTNER, F.transform(w, lambda x: F.xxhash64(x))).alias("hashes"))
-    rows = lines.select("doc", "rev", "line", C.let(F.regexp_extract_all("raw", F.lit(WORD), F.lit(0)), hashed).alias("x"))
-    return _printed(rows.where(F.col("x.n") >= least).select("doc", "rev", "line", "x.h1", "x.h2", "x.keys", F.col("x.n").alias("n_words"), "x.hashes"))
-
-
-def fingerprints(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprints of lines with sizes words, whose hashes follow each other: all lines' distinct ones, how many each has, and signatures."""
-    n, owner = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
-    parity = np.bincount(owner * BITS + (hashes & np.uint64(BITS - 1)).astype(np.int64), minlength=n * BITS) & 1
-    signs = np.packbits(parity.astype(np.uint8).reshape(n, BITS), axis=1).view(np.int64)
-    grams = max(0, len(hashes) - GRAM + 1)
-    g = np.zeros(grams, np.uint64)
-    for j in range(GRAM):
-        g = g * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + grams]
-    g = (g ^ (g >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    g ^= g >> np.uint64(29)
-    windows = max(0, grams - WINDOW + 1)
-    low = g[:windows].copy()
-    for j in range(1, WINDOW):
-        np.minimum(low, g[j : j + windows], out=low)
-    whole = owner[:windows] == owner[GRAM + WINDOW - 2 :][:windows]
-    low, of = low[whole], owner[:windows][whole]
-    order = np.lexsort((low, of))
-    low, of = low[order], of[order]
-    new = np.ones(len(low), bool)
-    new[1:] = (low[1:] != low[:-1]) | (of[1:] != of[:-1])
-    return low[new].view(np.int64), np.bincount(of[new], minlength=n), signs
-
-
-def _printed(rows: DataFrame) -> DataFrame:
-    """rows with prints and sign, made of the words' hashes, in place of these; null where they are null."""
-    rest = [c for c in rows.columns if c != "hashes"]
-    C.small_batches(rows.sparkSession)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(len(rest))
-            long = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
-            own = column.take(pa.array(long))
-            sizes = own.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            prints, counts, signs = fingerprints(own.flatten().to_numpy(zero_copy_only=False).view(np.uint64), sizes)
-            to = np.full(batch.num_rows, -1)
-            to[long] = np.arange(len(long))
-            at = pa.array(to, mask=to < 0)
-            lists = lambda values, each: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(each)]).astype(np.int32)), pa.array(values)).take(at)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], lists(prints, counts), lists(signs.reshape(-1), np.full(len(long), BITS // 64))], names=[*rest, "prints", "sign"])
-
-    longs = F.lit(None).cast("array<long>")
-    return rows.select(*rest, "hashes").mapInArrow(work, rows.select(*rest, longs.alias("prints"), longs.alias("sign")).schema)
-
-
-def _variants(found: DataFrame) -> DataFrame:
-    """(key, role, at, place): all that a line is with one word less or changed, as hashed keys, for each half key that it shares.
+    """A row for each line with least words or more: its place (doc, text hash, line), two hashes of its words, its half keys if it has LEAST_WORDS words to less than LONG, and its fingerprints if it has PARTNER words or more."""
+    lines = docs.select("doc", "rev", F.posexplode(F.split(normal(F.col("text")), "\n")).alias("line", "raw")).where("raw != ''")
+    raw, n = F.col("raw"), F.col("n")
+    counted = lines.withColumn("n", (F.octet_length(raw) - F.octet_length(F.replace(raw, F.lit(" "))) + 1).cast("int")).where(n >= least)
+    keys = F.when(n.between(LEAST_WORDS, LONG - 1), half_keys(raw, n)).alias("keys")
+    return counted.select("doc", "rev", "line", F.xxhash64(raw).alias("h1"), F.xxhash64(F.lit(7), raw).alias("h2"), keys, F.when(n >= PARTNER, fingerprints(F.split(raw, " "))).alias("prints"))
+
+
+def _cut(j: Column | int, n: Column) -> Column:
+    return F.floor(j * n / 4).cast("int")
+
+
+def _quarters(hashed: DataFrame) -> DataFrame:
+    """(h1, mask): in which quarter an edit may lie that makes a line of another one, and of which kind it is.
+
+    Lines that agree but for one quarter, as cut in a line of their length, or of one word less for the longer of two, share
+    a key of it. Bits 0 to 3: another line of that length shares it; 4 to 7: one that is longer by a word; 8 to 11: one that is shorter."""
+    n = F.col("n")
+    key = lambda j, p: F.xxhash64(F.lit(j), p, F.col("front")[_cut(j, p)], F.col("back")[p - _cut(j + 1, p)])
+    each = hashed.select("h1", F.posexplode(F.array(*[key(j, n) for j in range(4)], *[key(j, n - 1) for j in range(4)])).alias("code", "key"))
+    kinds = each.groupBy("key").agg(F.count_if(F.col("code") < 4).alias("own"), F.count_if(F.col("code") >= 4).alias("longer")).where("own > 1 or own > 0 and longer > 0")
+    bits = F.expr("case when code >= 4 then shiftleft(1, code + 4) else if(own > 1, shiftleft(1, code), 0) | if(longer > 0, shiftleft(1, code + 4), 0) end")
+    return each.join(kinds, "key").groupBy("h1").agg(F.bit_or(bits).alias("mask"))
+
+
+def _variants(hashed: DataFrame) -> DataFrame:
+    """(key, role, at, place): all that a line is with one word less or changed, as hashed keys, where it may have a neighbour (mask).
 
     Lines of one length that agree but for word at share a key of role s. A line as it stands (role w), parted at a place,
-    shares a key with one that has one word more at that place (role d). Words of the shared half are not taken out."""
-    n, which = F.size("words"), F.col("which")
-    lo = F.when(which == 0, F.floor(n / 2)).when(which == 2, F.floor((n - 1) / 2)).otherwise(0).cast("int")
-    hi = F.when(which == 1, n - F.ceil(n / 2)).when(which == 3, n - F.ceil((n - 1) / 2)).otherwise(n).cast("int")
-    front, back = F.col("front"), F.col("back")  # back[k]: hash of the last k words
-    out = lambda role, at, rest: F.struct(F.lit(role).alias("role"), at.alias("at"), F.xxhash64(F.lit("s" if role == "s" else "d"), at, front[at], back[rest]).alias("key"))
-    changed = F.transform(F.sequence(lo, hi - 1), lambda i: out("s", i, n - 1 - i))
-    whole = F.transform(F.sequence(lo, hi), lambda i: out("w", i, n - i))
-    less = F.transform(F.sequence(lo, hi - 1), lambda i: out("d", i, n - 1 - i))
-    each = F.when(which < 2, F.concat(changed, whole)).otherwise(less)
-    shared = F.filter(F.array(*[F.lit(i) for i in range(4)]), lambda i: F.getbit("sides", i) == 1)
-    halves = found.select("place", "words", F.explode(shared).alias("which"), "front", "back")
-    return halves.where(hi > lo).select("place", F.explode(each).alias("v")).select("v.*", "place")
-
-
-def _marked(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """docs with maybe: false only where (doc, rev) isn't among keys. A bitmap of MARKS bits, whatever the data's size, comes by a broadcast."""
-    at = F.pmod(F.xxhash64("doc", "rev"), F.lit(MARKS))
-    slot, bit = F.shiftright(at, 6), F.pmod(at, F.lit(64)).cast("int")
-    marks = keys.select(slot.alias("_slot"), bit.alias("_bit")).groupBy("_slot").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_m"))
-    told = docs.withColumns({"_at": slot, "_bit": bit}).join(F.broadcast(marks), F.col("_at") == F.col("_slot"), "left")
-    return told.withColumn("maybe", F.coalesce(F.getbit("_m", F.col("_bit")) == 1, F.lit(False))).drop("_at", "_bit", "_slot", "_m")
+    shares a key with one that has one word more at that place (role d)."""
+    codes = F.filter(F.array(*[F.lit(i) for i in range(12)]), lambda i: F.getbit("mask", i) == 1)
+    each = hashed.select("place", "n", "front", "back", F.explode(codes).alias("code"))
+    j, same, whole, p = F.pmod("code", F.lit(4)), F.col("code") < 4, F.col("code").between(4, 7), F.when(F.col("code") >= 8, F.col("n") - 1).otherwise(F.col("n"))
+    ranged = each.withColumns({"lo": _cut(j, p), "hi": _cut(j + 1, p) - same.cast("int"), "rest": F.col("n") - F.when(whole, 0).otherwise(1)}).where("hi >= lo")
+    role = F.when(same, "s").when(whole, "w").otherwise("d")
+    variant = lambda i: F.struct(i.alias("at"), F.xxhash64(F.when(same, "s").otherwise("d"), i, F.col("front")[i], F.col("back")[F.col("rest") - i]).alias("key"))
+    return ranged.select("place", role.alias("role"), F.explode(F.transform(F.sequence("lo", "hi"), variant)).alias("v")).select("v.key", "role", "v.at", "place")
 
 
 def _without(words: Column, at: Column) -> Column:
     return F.concat(F.slice(words, 1, at), F.slice(words, at + 2, F.size(words)))
 
 
-def within(a: Sequence[str], b: Sequence[str], most: int) -> bool:
-    """Whether most edits, each of one word changed, more or less, make b of a: the furthest places that 0, 1, ... edits reach on each diagonal."""
-    n, m = len(a), len(b)
-    ours, theirs = Counter(a), Counter(b)
-    if max((ours - theirs).total(), (theirs - ours).total()) > most:
-        return False
-    none = -(n + m + 2)
-    far: dict[int, int] = {}
-    for e in range(most + 1):
-        now = {}
-        for d in range(-min(e, n), min(e, m) + 1):
-            i = 0 if e == 0 else min(n, m - d, max(far.get(d - 1, none), far.get(d, none) + 1, far.get(d + 1, none) + 1))
-            if i < max(0, -d):
-                continue
-            while i < n and i + d < m and a[i] == b[i + d]:
-                i += 1
-            if i == n and i + d == m:
-                return True
-            now[d] = i
-        far = now
-    return False
-
-
 def _with_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (doc, rev, line, ...) with the words of each line."""
     rest = [c for c in wanted.columns if c not in ("doc", "rev")]
     of_doc = wanted.groupBy(F.col("doc").alias("_doc"), F.col("rev").alias("_rev")).agg(F.collect_list(F.struct(*rest)).alias("wanted"))  # one entry a line of the document
-    texts = _marked(docs, wanted).where("maybe").join(of_doc, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("rev") == F.col("_rev"))).select("doc", "rev", "wanted", F.split("text", "\n").alias("lines"))
-    entry = lambda x: F.struct(x.alias("x"), F.regexp_extract_all(F.col("lines")[x["line"]], F.lit(WORD), F.lit(0)).alias("words"))
+    texts = C.marked(docs, wanted, ["doc", "rev"]).where("_maybe").join(of_doc, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("rev") == F.col("_rev"))).select("doc", "rev", "wanted", F.split(normal(F.col("text")), "\n").alias("lines"))
+    entry = lambda x: F.struct(x.alias("x"), F.split(F.col("lines")[x["line"]], " ").alias("words"))
     return texts.select("doc", "rev", F.explode(F.transform("wanted", entry)).alias("y")).select("doc", "rev", *[F.col(f"y.x.{c}") for c in rest], "y.words")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(h1, h2) of the pairs (h1, h2, place, partner, most) whose lines are within most edits."""
-    pairs = C.staged(pairs.distinct(), "line-pairs")
-    wanted = C.staged(pairs.select("place.*").unionAll(pairs.select("partner.*")).distinct(), "line-wanted")
-    words = C.staged(_with_words(docs, wanted).select(F.struct("doc", "rev", "line").alias("_place"), "words").distinct(), "line-long")
-    mine = pairs.join(words.withColumnRenamed("words", "_mine"), F.col("place") == F.col("_place")).drop("place", "_place")
-    both = mine.join(words.withColumnRenamed("words", "_other"), F.col("partner") == F.col("_place")).select("h1", "h2", "most", "_mine", "_other")
+def signs(words: Column, seed: int) -> Column:
+    """A string with one sign for each word, so that edits of signs are edits of words. Different words share a sign once in a million; two seeds make that one in 10 ** 12."""
+    code = lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(F.lit(seed), w), F.lit(SIGNS)) + FIRST_SIGN), 8, "0")
+    return F.decode(F.unhex(F.array_join(F.transform(words, code), "")), "UTF-32")
+
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            most, mine, other = (batch.column(i) for i in (2, 3, 4))
-            yield batch.select(["h1", "h2"]).filter(pa.array([within(mine[i].as_py(), other[i].as_py(), most[i].as_py()) for i in range(batch.num_rows)], pa.bool_()))
+def parities(words: Column) -> Column:
+    """64 bits, each the parity of the words that a hash gives it; an edit turns two at most."""
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))
+    return F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(bit(w)))
 
-    return C.staged(both.mapInArrow(work, "h1 long, h2 long").distinct(), "line-close")
+
+def _verified(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(h1, h2) of the pairs (place, partner, most) whose lines are within most edits. lines: place, h1, h2, raw."""
+    pairs = C.staged(pairs.distinct(), "line-pairs")
+    asked = pairs.select("place").unionAll(pairs.select(F.col("partner").alias("place")))
+    words = F.split("raw", " ")
+    signed = C.staged(C.marked(lines, asked, ["place"]).where("_maybe").select("place", "h1", "h2", signs(words, 1).alias("a"), signs(words, 2).alias("b")), "line-signs")
+    mine = pairs.join(signed, "place")
+    both = mine.join(signed.select(F.col("place").alias("partner"), F.col("a").alias("_a"), F.col("b").alias("_b")), "partner")
+    near = lambda x, y: F.call_function("levenshtein", F.col(x), F.col(y), F.col("most")) >= 0
+    out = C.staged(both.where(near("a", "_a") & near("b", "_b")).select("h1", "h2").distinct(), "line-close")
+    C.drop_staged(pairs, signed)
+    return out
 
 
 def _long_edited(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """(h1, h2) of the lines that are within n // WORDS_AN_EDIT edits of an earlier one, n (LONG or more) the words of the longer of both.
 
     Close lines share a fingerprint. Each line is verified against the earliest of each of its fingerprints, and only lines
-    that none of these settles against all earlier ones that share a fingerprint and whose length and signature allow it."""
-    long = distinct.where("prints is not null").select("h1", "h2", "place", "n_words", "sign", "prints")
-    each = long.select("h1", F.explode("prints").alias("print"))
+    that none of these settles against all earlier ones that share a fingerprint and whose length and parities allow it."""
+    each = distinct.where("prints is not null").select("h1", F.explode("prints").alias("print"))
     along = Window.partitionBy("print").orderBy("h1")
-    shared = each.withColumns({"_before": F.lag("h1").over(along), "_after": F.lead("h1").over(along)}).where("_before is not null or _after is not null").select("h1", "print")
-    rows = C.staged(shared.join(long.drop("prints"), "h1").select("print", "h1", "h2", "place", "n_words", "sign"), "line-prints")
-    longer = F.greatest("n_words", "b.n_words")
+    shared = each.withColumns({"_before": F.lag("h1").over(along), "_after": F.lead("h1").over(along)}).where("_before is not null or _after is not null")
+    shared = C.staged(shared.select("h1", "print"), "line-prints")
+    asked = distinct.where("prints is not null").join(shared.select("h1").distinct(), "h1", "left_semi").select("h1", "h2", "place.*")
+    words = F.col("words")
+    lines = _with_words(docs, asked).select("h1", "h2", F.struct("doc", "rev", "line").alias("place"), F.size(words).alias("n"), parities(words).alias("odd"), F.array_join(words, " ").alias("raw"))
+    lines = C.staged(lines, "line-long")
+    rows = C.staged(shared.join(lines.select("h1", "h2", "place", "n", "odd"), "h1"), "line-printed")
+    longer = F.greatest("n", "b.n")
     most = F.floor(longer / WORDS_AN_EDIT).cast("int")
-    apart = F.abs(F.col("n_words") - F.col("b.n_words"))
-    turned = sum((F.bit_count(F.col("sign")[i].bitwiseXOR(F.col("b.sign")[i])) for i in range(BITS // 64)), F.lit(0))
+    apart = F.abs(F.col("n") - F.col("b.n"))
+    turned = F.bit_count(F.col("odd").bitwiseXOR(F.col("b.odd")))
     close = (F.col("b.place") < F.col("place")) & (longer >= LONG) & (apart <= most) & (turned <= 2 * most - apart)
 
     def pairs(of: DataFrame, others: DataFrame) -> DataFrame:
-        return of.join(others.withColumnRenamed("print", "_print"), F.col("print") == F.col("_print")).where(close).select("h1", "h2", "place", F.col("b.place").alias("partner"), most.alias("most"))
+        return of.join(others, "print").where(close).select("place", F.col("b.place").alias("partner"), most.alias("most"))
 
-    other = F.struct("place", "n_words", "sign")
-    first = _verified(docs, pairs(rows, rows.groupBy("print").agg(F.min(other).alias("b"))))
-    rest = _verified(docs, pairs(rows.join(first, ["h1", "h2"], "left_anti"), rows.select("print", other.alias("b"))))
+    other = F.struct("place", "n", "odd")
+    first = _verified(lines, pairs(rows, rows.groupBy("print").agg(F.min(other).alias("b"))))
+    rest = _verified(lines, pairs(rows.join(first, ["h1", "h2"], "left_anti"), rows.select("print", other.alias("b"))))
+    C.drop_staged(shared, lines, rows)
     return first.unionAll(rest)
 
 
 def dropped_lines(docs: DataFrame, short_repeats: bool = False) -> DataFrame:
-    """(doc, rev, line) of every line that goes. docs: doc, rev (hash of the text), text without nulls."""
+    """(doc, rev, line) of every line that goes, written down. docs: doc, rev (hash of the text), text without nulls."""
     seen = C.staged(_occurrences(docs, 1 if short_repeats else LEAST_WORDS), "line-seen")
     place = F.struct("doc", "rev", "line")
-    distinct = C.staged(seen.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("keys", "n_words", "prints", "sign")]), "line-distinct")
+    distinct = C.staged(seen.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("n"), F.first("keys").alias("keys"), F.first("prints").alias("prints")), "line-distinct")
     # lines that share no half with another one have no neighbour
-    halves = distinct.select("h1", F.posexplode("keys").alias("which", "half"))
+    halves = distinct.select("h1", F.explode("keys").alias("half"))
     shared = halves.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo != hi").select("half")
-    sides = halves.join(shared, "half", "left_semi").groupBy("h1").agg(F.bit_or(F.expr("shiftleft(1, which)")).alias("sides"))
-    near = C.staged(distinct.select("h1", "h2", "place.*").join(sides, "h1"), "line-near")
-    found = C.staged(_with_words(docs, near).select("h1", "h2", place.alias("place"), "sides", "words"), "line-words")
-    hashed = found.withColumns({"front": running_hashes(F.col("words")), "back": running_hashes(F.reverse("words"))})
+    sides = halves.join(shared, "half", "left_semi").select("h1").distinct()
+    near = C.staged(distinct.select("h1", "h2", "place.*").join(sides, "h1", "left_semi"), "line-near")
+    found = C.staged(_with_words(docs, near).select("h1", "h2", place.alias("place"), "words"), "line-words")
+    hashed = found.select("h1", "place", F.size("words").alias("n"), running_hashes(F.col("words")).alias("front"), running_hashes(F.reverse("words")).alias("back"))  # back[k]: of the last k words
+    hashed = C.staged(hashed.join(_quarters(hashed), "h1"), "line-hashed")
     slim = _variants(hashed)
     least = lambda role: F.min(F.when(F.col("role") != role, F.col("place")))
     firsts = slim.groupBy("key").agg(least("d").alias("whole"), least("w").alias("longer"), F.count("*").alias("c")).where("c > 1 and whole is not null and longer is not null").drop("c")
     partner = F.when(F.col("role") == "w", F.col("longer")).otherwise(F.col("whole"))
     pairs = slim.join(firsts, "key").withColumn("partner", partner).where(F.col("partner") < F.col("place")).select("place", "role", "at", "partner").distinct()
-    other_words = found.select(F.col("place").alias("_place"), F.col("words").alias("_words")).distinct()
-    both = pairs.join(found.select("place", "h1", "h2", "words").distinct(), "place").join(other_words, F.col("partner") == F.col("_place"))
+    other_words = found.select(F.col("place").alias("_place"), F.col("words").alias("_words"))
+    both = pairs.join(found.select("place", "h1", "h2", "words"), "place").join(other_words, F.col("partner") == F.col("_place"))
     mine, other, at = F.col("words"), F.col("_words"), F.col("at")
     same = F.when(F.col("role") == "s", (F.size(mine) == F.size(other)) & (_without(mine, at) == _without(other, at))).when(F.col("role") == "w", mine == _without(other, at)).otherwise(_without(mine, at) == other)
-    edited = both.where(same).select("h1", "h2").unionAll(_long_edited(docs, distinct)).distinct().withColumn("edited", F.lit(True))
+    short = C.staged(both.where(same).select("h1", "h2").distinct(), "line-edited")
+    C.drop_staged(near, found, hashed)
+    long = _long_edited(docs, distinct)
+    edited = short.unionAll(long).distinct().withColumn("edited", F.lit(True))
     table = distinct.select("h1", "h2", "place", "n").join(edited, ["h1", "h2"], "left").select(F.struct("h1", "h2").alias("hash"), "n", F.col("place").alias("first"), F.coalesce("edited", F.lit(False)).alias("edited"))
+    # a line that stands nowhere else and is close to none stays without being looked up
+    table = C.staged(table.where("n > 1 or edited"), "line-table")
     rows = seen.select("doc", "rev", "line", F.struct("h1", "h2").alias("hash"))
-    told = C.lookup(rows, C.staged(table, "line-table"), "hash", ["first", "edited"], "n", F.struct("doc", "rev", "line"))
-    return told.where(F.col("edited") | ~place.eqNullSafe(F.col("first"))).select("doc", "rev", "line")
+    told = C.lookup(rows, table, "hash", ["first", "edited"], "n", F.struct("doc", "rev", "line"))
+    gone = C.staged(told.where(F.col("edited") | (F.col("first").isNotNull() & ~place.eqNullSafe(F.col("first")))).select("doc", "rev", "line"), "line-dropped")
+    C.drop_staged(seen, distinct, short, long, table)
+    return gone
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_repeats: bool = False) -> DataFrame:
@@ -271,11 +236,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = rows.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("rev"), F.struct(*[F.col(c) for c in rows.columns]).alias("row"))
     slim = keyed.where(F.col("row")[text_col].isNotNull()).select("doc", "rev", F.col("row")[text_col].alias("text"))
-    gone = dropped_lines(slim, short_repeats).groupBy(F.col("doc").alias("_doc"), F.col("rev").alias("_rev")).agg(F.array_sort(F.collect_set("line")).alias("gone"))
+    dropped = dropped_lines(slim, short_repeats)
+    gone = dropped.groupBy(F.col("doc").alias("_doc"), F.col("rev").alias("_rev")).agg(F.array_sort(F.collect_set("line")).alias("gone"))
     gone = C.staged(gone, "line-gone")
-    told = _marked(keyed, gone.select(F.col("_doc").alias("doc"), F.col("_rev").alias("rev")))
-    some = told.where("maybe").join(gone, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("rev") == F.col("_rev")), "left").select("row", "gone")
-    out = some.unionAll(told.where("not maybe").select("row", F.lit(None).cast("array<int>").alias("gone")))  # nothing of these goes: they aren't shuffled
+    C.drop_staged(dropped)
+    told = C.marked(keyed, gone.select(F.col("_doc").alias("doc"), F.col("_rev").alias("rev")), ["doc", "rev"])
+    some = told.where("_maybe").join(gone, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("rev") == F.col("_rev")), "left").select("row", "gone")
+    out = some.unionAll(told.where("not _maybe").select("row", F.lit(None).cast("array<int>").alias("gone")))  # nothing of these goes: they aren't shuffled
     own = F.col("row")[text_col]
     lines = F.split(own, "\n")
     left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone", i)), "\n")
