@@ -16,6 +16,8 @@ BUDGET = 1 << 16
 #: Hash buckets in which the documents of one source and length are ranked.
 BUCKETS = 1024
 SEED = 17
+#: Sources times lengths up to which their limits are sent to every task; beyond, documents are shuffled to them.
+MOST_SENT = 100_000
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], share: float = 1.5, most: float = 2.0) -> list[float]:
@@ -79,45 +81,60 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
 
     Sources by code point, null last, weigh as given, repeating. A target of q whole sources and a rest takes every
     document q times, and the rest from documents chosen once more: lengths are counted, fit() says how many of each
-    length, and the seeded hash of id and text says which. Documents without words, null texts among them, have size 0,
-    times q and taken 0. Rows with equal id and text are alike, so that reruns agree. An empty table gives no rows;
-    the names added here replace columns of docs that have them. The driver holds one row for each source."""
+    length, and the seeded hash of id and text says which: those up to a limit for each source and length, so that texts
+    needn't be sorted or shuffled. Rows with equal id and text have one hash and are chosen together or not at all.
+    Documents without words, null texts among them, have size 0, times q and taken 0. Reruns agree. An empty table gives
+    no rows; the names added here replace columns of docs that have them. The driver holds one row for each source."""
     if (whole := int(most)) != most:
         raise ValueError("most must be whole")
     spark = docs.sparkSession
-    added = ["size", "source_size", "target", "taken", "times"]
-    rows = docs.drop(*added).withColumn("size", F.size(C.words(F.col("text"))).cast("long"))
-    rows = rows.withColumn("_key", F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col("source").cast("string"))))
-    rows = rows.withColumn("_hash", F.xxhash64(F.lit(seed), F.col("doc_id"), F.crc32(F.col("text").cast("binary"))))
-    rows = rows.withColumn("_bucket", F.pmod(F.col("_hash"), F.lit(BUCKETS)).cast("int"))
-    counts = C.staged(rows.groupBy("_key", "source", "size", "_bucket").agg(F.count("*").alias("_n")), "mix-counts")
-    sizes = counts.groupBy("_key", "source").agg(F.sum(F.col("size") * F.col("_n")).alias("s")).collect()
-    sizes.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
+    rest = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "times")]
+    source = F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col("source").cast("string")))
+    hashed = F.xxhash64(F.lit(seed), F.col("doc_id"), F.crc32(F.col("text").cast("binary")))
+    rows = docs.select(F.struct(*[F.col(c) for c in rest]).alias("row"), C.word_count(F.col("text")).alias("size"), source.alias("key"), hashed.alias("hash"))
+    slim = C.staged(rows.select("key", "size", "hash", F.pmod("hash", F.lit(BUCKETS)).cast("int").alias("bucket")), "mix-sizes")
+    counts = C.staged(slim.groupBy("key", "size", "bucket").agg(F.count("*").alias("n")), "mix-counts")
+    sizes = counts.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("s")).collect()
+    sizes.sort(key=lambda r: (r["key"] == "-", r["key"]))
     goal = targets([r["s"] for r in sizes], [weights[i % len(weights)] for i in range(len(sizes))], share, most)
     plan = []
     for r, t in zip(sizes, goal, strict=True):
         q = min(whole, int(t // r["s"])) if r["s"] else 0
-        plan.append((r["_key"], r["s"], t, q, 0 if q == whole else round(t - q * r["s"])))
-    plan = spark.createDataFrame(plan, "_key string, source_size long, target double, _whole int, _rest long")
+        plan.append((r["key"], r["s"], t, q, 0 if q == whole else round(t - q * r["s"])))
+    plan = spark.createDataFrame(plan, "key string, source_size long, target double, whole int, rest long")
 
     def fitted(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("size")
-        return t[["_key", "size"]].assign(_take=fit(t["size"].tolist(), t["_n"].tolist(), int(t["_rest"].iloc[0])))
-
-    lengths = counts.groupBy("_key", "size").agg(F.sum("_n").alias("_n")).join(plan.select("_key", "_rest"), "_key")
-    takes = lengths.groupBy("_key").applyInPandas(fitted, "_key string, size long, _take long")
-    before = Window.partitionBy("_key", "size").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    need = F.greatest(F.lit(0), F.least(F.col("_n"), F.col("_take") - F.coalesce(F.sum("_n").over(before), F.lit(0))))
-    needs = counts.join(takes, ["_key", "size"]).select("_key", "size", "_bucket", need.alias("_need"), "_n")
-    needs = C.staged(needs.join(plan.drop("_rest"), "_key"), "mix-needs")
-    key = ["_key", "size", "_bucket"]
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy("_hash", "doc_id"))
-    slim_names = [c for c in rows.columns if c not in key]
-    chosen = rows.join(needs, key).withColumn("_once", (F.col("_need") > 0) & (rank <= F.col("_need")))
-    times = F.col("_whole") + F.col("_once").cast("int")
-    out = [c for c in docs.columns if c not in added]
-    assert set(out) <= {*slim_names, *key}
-    return chosen.select(*out, "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"))
+        return t[["key", "size"]].assign(take=fit(t["size"].tolist(), t["n"].tolist(), int(t["rest"].iloc[0])))
+
+    lengths = counts.groupBy("key", "size").agg(F.sum("n").alias("n")).join(plan.select("key", "rest"), "key")
+    takes = lengths.groupBy("key").applyInPandas(fitted, "key string, size long, take long")
+    before = Window.partitionBy("key", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("take") - F.coalesce(F.sum("n").over(before), F.lit(0))
+    needs = counts.join(takes, ["key", "size"]).withColumn("need", left).where("need > 0")
+    parts = C.staged(needs.select("key", "size", "bucket", "n", "need"), "mix-needs")
+    # the one bucket of each source and length that isn't taken whole: up to which hash
+    split = parts.where("need < n").select("key", "size", "bucket", "need")
+    hashes = slim.join(split, ["key", "size", "bucket"]).groupBy("key", "size", "bucket", "need", "hash").agg(F.count("*").alias("m"))
+    upto = F.sum("m").over(Window.partitionBy("key", "size").orderBy("hash"))
+    limits = hashes.withColumn("upto", upto).where("upto <= need").groupBy("key", "size").agg(F.max("hash").alias("last"))
+    begun = split.select("key", "size", F.col("bucket").alias("part")).join(limits, ["key", "size"], "left")
+    done = parts.where("need >= n").groupBy("key", "size").agg(F.max("bucket").alias("until"))
+    chosen = done.join(begun, ["key", "size"], "full_outer")
+    table = lengths.join(chosen, ["key", "size"], "left").join(plan.drop("rest"), "key")
+    table = C.staged(table.select(F.struct("key", "size").alias("of"), "n", "source_size", "target", "whole", "until", "part", "last"), "mix-limits")
+    values = ["source_size", "target", "whole", "until", "part", "last"]
+    keyed = rows.select("row", "hash", F.struct("key", "size").alias("of"))
+    if table.count() <= MOST_SENT:
+        out = keyed.join(F.broadcast(table.drop("n")), "of")
+    else:
+        out = C.lookup(keyed, table, "of", values, "n", F.col("hash"))
+    C.drop_staged(slim, counts, parts)
+    bucket = F.pmod("hash", F.lit(BUCKETS))
+    once = F.coalesce(bucket <= F.col("until"), F.lit(False)) | F.coalesce((bucket == F.col("part")) & (F.col("hash") <= F.col("last")), F.lit(False))
+    times = F.col("whole") + once.cast("int")
+    size = F.col("of")["size"]
+    return out.select(*[F.col("row")[c].alias(c) for c in rest], size.alias("size"), "source_size", "target", (size * times).alias("taken"), times.alias("times"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
