@@ -10,6 +10,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -37,7 +38,11 @@ class Lattice:
         normal = [i for i in every if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.pieces = {model.id_to_piece(i).replace(SPACE, " "): (i, float(model.get_score(i))) for i in normal}
         self.bytes = {int(model.id_to_piece(i)[3:5], 16): i for i in every if model.is_byte(i)}
-        self.opens: dict[str, tuple] = {p[:k]: () for p in self.pieces for k in range(1, len(p))} | self.pieces
+        self.automaton = ahocorasick.Automaton()
+        for text, (i, score) in self.pieces.items():
+            self.automaton.add_word(text, (i, score, len(text)))
+        self.automaton.make_automaton()
+        self.singles = frozenset(p for p in self.pieces if len(p) == 1)
         self.unknown = min(s for _, s in self.pieces.values()) - UNKNOWN_PENALTY
         self.surface = [b""] * len(every)
         for text, (i, _) in self.pieces.items():
@@ -47,57 +52,62 @@ class Lattice:
         if any(" " in p.lstrip(" ") for p in self.pieces):
             raise ValueError("a piece spans a word's end, so that words can't be told apart")
 
-    def forward(self, unit: str) -> tuple[list[float], float, list[list[tuple[int, int, float]]]]:
-        """The best score of every prefix, the second best of the whole, and the edges (start, id, score) into every place, by start."""
-        size, opens = len(unit), self.opens
-        low = float("-inf")
-        best, second, into = [low] * (size + 1), [low] * (size + 1), [[] for _ in range(size + 1)]
+    def edges(self, unit: str) -> list[list[tuple[int, int, float]]]:
+        """The edges (start, id, score) into every place, by start; -1 is the edge of a character that is no piece."""
+        into: list[list[tuple[int, int, float]]] = [[] for _ in range(len(unit) + 1)]
+        for last, (i, score, n) in self.automaton.iter(unit):
+            into[last + 1].append((last + 1 - n, i, score))
+        for at, c in enumerate(unit):
+            if c not in self.singles:
+                into[at + 1].append((at, -1, self.unknown))
+        return into
+
+    def forward(self, into: list[list[tuple[int, int, float]]]) -> list[float]:
+        """The best score of every prefix."""
+        best = [0.0]
+        for edges in into[1:]:
+            best.append(max(best[start] + score for start, _, score in edges))
+        return best
+
+    def best(self, unit: str) -> tuple[list[int], float, float]:
+        """The ids of the path that segmentations() finds first, its score, and that of the second best: forward Viterbi with the two best of every place."""
+        size, low = len(unit), float("-inf")
+        best, second, back = [low] * (size + 1), [low] * (size + 1), [(0, 0)] * (size + 1)
         best[0] = 0.0
-        for start in range(size):
-            b, c = best[start], second[start]
-            end, single = start + 1, False
-            while end <= size:
-                found = opens.get(unit[start:end])
-                if found is None:
-                    break
-                if found:
-                    i, score = found
-                    into[end].append((start, i, score))
-                    x = b + score
-                    if x > best[end]:
-                        second[end] = max(best[end], c + score)
-                        best[end] = x
-                    elif x > second[end]:
-                        second[end] = x
-                    single = single or end == start + 1
-                end += 1
-            if not single:
-                end, x = start + 1, b + self.unknown
-                into[end].append((start, -1, self.unknown))
+        if self.singles.issuperset(unit):
+            for last, (i, score, n) in self.automaton.iter(unit):  # by place, and there the edge first that starts first
+                end = last + 1
+                start = end - n
+                x = best[start] + score
                 if x > best[end]:
-                    second[end] = max(best[end], c + self.unknown)
-                    best[end] = x
+                    y = second[start] + score
+                    second[end] = y if y > best[end] else best[end]
+                    best[end], back[end] = x, (start, i)
                 elif x > second[end]:
                     second[end] = x
-        return best, second[size], into
-
-    def best(self, unit: str, forward: list[float], into: list[list[tuple[int, int, float]]]) -> list[int]:
-        """The ids of the path that segmentations() finds first: of equal scores the edge that starts first."""
-        at, ids = len(unit), []
+        else:
+            for end, edges in enumerate(self.edges(unit)):
+                for start, i, score in edges:
+                    x = best[start] + score
+                    if x > best[end]:
+                        second[end] = max(best[end], second[start] + score)
+                        best[end], back[end] = x, (start, i)
+                    elif x > second[end]:
+                        second[end] = x
+        at, found = size, []
         while at:
-            for start, i, score in into[at]:
-                if forward[start] + score == forward[at]:
-                    ids.append([self.bytes[b] for b in reversed(unit[start:at].encode())] if i < 0 else (i,))
-                    at = start
-                    break
-        return [i for edge in reversed(ids) for i in (reversed(edge) if len(edge) > 1 else edge)]
+            start, i = back[at]
+            found.append((i,) if i >= 0 else [self.bytes[b] for b in unit[start:at].encode()])
+            at = start
+        return [i for ids in reversed(found) for i in ids], best[size], second[size]
 
-    def segmentations(self, unit: str, n: int, known: tuple | None = None) -> list[tuple[float, list[int]]]:
+    def segmentations(self, unit: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best (score, ids) of a string, best first; of equal scores the one found first by the search, the same each time.
 
         The search goes backward from the end. The forward score of a place is exactly what is still to be gained, so the
         first n paths that come to the start are the n best."""
-        forward, _, into = known or self.forward(unit)
+        into = self.edges(unit)
+        forward = self.forward(into)
         order, size = itertools.count(), len(unit)
         heap: list = [(-forward[size], size, next(order), 0.0, None)]
         out = []
@@ -133,9 +143,8 @@ class Encoder:
             self.known, self.before = {}, self.known
         if (out := self.before.get(key)) is None:
             unit = " " + key
-            forward, second, into = self.lattice.forward(unit)
-            ids = self.lattice.best(unit, forward, into)
-            out = struct.pack(f"<{len(ids)}I", *ids), forward[-1], forward[-1] - second
+            ids, score, second = self.lattice.best(unit)
+            out = struct.pack(f"<{len(ids)}I", *ids), score, score - second
         self.known[key] = out
         return out
 
@@ -165,15 +174,30 @@ class Encoder:
         loss = [u[2] for u in units]
         first = sorted(heapq.nsmallest(self.n - 1, range(len(loss)), key=loss.__getitem__))
         ways = [self._ways(keys[i]) for i in first]
-        ranked = sorted((sum(w[x][0] for w, x in zip(ways, picks, strict=True)), picks) for picks in itertools.product(*[range(len(w)) for w in ways]))
         out = []
-        for lost, picks in ranked[: self.n]:
+        for lost, picks in _least_sums([[w[0] for w in own] for own in ways], self.n):
             for i, w, x in zip(first, ways, picks, strict=True):
                 best[i] = w[x][1]
             out.append((score - lost, b"".join(best)))
         return out
 
 
+def _least_sums(lists: list[list[float]], n: int) -> list[tuple[float, tuple[int, ...]]]:
+    """The n least sums of one number from each sorted list, with the places taken; of equal sums the smaller places first.
+
+    A heap holds what can follow the sums taken so far: one place more in one list, no list before the last that was moved."""
+    start = (0,) * len(lists)
+    heap, out = [(sum(x[0] for x in lists), start, 0)], []
+    while heap and len(out) < n:
+        total, picks, moved = heapq.heappop(heap)
+        out.append((total, picks))
+        for k in range(moved, len(lists)):
+            if picks[k] + 1 < len(lists[k]):
+                after = (*picks[:k], picks[k] + 1, *picks[k + 1 :])
+                heapq.heappush(heap, (sum(x[i] for x, i in zip(lists, after, strict=True)), after, k))
+    return out
+
+
 @functools.cache
 def _encoder(path: str, n: int) -> Encoder:
     return Encoder(path, n)
