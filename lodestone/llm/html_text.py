@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from itertools import groupby
@@ -28,6 +29,10 @@ ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog for
 REACH, SIGMA, SHARE = 2, 1.0, 0.5
 #: Ratios count in the deviation up to this many scaled median deviations over the median of those above 0.
 SPREAD = 3.0
+#: A marked section that opens with a name and a bracket, and the end of a declaration's inner part.
+SECTION, INNER_END = re.compile(r"<!\[[^\[\]<>]*\["), re.compile(r"\]\s*>")
+#: Holders that stand inside running text: one that is only a link is no menu.
+RUNNING = frozenset("blockquote figure table td".split())
 PARTS = re.compile(r"[a-z]+")
 SPLIT_CASE = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -40,7 +45,9 @@ class Lines(HTMLParser):
         self.lines: list[tuple[str, int, int, int, bool]] = []
         self.open: list[tuple[str, bool, int, bool]] = []  # name, unread, region, inside an article
         self.text: list[str] = []
-        self.tags = self.linked = self.regions = 0
+        self.names: Counter[str] = Counter()  # of open
+        self.tags = self.linked = 0
+        self.regions = [""]  # the element of each region
         self.first: tuple[int, bool] | None = None
 
     def _now(self) -> tuple[str, bool, int, bool]:
@@ -82,13 +89,18 @@ class Lines(HTMLParser):
             return
         _, unread, region, main = self._now()
         if tag in HOLDERS:
-            self.regions += 1
-            region = self.regions
+            region = len(self.regions)
+            self.regions.append(tag)
+        self.names[tag] += 1
         self.open.append((tag, unread or self._unread(tag, dict(attrs), main), region, main or tag in MAIN))
 
-    def _close(self, tag: str, within: frozenset[str]) -> None:
+    def _close(self, tag: str, within: frozenset[str] = frozenset()) -> None:
+        """Closes the last open element of that name, if it is open inside the last of within, and all in it."""
+        if not self.names[tag]:
+            return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
+                self.names.subtract(x[0] for x in self.open[i:])
                 del self.open[i:]
                 return
             if self.open[i][0] in within:
@@ -98,10 +110,20 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self.end_line()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
+        self._close(tag)
+
+    def parse_html_declaration(self, i: int) -> int:
+        """As the standard parser, but a document type with an inner part ends behind that, and any marked section is passed over."""
+        raw = self.rawdata
+        if raw.startswith("<![", i):
+            section = SECTION.match(raw, i)
+            end = raw.find("]]>" if section else ">", i)
+            if end < 0 and section:
+                end, section = raw.find(">", i), None
+            return len(raw) if end < 0 else end + (3 if section else 1)
+        if raw[i : i + 9].lower() == "<!doctype" and 0 <= raw.find("[", i) < raw.find(">", i) and (end := INNER_END.search(raw, i)):
+            return end.end()
+        return super().parse_html_declaration(i)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -115,7 +137,7 @@ class Lines(HTMLParser):
         if self.first is None and not data.isspace():
             self.first = region, main
         self.text.append(data)
-        if any(x[0] == "a" for x in self.open):
+        if self.names["a"]:
             self.linked += len(data)
 
 
@@ -141,7 +163,8 @@ def main_text(html: str | None) -> str:
     A line's ratio is its characters outside links over the tags since the line before; ratios are smoothed over the
     neighbouring lines. A region, the lines that one element holds without a break, is content if its peak comes to SHARE
     of the ratios' deviation (the region with the highest peak always is), unless most of its text is links.
-    Where a region inside article or main is content, all there count but those of links, and no others."""
+    Where a region inside article or main is content, all there count but those of links (cells and quotes of links stay),
+    and no others. Declarations and marked sections of any form are passed over."""
     if not html:
         return ""
     parser = Lines()
@@ -155,11 +178,11 @@ def main_text(html: str | None) -> str:
     smooth = smoothed(ratios)
     least = min(SHARE * deviation(ratios), float(smooth.max()))
     found, inside, at = [], [], 0
-    for (_, main), run in groupby(lines, key=lambda x: (x[3], x[4])):
+    for (region, main), run in groupby(lines, key=lambda x: (x[3], x[4])):
         own = list(run)
         peak = float(smooth[at : at + len(own)].max())
         at += len(own)
-        if sum(x[2] for x in own) <= 0.5 * sum(len(x[0]) for x in own):
+        if main and parser.regions[region] in RUNNING or sum(x[2] for x in own) <= 0.5 * sum(len(x[0]) for x in own):
             if main:
                 inside.append((main, [x[0] for x in own]))
             if peak >= least:
