@@ -30,18 +30,26 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; of rows with one id the one whose text has the smallest hash; rows without an id stay apart where their texts differ."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    heads = common.staged(found.select(F.col("doc_id").alias("_head")).distinct(), "pipeline-heads")
-    kept = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("_head")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"), "source", "lang"))
-    return kept.withColumn("_first", first).where("_first = 1").select(*docs.columns)
+    """The document with the smallest id of each group; of rows with one id the one whose text has the smallest hash; rows without an id stay apart where their texts differ.
+
+    Only rows whose id may go are shuffled with their texts: those that a bitmap shows to stay pass by."""
+    ids = simhash.near_duplicates(docs.select("doc_id", "text")).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("heads"))
+    unsure = common.staged(ids.where("n > 1 or heads = 0 or doc_id is null"), "pipeline-unsure")
+    keyed = docs.select(F.col("doc_id").alias("id"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    told = common.marked(keyed, unsure.select(F.col("doc_id").alias("id")), ["id"])
+    sure, maybe = told.where("not _maybe").select("row"), told.where("_maybe").select("id", "row")
+    text = F.col("row")["text"]
+    found = common.lookup(maybe, unsure, "id", ["heads"], "n", F.xxhash64(text), "doc_id")
+    lone = unsure.where("doc_id is null and heads > 0").select("heads").first() is not None
+    kept = found.where(F.when(F.col("id").isNull(), F.lit(lone)).otherwise(F.coalesce("heads", F.lit(1)) > 0))
+    first = F.row_number().over(Window.partitionBy("id", F.when(F.col("id").isNull(), F.xxhash64(text))).orderBy(F.xxhash64(text), F.col("row")["source"], F.col("row")["lang"]))
+    return sure.unionAll(kept.withColumn("first", first).where("first = 1").select("row")).select("row.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    mixed = mixing.mix(docs)
-    return mixed.where("times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    rows = docs.select("doc_id", "text", "source", F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    return mixing.mix(rows).where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
