@@ -25,12 +25,29 @@ def ngrams(terms: Column, sizes: Sequence[int] = (1, 2)) -> Column:
         if n == 1:
             parts.append(terms)
         else:
-            parts.append(F.when(F.size(terms) >= n, _runs(terms, n)).otherwise(F.array().cast("array<string>")))
+            parts.append(F.when(F.size(terms) >= n, _grams(terms, n)).otherwise(F.array().cast("array<string>")))
     return F.concat(*parts)
 
 
-def _runs(terms: Column, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size(terms) - n + 1), lambda i: F.array_join(F.slice(terms, i, n), " "))
+def _grams(terms: Column, n: int) -> Column:
+    """Adjacent terms, each run of n made of one of n - 1 and the term after it."""
+    out = terms
+    for k in range(1, n):
+        out = F.zip_with(F.slice(out, 1, F.size(terms) - k), F.slice(terms, k + 1, F.size(terms) - k), lambda a, b: F.concat(a, F.lit(" "), b))
+    return out
+
+
+def runs(ordered: Column) -> Column:
+    """(value, n): the values of a sorted array and how often each occurs."""
+
+    def of(a: Column) -> Column:
+        last = F.size(a) - 1
+        return F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (a[i] != a[F.least(i + 1, last)]))
+
+    def counted(e: Column) -> Column:
+        return F.transform(e, lambda i, j: F.struct(ordered[i].alias("value"), (i - F.when(j > 0, e[F.greatest(j - 1, F.lit(0))]).otherwise(-1)).alias("n")))
+
+    return F.when(F.size(ordered) > 0, F.transform(F.array(of(ordered)), counted)[0])
 
 
 def strip(text: Column) -> Column:

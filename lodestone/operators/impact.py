@@ -31,6 +31,26 @@ def fold_evidence(rows: DataFrame, key: str) -> DataFrame:
     return out.select(key, F.least(F.lit(1.0), F.col("first") + 0.5 * (F.col("all") - F.col("first"))).alias("evidence"), "occurrences")
 
 
+def contexts(rows: DataFrame, key: str = "canonical_id") -> DataFrame:
+    """(key, name, description, context, occurrences) of mention rows (key, rank, place, name, description): how often each entity is mentioned, and the first mention's name with its description, by the rank of the chunk and the place in it."""
+    first = F.min(F.struct("rank", "place", "name", "description")).alias("f")
+    out = rows.groupBy(key).agg(first, F.count("*").alias("occurrences"))
+    text = F.concat_ws(" ", "f.name", F.nullif(F.col("f.description"), F.lit("")))
+    return out.select(key, "f.name", "f.description", text.alias("context"), "occurrences")
+
+
+def source_documents(entities: DataFrame, mentions: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """(id, documents): the distinct documents (name, id) that mention each asked entity (a column id), by name; an entity without any has an empty list.
+
+    mentions: canonical_id, chunk_id; chunks: id, document_id; documents: id, filename. Asked entities are few and go first, so that only their mentions meet the chunks."""
+    asked = entities.select("id").distinct()
+    found = mentions.select(F.col("canonical_id").alias("id"), "chunk_id").join(asked, "id", "left_semi").distinct()
+    placed = found.join(chunks.select(F.col("id").alias("chunk_id"), "document_id"), "chunk_id").select("id", "document_id").distinct()
+    named = placed.join(documents.select(F.col("id").alias("document_id"), "filename"), "document_id")
+    listed = named.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("filename", "document_id"))).alias("documents"))
+    return asked.join(listed, "id", "left").select("id", F.coalesce("documents", F.array().cast(listed.schema["documents"].dataType)).alias("documents"))
+
+
 def seed_score(evidence: Column, similarity: Column, named: Column, occurrences: Column) -> Column:
     bonus = F.when(named, 0.05).otherwise(0.0) * evidence + F.least(F.lit(0.10), 0.03 * (occurrences - 1)) * evidence
     return clip(0.4 * evidence + 0.6 * similarity + bonus)

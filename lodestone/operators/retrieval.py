@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import text as X
+from lodestone.sources.scratch import staged
+
+#: Rows of a group and queries that meet in one task of best_match.
+BLOCKS = 16
 
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str, stop: Sequence[str] = (), sizes: Sequence[int] = (1, 2)) -> DataFrame:
-    """(id, term, tf)."""
+    """(id, term, tf) of documents, one row each: terms are sorted and counted inside the row, so nothing is shuffled."""
     terms = docs.select(F.col(id_col).alias("id"), X.tokens(F.coalesce(F.col(text_col), F.lit("")), stop).alias("t"))
-    return terms.select("id", F.explode(X.ngrams(F.col("t"), sizes)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    ordered = terms.select("id", F.sort_array(X.ngrams(F.col("t"), sizes)).alias("t"))
+    return ordered.select("id", F.explode(X.runs(F.col("t"))).alias("r")).select("id", F.col("r.value").alias("term"), F.col("r.n").cast("long").alias("tf"))
 
 
 def document_frequencies(counts: DataFrame, n_docs: int, max_df: float = 0.95) -> DataFrame:
@@ -34,28 +40,71 @@ def norms(weights: DataFrame) -> DataFrame:
     return weights.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
 
-def tfidf_search(docs: DataFrame, query: str, k: int, id_col: str = "doc_id", text_col: str = "text", stop: Sequence[str] = (), max_df: float = 0.95) -> DataFrame:
-    """(id, score): the k documents with the highest cosine to the query over 1- and 2-gram weights, scores above 0 only; ties by id,
-    where scores that differ by less than rounding errors are equal.
+@dataclass(frozen=True)
+class Index:
+    """Written tables that any number of searches read: counts (id, term, tf), idf (term, df, idf), and norms (id, norm) of n_docs documents."""
+
+    counts: DataFrame
+    idf: DataFrame
+    norms: DataFrame
+    n_docs: int
+    stop: tuple[str, ...]
+    sizes: tuple[int, ...]
+    sublinear: bool
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stop: Sequence[str] = (), sizes: Sequence[int] = (1, 2), max_df: float = 0.95, sublinear: bool = True) -> Index:
+    """Reads the texts once. Counts are written in the order of their terms inside files, so that a search skips most of them.
 
-    The query's few terms come by a broadcast; everything else is keyed by term or document."""
+    No documents give an empty index; where one document is all, max_df below 1 prunes every term."""
+    counts = staged(term_counts(docs, id_col, text_col, stop, sizes).sortWithinPartitions("term"), "index-counts")
+    n = docs.count()
+    idf = staged(document_frequencies(counts, n, max_df), "index-idf")
+    return Index(counts, idf, staged(norms(weigh(counts, idf, sublinear)), "index-norms"), n, tuple(stop), tuple(sizes), sublinear)
+
+
+def search(index: Index, query: str, k: int) -> DataFrame:
+    """(id, score): the k documents with the highest cosine to the query, scores above 0 only; ties by id, where scores that differ by less than rounding errors are equal.
+
+    Only the query's terms are read from the index; they come by a broadcast, for a request has a few."""
     if k <= 0:
         raise ValueError("k must be positive")
-    spark = docs.sparkSession
-    counts = term_counts(docs, id_col, text_col, stop)
-    n = docs.count()
-    idf = document_frequencies(counts, n, max_df)
-    weights = weigh(counts, idf)
-    asked = term_counts(spark.createDataFrame([(0, query)], "id int, text string"), "id", "text", stop)
-    own = weigh(asked, idf)
-    total = Window.partitionBy("id")
-    own = own.withColumn("wq", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(total))).select("term", "wq")
-    # one pass over the weights gives both the norm and the part of the product that the query's terms make
-    both = weights.join(F.broadcast(own), "term", "left")  # at most one row a term of the query
-    scored = both.groupBy("id").agg((F.sum(F.col("w") * F.coalesce("wq", F.lit(0.0))) / F.sqrt(F.sum(F.col("w") * F.col("w")))).alias("score"))
+    spark: SparkSession = index.counts.sparkSession
+    asked = term_counts(spark.createDataFrame([(0, query)], "id int, text string"), "id", "text", index.stop, index.sizes)
+    own = weigh(asked, index.idf.join(F.broadcast(asked.select("term")), "term", "left_semi"), index.sublinear)
+    length = own.agg(F.sqrt(F.sum(F.col("w") * F.col("w")))).first()[0]
+    if not length:
+        return index.norms.select("id", F.lit(0.0).alias("score")).limit(0)
+    terms = own.join(index.idf, "term").select("term", "idf", (F.col("w") / length).alias("wq"))
+    tf: Column = 1.0 + F.log("tf") if index.sublinear else F.col("tf").cast("double")
+    hits = index.counts.join(F.broadcast(terms), "term").groupBy("id").agg(F.sum(tf * F.col("idf") * F.col("wq")).alias("dot"))
+    scored = hits.join(index.norms, "id").select("id", (F.col("dot") / F.col("norm")).alias("score"))
     return scored.orderBy(F.desc(F.round("score", 10)), "id").limit(k).where("score > 0")
 
 
+def tfidf_search(docs: DataFrame, query: str, k: int, id_col: str = "doc_id", text_col: str = "text", stop: Sequence[str] = (), max_df: float = 0.95) -> DataFrame:
+    """search() in an index over 1- and 2-grams that is built for it."""
+    if k <= 0:
+        raise ValueError("k must be positive")
+    return search(build_index(docs, id_col, text_col, stop, max_df=max_df), query, k)
+
+
+def similarity_to(query: str, rows: DataFrame, id_col: str, text_col: str, stop: Sequence[str] = ()) -> DataFrame:
+    """(id, lexical) of every row: the cosine of its text and the query, 0 to 1, over plain term frequencies of 1- and 2-grams with an idf fitted on the rows and the query."""
+    spark = rows.sparkSession
+    own = term_counts(spark.createDataFrame([(0, query)], "id int, text string"), "id", "text", stop)
+    counts = staged(term_counts(rows, id_col, text_col, stop), "context-counts")
+    n = rows.count() + 1
+    df = counts.select("term").unionAll(own.select("term")).groupBy("term").agg(F.count("*").alias("df"))
+    idf = df.select("term", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    asked = weigh(own, idf, sublinear=False)
+    length = asked.agg(F.sqrt(F.sum(F.col("w") * F.col("w")))).first()[0] or 1.0
+    wq = F.coalesce("wq", F.lit(0.0))
+    both = weigh(counts, idf, sublinear=False).join(F.broadcast(asked.select("term", (F.col("w") / length).alias("wq"))), "term", "left")  # at most one row a term of the query
+    found = both.groupBy("id").agg((F.sum(F.col("w") * wq) / F.sqrt(F.sum(F.col("w") * F.col("w")))).alias("s"))
+    return rows.select(F.col(id_col).alias("id")).join(found, "id", "left").select("id", X.clip(F.coalesce("s", F.lit(0.0))).alias("lexical"))
+
+
 def dense_search(vectors: DataFrame, query: Sequence[float], k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, score): exact inner products with unit vectors, the k highest; ties by id."""
     if k <= 0:
@@ -65,11 +114,13 @@ def dense_search(vectors: DataFrame, query: Sequence[float], k: int, id_col: str
     return scored.orderBy(F.desc(F.round("score", 10)), "id").limit(k)
 
 
-def best_match(queries: DataFrame, rows: DataFrame, id_col: str, vector_col: str, by: str) -> DataFrame:
-    """(id, best, score): for each query row the other row of the same group with the highest cosine, the smaller id on a tie."""
-    q = queries.select(F.col(id_col).alias("id"), F.col(by).alias("g"), X.unit(F.col(vector_col)).alias("qv"))
-    r = rows.select(F.col(id_col).alias("other"), F.col(by).alias("g"), X.unit(F.col(vector_col)).alias("rv"))
-    pairs = q.join(r, "g").where("id != other").select("id", "other", X.dot(F.col("qv"), F.col("rv")).alias("score"))
+def best_match(queries: DataFrame, rows: DataFrame, id_col: str, vector_col: str, by: str, blocks: int = BLOCKS) -> DataFrame:
+    """(id, best, score): for each query row the other row of the same group with the highest cosine, the smaller id on a tie.
+
+    The rows of a group are dealt over blocks, to each of which its queries go, so that a large group isn't one task."""
+    q = queries.select(F.col(id_col).alias("id"), F.col(by).alias("g"), X.unit(F.col(vector_col)).alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    r = rows.select(F.col(id_col).alias("other"), F.col(by).alias("g"), X.unit(F.col(vector_col)).alias("rv"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("int").alias("block"))
+    pairs = q.join(r, ["g", "block"]).where("id != other").select("id", "other", X.dot(F.col("qv"), F.col("rv")).alias("score"))
     return pairs.groupBy("id").agg(F.max(F.struct("score", (-F.col("other")).alias("o"))).alias("m")).select("id", (-F.col("m.o")).alias("best"), F.col("m.score").alias("score"))
 
 
@@ -93,6 +144,14 @@ def over_fetch(k: int) -> int:
     return max(2 * k, 20)
 
 
-def hybrid_search(docs: DataFrame, vectors: DataFrame, query: str, query_vector: Sequence[float], k: int = 10, stop: Sequence[str] = ()) -> DataFrame:
+def hybrid_search(docs: DataFrame, vectors: DataFrame, query: str, query_vector: Sequence[float], k: int = 10, stop: Sequence[str] = (), tenant: str | None = None, tenant_col: str = "organization_id") -> DataFrame:
+    """The k best of both sides fused, of one tenant's rows if one is given; no documents give no rows."""
+    if tenant is not None:
+        docs, vectors = (x.where(F.col(tenant_col) == tenant) for x in (docs, vectors))
     n = over_fetch(k)
     return fuse(tfidf_search(docs, query, n, stop=stop), dense_search(vectors, query_vector, n), k)
+
+
+def answer(hits: DataFrame) -> DataFrame:
+    """Fused hits as a caller gets them: ranks and the fused score, without the scores of either side."""
+    return hits.select("id", "score", "tfidf_rank", "dense_rank")
