@@ -23,8 +23,8 @@ from lodestone.llm import common as C
 SPACE, UNKNOWN_PENALTY = "▁", 10.0
 #: Segmentations of each text in the query.
 N_BEST = 4
-#: Distinct units in each of the two tables of segmentations that a worker keeps.
-KEPT = 250_000
+#: Distinct units in each of the two tables of segmentations that a worker keeps while a task runs.
+KEPT = 100_000
 
 
 class Lattice:
@@ -135,6 +135,10 @@ class Encoder:
 
     def __init__(self, path: str, n: int) -> None:
         self.lattice, self.n = Lattice(path), n
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the tables, so that an idle worker doesn't hold them through other operators' stages."""
         self.known, self.before, self.wider = {}, {}, {}
 
     def _unit(self, key: str) -> tuple[bytes, float, float]:
@@ -223,6 +227,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
             got = [encoder(t) for t in batch.column(1).to_pylist()]
             kinds = pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ints(g[0][1]) for g in got], kinds[0]), pa.array([[s for s, _ in g] for g in got], kinds[1]), pa.array([[ints(x) for _, x in g[1:]] for g in got], kinds[2])], names=["id", "ids", "scores", "others"])
+        encoder.forget()
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return slim.mapInArrow(work, "id long, ids array<int>, scores array<double>, others array<array<int>>").withColumnRenamed("id", id_col)
@@ -262,6 +267,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
                 pa.array([encoder.lattice.decode(g[0][1]) == t for g, t in zip(got, texts, strict=True)], pa.bool_()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "ids_crc32", "scores", "others_crc32", "round_trip"])
+        encoder.forget()
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kinds = "id long, n_tokens long, ids_crc32 long, scores array<double>, others_crc32 array<long>, round_trip boolean"
