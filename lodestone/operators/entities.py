@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import text as X
+from lodestone.operators.relations import places
 from lodestone.sources.scratch import checkpointed
 
 #: Words that mark a structural type, types by priority, and words at a name's ends that aren't part of it (fixed values).
@@ -17,6 +18,10 @@ MARKERS = {
 }
 PRIORITY = {"API": 100, "WORKFLOW": 90, "POLICY": 80, "TEAM": 70, "DOCUMENTATION": 60, "SYSTEM": 50, "PROJECT": 40, "ORGANIZATION": 30, "TECHNOLOGY": 20, "BUSINESS_CONCEPT": 10}
 EDGES = ("the", "a", "an", "this", "that", "these", "those", "and", "or", "of", "for", "to", "in", "on", "with", "by", "from")
+#: Words that name nothing, labels that vouch for a word at a sentence's start, and labels that score highest (fixed values).
+GENERIC = "thing something anything everything nothing example way time part kind type number person people item case area aspect fact result detail details content".split()
+VOUCHING, STRONG = ("ORG", "PRODUCT", "FAC", "GPE"), ("ORG", "PRODUCT", "FAC")
+MOST_WORDS = 7
 API_NAME = r"(?:[\p{L}\p{N}_]+[ -]){0,3}[\p{L}\p{N}_]*(?i:API|SDK)\b|(?i:GET|POST|PUT|PATCH|DELETE)\s+/[A-Za-z0-9_/{}.-]+"
 PHRASE = r"(?:\p{Lu}[\p{L}\p{N}_-]*[ ]){1,5}(?i:MARKERS)\b"
 NAMED = r"\p{Lu}[\p{L}\p{N}_-]+(?:[ ]\p{Lu}[\p{L}\p{N}_-]+){1,4}"
@@ -40,32 +45,83 @@ def entity_type(name: Column) -> Column:
 def candidates(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
     """(id, name, normalized_name, start, end, score, source) of API names, phrases that end in a marker, and capitalized names.
 
-    A rule-based stand-in for a tagger: patterns over the whole text, placed by their occurrence."""
+    A rule-based stand-in for a tagger: patterns over the whole text, a row for every place where one matches."""
     markers = "|".join(w for ws in MARKERS.values() for w in ws.split())
     kinds = [("API", API_NAME, 1.00), ("STRUCTURAL", PHRASE.replace("MARKERS", markers), 0.98), ("NAMED", NAMED, 0.85)]
     parts = []
     for source, pattern, score in kinds:
-        found = chunks.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0)))).alias("raw"))
-        name = X.clean_name(F.col("raw"), EDGES)
-        start = F.instr(F.col("t"), F.col("raw")) - 1
-        parts.append(found.select("id", name.alias("name"), X.normalize_name(name).alias("normalized_name"), start.alias("start"), (start + F.length("raw")).alias("end"), F.lit(score).alias("score"), F.lit(source).alias("source")))
-    out = parts[0].unionAll(parts[1]).unionAll(parts[2]).where("normalized_name != '' and size(split(normalized_name, ' ')) <= 7")
+        found = chunks.where(F.col(text_col).rlike(pattern)).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.explode(places(F.col(text_col), pattern)).alias("p"))
+        name = X.clean_name(F.substring("t", F.col("p.start") + 1, F.col("p.end") - F.col("p.start")), EDGES)
+        parts.append(found.select("id", name.alias("name"), X.normalize_name(name).alias("normalized_name"), "p.start", "p.end", F.lit(score).alias("score"), F.lit(source).alias("source")))
+    out = parts[0].unionAll(parts[1]).unionAll(parts[2]).where(f"normalized_name != '' and size(split(normalized_name, ' ')) <= {MOST_WORDS}")
     first = F.row_number().over(Window.partitionBy("id", "start", "end", "normalized_name").orderBy(F.desc("score")))
     return out.withColumn("_n", first).where("_n = 1").drop("_n")
 
 
+def valid_token(token: Column, label: Column) -> Column:
+    """Whether a word (text, lemma, pos, starts: whether it starts a sentence) may stand alone as a name."""
+    word = F.lower(token["text"])
+    markers = [w for ws in MARKERS.values() for w in ws.split()]
+    inside = ~F.coalesce(token["starts"], F.lit(False)) | label.isin(*VOUCHING) | X.looks_technical(token["text"]) | X.inner_capitals(token["text"])
+    return F.coalesce(~word.isin(*markers) & ~word.isin(*GENERIC) & ~F.lower(token["lemma"]).isin(*GENERIC) & (token["pos"] == "PROPN") & F.coalesce(inside, F.lit(False)), F.lit(False))
+
+
+def content_tokens(tokens: Column) -> Column:
+    """The words of a phrase that aren't stop words, determiners, pronouns or signs."""
+    return F.filter(tokens, lambda t: ~F.coalesce(t["stop"], F.lit(False)) & ~t["pos"].isin("DET", "PRON", "PUNCT", "SPACE"))
+
+
+def valid_phrase(tokens: Column) -> Column:
+    """Whether a phrase (array of text, lemma, pos, stop, starts, root) names something: at most MOST_WORDS words, a noun among those with content, a noun as its root; a lone one as valid_token says."""
+    content = content_tokens(tokens)
+    noun = lambda t: t["pos"].isin("NOUN", "PROPN")
+    words = F.size(F.filter(tokens, lambda t: ~t["pos"].isin("PUNCT", "SPACE")))
+    several = F.exists(tokens, lambda t: F.coalesce(t["root"], F.lit(False)) & noun(t))
+    alone = F.exists(content, lambda t: valid_token(t, F.lit(None).cast("string")))
+    return F.coalesce((words <= MOST_WORDS) & F.exists(content, noun) & F.when(F.size(content) == 1, alone).otherwise(several), F.lit(False))
+
+
+def annotated(spans: DataFrame) -> DataFrame:
+    """candidates() from a tagger's spans that callers bring: (id, text, start, end, label, tokens); a label makes a span a named entity, without one it is a noun phrase.
+
+    A named entity of one word must pass valid_token and scores 0.95 with a STRONG label, else 0.85; a noun phrase must
+    pass valid_phrase and scores 0.72 with three words of content, else 0.62. Spans of nulls give none."""
+    name = X.clean_name(F.col("text"), EDGES)
+    single = F.size("tokens") == 1
+    named = F.col("label").isNotNull()
+    fine = F.when(named, ~single | valid_token(F.col("tokens")[0], F.col("label"))).otherwise(valid_phrase(F.col("tokens")))
+    score = F.when(named, F.when(F.col("label").isin(*STRONG), 0.95).otherwise(0.85)).otherwise(F.when(F.size(content_tokens(F.col("tokens"))) >= 3, 0.72).otherwise(0.62))
+    out = spans.where(fine).select("id", name.alias("name"), X.normalize_name(name).alias("normalized_name"), "start", "end", score.alias("score"), F.when(named, "NAMED").otherwise("PHRASE").alias("source"))
+    return out.where(f"normalized_name != '' and size(split(normalized_name, ' ')) <= {MOST_WORDS}")
+
+
 def priority(score: Column, source: Column, kind: Column) -> Column:
     rank = F.create_map(*[x for k, v in PRIORITY.items() for x in (F.lit(k), F.lit(v / 100))])[kind]
     return score + F.when(source == "API", 2.0).when(source == "STRUCTURAL", 1.5).otherwise(0.0) + rank
 
 
 def without_overlaps(found: DataFrame) -> DataFrame:
-    """One row for each chunk's spans kept: by priority, start and end; a span goes if an accepted one overlaps it. The spans of one chunk are one array."""
+    """One row for each chunk's spans kept, taken by priority, start and end. The spans of one chunk are one array.
+
+    A span meets the first span already kept that it overlaps and that decides: it goes if that has its name, is
+    structural where it is neither that nor an API, or contains it; it takes that one's place if it is structural and that
+    one isn't, or if it contains it. Spans that overlap in part otherwise both stay, and a span takes one place at most."""
     span = F.struct((-priority(F.col("score"), F.col("source"), entity_type(F.col("name")))).alias("p"), "start", "end", "name", "normalized_name", "score", "source")
     spans = found.groupBy("id").agg(F.array_sort(F.collect_list(span)).alias("spans"))
     kind = spans.schema["spans"].dataType
-    keep = F.aggregate("spans", F.array().cast(kind), lambda a, x: F.when(F.exists(a, lambda y: ((x["start"] < y["end"]) & (y["start"] < x["end"])) | (x["normalized_name"] == y["normalized_name"])), a).otherwise(F.array_append(a, x)))
-    return spans.select("id", F.explode(keep).alias("s")).select("id", "s.name", "s.normalized_name", "s.start", "s.end", "s.score", "s.source")
+    strong = lambda x: x["source"].isin("STRUCTURAL", "API")
+    beats = lambda x, y: (x["source"] == "STRUCTURAL") & ~strong(y)
+    inside = lambda x, y: (y["start"] <= x["start"]) & (y["end"] >= x["end"])
+    same = lambda x, y: x["normalized_name"] == y["normalized_name"]
+    meets = lambda x, y: (x["start"] < y["end"]) & (y["start"] < x["end"])
+    decides = lambda x, y: meets(x, y) & (same(x, y) | beats(x, y) | beats(y, x) | inside(x, y) | inside(y, x))
+    goes = lambda x, y: same(x, y) | (~beats(x, y) & (beats(y, x) | inside(x, y)))
+
+    def take(a: Column, x: Column) -> Column:
+        met = F.try_element_at(F.filter(a, lambda y: decides(x, y)), F.lit(1))
+        return F.when(met.isNull(), F.array_append(a, x)).when(goes(x, met), a).otherwise(F.array_append(F.array_remove(a, met), x))
+
+    return spans.select("id", F.explode(F.aggregate("spans", F.array().cast(kind), take)).alias("s")).select("id", "s.name", "s.normalized_name", "s.start", "s.end", "s.score", "s.source")
 
 
 def mentions(found: DataFrame) -> DataFrame:
@@ -87,6 +143,27 @@ def exact_matches(rows: DataFrame, canonical: DataFrame) -> DataFrame:
     return rows.join(canonical.select(*key, F.col("id").alias("canonical_id")), key, "left")
 
 
+def per_chunk(rows: DataFrame, order: str = "place") -> DataFrame:
+    """One row for each chunk, name (trimmed, lower case) and type (trimmed, upper case), the first by order; blank names and types go."""
+    key = ["chunk_id", "normalized_name", "entity_type"]
+    fine = rows.withColumns({"normalized_name": F.lower(F.trim("normalized_name")), "entity_type": F.upper(F.trim("entity_type"))}).where("normalized_name != '' and entity_type != ''")
+    rest = [c for c in fine.columns if c not in key]
+    first = F.min(F.struct(order, *[c for c in rest if c != order])).alias("f")
+    return fine.groupBy(*key).agg(first).select(*[c if c in key else F.col(f"f.{c}").alias(c) for c in fine.columns])
+
+
+def described(canonical: DataFrame, rows: DataFrame) -> DataFrame:
+    """canonical with an empty description filled by the first that rows (canonical_id, position, description) have."""
+    told = rows.where("description is not null and description != ''").groupBy(F.col("canonical_id").alias("_of")).agg(F.min(F.struct("position", "description"))["description"].alias("_told"))
+    return canonical.join(told, F.col("id") == F.col("_of"), "left").withColumn("description", F.coalesce(F.nullif("description", F.lit("")), "_told", "description")).drop("_of", "_told")
+
+
+def resolve_batch(rows: DataFrame, chunks: DataFrame) -> DataFrame:
+    """resolve_in_order() of all mentions (chunk_id, place, id, ...) of an organization, in the order of their documents and chunks (id, document_id, chunk_index)."""
+    placed = rows.join(chunks.select(F.col("id").alias("chunk_id"), "document_id", "chunk_index"), "chunk_id")
+    return resolve_in_order(placed.withColumn("position", F.struct("document_id", "chunk_index", "place")))
+
+
 def resolve_in_order(rows: DataFrame, limit: float = 0.82) -> DataFrame:
     """(id, canonical_id) of rows (organization_id, entity_type, id, normalized_name, vector, position): each row joins the
     earlier canonical entity of its name, else that with the highest cosine if 0.75 cosine + 0.25 Jaccard is limit or more, else founds one.
@@ -100,21 +177,28 @@ def resolve_in_order(rows: DataFrame, limit: float = 0.82) -> DataFrame:
     def greedy(table: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        pool_ids, pool, sets, out = [], [], [], []
-        for r in table.sort_values(["position", "id"]).itertuples():
+        pool, size, ids, sets, out = np.empty((0, 0)), 0, [], [], []
+        turn = lambda r: (tuple(r.position.values()) if isinstance(r.position, dict) else r.position, r.id)
+        for r in sorted(table.itertuples(), key=turn):
             v = np.asarray(r.vector, float)
             v = v / (np.linalg.norm(v) or 1.0)
             own = set(r.normalized_name.split())
-            found = r.id
-            if pool:
-                cos = np.stack(pool) @ v
+            found = None
+            if size:
+                cos = pool[:size] @ v
                 k = int(cos.argmax())
                 share = len(own & sets[k]) / len(own | sets[k]) if own | sets[k] else 0.0
                 if 0.75 * min(1.0, max(0.0, cos[k])) + 0.25 * share >= limit:
-                    found = pool_ids[k]
-            if found == r.id:
-                pool_ids.append(r.id)
-                pool.append(v)
+                    found = ids[k]
+            if found is None:
+                found = r.id
+                if size == len(pool):  # doubled, so that rows are copied twice at most
+                    more = np.empty((max(64, 2 * size), len(v)))
+                    more[:size] = pool[:size] if size else 0
+                    pool = more
+                pool[size] = v
+                size += 1
+                ids.append(r.id)
                 sets.append(own)
             out.append((r.organization_id, r.entity_type, r.normalized_name, found))
         return pd.DataFrame(out, columns=[*key, "canonical_id"])
@@ -145,18 +229,35 @@ def duplicates(entities: DataFrame) -> DataFrame:
     """Pairs of entities (id, normalized_name, entity_type, vector) of one type that may be the same, scored.
 
     Only names of which one's words are all in the other can be kept, so a name meets just those that have its rarest
-    word: the join's key is the type and a word that is rare by choice, never the whole type. Cosine is null-safe 0."""
+    word: the join's key is the type and a word that is rare by choice, never the whole type. Names meet once, however
+    many entities have them; their entities are paired only where the names can be kept. Cosine is null-safe 0."""
     fine = entities.where("id is not null and trim(normalized_name) != '' and trim(entity_type) != ''")
     fine = fine.select("id", F.upper(F.trim("entity_type")).alias("entity_type"), "normalized_name", F.split(F.trim("normalized_name"), r"\s+").alias("words"), "vector")
-    every = fine.select("id", "entity_type", F.explode(F.array_distinct("words")).alias("word"))
+    names = fine.select("entity_type", "normalized_name", "words").distinct()
+    every = names.select("entity_type", F.col("normalized_name").alias("name"), F.explode(F.array_distinct("words")).alias("word"))
     count = every.groupBy("entity_type", "word").agg(F.count("*").alias("n"))
-    rarest = every.join(count, ["entity_type", "word"]).groupBy("id", "entity_type").agg(F.min(F.struct("n", "word"))["word"].alias("word"))
-    pairs = rarest.withColumnRenamed("id", "a").join(every.withColumnRenamed("id", "b"), ["entity_type", "word"]).where("a != b")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda s: fine.select(*[F.col(c).alias(f"{s}_{c}") for c in fine.columns])
-    both = pairs.join(side("first"), F.col("a") == F.col("first_id")).join(side("second"), F.col("b") == F.col("second_id"))
-    both = both.where("first_normalized_name != second_normalized_name").withColumn("relation", relation(F.col("first_words"), F.col("second_words"))).where("relation != 'STRUCTURAL_MISMATCH'")
-    return scored(both)
+    rarest = every.join(count, ["entity_type", "word"]).groupBy("entity_type", "name").agg(F.min(F.struct("n", "word"))["word"].alias("word"))
+    met = rarest.withColumnRenamed("name", "x").join(every.withColumnRenamed("name", "y"), ["entity_type", "word"]).where("x != y")
+    met = met.select("entity_type", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    words = lambda c: F.split(F.trim(c), r"\s+")
+    met = met.withColumn("relation", relation(words("x"), words("y"))).where("relation != 'STRUCTURAL_MISMATCH'")
+    side = lambda name: fine.select(F.col("entity_type"), F.col("normalized_name").alias(name), F.struct(*fine.columns).alias(f"_{name}"))
+    both = met.join(side("x"), ["entity_type", "x"]).join(side("y"), ["entity_type", "y"])
+    turned = F.col("_y.id") < F.col("_x.id")
+    both = both.select("relation", F.when(turned, F.col("_y")).otherwise(F.col("_x")).alias("_first"), F.when(turned, F.col("_x")).otherwise(F.col("_y")).alias("_second"))
+    return scored(both.select("relation", *[F.col(f"_{s}.{c}").alias(f"{s}_{c}") for s in ("first", "second") for c in fine.columns]))
+
+
+def in_order(pairs: DataFrame) -> DataFrame:
+    """Pairs as they are shown: the highest combined similarity first, then by type and names."""
+    return pairs.orderBy(F.desc("combined"), "first_entity_type", F.lower("first_normalized_name"), F.lower("second_normalized_name"))
+
+
+def validated(candidates: DataFrame, canonical: DataFrame) -> DataFrame:
+    """candidates (keep_id, drop_id) that may still be merged: two different entities (id, organization_id, entity_type) that both exist, of one organization and one type whatever its case."""
+    side = lambda s: canonical.select(F.col("id").alias(f"{s}_id"), F.col("organization_id").alias(f"_{s}_org"), F.upper("entity_type").alias(f"_{s}_type"))
+    both = candidates.where("keep_id != drop_id").join(side("keep"), "keep_id").join(side("drop"), "drop_id")
+    return both.where("_keep_org = _drop_org and _keep_type = _drop_type").drop("_keep_org", "_drop_org", "_keep_type", "_drop_type")
 
 
 def scored(pairs: DataFrame) -> DataFrame:
@@ -197,6 +298,11 @@ def merge(mention_rows: DataFrame, canonical: DataFrame, merges: DataFrame) -> t
     return moved, canonical.join(to, F.col("id") == F.col("_from"), "left_anti")
 
 
+def left_behind(moved: DataFrame, merges: DataFrame) -> DataFrame:
+    """Mentions that still name a merged entity; none after merge()."""
+    return moved.join(merges.select(F.col("drop_id").alias("canonical_id")), "canonical_id", "left_semi")
+
+
 def merge_rounds(entities: DataFrame, least: str = "HIGH") -> DataFrame:
     """(drop_id, keep_id) after merging the best pairs until none of the confidence is left; a round takes the pairs that are the best of the one dropped and that none which drops the one kept comes before."""
     levels = ["HIGH", "MEDIUM", "REVIEW"][: ["HIGH", "MEDIUM", "REVIEW"].index(least) + 1]

@@ -81,7 +81,7 @@ def propagate(nodes: DataFrame, edges: DataFrame, seed_rows: DataFrame, max_dist
     tiers = F.create_map(*[x for d, (a, b) in TIERS.items() for x in (F.lit(d), F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")))])[F.col("distance")]
     found = graph.reach(edges, seed_rows.select("id"), min(max_distance, max(TIERS)))
     near = found.join(seed_rows.withColumnRenamed("id", "seed"), "seed").join(known.withColumnRenamed("id", "node"), "node")
-    proximity = 1.0 / F.col("distance")
+    proximity = F.try_divide(F.lit(1.0), F.col("distance"))
     spread = clip(F.col("semantic") * F.col("strength") * proximity)
     raw = clip(0.60 * spread + 0.25 * F.col("strength") * proximity + 0.15 * proximity * F.col("importance"))
     near = near.withColumns({"ps": spread, "raw": raw, "tier": tiers}).where((F.col("ps") >= F.col("tier.a")) & (F.col("strength") >= F.col("tier.b")) & (F.col("raw") >= LEAST_SCORE))

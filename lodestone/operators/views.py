@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def category(kind: Column) -> Column:
@@ -64,13 +65,26 @@ def sorted_results(rows: DataFrame, by: str = "risk", bucket: str | None = None,
     return rows.orderBy(*order)
 
 
+#: The client's grid: where the first node stands and how far levels and nodes are apart (fixed values).
+GRID_X, GRID_Y, STEP_X, STEP_Y = 420, 70, 390, 205
+
+
 def cascade(rows: DataFrame) -> DataFrame:
-    """(id, parent): the last node of a row's path before itself that is among the results; else the only result one step nearer; else null."""
-    ids = rows.select(F.col("id").alias("_r")).distinct()
-    steps = rows.select("id", "distance", F.posexplode("path").alias("at", "node")).where("node != id")
-    on_path = steps.join(ids, F.col("node") == F.col("_r"), "left_semi").groupBy("id").agg(F.max(F.struct("at", "node"))["node"].alias("by_path"))
+    """(id, parent, x, y) of results (id, name, distance, path, score).
+
+    parent is the last node of a row's path before its end that is another result, by id or else by name whatever its
+    case; else the only result one step nearer; else null, the root. Nodes stand by level, in the order of their scores.
+    Results are a request's list: levels are a few, and names that several results share count for the greatest id."""
+    ids = rows.select(F.col("id").alias("_id")).distinct()
+    names = rows.groupBy(F.lower(F.trim("name")).alias("_name")).agg(F.max("id").alias("_named"))
+    before = F.filter(F.transform("path", lambda p: F.trim(p)), lambda p: p != "")
+    steps = rows.select("id", F.posexplode(F.slice(before, 1, F.greatest(F.size(before) - 1, F.lit(0)))).alias("at", "node"))
+    found = steps.join(ids, F.col("node") == F.col("_id"), "left").join(names, F.lower("node") == F.col("_name"), "left").withColumn("hit", F.coalesce("_id", "_named"))
+    on_path = found.where("hit is not null and hit != id").groupBy("id").agg(F.max(F.struct("at", "hit"))["hit"].alias("by_path"))
     lone = rows.groupBy("distance").agg(F.count("*").alias("n"), F.min("id").alias("only")).where("n = 1").select((F.col("distance") + 1).alias("distance"), "only")
-    return rows.join(on_path, "id", "left").join(lone, "distance", "left").select("id", F.coalesce("by_path", F.when(F.col("only") != F.col("id"), F.col("only"))).alias("parent"))
+    place = F.row_number().over(Window.partitionBy("distance").orderBy(F.desc("score"), "id")) - 1
+    placed = rows.select("id", "distance", (GRID_X + STEP_X * F.col("distance")).alias("x"), (GRID_Y + STEP_Y * place).alias("y"))
+    return placed.join(on_path, "id", "left").join(lone, "distance", "left").select("id", F.coalesce("by_path", F.when(F.col("only") != F.col("id"), F.col("only"))).alias("parent"), "x", "y").distinct()
 
 
 def set_metrics(predicted: DataFrame, gold: DataFrame, name_col: str = "name") -> DataFrame:

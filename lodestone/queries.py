@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
-from lodestone.operators import change, chunking, entities, graph, impact, relations, retrieval, views
-from lodestone.sources import files
+from lodestone.operators import change, chunking, concepts, entities, graph, impact, relations, retrieval, views
+from lodestone.plans import impact_analysis
+from lodestone.sources import files, tables
 
 STOP = ("the", "and", "of", "to", "in", "is", "die", "der", "la", "le", "de")
 ASKED = "idiot clown onthe anat thing reation"
@@ -21,6 +22,11 @@ ASKED_SQL = (
     f"asked AS (SELECT unnest({GRAMS_SQL}) AS term FROM (SELECT {TOKENS_SQL.replace('coalesce(text, chr(39) || chr(39))', 'text')} AS t FROM (SELECT '{ASKED}' AS text))), "
     "own AS (SELECT term, (1.0 + ln(count(*))) * any_value(idf) AS w FROM asked JOIN idf USING (term) GROUP BY term), own2 AS (SELECT term, w / sqrt((SELECT sum(w * w) FROM own)) AS wq FROM own)"
 )
+CONCEPT_SQL = (
+    f"tok AS (SELECT doc_id AS id, {TOKENS_SQL} AS t FROM documents), terms AS (SELECT id, unnest(list_concat({GRAMS_SQL}, list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]))) AS term FROM tok), counts AS (SELECT id, term, count(*) AS tf FROM terms GROUP BY 1, 2), "
+    "n AS (SELECT count(*) AS n FROM documents), idf AS (SELECT term, ln((1.0 + any_value(n.n)) / (1.0 + count(*))) + 1.0 AS idf FROM counts, n GROUP BY term), weights AS (SELECT id, term, (1.0 + ln(tf)) * idf AS w FROM counts JOIN idf USING (term)), "
+    "lengths AS (SELECT id, sqrt(sum(w * w)) AS norm FROM weights GROUP BY id), words AS (SELECT term, sum(w / norm) AS weight FROM weights JOIN lengths USING (id) WHERE NOT contains(term, ' ') GROUP BY term)"
+)
 SCORES_SQL = "scores AS (SELECT id, sum(w * coalesce(wq, 0)) / sqrt(sum(w * w)) AS score FROM weights LEFT JOIN own2 USING (term) GROUP BY id)"
 DENSE_SQL = (
     "unit AS (SELECT vec_id AS id, label, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings WHERE embedding IS NOT NULL), "
@@ -54,11 +60,11 @@ def lex08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
-@query("lex04_document_frequencies", f"WITH {TERMS_SQL}, {IDF_SQL} SELECT term, df, round(idf, 6) AS idf FROM idf ORDER BY df DESC, term LIMIT 100")
+@query("lex04_document_frequencies", f"WITH {TERMS_SQL}, {IDF_SQL} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def lex04(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     df = retrieval.document_frequencies(retrieval.term_counts(docs, "doc_id", "text", STOP), docs.count())
-    return df.orderBy(F.desc("df"), "term").limit(100).select("term", "df", F.round("idf", 6).alias("idf"))
+    return df.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("lex06_document_norms", f"WITH {TERMS_SQL}, {IDF_SQL}, {WEIGHTS_SQL} SELECT id AS doc_id, round(sqrt(sum(w * w)), 4) AS norm FROM weights GROUP BY id")
@@ -75,12 +81,26 @@ def lex03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("total"), F.max("tf").alias("most"))
 
 
-@query("lex10_concept_importance", f"WITH {TERMS_SQL}, n AS (SELECT count(*) AS n FROM documents) SELECT term, round(sum(tf) / any_value(n.n), 6) AS importance, count(*) AS frequency FROM counts, n GROUP BY term HAVING count(*) >= 20 ORDER BY sum(tf) / any_value(n.n) DESC, term LIMIT 100")
+@query("lex10_concept_importance", f"WITH {CONCEPT_SQL} SELECT term, round(weight / n, 9) AS importance FROM words, n")
 def lex10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights, n = concepts.word_weights(table(spark, sf_dir, "documents"), "doc_id", "text", STOP)
+    return weights.select("term", F.round(F.col("weight") / n, 9).alias("importance"))
+
+
+PHRASE = "[A-Z][a-z]+ [A-Z][a-z]+"
+
+
+@query(
+    "con03_concepts",
+    f"WITH {CONCEPT_SQL}, phrases AS (SELECT unnest(regexp_extract_all(coalesce(text, ''), '{PHRASE}')) AS name FROM documents), counted AS (SELECT name, lower(name) AS normalized_name, count(*) AS frequency FROM phrases WHERE lower(name) NOT IN ({', '.join(f"'{w}'" for w in concepts.NO_CONCEPTS)}) GROUP BY 1 HAVING count(*) >= 2), "
+    "parts AS (SELECT DISTINCT normalized_name, unnest(string_split(normalized_name, ' ')) AS term FROM counted), means AS (SELECT normalized_name, sum(weight) / count(*) / any_value(n.n) AS importance FROM parts JOIN words USING (term), n GROUP BY 1) "
+    "SELECT name, normalized_name, frequency, round(coalesce(importance, 0), 9) AS importance FROM counted LEFT JOIN means USING (normalized_name) ORDER BY round(coalesce(means.importance, 0), 12) DESC, frequency DESC, name LIMIT 100",
+)
+def con03(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    n = docs.count()
-    rows = retrieval.term_counts(docs, "doc_id", "text", STOP).groupBy("term").agg(F.sum("tf").alias("s"), F.count("*").alias("frequency")).where("frequency >= 20")
-    return rows.orderBy(F.desc(F.col("s") / n), "term").limit(100).select("term", F.round(F.col("s") / n, 6).alias("importance"), "frequency")
+    phrases = docs.select(F.explode(F.regexp_extract_all("text", F.lit(PHRASE), F.lit(0))).alias("phrase"))
+    found = concepts.discover(docs, phrases, stop=STOP, least=2)
+    return found.select("name", "normalized_name", "frequency", F.round("importance", 9).alias("importance"))
 
 
 @query("vec04_dense_topk", f"WITH {DENSE_SQL.format(k=10)} SELECT id AS vec_id, round(score, 6) AS score FROM dense")
@@ -169,14 +189,16 @@ def src06(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("agg03_index_stats", "SELECT o_orderpriority, count(DISTINCT o_orderkey) AS n_orders, count(DISTINCT l_partkey) AS n_parts, count(l_orderkey) AS n_lines FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def agg03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    return both.groupBy("o_orderpriority").agg(F.countDistinct("o_orderkey").alias("n_orders"), F.countDistinct("l_partkey").alias("n_parts"), F.count("l_orderkey").alias("n_lines"))
+    line = F.struct("l_orderkey", "l_linenumber")
+    lines = table(spark, sf_dir, "lineitem")
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority")
+    stats = tables.index_stats(docs, lines.select(line.alias("id"), F.col("l_orderkey").alias("document_id")), lines.select(line.alias("chunk_id"), F.col("l_partkey").alias("canonical_id")), by="o_orderpriority")
+    return stats.withColumnsRenamed({"n_documents": "n_orders", "n_chunks": "n_lines", "n_entities": "n_parts"})
 
 
 @query("agg09_status_counts", "SELECT count(*) FILTER (o_orderstatus = 'F') AS completed, count(*) FILTER (o_orderstatus IN ('O', 'P')) AS pending, count(*) FILTER (o_orderstatus NOT IN ('F', 'O', 'P')) AS failed FROM orders")
 def agg09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("o_orderstatus")
-    return table(spark, sf_dir, "orders").agg(F.count_if(s == "F").alias("completed"), F.count_if(s.isin("O", "P")).alias("pending"), F.count_if(~s.isin("F", "O", "P")).alias("failed"))
+    return tables.status_counts(table(spark, sf_dir, "orders"), F.col("o_orderstatus"), {"completed": ("F",), "pending": ("O", "P"), "failed": ("X",)})
 
 
 @query("agg10_set_metrics", "SELECT *, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END::DOUBLE AS precision, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END::DOUBLE AS recall, CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END::DOUBLE AS f1 FROM (SELECT count(*) FILTER (p AND g) AS tp, count(*) FILTER (p AND NOT g) AS fp, count(*) FILTER (g AND NOT p) AS fn FROM (SELECT n_chars >= 1000 AS p, quality = 1 AS g FROM labels JOIN documents USING (doc_id)))")
@@ -185,9 +207,9 @@ def agg10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.set_metrics(both.where("n_chars >= 1000"), both.where("quality = 1"))
 
 
-@query("res08_backfill", "SELECT lang AS organization_id, lower(source) AS normalized_name, 'SYSTEM' AS entity_type, min(source) AS name, min(left(text, 20)) AS description FROM documents GROUP BY 1, 2")
+@query("res08_backfill", "SELECT lang AS organization_id, lower(source) AS normalized_name, 'SYSTEM' AS entity_type, min(source) AS name, min(text) AS description FROM documents GROUP BY 1, 2")
 def res08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("organization_id"), F.lower("source").alias("normalized_name"), F.lit("SYSTEM").alias("entity_type"), F.col("source").alias("name"), F.left("text", F.lit(20)).alias("description"))
+    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("organization_id"), F.lower("source").alias("normalized_name"), F.lit("SYSTEM").alias("entity_type"), F.col("source").alias("name"), F.col("text").alias("description"))
     return entities.backfill(rows)
 
 
@@ -261,9 +283,9 @@ GRAPH_SQL = (
     "edges AS (SELECT 'N' || n_nationkey AS source, 'R' || n_regionkey AS target, 1.0 AS base, 'DEPENDS_ON' AS t, (900 + n_nationkey % 100) / 1000.0::DOUBLE AS confidence FROM nation UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey, 0.88, 'OWNED_BY', (900 + c_custkey % 100) / 1000.0::DOUBLE FROM customer UNION ALL SELECT 'S' || s_suppkey, 'N' || s_nationkey, 0.9, 'SUPPORTS', (900 + s_suppkey % 100) / 1000.0::DOUBLE FROM supplier), "
     "und AS (SELECT source AS u, target AS v, base::DOUBLE * confidence AS s, t FROM edges UNION ALL SELECT target, source, base::DOUBLE * confidence, t FROM edges), "
     "seeds AS (SELECT 'S' || s_suppkey AS id, 0.95::DOUBLE AS semantic FROM supplier WHERE s_acctbal > 5000), "
-    "d1 AS (SELECT id AS seed, v AS node, 1 AS distance, s, [t] AS labels FROM seeds JOIN und ON u = id), "
-    "d2 AS (SELECT seed, v AS node, 2 AS distance, min(least(d1.s, und.s)) AS s, any_value(list_append(labels, t)) AS labels FROM d1 JOIN und ON u = node WHERE v <> seed AND NOT EXISTS (SELECT 1 FROM d1 x WHERE x.seed = d1.seed AND x.node = und.v) GROUP BY seed, v), "
-    "d3 AS (SELECT seed, v AS node, 3 AS distance, min(least(d2.s, und.s)) AS s, any_value(list_append(labels, t)) AS labels FROM d2 JOIN und ON u = node WHERE v <> seed AND NOT EXISTS (SELECT 1 FROM d1 x WHERE x.seed = d2.seed AND x.node = und.v) AND NOT EXISTS (SELECT 1 FROM d2 x WHERE x.seed = d2.seed AND x.node = und.v) GROUP BY seed, v), "
+    "d1 AS (SELECT id AS seed, v AS node, 1 AS distance, s, [t] AS labels, [id, v] AS path FROM seeds JOIN und ON u = id), "
+    "d2 AS (SELECT seed, v AS node, 2 AS distance, min(least(d1.s, und.s)) AS s, any_value(list_append(labels, t)) AS labels, min(list_append(path, v)) AS path FROM d1 JOIN und ON u = node WHERE v <> seed AND NOT EXISTS (SELECT 1 FROM d1 x WHERE x.seed = d1.seed AND x.node = und.v) GROUP BY seed, v), "
+    "d3 AS (SELECT seed, v AS node, 3 AS distance, min(least(d2.s, und.s)) AS s, any_value(list_append(labels, t)) AS labels, min(list_append(path, v)) AS path FROM d2 JOIN und ON u = node WHERE v <> seed AND NOT EXISTS (SELECT 1 FROM d1 x WHERE x.seed = d2.seed AND x.node = und.v) AND NOT EXISTS (SELECT 1 FROM d2 x WHERE x.seed = d2.seed AND x.node = und.v) GROUP BY seed, v), "
     "reach AS (SELECT * FROM d1 UNION ALL SELECT * FROM d2 UNION ALL SELECT * FROM d3)"
 )
 
@@ -323,9 +345,15 @@ def imp05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact.fold_evidence(rows.select("canonical", "rank", "evidence"), "canonical").select("canonical", F.round("evidence", 6).alias("evidence"), "occurrences")
 
 
-@query("cli08_cascade")
+@query(
+    "cli08_cascade",
+    IMPACT_SQL.rsplit("SELECT id, round(raw, 4)", 1)[0].rstrip() + ", res AS (SELECT id, seed, round(raw, 4) AS score, distance FROM best WHERE n = 1), ways AS (SELECT seed, node, path FROM reach), "
+    "steps AS (SELECT res.id, unnest(ways.path[:-2]) AS hit, unnest(range(1, len(ways.path))) AS step_no FROM res JOIN ways ON ways.seed = res.seed AND ways.node = res.id), "
+    "on_path AS (SELECT steps.id, arg_max(hit, step_no) AS by_path FROM steps JOIN res r ON r.id = hit WHERE hit <> steps.id GROUP BY 1), lone AS (SELECT distance + 1 AS distance, min(id) AS only_ FROM res GROUP BY distance HAVING count(*) = 1) "
+    "SELECT res.id, coalesce(by_path, CASE WHEN only_ <> res.id THEN only_ END) AS parent, 420 + 390 * res.distance AS x, 70 + 205 * (row_number() OVER (PARTITION BY res.distance ORDER BY score DESC, res.id) - 1) AS y FROM res LEFT JOIN on_path USING (id) LEFT JOIN lone ON lone.distance = res.distance",
+)
 def cli08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.cascade(star_impact(spark, sf_dir))
+    return views.cascade(star_impact(spark, sf_dir).join(star_graph(spark, sf_dir)[0].select("id", "name"), "id"))
 
 
 @query("cli02_search", "SELECT doc_id, source, lang FROM documents WHERE (contains(lower(source), 'src1') OR contains(lower(lang), 'src1')) AND upper(lang) = 'EN'")
@@ -340,8 +368,7 @@ def cli01(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("cli10_json_sizes", "SELECT event_id, greatest(0, coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT), 0)) AS n FROM events")
 def cli10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    props = F.col("props")
-    return table(spark, sf_dir, "events").select("event_id", F.greatest(F.lit(0), F.coalesce(F.get_json_object(props, "$.k").try_cast("bigint"), F.lit(0))).alias("n"))
+    return table(spark, sf_dir, "events").select("event_id", views.size_bytes(F.replace("props", F.lit('"k"'), F.lit('"size_bytes"'))).alias("n"))
 
 
 @query("cli06_severity", "SELECT o_orderpriority, CASE WHEN o_totalprice > 200000 THEN 'critical' WHEN o_totalprice > 100000 THEN 'medium' ELSE 'low' END AS severity, count(*) AS n FROM orders GROUP BY 1, 2")
@@ -353,13 +380,15 @@ def cli06(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("src07_documents_by_source", "SELECT source, doc_id, n_chars FROM documents WHERE lang = 'en'")
 def src07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("source", "doc_id", "n_chars").orderBy(F.desc("doc_id"))
+    return tables.tenant_documents(table(spark, sf_dir, "documents"), "en", "lang", "doc_id").select("source", "doc_id", "n_chars")
 
 
 @query("joi03_three_way", "SELECT n_name, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name")
 def joi03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
-    rows = table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("evidence_chunk_id"), "o_totalprice")
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("document_id"))
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("organization_id"))
+    rows = tables.located_relations(orders, customers, nations).withColumnRenamed("organization_id", "n_name")
     return rows.groupBy("n_name").agg(F.count("*").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
@@ -367,3 +396,223 @@ def joi03(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ent11(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = chunking.chunks(table(spark, sf_dir, "documents")).select(F.concat_ws("-", "document_id", "chunk_index").alias("chunk_id"), "content")
     return entities.mentions(entities.without_overlaps(entities.candidates(chunks)))
+
+
+# spans that overlap: lines of an order as spans of a chunk
+MODE = "CASE l_suppkey % 4 WHEN 0 THEN 'truck' WHEN 1 THEN 'rail' WHEN 2 THEN 'ship' ELSE 'air' END"
+SPANS = "l_partkey % 60 AS start, l_partkey % 60 + 5 + l_suppkey % 20 AS end_"
+SOURCES = "CASE l_returnflag WHEN 'A' THEN 'STRUCTURAL' WHEN 'R' THEN 'PHRASE' ELSE CASE WHEN l_linenumber = 1 THEN 'API' ELSE 'NAMED' END END"
+X_IN_Y, Y_IN_X = "y.start <= x.start AND y.end_ >= x.end_", "x.start <= y.start AND x.end_ >= y.end_"
+X_BEATS_Y, Y_BEATS_X = "x.source = 'STRUCTURAL' AND y.source NOT IN ('STRUCTURAL', 'API')", "y.source = 'STRUCTURAL' AND x.source NOT IN ('STRUCTURAL', 'API')"
+MET = f"list_filter(a, lambda y: x.start < y.end_ AND y.start < x.end_ AND (x.name = y.name OR ({X_BEATS_Y}) OR ({Y_BEATS_X}) OR ({X_IN_Y}) OR ({Y_IN_X})))"
+GOES = f"list_transform({MET}[1:1], lambda y: x.name = y.name OR (NOT ({X_BEATS_Y}) AND (({Y_BEATS_X}) OR ({X_IN_Y}))))[1]"
+
+
+@query(
+    "ent07_overlaps",
+    f"WITH s AS (SELECT DISTINCT l_orderkey AS id, {SPANS}, {MODE} AS name, (600 + l_linenumber)::DOUBLE / 1000 AS score, {SOURCES} AS source FROM lineitem), "
+    "r AS (SELECT id, {'p': -(score + CASE source WHEN 'API' THEN 2.0::DOUBLE WHEN 'STRUCTURAL' THEN 1.5 ELSE 0 END + 0.1::DOUBLE), 'start': start, 'end_': end_, 'name': name, 'score': score, 'source': source} AS x FROM s), "
+    "g AS (SELECT id, list(x ORDER BY round(x.p, 9), x.start, x.end_, x.name, x.score, x.source) AS xs FROM r GROUP BY id), "
+    f"k AS (SELECT id, unnest(list_reduce(xs, lambda a, x: CASE WHEN len({MET}) = 0 THEN list_append(a, x) WHEN {GOES} THEN a ELSE list_append(list_filter(a, lambda z: z <> {MET}[1]), x) END, xs[1:0])) AS y FROM g) "
+    "SELECT id, y.name AS name, y.start AS start, y.end_ AS end_, y.source AS source FROM k",
+)
+def ent07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.expr(MODE)
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), name.alias("name"), name.alias("normalized_name"), F.expr("l_partkey % 60 AS start"), F.expr("l_partkey % 60 + 5 + l_suppkey % 20 AS end"), ((600 + F.col("l_linenumber")) / 1000.0).cast("double").alias("score"), F.expr(f"{SOURCES} AS source"))
+    return entities.without_overlaps(rows.distinct()).select("id", "name", "start", F.col("end").alias("end_"), "source")
+
+
+POS = "CASE length({w}) % 4 WHEN 0 THEN 'PROPN' WHEN 1 THEN 'NOUN' WHEN 2 THEN 'ADJ' ELSE 'VERB' END"
+GENERIC_SQL = ", ".join(f"'{w}'" for w in (*entities.GENERIC, *[w for ws in entities.MARKERS.values() for w in ws.split()]))
+
+
+@query(
+    "ent09_phrases",
+    f"WITH w AS (SELECT p_partkey, string_split(p_type || ' ' || p_name, ' ') AS ws FROM part), c AS (SELECT *, list_filter(ws, lambda w: length(w) > 4) AS content FROM w), "
+    f"f AS (SELECT *, CASE WHEN len(content) = 1 THEN {POS.format(w='content[1]')} = 'PROPN' AND lower(content[1]) NOT IN ({GENERIC_SQL}) ELSE {POS.format(w='ws[-1]')} IN ('NOUN', 'PROPN') END AS ok FROM c WHERE len(ws) <= 7 AND len(list_filter(content, lambda w: {POS.format(w='w')} IN ('NOUN', 'PROPN'))) > 0) "
+    "SELECT p_partkey AS id, CASE WHEN len(content) >= 3 THEN 0.72 ELSE 0.62 END::DOUBLE AS score FROM f WHERE ok",
+)
+def ent09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat_ws(" ", "p_type", "p_name")
+    ws = F.split(text, " ")
+    pos = lambda w: F.when(F.length(w) % 4 == 0, "PROPN").when(F.length(w) % 4 == 1, "NOUN").when(F.length(w) % 4 == 2, "ADJ").otherwise("VERB")
+    word = lambda w, i: F.struct(w.alias("text"), w.alias("lemma"), pos(w).alias("pos"), (F.length(w) <= 4).alias("stop"), F.lit(False).alias("starts"), (i == F.size(ws) - 1).alias("root"))
+    spans = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.alias("text"), F.lit(0).alias("start"), F.length(text).alias("end"), F.lit(None).cast("string").alias("label"), F.transform(ws, word).alias("tokens"))
+    return entities.annotated(spans).select("id", "score")
+
+
+@query("con01_candidates", f"WITH p AS (SELECT trim(regexp_replace(regexp_replace(regexp_replace(c_name || ' ' || c_mktsegment || '!', '#0+', ' '), '\\s+', ' ', 'g'), '^[.,;:!?()]+|[.,;:!?()]+$', '', 'g')) AS name FROM customer) SELECT name, regexp_replace(lower(name), '[^a-z0-9_ -]', '', 'g') AS normalized_name FROM p WHERE len(string_split(name, ' ')) <= 5")
+def con01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phrase = F.regexp_replace(F.concat("c_name", F.lit(" "), "c_mktsegment", F.lit("!")), "#0+", " ")
+    return concepts.candidates(table(spark, sf_dir, "customer").select(phrase.alias("phrase")))
+
+
+@query("res05_descriptions", "WITH told AS (SELECT c_nationkey AS k, arg_min(c_mktsegment, c_custkey) AS t FROM customer WHERE c_mktsegment <> '' GROUP BY 1) SELECT n_nationkey AS id, CASE WHEN n_regionkey % 2 = 0 THEN n_name ELSE coalesce(t, '') END AS description FROM nation LEFT JOIN told ON k = n_nationkey")
+def res05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    canonical = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.when(F.col("n_regionkey") % 2 == 0, F.col("n_name")).otherwise("").alias("description"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("canonical_id"), F.col("c_custkey").alias("position"), F.col("c_mktsegment").alias("description"))
+    return entities.described(canonical, rows)
+
+
+@query("res06_per_chunk", "SELECT l_orderkey AS chunk_id, lower(trim(l_linestatus)) AS normalized_name, upper(trim(l_returnflag)) AS entity_type, min(l_linenumber) AS place FROM lineitem GROUP BY 1, 2, 3")
+def res06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.col("l_linestatus").alias("normalized_name"), F.lower("l_returnflag").alias("entity_type"), F.col("l_linenumber").alias("place"))
+    return entities.per_chunk(rows)
+
+
+@query("rec12_merge", "SELECT o_orderkey AS id, CASE WHEN o_custkey % 3 = 0 THEN o_custkey - o_custkey % 10 ELSE o_custkey END AS canonical_id FROM orders WHERE o_custkey IS NOT NULL")
+def rec12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    canonical = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    merges = canonical.where("id % 3 = 0").select(F.col("id").alias("drop_id"), (F.col("id") - F.col("id") % 10).alias("keep_id"))
+    moved, _ = entities.merge(table(spark, sf_dir, "orders").where("o_custkey is not null").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("canonical_id")), canonical, merges)
+    return moved
+
+
+@query("rec14_validated", "SELECT s.s_suppkey AS keep_id, t.s_suppkey AS drop_id FROM supplier s JOIN supplier t ON t.s_suppkey = s.s_suppkey + 1 WHERE s.s_nationkey % 5 = t.s_nationkey % 5")
+def rec14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    canonical = s.select(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") % 5).alias("organization_id"), F.when(F.col("s_suppkey") % 2 == 0, "api").otherwise("API").alias("entity_type"))
+    pairs = s.select(F.col("s_suppkey").alias("keep_id"), (F.col("s_suppkey") + 1).alias("drop_id")).unionAll(s.select("s_suppkey", "s_suppkey"))
+    return entities.validated(pairs, canonical)
+
+
+@query("gra03_node", "SELECT 'N' || n_nationkey AS id, n_name AS name, 'SYSTEM' AS entity_type FROM nation WHERE n_nationkey = 7")
+def gra03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.node(star_graph(spark, sf_dir)[0], "N7")
+
+
+@query("gra05_edges_between", f"WITH {GRAPH_SQL} SELECT source, target, t AS relationship_type, confidence FROM edges WHERE source = 'N7' AND target = (SELECT 'R' || n_regionkey FROM nation WHERE n_nationkey = 7)")
+def gra05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    region = table(spark, sf_dir, "nation").where("n_nationkey = 7").select("n_regionkey").first()[0]
+    return graph.edges_between(star_graph(spark, sf_dir)[1], "N7", f"R{region}")
+
+
+@query("gra08_counts", f"WITH {GRAPH_SQL} SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges")
+def gra08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.counts(*star_graph(spark, sf_dir))
+
+
+@query("gra02_resolved_edges", "SELECT n1.n_regionkey AS source, n2.n_regionkey AS target, 'CALLS' AS relationship_type, max((900 + s_suppkey % 100) / 1000.0)::DOUBLE AS confidence FROM supplier JOIN nation n1 ON n1.n_nationkey = s_nationkey JOIN nation n2 ON n2.n_nationkey = (s_nationkey + 3) % 25 WHERE n1.n_regionkey <> n2.n_regionkey GROUP BY 1, 2")
+def gra02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("source"), ((F.col("s_nationkey") + 3) % 25).alias("target"), F.lit(" calls ").alias("relationship_type"), ((900 + F.col("s_suppkey") % 100) / 1000.0).cast("double").alias("confidence"))
+    return graph.resolve(edges, table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("canonical_id")))
+
+
+@query("src08_lookup", "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 3")
+def src08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.lookup(table(spark, sf_dir, "customer"), c_mktsegment="BUILDING", c_nationkey=3).select("c_custkey", "c_name")
+
+
+def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("chunk_index"), F.col("l_partkey").alias("part"))
+
+
+@query("src09_document_chunks", "SELECT l_orderkey AS document_id, l_linenumber AS chunk_index, l_partkey AS part FROM lineitem WHERE l_orderkey = (SELECT min(l_orderkey) FROM lineitem)")
+def src09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = line_chunks(spark, sf_dir)
+    return tables.document_chunks(chunks, chunks.agg(F.min("document_id")).first()[0])
+
+
+@query("src10_organizations", "SELECT n_nationkey, n_name FROM nation")
+def src10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.organizations(table(spark, sf_dir, "nation"), "n_nationkey").select("n_nationkey", "n_name")
+
+
+@query("joi01_tenant_chunks", "SELECT l_orderkey AS document_id, l_linenumber AS chunk_index, l_partkey AS part FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT'")
+def joi01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority")
+    return tables.tenant_chunks(line_chunks(spark, sf_dir), docs, "1-URGENT", "o_orderpriority")
+
+
+@query("joi02_source_documents", "WITH d AS (SELECT DISTINCT l_partkey AS id, c_name, c_custkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey) SELECT p_partkey AS id, count(c_name) AS n, min(c_name) AS first_name FROM part LEFT JOIN d ON d.id = p_partkey GROUP BY 1")
+def joi02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mentions = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("canonical_id"), F.col("l_orderkey").alias("chunk_id"))
+    chunks = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("document_id"))
+    documents = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("filename"))
+    found = impact.source_documents(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), mentions, chunks, documents)
+    return found.select("id", F.size("documents").cast("long").alias("n"), F.try_element_at("documents", F.lit(1))["filename"].alias("first_name"))
+
+
+@query("agg01_document_chunks", "SELECT count(*) AS n FROM lineitem WHERE l_orderkey = 1")
+def agg01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.count_for(line_chunks(spark, sf_dir), "document_id", 1)
+
+
+@query("agg06_members", "SELECT n_nationkey AS key, list(s_suppkey ORDER BY s_suppkey) AS members FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1")
+def agg06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.collected(table(spark, sf_dir, "supplier"), F.col("s_nationkey"), "s_suppkey")
+
+
+@query("agg08_largest", "SELECT coalesce(max(l_linenumber), 0) AS l_linenumber FROM lineitem")
+def agg08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.largest(table(spark, sf_dir, "lineitem"), "l_linenumber")
+
+
+@query("srt06_recent", "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 4")
+def srt06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.recent(table(spark, sf_dir, "orders"), 4, "o_orderdate", "o_orderkey").select("o_orderkey")
+
+
+@query(
+    "srt05_results",
+    IMPACT_SQL.rsplit("SELECT id, round(raw, 4)", 1)[0].rstrip() + " SELECT id, round(raw, 4) AS score FROM best JOIN nodes USING (id) WHERE n = 1 AND raw >= 0.75 AND nodes.entity_type = 'API'",
+)
+def srt05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = star_impact(spark, sf_dir).join(star_graph(spark, sf_dir)[0].select("id", "entity_type"), "id")
+    return views.sorted_results(rows, "risk", "critical", "API").select("id", "score")
+
+
+@query(
+    "chg04_value_changes",
+    "WITH r AS (SELECT o_orderkey, 1 + o_orderkey % 90 AS a, 1 + o_custkey % 5 AS b FROM orders WHERE o_custkey IS NOT NULL) SELECT o_orderkey, 'VALUE_CHANGE' AS change_type, a || ' minutes' AS old_raw, b || ' hours' AS new_raw, CASE WHEN b * 60 > a THEN 'INCREASE' WHEN b * 60 < a THEN 'DECREASE' ELSE 'CHANGE' END AS direction, round(abs(b * 60 - a) / a::DOUBLE, 6) AS magnitude, 'hold time of order ' || o_orderkey AS subject FROM r",
+)
+def chg04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").where("o_custkey is not null").select("o_orderkey", F.expr("concat('Change the hold time of order ', o_orderkey, ' from ', 1 + o_orderkey % 90, ' minutes to ', 1 + o_custkey % 5, ' hours for all.') AS query"))
+    return change.specified(rows).select("o_orderkey", "change_type", "old_raw", "new_raw", "direction", F.round("magnitude", 6).alias("magnitude"), "subject")
+
+
+@query(
+    "rel02_triggers",
+    "SELECT s_suppkey AS chunk_id, 'S' AS source, 'N' AS target, CASE s_suppkey % 3 WHEN 0 THEN 'DEPENDS_ON' WHEN 1 THEN 'OWNED_BY' ELSE 'ROUTES_TO' END AS relationship_type, CASE s_suppkey % 3 WHEN 1 THEN 0.98 ELSE 0.96 END::DOUBLE AS confidence FROM supplier",
+)
+def rel02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    verb = F.when(F.col("s_suppkey") % 3 == 0, " depends on ").when(F.col("s_suppkey") % 3 == 1, " is owned by ").otherwise(" routes to ")
+    chunks = both.select(F.col("s_suppkey").alias("chunk_id"), F.concat(F.lit("It is so. "), "s_name", verb, "n_name", F.lit(". So it is.")).alias("content"))
+    names = both.select(F.col("s_suppkey").alias("chunk_id"), F.lit("S").alias("id"), F.col("s_name").alias("name")).unionAll(both.select("s_suppkey", F.lit("N"), "n_name"))
+    return relations.extract(chunks, names).drop("evidence")
+
+
+@query(
+    "imp07_contexts",
+    "SELECT l_suppkey AS canonical_id, arg_min(l_returnflag, [l_orderkey, l_linenumber]) AS name, count(*) AS occurrences FROM lineitem GROUP BY 1",
+)
+def imp07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("canonical_id"), F.col("l_orderkey").alias("rank"), F.col("l_linenumber").alias("place"), F.col("l_returnflag").alias("name"), F.lit("").alias("description"))
+    return impact.contexts(rows).select("canonical_id", "name", "occurrences")
+
+
+PLAIN_SQL = (
+    f"both_ AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1, '{ASKED}'), tok AS (SELECT id, {TOKENS_SQL} AS t FROM both_), terms AS (SELECT id, unnest({GRAMS_SQL}) AS term FROM tok), counts AS (SELECT id, term, count(*) AS tf FROM terms GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM both_), "
+    "idf AS (SELECT term, ln((1.0 + any_value(n.n)) / (1.0 + count(*))) + 1.0 AS idf FROM counts, n GROUP BY term), w AS (SELECT id, term, tf * idf AS w FROM counts JOIN idf USING (term)), q AS (SELECT term, w / sqrt(sum(w * w) OVER ()) AS wq FROM w WHERE id = -1), "
+    "s AS (SELECT id, sum(w * coalesce(wq, 0)) / sqrt(sum(w * w)) AS s FROM w LEFT JOIN q USING (term) WHERE id <> -1 GROUP BY id)"
+)
+
+
+@query("lex09_context_similarity", f"WITH {PLAIN_SQL} SELECT doc_id AS id, round(least(1.0, greatest(0.0, coalesce(s, 0.0))), 6) AS lexical FROM documents LEFT JOIN s ON s.id = doc_id")
+def lex09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.similarity_to(ASKED, table(spark, sf_dir, "documents"), "doc_id", "text", STOP).select("id", F.round("lexical", 6).alias("lexical"))
+
+
+@query("imp24_analysis")
+def imp24(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request over documents as chunks, their vectors, and suppliers that they mention."""
+    docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    nodes, edges = star_graph(spark, sf_dir)
+    first = first_vector(vectors)
+    nodes = nodes.withColumn("vector", F.array(*[F.lit(float(x)) for x in first]))
+    n = table(spark, sf_dir, "supplier").count()
+    mentions = docs.select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("S"), (F.col("doc_id") % n + 1).cast("string")).alias("canonical_id"), F.concat_ws(" ", "source", "lang").alias("name"), F.substring("text", 1, 200).alias("description"), F.lit(0).alias("place"))
+    chunks = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("document_id"), F.col("text").alias("content"))
+    found = impact_analysis.analyze(chunks, vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), mentions, nodes, edges, docs.select(F.col("doc_id").alias("id"), F.concat_ws("/", "source", "doc_id").alias("filename")), ASKED, first, stop=STOP)
+    return found.select("id", "name", "score", "level", "distance", "path", "label", "category", F.size("documents").alias("n_documents"))

@@ -1,10 +1,13 @@
+import math
 import re
+import zipfile
 
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
-from lodestone.operators import change, chunking, entities, graph, impact, relations, views
-from lodestone.sources import files
+from lodestone.operators import change, chunking, concepts, entities, graph, impact, relations, retrieval, views
+from lodestone.plans import impact_analysis
+from lodestone.sources import files, tables
 
 
 def sequential_chunks(text, most=180, overlap=30):
@@ -128,3 +131,133 @@ def test_merging_and_paths_go_on_to_the_end(spark):
     edges = spark.createDataFrame(chain, "source string, target string, relationship_type string, confidence double")
     assert graph.shortest_path(edges, "n9", "n0").first()["path"] == [f"n{i}" for i in reversed(range(10))]
     assert graph.shortest_path(edges, "n0", "x").count() == graph.shortest_path(edges, "n0", "n9", 8).count() == 0
+
+
+SPAN = "id int, name string, normalized_name string, start int, end int, score double, source string"
+
+
+def kept_spans(spark, *spans):
+    rows = [(1, n, n.lower(), a, b, s, k) for n, a, b, s, k in spans]
+    return sorted((r["name"], r["start"]) for r in entities.without_overlaps(spark.createDataFrame(rows, SPAN)).collect())
+
+
+def test_overlapping_spans(spark):
+    # a part of a longer name goes there, and stays where it stands alone
+    assert kept_spans(spark, ("Pricing API", 0, 11, 1.0, "NAMED"), ("Pricing API Gateway", 0, 19, 1.0, "NAMED"), ("Pricing API", 40, 51, 1.0, "NAMED")) == [("Pricing API", 40), ("Pricing API Gateway", 0)]
+    # spans that overlap in part both stay; a structural one takes a noun phrase's place
+    assert kept_spans(spark, ("Alpha Beta", 0, 10, 0.9, "NAMED"), ("Beta Gamma", 6, 16, 0.8, "NAMED")) == [("Alpha Beta", 0), ("Beta Gamma", 6)]
+    assert kept_spans(spark, ("Alpha Team", 0, 10, 0.9, "STRUCTURAL"), ("Team Gamma", 6, 16, 0.95, "PHRASE")) == [("Alpha Team", 0)]
+    # a containing span takes the place of one kept span only
+    assert kept_spans(spark, ("One API", 0, 7, 1.0, "NAMED"), ("Two API", 8, 15, 1.0, "NAMED"), ("One Two Three", 0, 20, 0.1, "NAMED")) == [("One Two Three", 0), ("Two API", 8)]
+
+
+def test_every_place_of_a_name(spark):
+    chunks = spark.createDataFrame([(1, "Rate Engine reads. And then Rate Engine writes."), (2, None), (3, "")], "chunk_id int, content string")
+    got = {(r["normalized_name"], r["start"]) for r in entities.candidates(chunks).collect()}
+    assert ("rate engine", 0) in got and any(n == "rate engine" and s > 0 for n, s in got)
+
+
+def test_annotated_spans(spark):
+    word = lambda t, pos, stop=False, starts=False, root=False: (t, t.lower(), pos, stop, starts, root)
+    rows = [
+        (1, "Acme", 0, 4, "ORG", [word("Acme", "PROPN", starts=True)]),
+        (2, "Monday", 0, 6, "DATE", [word("Monday", "PROPN", starts=True)]),
+        (3, "the rate lock policy", 0, 20, None, [word("the", "DET", True), word("rate", "NOUN"), word("lock", "NOUN"), word("policy", "NOUN", root=True)]),
+        (4, "quickly done", 0, 12, None, [word("quickly", "ADV"), word("done", "VERB", root=True)]),
+        (5, "thing", 0, 5, None, [word("thing", "NOUN", root=True)]),
+        (6, None, 0, 0, None, None),
+    ]
+    kind = "id int, text string, start int, end int, label string, tokens array<struct<text:string,lemma:string,pos:string,stop:boolean,starts:boolean,root:boolean>>"
+    got = {(r["id"], r["name"], r["score"]) for r in entities.annotated(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {(1, "Acme", 0.95), (3, "rate lock policy", 0.72)}
+
+
+def test_concepts_of_few_documents(spark):
+    docs = spark.createDataFrame([(1, "rate lock rate"), (2, "lock desk"), (3, None)], "doc_id int, text string")
+    phrases = spark.createDataFrame([("Rate Lock.",), (" rate  lock",), ("thing",), ("ab",), ("1234",), ("a b c d e f",), ("nowhere",), (None,)], "phrase string")
+    got = {r["name"]: r for r in concepts.discover(docs, phrases).collect()}
+    assert set(got) == {"Rate Lock", "rate lock", "nowhere"} and got["nowhere"]["importance"] == 0
+    # by hand: smooth idf, sublinear counts, unit rows
+    idf = lambda df: math.log(4 / (1 + df)) + 1
+    one = {"rate": (1 + math.log(2)) * idf(1), "lock": idf(2), "rate lock": idf(1), "lock rate": idf(1), "rate lock rate": idf(1)}
+    two = {"lock": idf(2), "desk": idf(1), "lock desk": idf(1)}
+    length = lambda d: math.sqrt(sum(x * x for x in d.values()))
+    expected = ((one["rate"] + one["lock"]) / length(one) + two["lock"] / length(two)) / (3 * 2)
+    assert abs(got["Rate Lock"]["importance"] - expected) < 1e-9
+    assert concepts.discover(docs.limit(0), phrases).where("importance > 0").count() == 0
+
+
+def test_resolution_of_a_batch(spark):
+    chunks = spark.createDataFrame([(10, 2, 0), (11, 1, 0)], "id int, document_id int, chunk_index int")
+    rows = [(1, 10, 0, "o", "API", "rate api", [1.0, 0.0]), (2, 11, 0, "o", "API", "rate lock api", [1.0, 0.05]), (3, 11, 1, "o", "API", "desk", [0.0, 1.0])]
+    mentions = spark.createDataFrame(rows, "id int, chunk_id int, place int, organization_id string, entity_type string, normalized_name string, vector array<double>")
+    got = {r["id"]: r["canonical_id"] for r in entities.resolve_batch(mentions, chunks).collect()}
+    assert got == {1: 2, 2: 2, 3: 3}  # document 1 comes first, so its name founds the entity
+
+
+def test_equal_names_are_paired_with_no_one(spark):
+    rows = [(i, "rate lock", "API", [1.0]) for i in range(40)] + [(99, "new rate lock", "API", [1.0])]
+    found = entities.duplicates(spark.createDataFrame(rows, "id int, normalized_name string, entity_type string, vector array<double>"))
+    assert {(r["first_id"], r["second_id"]) for r in found.collect()} == {(i, 99) for i in range(40)}
+    assert [r["first_id"] for r in entities.in_order(found).limit(1).collect()] != []
+
+
+def test_cascade_falls_back_to_names(spark):
+    rows = [("a", "Alpha", 0, ["a"], 0.9), ("b", "Beta", 1, [" ALPHA ", "b"], 0.8), ("c", "Gamma", 2, ["x", "c"], 0.7), ("d", "Delta", 4, ["y", "d"], 0.6)]
+    got = {r["id"]: (r["parent"], r["x"], r["y"]) for r in views.cascade(spark.createDataFrame(rows, "id string, name string, distance int, path array<string>, score double")).collect()}
+    assert got == {"a": (None, 420, 70), "b": ("a", 810, 70), "c": ("b", 1200, 70), "d": (None, 1980, 70)}
+
+
+def test_similarity_by_hand(spark):
+    rows = spark.createDataFrame([(1, "rate lock"), (2, "desk"), (3, None)], "id int, text string")
+    got = {r["id"]: r["lexical"] for r in retrieval.similarity_to("rate desk desk", rows, "id", "text").collect()}
+    idf = lambda df: math.log(5 / (1 + df)) + 1
+    q = {"rate": idf(2), "desk": 2 * idf(2), "rate desk": idf(1), "desk desk": idf(1)}
+    one = {"rate": idf(2), "lock": idf(1), "rate lock": idf(1)}
+    length = lambda d: math.sqrt(sum(x * x for x in d.values()))
+    assert abs(got[1] - q["rate"] * one["rate"] / length(q) / length(one)) < 1e-9
+    assert abs(got[2] - q["desk"] / length(q)) < 1e-9 and got[3] == 0
+
+
+def test_analysis_of_a_request(spark):
+    chunks = spark.createDataFrame([(1, 7, "The rate lock service calls the pricing api."), (2, 8, "Nothing of that."), (3, 8, "Lunch is at noon.")], "id int, document_id int, content string")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 1.0])], "id int, vector array<double>")
+    mentions = spark.createDataFrame([(1, "s", "Rate Lock Service", "locks a rate", 0), (1, "p", "Pricing API", None, 1), (2, "s", "rate lock", "", 0)], "chunk_id int, canonical_id string, name string, description string, place int")
+    nodes = spark.createDataFrame([("s", "Rate Lock Service", "SYSTEM", [1.0, 0.0]), ("p", "Pricing API", "API", [0.0, 1.0]), ("t", "Desk Team", "TEAM", [0.0, 1.0])], "id string, name string, entity_type string, vector array<double>")
+    edges = spark.createDataFrame([("s", "p", "CALLS", 1.0), ("p", "t", "OWNED_BY", 1.0), ("s", "gone", "CALLS", 1.0)], "source string, target string, relationship_type string, confidence double")
+    documents = spark.createDataFrame([(7, "b.txt"), (8, "a.txt")], "id int, filename string")
+    ask = lambda query: {r["id"]: r for r in impact_analysis.analyze(chunks, vectors, mentions, nodes, edges, documents, query, [1.0, 0.0]).collect()}
+    got = ask("Change the rate lock service from 5 to 3 days.")
+    assert got["s"]["distance"] == 0 and got["s"]["category"] == "DIRECT_CHANGE" and [d["filename"] for d in got["s"]["documents"]] == ["a.txt", "b.txt"]
+    assert got["p"]["path"] == ["s", "p"] and got["p"]["label"] == "CALLS" and [d["filename"] for d in got["p"]["documents"]] == ["b.txt"]
+    assert "t" not in got or (got["t"]["category"] == "STAKEHOLDER" and got["t"]["documents"] == [])
+    assert ask("  ") == {}
+    hits = impact_analysis.relevant_chunks(chunks, vectors, "rate lock", [1.0, 0.0], 10)
+    rated = {r["id"]: r for r in impact_analysis.entity_scores(hits, mentions, nodes, "rate lock", [1.0, 0.0]).collect()}
+    assert rated["s"]["similarity"] > 0.75 and rated["p"]["similarity"] == 0 and not rated["s"]["named"]
+
+
+def test_tables_and_merges(spark, tmp_path):
+    canonical = spark.createDataFrame([(1, "o", "api"), (2, "o", "API"), (3, "x", "API"), (4, "o", "TEAM")], "id int, organization_id string, entity_type string")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (1, 1), (1, 9)], "keep_id int, drop_id int")
+    good = entities.validated(pairs, canonical)
+    assert [tuple(r) for r in good.select("keep_id", "drop_id").collect()] == [(1, 2)]
+    mentions = spark.createDataFrame([(10, 1), (11, 2), (12, 3)], "id int, canonical_id int")
+    moved, left = entities.merge(mentions, canonical, good)
+    assert {tuple(r) for r in moved.select("id", "canonical_id").collect()} == {(10, 1), (11, 1), (12, 3)} and left.count() == 3 and entities.left_behind(moved, good).count() == 0
+    path = str(tmp_path / "sink")
+    tables.insert(mentions, path, {"canonical_id": (canonical, "id")})
+    tables.insert(spark.createDataFrame([(13, 99)], mentions.schema), path, {"canonical_id": (canonical, "id")})
+    assert spark.read.parquet(path).count() == 3
+    files.write_by_tenant(canonical, str(tmp_path / "tenants"))
+    files.write_by_tenant(canonical.where("organization_id = 'x'"), str(tmp_path / "tenants"))
+    assert spark.read.parquet(str(tmp_path / "tenants")).count() == 4
+    tables.store_files(spark.createDataFrame([("o", 1, ".txt", b"hi")], "organization_id string, document_id int, suffix string, content binary"), str(tmp_path / "store"))
+    assert (tmp_path / "store" / "organization_id=o").is_dir()
+
+
+def test_a_good_docx(spark, tmp_path):
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body><w:p><w:r><w:t>One</w:t></w:r><w:r><w:t> two</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>Three</w:t></w:r></w:p></w:body></w:document>')
+    assert files.with_text(files.read_files(spark, str(tmp_path))).first()["extracted_text"] == "One two\n\nThree"
