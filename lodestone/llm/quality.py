@@ -15,10 +15,12 @@ from lodestone.llm import common as C
 #: Symbols that count as such (fixed values).
 SYMBOLS = "[#*$%&|<>]"
 #: What a word is, and what parts the words of the lower-cased text that histograms count: white space and common punctuation.
-WORD, SPACE, PARTED = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]", r"[\x20\x09-\x0D.,;:!?'\"()]+"
-#: Character classes that are counted; bytes beyond a character's first are one more, and the other characters the last.
-CLASSES = ("[A-Z]", "[0-9]", SPACE, "[.,;:!?'\"()-]", r"[#*$%&|<>/@_=+~^\\{}\[\]`]")
-N_CLASSES = len(CLASSES) + 2
+WORD, PARTED = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D.,;:!?'\"()]+"
+#: Character classes that are counted, blanks with the white space; bytes beyond a character's first are one more, and the other
+#: characters the last. PLAIN has the characters that none of them has, and blanks: most of a text, taken out before counting.
+PLAIN = "[a-z ]+"
+CLASSES = ("[A-Z]", "[0-9]", r"[\x09-\x0D]", "[.,;:!?'\"()-]", r"[#*$%&|<>/@_=+~^\\{}\[\]`]")
+SPACES_AT, N_CLASSES = 2, len(CLASSES) + 2
 #: Most common words of each language that a histogram tells apart.
 COMMON = 64
 #: Largest Jensen-Shannon distance (base 2) from the nearest language: of character classes, of common words. A short text's
@@ -28,8 +30,15 @@ CLASS_LIMIT, WORD_LIMIT, NOISE = 0.28, 0.45, 0.6
 LEAST_CHARS, LEAST_WORDS = 100, 40
 
 
+#: Documents, and share of all that have a language, that a language must have for a reference of its own: at most 1000 have one.
+LEAST_DOCS, LEAST_SHARE = 5, 1e-3
+
+
 def text_words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    """The matches of WORD; texts with single blanks and line ends between words are parted at these."""
+    flat = F.replace(text, F.lit("\n"), F.lit(" "))
+    odd = reduce(lambda a, b: a | b, [F.contains(flat, F.lit(x)) for x in ("  ", *C.SPACES)]) | F.startswith(flat, F.lit(" ")) | F.endswith(flat, F.lit(" ")) | (text == "")
+    return F.when(odd, F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).otherwise(F.split(flat, " "))
 
 
 def repeat_words(ws: Column, k: int = 5) -> Column:
@@ -64,35 +73,63 @@ def dup_lines(text: Column) -> Column:
     return C.let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def base_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (a null text counts as empty)."""
+def _free(name: str, columns: list[str]) -> str:
+    """name, made longer until none of columns has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
+def characters(text: Column) -> Column:
+    """(classes, symbols): characters of each of CLASSES, bytes beyond the first of a character, and all other characters; and SYMBOLS."""
+    blanks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" ")))
+    beyond = F.octet_length(text) - F.length(text)
+
+    def counted(rest: Column) -> Column:
+        by = [F.regexp_count(rest, F.lit(c)) for c in CLASSES]
+        by[SPACES_AT] = by[SPACES_AT] + blanks
+        return F.struct(F.array(*by, beyond).alias("c"), F.regexp_count(rest, F.lit(SYMBOLS)).cast("long").alias("symbols"))
+
+    whole = lambda x: F.concat(x["c"], F.array(F.length(text) - reduce(lambda a, b: a + b, [x["c"][i] for i in range(len(CLASSES))]))).cast("array<double>")
+    return C.let(C.let(F.regexp_replace(text, PLAIN, ""), counted), lambda x: F.struct(whole(x).alias("classes"), x["symbols"].alias("symbols")))
+
+
+def _measured(docs: DataFrame, text_col: str) -> tuple[DataFrame, str]:
+    """docs with the columns of base_stats, and with the text's class counts in a column of the name returned."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    words, chars = _free("_words", docs.columns), _free("_chars", docs.columns)
     of_words = C.let(text_words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).alias("repeat")))
-    return docs.withColumn("_words", of_words).select(
+    out = docs.withColumns({words: of_words, chars: characters(text)}).select(
         *docs.columns,
-        F.col("_words.n").alias("n_words"),
-        (F.length(text) - F.regexp_count(text, F.lit(SPACE))).cast("long").alias("word_chars"),
-        F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        F.col(words)["n"].alias("n_words"),
+        (F.length(text) - F.col(chars)["classes"][SPACES_AT]).cast("long").alias("word_chars"),
+        F.col(chars)["symbols"].alias("n_symbols"),
         dup_lines(text).alias("n_dup_lines"),
-        F.col("_words.repeat").alias("n_repeat_words"),
+        F.col(words)["repeat"].alias("n_repeat_words"),
+        F.col(chars)["classes"].alias(chars),
     )
+    return out, chars
 
 
-def class_counts(text: Column) -> Column:
-    """Characters of each of CLASSES, bytes beyond the first of a character, and all other characters."""
-    by = [F.regexp_count(text, F.lit(c)) for c in CLASSES]
-    beyond = F.octet_length(text) - F.length(text)
-    return C.let(F.array(*by, beyond), lambda c: F.concat(c, F.array(F.length(text) - reduce(lambda a, b: a + b, [c[i] for i in range(len(by))])))).cast("array<double>")
+def base_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (a null text counts as empty)."""
+    out, chars = _measured(docs, text_col)
+    return out.drop(chars)
 
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[dict[str, list[float]], dict[str, dict[str, float]]]:
     """Of each language over all documents: the shares of its character classes, and of its COMMON most common words among all its words.
 
-    Rows without a language are left out. The driver holds N_CLASSES and COMMON numbers a language."""
+    Rows without a language are left out, and languages that fewer than LEAST_DOCS documents or LEAST_SHARE of all have: an
+    odd document isn't its own reference. The driver holds N_CLASSES and COMMON numbers a language, of at most 1000."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = known.select("lang", class_counts(F.col("text")).alias("c"))
-    classes = counts.groupBy("lang").agg(*[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(N_CLASSES)]).collect()
-    each = known.select("lang", F.explode(F.split(F.lower("text"), PARTED)).alias("w")).where("w != ''")
+    counts = known.select("lang", characters(F.col("text"))["classes"].alias("c"))
+    summed = counts.groupBy("lang").agg(F.count("*").alias("docs"), *[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(N_CLASSES)])
+    summed = C.staged(summed, "quality-classes")  # a row a language
+    least = max(LEAST_DOCS, LEAST_SHARE * (summed.agg(F.sum("docs")).first()[0] or 0))
+    classes = summed.where(F.col("docs") >= least).drop("docs").collect()
+    C.drop_staged(summed)
+    each = known.where(F.col("lang").isin([r["lang"] for r in classes])).select("lang", F.explode(F.split(F.lower("text"), PARTED)).alias("w")).where("w != ''")
     tally = each.groupBy("lang", "w").agg(F.count("*").alias("n"))
     top = tally.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))).where(F.col("r") <= COMMON)
     sums = tally.groupBy("lang").agg(F.sum("n").alias("all"))
@@ -110,8 +147,8 @@ def _half_divergence(p: Column, q: Column) -> Column:
     return (part(p) + part(q)) / 2
 
 
-def class_distance(text: Column, refs: dict[str, list[float]]) -> Column:
-    """The Jensen-Shannon distance of the text's classes from the nearest language's; null without references or below LEAST_CHARS."""
+def class_distance(counts: Column, refs: dict[str, list[float]]) -> Column:
+    """The Jensen-Shannon distance of class counts from the nearest language's; null without references or below LEAST_CHARS."""
     if not refs:
         return F.lit(None).cast("double")
 
@@ -120,7 +157,7 @@ def class_distance(text: Column, refs: dict[str, list[float]]) -> Column:
         one = [F.sqrt(F.greatest(F.lit(0.0), reduce(lambda a, b: a + b, [_half_divergence(c[i] / n, F.lit(float(q))) for i, q in enumerate(ref)]))) for _, ref in sorted(refs.items())]
         return F.when(n >= LEAST_CHARS, F.array_min(F.array(*one)))
 
-    return C.let(class_counts(text), nearest)
+    return C.let(counts, nearest)
 
 
 def _slots(vocabulary: list[str]) -> tuple[int, list[int]]:
@@ -194,18 +231,20 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
 
     kept is false where base_failed (fewer than 10 words, or over 20 in 100 words in repeated five-word windows), or where
     a histogram that is long enough to count lies further from every language's than its limit. Null texts are empty and
-    fail; without any language no distance counts; an empty table gives no rows; columns of docs with the added names are replaced."""
+    fail; without any language no distance counts, nor for documents of a language that is too rare for a reference; an
+    empty table gives no rows; columns of docs with the added names are replaced."""
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"]
     by_class, by_word = references(docs, text_col, lang_col)
-    stats = base_stats(docs.drop(*added), text_col)
+    stats, chars = _measured(docs.drop(*added), text_col)
+    known = F.col(lang_col).isNull() | F.col(lang_col).isin(sorted(by_class))
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = stats.withColumns(
         {
             "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
-            "class_distance": class_distance(text, by_class),
-            "word_distance": word_distance(F.split(F.lower(text), PARTED), by_word),
+            "class_distance": F.when(known, class_distance(F.col(chars), by_class)),
+            "word_distance": F.when(known, word_distance(F.split(F.lower(text), PARTED), by_word)),
         }
-    )
+    ).drop(chars)
     far = (F.coalesce("class_distance", F.lit(0.0)) > CLASS_LIMIT) | (F.coalesce("word_distance", F.lit(0.0)) > WORD_LIMIT + NOISE / F.sqrt(F.greatest("n_words", F.lit(1))))
     return out.withColumn("kept", ~F.col("base_failed") & ~far)
 

@@ -1,6 +1,7 @@
 """The training-data operators against plain versions, and on awkward rows."""
 
 import itertools
+import math
 import random
 import re
 import zlib
@@ -397,6 +398,52 @@ def test_word_distance_equals_a_plain_one(spark):
     assert abs(got - min(want)) < 1e-9
 
 
+def divergence(p, q):
+    part = lambda a, m: a * np.log2(a / m) if a > 0 else 0.0
+    return np.sqrt(max(0.0, sum((part(a, (a + b) / 2) + part(b, (a + b) / 2)) / 2 for a, b in zip(p, q, strict=True))))
+
+
+def plain_classes(t):
+    by = [len(re.findall(c, t)) for c in quality.CLASSES]
+    by[quality.SPACES_AT] += t.count(" ")
+    by.append(len(t.encode()) - len(t))
+    return [*by, len(t) - sum(by[:-1])]
+
+
+def test_verdict_equals_a_plain_one(spark, docs):
+    rows = [r for r in docs.select("doc_id", "text", "lang").collect()]
+    rows += [(90_001, "".join(chr(0x400 + i % 32) + " " * (i % 7 == 0) for i in range(900)), "zz"), (90_002, "#$% @@ {} 12345 " * 60, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    by_lang = {}
+    for _, t, lang in rows:
+        if t is not None and lang is not None:
+            by_lang.setdefault(lang, []).append(t)
+    total = sum(map(len, by_lang.values()))
+    by_lang = {k: v for k, v in by_lang.items() if len(v) >= max(quality.LEAST_DOCS, quality.LEAST_SHARE * total)}
+    assert "zz" not in by_lang  # a lone document isn't its own reference
+    classes, common_words = [], []
+    for texts in by_lang.values():
+        c = np.sum([plain_classes(t) for t in texts], axis=0)
+        classes.append(c / c.sum())
+        n = Counter(w for t in texts for w in re.split(quality.PARTED, t.lower()) if w)
+        common_words.append({w: k / sum(n.values()) for w, k in sorted(n.items(), key=lambda x: (-x[1], x[0].encode()))[: quality.COMMON]})
+    judged = {r["doc_id"]: r for r in quality.judge(table).collect()}
+    for i, t, lang in rows:
+        t, r = t or "", judged[i]
+        c, ws = np.array(plain_classes(t), float), re.split(quality.PARTED, t.lower())
+        known = lang is None or lang in by_lang
+        far_class = min(divergence(c / c.sum(), q) for q in classes) if known and c.sum() >= quality.LEAST_CHARS else None
+        far_word = None
+        if known and len(ws) >= quality.LEAST_WORDS:
+            n = Counter(ws)
+            far_word = min(divergence([*[n[w] / len(ws) for w in q], 1 - sum(n[w] for w in q) / len(ws)], [*q.values(), 1 - sum(q.values())]) for q in common_words)
+        for got, want in ((r["class_distance"], far_class), (r["word_distance"], far_word)):
+            assert (got is None) == (want is None) and (want is None or abs(got - want) < 1e-6), (i, got, want)
+        limit = quality.WORD_LIMIT + quality.NOISE / math.sqrt(max(1, r["n_words"]))
+        assert r["kept"] == (not r["base_failed"] and not (far_class or 0) > quality.CLASS_LIMIT and not (far_word or 0) > limit)
+    assert not judged[90_002]["kept"]
+
+
 # pipeline
 def test_stages_on_awkward_rows(spark, awkward, empty, tmp_path):
     spark.createDataFrame([(1, 0, 0)], "doc_id long, quality long, toxic long").write.parquet(str(tmp_path / "labels.parquet"))
