@@ -505,3 +505,96 @@ def test_a_huge_block_does_not_hide_short_sections(holder, name):
     texts.insert(5, "long " * 12000 + "end")
     page = f"<body><nav><a href=x>Menu</a></nav><{holder}>" + "".join(f"<{name}><p>{t}</p></{name}>" for t in texts) + f"</{holder}></body>"
     assert html_text.main_text(page) == "\n\n".join(texts)
+
+
+# 9, against all choices
+def test_fit_equals_all_choices():
+    r = random.Random(5)
+    for _ in range(60):
+        lengths = sorted(r.sample(range(1, 40), 4))
+        counts = [r.randint(0, 4) for _ in lengths]
+        total = sum(n * c for n, c in zip(lengths, counts, strict=True))
+        budget = r.randint(0, total)
+        least = [c * budget // total if total > budget else c for c in counts]  # every length gives its share at least
+        sums = {sum(n * t for n, t in zip(lengths, take, strict=True)) for take in itertools.product(*[range(a, c + 1) for a, c in zip(least, counts, strict=True)])}
+        take = mixing.fit(lengths, counts, budget)
+        assert sum(n * t for n, t in zip(lengths, take, strict=True)) == max(s for s in sums if s <= budget)
+
+
+# 5, against the double sum
+def test_scores_equal_the_double_sum():
+    machine = toxicity.Machine(64, 4, seed=3)
+    machine.w[:] = np.random.default_rng(1).normal(size=64)
+    machine.v[:] = np.random.default_rng(2).normal(size=(64, 4))
+    machine.bias = 0.3
+    rows = {0: [1, 5, 9], 1: [2], 3: [7, 8, 60, 61]}
+    ids = np.array([i for own in rows.values() for i in own])
+    got = machine.raw(ids, np.array([k for k, own in rows.items() for _ in own]), 4)
+    for k in range(4):
+        own = rows.get(k, [])
+        x = 1 / math.sqrt(len(own)) if own else 0.0
+        want = 0.3 + sum(float(machine.w[i]) * x for i in own) + sum(float(machine.v[i] @ machine.v[j]) * x * x for i, j in itertools.combinations(own, 2))
+        assert abs(got[k] - want) < 1e-4
+
+
+# 6, what must stay and what must not crash
+LONG = "A long paragraph of the article, with many words in it, that goes on and on for the reader. " * 5
+
+
+@pytest.mark.parametrize(
+    ("html", "kept", "gone"),
+    [
+        (f"<article><p>{LONG}</p><table><tr><td>12</td><td>ab</td></tr></table><blockquote>Quote it.</blockquote></article>", ["12", "ab", "Quote it."], []),
+        (f"<article><p>{LONG * 9}</p><section><h2>Sub</h2><p>tiny.</p></section></article><footer>Imprint</footer>", ["Sub", "tiny."], ["Imprint"]),
+        (f"<![foo[ bar ]]><![%x;[ a ]]><main><p>{LONG}</p></main>", [LONG.strip()], []),
+        (f"<!DOCTYPE html [<!ENTITY a 'b'>]><nav><a href=x>Menu</a></nav><main><p>{LONG}</p></main>", [LONG.strip()], ["Menu"]),
+        (f"<body><div id=nav><ul><li><a href=a>Home</a></li><li><a href=b>About</a></li></ul></div><div><p>{LONG}</p><p>{LONG}</p></div><div class=footer>Imprint</div></body>", [LONG.strip()], ["Home", "Imprint"]),
+    ],
+)
+def test_regions_of_planted_pages(html, kept, gone):
+    text = html_text.main_text(html)
+    assert all(x in text for x in kept) and not any(x in text for x in gone)
+
+
+def test_many_open_elements():
+    n = 10_000
+    text = html_text.main_text("<article>" + "<div>word " * n + "</span>" * n + "</article>")
+    assert text.count("word") == n
+
+
+# 3, pairs near the limit
+def test_pairs_near_the_limit_are_found(spark):
+    r, rows = np.random.default_rng(8), []
+    for k in range(400):
+        a = r.normal(size=32)
+        a /= np.linalg.norm(a)
+        b = r.normal(size=32)
+        b -= (b @ a) * a
+        b /= np.linalg.norm(b)
+        c = r.uniform(0.951, 0.97)
+        rows += [(2 * k, a.tolist()), (2 * k + 1, (c * a + math.sqrt(1 - c * c) * b).tolist())]
+    got = {x["vec_id"]: x["component_id"] for x in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert sum(got[2 * k + 1] == 2 * k for k in range(400)) >= 392
+
+
+# pipeline, each stage on what the one before kept
+def test_run_keeps_what_each_stage_decides(spark, tmp_path):
+    now = spark.read.parquet(f"{SF}/documents.parquet")
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        seen[name] = now
+        now = common.staged(stage(spark, now, SF), f"test-{name}")
+    ids = lambda df: Counter(r["doc_id"] for r in df.select("doc_id").collect())
+    machine = toxicity.train(seen["toxicity"], spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic"))
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(seen["toxicity"], machine).collect()}
+    assert ids(seen["line_dedup"]) == Counter(i for i in ids(seen["toxicity"]).elements() if scores[i] < corpus_pipeline.TOXIC_FROM)
+    prints = {r["doc_id"]: fingerprint(r["text"]) for r in seen["simhash"].collect()}
+    links = [(a, b) for (a, x), (b, y) in itertools.combinations(prints.items(), 2) if (x ^ y).bit_count() <= 4]
+    assert set(ids(seen["mixing"])) == set(components(set(prints), links).values())
+    times = {r["doc_id"]: r["times"] for r in mixing.mix(seen["mixing"]).collect()}
+    assert ids(seen["pieces"]) == Counter({i: n for i, n in times.items() if n})
+    assert ids(now) == ids(seen["pieces"]) and now.where("not round_trip").count() == 0
+    one = {r["doc_id"]: r["text"] for r in seen["pieces"].collect()}
+    encoder = pieces.Encoder(pieces.model_path(), pieces.N_BEST)
+    for r in now.limit(50).collect():
+        assert r["ids_crc32"] == zlib.crc32(encoder(one[r["doc_id"]] or "")[0][1])
