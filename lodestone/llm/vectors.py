@@ -22,6 +22,10 @@ TREES, SAMPLE, LEAF = 6, 16_384, 512
 SPILL, TRIES, STUCK = 0.6, 4, 0.5
 #: Rows of a leaf that are compared in one matrix; a larger leaf is compared block by block.
 BLOCK = 2048
+#: The most lengths of vectors that get a forest of their own, the most common first; those of another length are one leaf.
+MOST_FORESTS = 100
+#: Vectors whose largest component is out of these bounds are divided by it, so that no square leaves the range of numbers.
+TINY, HUGE = 1e-90, 1e90
 SEED = 29
 
 
@@ -126,32 +130,37 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     Equal vectors are one node with its number of rows, so a group of copies costs a row each and never a pair. Splits are
     fitted on at most sample distinct vectors, by the smallest hashes; every distinct vector then goes down every tree, into
     both sides of a split where it lies in the overlap. Inside a leaf all pairs are compared in double precision; a leaf of
-    over BLOCK vectors is compared in pairs of blocks, each its own task. Null, zero and non-finite vectors, those with null
-    components and those of another length than the most common one link with nothing. Rows with one id are separate rows.
-    An empty table gives no rows."""
+    over BLOCK vectors is compared in pairs of blocks, each its own task. Vectors of each length have a forest of their own;
+    those of a length with leaf vectors or fewer, or not among the MOST_FORESTS most common, are one leaf. Null, zero and
+    non-finite vectors and those with null components link with nothing, nor do vectors of different lengths. Rows with one
+    id are separate rows. An empty table gives no rows."""
     spark = rows.sparkSession
     v = F.col(vector_col).cast("array<double>")
-    size = F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
-    fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & (size > 0) & (size < float("inf"))
-    slim = rows.select(F.col(id_col).cast("long").alias("id"), F.when(F.coalesce(fine, F.lit(False)), v).alias("vector"))
-    lengths = slim.where("vector is not null").groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if lengths is None:
-        return slim.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    dims = lengths["d"]
-    slim = slim.withColumn("vector", F.when(F.size("vector") == dims, F.col("vector")))
+    top = F.array_max(F.transform(v, lambda x: F.abs(x)))
+    fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & (top > 0)
+    scaled = C.let(top, lambda m: F.when(m.between(TINY, HUGE), v).otherwise(F.transform(v, lambda x: x / m)))
+    slim = rows.select(F.col(id_col).cast("long").alias("id"), F.when(F.coalesce(fine, F.lit(False)), scaled).alias("vector"))
     nodes = C.staged(slim.where("vector is not null").groupBy("vector").agg(F.min("id").alias("first"), F.count("*").alias("n")).withColumn("node", F.xxhash64("vector")), "vectors")
-    total = nodes.count()
-    picked = nodes.orderBy(F.xxhash64("node"), "node").limit(sample).select("vector").toArrow().column("vector").combine_chunks()
-    forest = Forest(dims, SPILL * math.sqrt(max(0.0, 2 - 2 * limit) / dims))
-    forest.grow(_unit(picked.values.to_numpy().reshape(-1, dims)), total, trees, leaf, seed)
+    forests, base = {}, 0
+    for d, total in nodes.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").limit(MOST_FORESTS).collect():
+        if total > leaf:
+            picked = nodes.where(F.size("vector") == d).orderBy(F.xxhash64("node"), "node").limit(sample).select("vector").toArrow().column("vector").combine_chunks()
+            forest = forests[d] = Forest(d, SPILL * math.sqrt(max(0.0, 2 - 2 * limit) / d), leaves=base)
+            forest.grow(_unit(picked.values.to_numpy().reshape(-1, d)), total, trees, leaf, seed)
+            base = forest.leaves
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = batch.column(0)
-            row, at = forest.find(_unit(vectors.flatten().to_numpy().reshape(-1, dims)))
-            ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            leaves = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), vectors, leaves], names=["node", "n", "vector", "leaves"])
+            lengths = np.diff(batch.column(0).offsets.to_numpy())
+            for d in np.unique(lengths).tolist():
+                part = batch if (lengths == d).all() else batch.take(pa.array(np.flatnonzero(lengths == d)))
+                if d in forests:
+                    row, at = forests[d].find(_unit(part.column(0).flatten().to_numpy().reshape(-1, d)))
+                else:
+                    row, at = np.arange(part.num_rows), np.full(part.num_rows, base + d)
+                ends = np.searchsorted(row, np.arange(part.num_rows + 1))
+                leaves = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at, pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), part.column(0), leaves], names=["node", "n", "vector", "leaves"])
 
     C.small_batches(spark, 4000)
     found = C.staged(nodes.select("vector", "node", "n").mapInArrow(send, "node long, n long, vector array<double>, leaves array<int>"), "vector-leaves")

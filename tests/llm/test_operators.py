@@ -577,6 +577,23 @@ def test_pairs_near_the_limit_are_found(spark):
     assert sum(got[2 * k + 1] == 2 * k for k in range(400)) >= 392
 
 
+def test_vectors_of_every_length_and_size(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(5)] + [(10, [1.0, 0.0, 0.0]), (11, [2.0, 0.0, 0.0]), (12, [1e300, 0.0]), (13, [1e-300, 1e-302]), (14, [0.0, 5e-324]), (15, [0.0, 1e308]), (16, []), (17, None), (18, [0.0, 0.0]), (19, [1.0, None]), (20, [float("nan"), 1.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all(got[i] == (6, 0, i == 0) for i in (0, 1, 2, 3, 4, 12, 13))
+    assert got[10] == (1, 10, True) and got[11] == (1, 10, False) and got[14] == (1, 14, True) and got[15] == (1, 14, False)
+    assert all(got[i] == (0, i, True) for i in range(16, 21))
+    r = np.random.default_rng(4)
+    two = [(1000 * d + i, r.normal(size=d).tolist()) for d in (8, 16) for i in range(300)]
+    two += [(i + 500, v) for i, v in two if i % 3 == 0]
+    found = vectors.near_duplicates(spark.createDataFrame(two, "vec_id long, embedding array<double>"), leaf=64).collect()
+    plain = {i: np.array(v) / np.linalg.norm(v) for i, v in two}
+    for x in found:
+        own = plain[x["vec_id"]]
+        near = [i for i, v in plain.items() if len(v) == len(own) and own @ v >= 0.95]
+        assert x["n_links"] == len(near) - 1
+
+
 # pipeline, each stage on what the one before kept
 def test_run_keeps_what_each_stage_decides(spark, tmp_path):
     now = spark.read.parquet(f"{SF}/documents.parquet")
