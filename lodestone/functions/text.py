@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,15 +18,18 @@ def tokens(text: Column, stop: Sequence[str] = ()) -> Column:
     return F.filter(found, lambda t: ~t.isin(*stop)) if stop else found
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once for each row, though lambdas inside body may name it again and again."""
+    return F.transform(F.array(value), body)[0]
+
+
 def ngrams(terms: Column, sizes: Sequence[int] = (1, 2)) -> Column:
     """All runs of the given sizes, joined by a space; stop words must be out already."""
-    parts = []
-    for n in sizes:
-        if n == 1:
-            parts.append(terms)
-        else:
-            parts.append(F.when(F.size(terms) >= n, _grams(terms, n)).otherwise(F.array().cast("array<string>")))
-    return F.concat(*parts)
+
+    def joined(t: Column) -> Column:
+        return F.concat(*[t if n == 1 else F.when(F.size(t) >= n, _grams(t, n)).otherwise(F.array().cast("array<string>")) for n in sizes])
+
+    return let(terms, joined)
 
 
 def _grams(terms: Column, n: int) -> Column:
@@ -40,14 +43,14 @@ def _grams(terms: Column, n: int) -> Column:
 def runs(ordered: Column) -> Column:
     """(value, n): the values of a sorted array and how often each occurs."""
 
-    def of(a: Column) -> Column:
+    def ends(a: Column) -> Column:
         last = F.size(a) - 1
         return F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (a[i] != a[F.least(i + 1, last)]))
 
-    def counted(e: Column) -> Column:
-        return F.transform(e, lambda i, j: F.struct(ordered[i].alias("value"), (i - F.when(j > 0, e[F.greatest(j - 1, F.lit(0))]).otherwise(-1)).alias("n")))
+    def counted(a: Column, e: Column) -> Column:
+        return F.transform(e, lambda i, j: F.struct(a[i].alias("value"), (i - F.when(j > 0, e[F.greatest(j - 1, F.lit(0))]).otherwise(-1)).alias("n")))
 
-    return F.when(F.size(ordered) > 0, F.transform(F.array(of(ordered)), counted)[0])
+    return let(ordered, lambda a: F.when(F.size(a) > 0, let(ends(a), lambda e: counted(a, e))))
 
 
 def strip(text: Column) -> Column:

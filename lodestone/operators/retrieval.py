@@ -18,9 +18,10 @@ BLOCKS = 16
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str, stop: Sequence[str] = (), sizes: Sequence[int] = (1, 2)) -> DataFrame:
     """(id, term, tf) of documents, one row each: terms are sorted and counted inside the row, so nothing is shuffled."""
-    terms = docs.select(F.col(id_col).alias("id"), X.tokens(F.coalesce(F.col(text_col), F.lit("")), stop).alias("t"))
-    ordered = terms.select("id", F.sort_array(X.ngrams(F.col("t"), sizes)).alias("t"))
-    return ordered.select("id", F.explode(X.runs(F.col("t"))).alias("r")).select("id", F.col("r.value").alias("term"), F.col("r.n").cast("long").alias("tf"))
+    terms = X.tokens(F.coalesce(F.col(text_col), F.lit("")), stop)
+    found = X.runs(F.sort_array(X.ngrams(terms, sizes)))
+    # the outer form keeps the optimizer from counting every row twice, once to see whether it is empty
+    return docs.select(F.col(id_col).alias("id"), F.explode_outer(found).alias("r")).where("r is not null").select("id", F.col("r.value").alias("term"), F.col("r.n").cast("long").alias("tf"))
 
 
 def document_frequencies(counts: DataFrame, n_docs: int, max_df: float = 0.95) -> DataFrame:

@@ -69,10 +69,8 @@ def lex04(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("lex06_document_norms", f"WITH {TERMS_SQL}, {IDF_SQL}, {WEIGHTS_SQL} SELECT id AS doc_id, round(sqrt(sum(w * w)), 4) AS norm FROM weights GROUP BY id")
 def lex06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    counts = retrieval.term_counts(docs, "doc_id", "text", STOP)
-    out = retrieval.norms(retrieval.weigh(counts, retrieval.document_frequencies(counts, docs.count())))
-    return out.select(F.col("id").alias("doc_id"), F.round("norm", 4).alias("norm"))
+    index = retrieval.build_index(table(spark, sf_dir, "documents"), stop=STOP)
+    return index.norms.select(F.col("id").alias("doc_id"), F.round("norm", 4).alias("norm"))
 
 
 @query("lex03_term_frequencies", f"WITH {TERMS_SQL} SELECT term, count(*) AS docs, sum(tf)::BIGINT AS total, max(tf) AS most FROM counts GROUP BY term")
@@ -157,14 +155,14 @@ def chg01(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REQUESTS = (
-    "Change the rate-freshness threshold in RDP-002 from 15 minutes to 5 minutes.", "We will change authentication from Token v1 to JWT Bearer.",
-    "Update the SLA resolution window from 4 hours to 1 hour for critical incidents.", "15m → 5m", "Introduce mandatory authentication for partner access.", "Replace the nightly batch with streaming.",
+    "Change the cache lifetime of the catalog from 15 minutes to 5 minutes.", "We will change storage from Disk v1 to Object Store.",
+    "Update the answer window from 4 hours to 1 hour for urgent tickets.", "20m → 5m", "Introduce mandatory reviews for new suppliers.", "Replace the weekly export with a feed.",
 )
 
 
 @query(
     "chg03_requests",
-    "SELECT * FROM (VALUES (0, 'VALUE_CHANGE', '15 minutes', '5 minutes', 'DECREASE', 0.666667::DOUBLE), (1, 'VALUE_CHANGE', 'Token v1', 'JWT Bearer', 'CHANGE', NULL), (2, 'VALUE_CHANGE', '4 hours', '1 hour', 'DECREASE', 0.75), (3, 'VALUE_CHANGE', '15m', '5m', 'DECREASE', 0.666667), (4, 'REQUIREMENT_CHANGE', NULL, NULL, 'CHANGE', NULL), (5, 'REPLACEMENT', 'the nightly batch', 'streaming', 'CHANGE', NULL)) AS t(id, change_type, old_raw, new_raw, direction, magnitude)",
+    "SELECT * FROM (VALUES (0, 'VALUE_CHANGE', '15 minutes', '5 minutes', 'DECREASE', 0.666667::DOUBLE), (1, 'VALUE_CHANGE', 'Disk v1', 'Object Store', 'CHANGE', NULL), (2, 'VALUE_CHANGE', '4 hours', '1 hour', 'DECREASE', 0.75), (3, 'VALUE_CHANGE', '20m', '5m', 'DECREASE', 0.75), (4, 'REQUIREMENT_CHANGE', NULL, NULL, 'CHANGE', NULL), (5, 'REPLACEMENT', 'the weekly export', 'a feed', 'CHANGE', NULL)) AS t(id, change_type, old_raw, new_raw, direction, magnitude)",
 )
 def chg03(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame(list(enumerate(REQUESTS)), "id int, query string")
@@ -252,13 +250,13 @@ def rel07(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SENTENCES = (
-    ("Quote Service calls Pricing API for every quote.", "CALLS"), ("Rate Engine reads Tariff Database each night.", "READS_FROM"), ("Held Quote routes to Pricing Team.", "ROUTES_TO"),
-    ("Related Systems: Rate Engine, Quote Service", "RELATED_SYSTEM"), ("Tariff Database is owned by Pricing Team.", "OWNED_BY"), ("Quote Service and Rate Engine are both important systems.", None),
+    ("Cart Service calls Stock API for every item.", "CALLS"), ("Parcel Engine reads Route Database each night.", "READS_FROM"), ("Late Parcel routes to Depot Team.", "ROUTES_TO"),
+    ("Related Systems: Parcel Engine, Cart Service", "RELATED_SYSTEM"), ("Route Database is owned by Depot Team.", "OWNED_BY"), ("Cart Service and Parcel Engine are both important systems.", None),
 )
-ENTITIES = ("Quote Service", "Pricing API", "Rate Engine", "Tariff Database", "Pricing Team", "Held Quote")
+ENTITIES = ("Cart Service", "Stock API", "Parcel Engine", "Route Database", "Depot Team", "Late Parcel")
 
 
-@query("rel04_nearest_pairs", "SELECT * FROM (VALUES (0, 'Quote Service', 'Pricing API', 'CALLS', 0.96::DOUBLE), (1, 'Rate Engine', 'Tariff Database', 'READS_FROM', 0.94), (2, 'Held Quote', 'Pricing Team', 'ROUTES_TO', 0.96), (3, 'Rate Engine', 'Quote Service', 'RELATED_SYSTEM', 0.90), (4, 'Tariff Database', 'Pricing Team', 'OWNED_BY', 0.98)) AS t(chunk_id, source, target, relationship_type, confidence)")
+@query("rel04_nearest_pairs", "SELECT * FROM (VALUES (0, 'Cart Service', 'Stock API', 'CALLS', 0.96::DOUBLE), (1, 'Parcel Engine', 'Route Database', 'READS_FROM', 0.94), (2, 'Late Parcel', 'Depot Team', 'ROUTES_TO', 0.96), (3, 'Parcel Engine', 'Cart Service', 'RELATED_SYSTEM', 0.90), (4, 'Route Database', 'Depot Team', 'OWNED_BY', 0.98)) AS t(chunk_id, source, target, relationship_type, confidence)")
 def rel04(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(SENTENCES)], "chunk_id int, content string")
     names = spark.createDataFrame([(i, e, e) for i in range(len(SENTENCES)) for e in ENTITIES], "chunk_id int, id string, name string")

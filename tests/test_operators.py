@@ -47,15 +47,15 @@ def test_no_chunks_of_empty_texts(spark):
 def test_change_subjects(spark):
     rows = spark.createDataFrame(
         [
-            (0, "Change the rate-freshness threshold in RDP-002 from 15 minutes to 5 minutes."),
-            (1, "Update the SLA resolution window from 4 hours to 1 hour for critical incidents."),
+            (0, "Change the cache-lifetime limit in CAT-7 from 15 minutes to 5 minutes."),
+            (1, "Update the answer window from 4 hours to 1 hour for urgent tickets."),
             (2, "Change the timeout from 4 business hours to 1 business hour."),
         ],
         "id int, query string",
     )
     got = {r["id"]: r for r in change.specified(rows).collect()}
-    assert got[0]["subject"] == "rate-freshness threshold in RDP-002" and got[0]["direction"] == "DECREASE"
-    assert got[1]["subject"] == "SLA resolution window" and got[1]["magnitude"] == 0.75
+    assert got[0]["subject"] == "cache-lifetime limit in CAT-7" and got[0]["direction"] == "DECREASE"
+    assert got[1]["subject"] == "answer window" and got[1]["magnitude"] == 0.75
     assert got[2]["magnitude"] is None and got[2]["direction"] == "CHANGE"
     assert got[0]["concepts"][0] == got[0]["subject"] and "the" not in got[0]["concepts"]
 
@@ -74,8 +74,8 @@ def test_impact_chain(spark):
 
 
 def test_relations_of_sentences(spark):
-    chunks = spark.createDataFrame([(0, "Quote Service depends on Rate Engine. Rate Engine and Quote Service are old."), (1, "Related APIs: A1, B2, C3")], "chunk_id int, content string")
-    names = spark.createDataFrame([(0, "q", "Quote Service"), (0, "r", "Rate Engine"), (1, "a", "A1"), (1, "b", "B2"), (1, "c", "C3")], "chunk_id int, id string, name string")
+    chunks = spark.createDataFrame([(0, "Cart Service depends on Parcel Engine. Parcel Engine and Cart Service are old."), (1, "Related APIs: A1, B2, C3")], "chunk_id int, content string")
+    names = spark.createDataFrame([(0, "q", "Cart Service"), (0, "r", "Parcel Engine"), (1, "a", "A1"), (1, "b", "B2"), (1, "c", "C3")], "chunk_id int, id string, name string")
     got = {tuple(r) for r in relations.extract(chunks, names).drop("evidence", "confidence").collect()}
     assert got == {(0, "q", "r", "DEPENDS_ON"), (1, "a", "b", "RELATED_API"), (1, "b", "c", "RELATED_API")}
 
@@ -105,8 +105,8 @@ def test_names_and_files(spark, tmp_path):
     get = lambda c: one.select(c).first()[0]
     assert get(X.safe_filename(F.lit("a/b/../c?.txt"))) == "c_.txt" and get(X.safe_filename(F.lit("..."))) == "document"
     assert get(X.normalize_name(F.lit(" The  Rate/Engine (v2)! "))) == "the rate/engine v2"
-    assert get(X.clean_name(F.lit("the Rate  Engine's of"), entities.EDGES)) == "Rate Engine"
-    assert get(entities.entity_type(F.lit("Pricing Service API"))) == "API"
+    assert get(X.clean_name(F.lit("the Parcel  Engine's of"), entities.EDGES)) == "Parcel Engine"
+    assert get(entities.entity_type(F.lit("Stock Service API"))) == "API"
     assert get(views.size_text(F.lit(1536))) == "1.5 KB" and get(views.extension(F.lit("a.docx"))) == "DOCX" and get(views.initials(F.lit("ann b cole"))) == "AB"
     assert get(views.size_bytes(F.lit('{"size_bytes": "x"}'))) == 0
     (tmp_path / "x").mkdir()
@@ -143,7 +143,7 @@ def kept_spans(spark, *spans):
 
 def test_overlapping_spans(spark):
     # a part of a longer name goes there, and stays where it stands alone
-    assert kept_spans(spark, ("Pricing API", 0, 11, 1.0, "NAMED"), ("Pricing API Gateway", 0, 19, 1.0, "NAMED"), ("Pricing API", 40, 51, 1.0, "NAMED")) == [("Pricing API", 40), ("Pricing API Gateway", 0)]
+    assert kept_spans(spark, ("Stock API", 0, 11, 1.0, "NAMED"), ("Stock API Gateway", 0, 19, 1.0, "NAMED"), ("Stock API", 40, 51, 1.0, "NAMED")) == [("Stock API", 40), ("Stock API Gateway", 0)]
     # spans that overlap in part both stay; a structural one takes a noun phrase's place
     assert kept_spans(spark, ("Alpha Beta", 0, 10, 0.9, "NAMED"), ("Beta Gamma", 6, 16, 0.8, "NAMED")) == [("Alpha Beta", 0), ("Beta Gamma", 6)]
     assert kept_spans(spark, ("Alpha Team", 0, 10, 0.9, "STRUCTURAL"), ("Team Gamma", 6, 16, 0.95, "PHRASE")) == [("Alpha Team", 0)]
@@ -152,9 +152,9 @@ def test_overlapping_spans(spark):
 
 
 def test_every_place_of_a_name(spark):
-    chunks = spark.createDataFrame([(1, "Rate Engine reads. And then Rate Engine writes."), (2, None), (3, "")], "chunk_id int, content string")
+    chunks = spark.createDataFrame([(1, "Parcel Engine reads. And then Parcel Engine writes."), (2, None), (3, "")], "chunk_id int, content string")
     got = {(r["normalized_name"], r["start"]) for r in entities.candidates(chunks).collect()}
-    assert ("rate engine", 0) in got and any(n == "rate engine" and s > 0 for n, s in got)
+    assert ("parcel engine", 0) in got and any(n == "parcel engine" and s > 0 for n, s in got)
 
 
 def test_annotated_spans(spark):
@@ -220,10 +220,10 @@ def test_similarity_by_hand(spark):
 
 
 def test_analysis_of_a_request(spark):
-    chunks = spark.createDataFrame([(1, 7, "The rate lock service calls the pricing api."), (2, 8, "Nothing of that."), (3, 8, "Lunch is at noon.")], "id int, document_id int, content string")
+    chunks = spark.createDataFrame([(1, 7, "The rate lock service calls the stock api."), (2, 8, "Nothing of that."), (3, 8, "Lunch is at noon.")], "id int, document_id int, content string")
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 1.0])], "id int, vector array<double>")
-    mentions = spark.createDataFrame([(1, "s", "Rate Lock Service", "locks a rate", 0), (1, "p", "Pricing API", None, 1), (2, "s", "rate lock", "", 0)], "chunk_id int, canonical_id string, name string, description string, place int")
-    nodes = spark.createDataFrame([("s", "Rate Lock Service", "SYSTEM", [1.0, 0.0]), ("p", "Pricing API", "API", [0.0, 1.0]), ("t", "Desk Team", "TEAM", [0.0, 1.0])], "id string, name string, entity_type string, vector array<double>")
+    mentions = spark.createDataFrame([(1, "s", "Rate Lock Service", "locks a rate", 0), (1, "p", "Stock API", None, 1), (2, "s", "rate lock", "", 0)], "chunk_id int, canonical_id string, name string, description string, place int")
+    nodes = spark.createDataFrame([("s", "Rate Lock Service", "SYSTEM", [1.0, 0.0]), ("p", "Stock API", "API", [0.0, 1.0]), ("t", "Desk Team", "TEAM", [0.0, 1.0])], "id string, name string, entity_type string, vector array<double>")
     edges = spark.createDataFrame([("s", "p", "CALLS", 1.0), ("p", "t", "OWNED_BY", 1.0), ("s", "gone", "CALLS", 1.0)], "source string, target string, relationship_type string, confidence double")
     documents = spark.createDataFrame([(7, "b.txt"), (8, "a.txt")], "id int, filename string")
     ask = lambda query: {r["id"]: r for r in impact_analysis.analyze(chunks, vectors, mentions, nodes, edges, documents, query, [1.0, 0.0]).collect()}
