@@ -209,6 +209,7 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """extract() of all pages."""
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
 
 

@@ -253,6 +253,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short
 
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dedup() of all documents, repeats of short lines included, with a digest of what is left."""
     done = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), short_repeats=True)
     return done.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
 

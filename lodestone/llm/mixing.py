@@ -138,6 +138,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mix() of all documents by the weights 3, 1, 2, 150% of all sizes and at most twice a source."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 

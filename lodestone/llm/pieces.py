@@ -275,6 +275,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """digests() of all documents."""
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -250,6 +250,7 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """judge() of all documents."""
     judged = judge(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
 

@@ -189,6 +189,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() of all documents."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

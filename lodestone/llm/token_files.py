@@ -332,6 +332,7 @@ def _decoded(spark: SparkSession, path: str, digest: bool) -> DataFrame:
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all documents' ids and reads their digests back from the files."""
     path = C.new_path(spark, "token-files")
     write_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
     return read_digests(spark, path)

@@ -167,6 +167,7 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFram
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a machine that learns outside the held-out fold."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     machine = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0

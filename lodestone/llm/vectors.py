@@ -182,6 +182,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
 
 def op3_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() of all embeddings."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
