@@ -231,18 +231,17 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
 
     kept is false where base_failed (fewer than 10 words, or over 20 in 100 words in repeated five-word windows), or where
     a histogram that is long enough to count lies further from every language's than its limit. Null texts are empty and
-    fail; without any language no distance counts, nor for documents of a language that is too rare for a reference; an
-    empty table gives no rows; columns of docs with the added names are replaced."""
+    fail. Whatever a document's language, known, rare or null, the nearest reference counts; without any no distance does.
+    An empty table gives no rows; columns of docs with the added names are replaced."""
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"]
     by_class, by_word = references(docs, text_col, lang_col)
     stats, chars = _measured(docs.drop(*added), text_col)
-    known = F.col(lang_col).isNull() | F.col(lang_col).isin(sorted(by_class))
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = stats.withColumns(
         {
             "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
-            "class_distance": F.when(known, class_distance(F.col(chars), by_class)),
-            "word_distance": F.when(known, word_distance(F.split(F.lower(text), PARTED), by_word)),
+            "class_distance": class_distance(F.col(chars), by_class),
+            "word_distance": word_distance(F.split(F.lower(text), PARTED), by_word),
         }
     ).drop(chars)
     far = (F.coalesce("class_distance", F.lit(0.0)) > CLASS_LIMIT) | (F.coalesce("word_distance", F.lit(0.0)) > WORD_LIMIT + NOISE / F.sqrt(F.greatest("n_words", F.lit(1))))
