@@ -82,7 +82,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     Sources by code point, null last, weigh as given, repeating. A target of q whole sources and a rest takes every
     document q times, and the rest from documents chosen once more: lengths are counted, fit() says how many of each
     length, and the seeded hash of id and text says which: those up to a limit for each source and length, so that texts
-    needn't be sorted or shuffled. Rows with equal id and text have one hash and are chosen together or not at all.
+    needn't be sorted or shuffled. Rows with equal id and text have one hash; where a limit falls among such rows, they are
+    numbered (which of them comes first isn't told: they differ in other columns at most).
     Documents without words, null texts among them, have size 0, times q and taken 0. Reruns agree. An empty table gives
     no rows; the names added here replace columns of docs that have them. The driver holds one row for each source."""
     if (whole := int(most)) != most:
@@ -117,7 +118,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     split = parts.where("need < n").select("key", "size", "bucket", "need")
     hashes = slim.join(split, ["key", "size", "bucket"]).groupBy("key", "size", "bucket", "need", "hash").agg(F.count("*").alias("m"))
     upto = F.sum("m").over(Window.partitionBy("key", "size").orderBy("hash"))
-    limits = hashes.withColumn("upto", upto).where("upto <= need").groupBy("key", "size").agg(F.max("hash").alias("last"))
+    hashes = C.staged(hashes.withColumn("upto", upto), "mix-hashes")
+    limits = hashes.where("upto <= need").groupBy("key", "size").agg(F.max("hash").alias("last"))
+    edges = hashes.where("upto > need AND upto - m < need").select(F.struct("key", "size", "hash").alias("edge"), (F.col("need") - F.col("upto") + F.col("m")).alias("quota"), "m")
+    edges = C.staged(edges, "mix-edges")
     begun = split.select("key", "size", F.col("bucket").alias("part")).join(limits, ["key", "size"], "left")
     done = parts.where("need >= n").groupBy("key", "size").agg(F.max("bucket").alias("until"))
     chosen = done.join(begun, ["key", "size"], "full_outer")
@@ -129,14 +133,36 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
         out = keyed.join(F.broadcast(table.drop("n")), "of")
     else:
         out = C.lookup(keyed, table, "of", values, "n", F.col("hash"))
-    C.drop_staged(slim, counts, parts)
+    C.drop_staged(slim, counts, parts, hashes)
     bucket = F.pmod("hash", F.lit(BUCKETS))
     once = F.coalesce(bucket <= F.col("until"), F.lit(False)) | F.coalesce((bucket == F.col("part")) & (F.col("hash") <= F.col("last")), F.lit(False))
+    if n_edges := edges.count():
+        out = _numbered(out.withColumn("edge", F.struct(F.col("of")["key"].alias("key"), F.col("of")["size"].alias("size"), "hash")), edges, n_edges)
+        once = once | F.coalesce(F.col("number") < F.col("quota"), F.lit(False))
     times = F.col("whole") + once.cast("int")
     size = F.col("of")["size"]
     return out.select(*[F.col("row")[c].alias(c) for c in rest], size.alias("size"), "source_size", "target", (size * times).alias("taken"), times.alias("times"))
 
 
+def _numbered(rows: DataFrame, edges: DataFrame, n: int) -> DataFrame:
+    """rows with quota, and number from 0 within their edge, for those whose edge is among the n edges (null for others).
+
+    Rows of edges are written sorted by edge within the partitions that they lie in; a row's number is its place there plus
+    the edge's rows in the partitions before, so that no group of equal rows is shuffled or sorted whole."""
+    if n <= MOST_SENT:
+        told = rows.join(F.broadcast(edges.select("edge", "quota")), "edge", "left")
+    else:
+        told = C.lookup(rows, edges, "edge", ["quota"], "m", F.monotonically_increasing_id())
+    own = told.where("quota IS NOT NULL").sortWithinPartitions("edge")
+    own = C.staged(own.withColumns({"at": F.monotonically_increasing_id(), "lies": F.spark_partition_id()}), "mix-equal")
+    counts = own.groupBy("edge", "lies").agg(F.count("*").alias("held"), F.min("at").alias("begin"))
+    earlier = F.sum("held").over(Window.partitionBy("edge").orderBy("lies").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = counts.select("edge", "lies", (F.coalesce(earlier, F.lit(0)) - F.col("begin")).alias("shift"))
+    done = own.join(shifts, ["edge", "lies"]).withColumn("number", F.col("at") + F.col("shift"))
+    columns = [*rows.columns, "quota", "number"]
+    return told.where("quota IS NULL").withColumn("number", F.lit(None).cast("long")).select(*columns).unionAll(done.select(*columns))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """mix() of all documents by the weights 3, 1, 2, 150% of all sizes and at most twice a source."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
