@@ -23,6 +23,10 @@ NEVER = frozenset("aside audio button canvas datalist dialog footer form head if
 MAIN = frozenset("article main".split())
 #: Words in class or id, and roles, of what isn't the article; the words of PAGE only outside an article.
 BOILER = frozenset("ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus gdpr login menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion recommended related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+#: Words that may stand beside one of BOILER in a name inside an article, and words that an id there may have for itself: it
+#: often names a section of the text.
+BESIDE = frozenset("area bar block bottom box btn button buttons center container content feed field footer form group header icon icons inline inner item items left link links list main media message module outer panel post posts reader right row section site slot space text thread title toolbar top unit user view wrap wrapper zone".split())
+ANCHORS = frozenset("banner login menu modal notice notices promotion reply respond share sharing social subscription".split())
 PAGE = frozenset("copyright footer header legal masthead site title top".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 #: Reach and width of the smoothing in blocks; a region's peak must come to this share of the ratios' standard deviation.
@@ -33,6 +37,8 @@ SPREAD = 3.0
 SECTION, INNER_END = re.compile(r"<!\[[^\[\]<>]*\["), re.compile(r"\]\s*>")
 #: Holders that stand inside running text: one that is only a link is no menu.
 RUNNING = frozenset("blockquote figure table td".split())
+#: A line inside an article that ends in one of these is a sentence, though all of it be a link.
+SENTENCE_ENDS = frozenset(".!?;:…。！？»”\"'")
 PARTS = re.compile(r"[a-z]+")
 SPLIT_CASE = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -57,7 +63,8 @@ class Lines(HTMLParser):
         text = " ".join("".join(self.text).split())
         if text:
             region, main = self.first or (0, False)
-            self.lines.append((text, self.tags, min(self.linked, len(text)), region, main))
+            linked = 0 if main and text[-1] in SENTENCE_ENDS and " " in text else self.linked
+            self.lines.append((text, self.tags, min(linked, len(text)), region, main))
             self.tags = 0
         self.text, self.linked, self.first = [], 0, None
 
@@ -72,7 +79,28 @@ class Lines(HTMLParser):
             return False
         if tag == "article":
             return bool(words & {"comment", "comments", "reply", "ad", "ads", "advert", "promo", "sponsored", "related"})
-        return bool(words & BOILER) or not main and bool(words & (PAGE - {"title", "site", "top"}))
+        if main:
+            return self._marked(attrs)
+        return bool(words & BOILER) or bool(words & (PAGE - {"title", "site", "top"}))
+
+    @staticmethod
+    def _marked(attrs: dict[str, str | None]) -> bool:
+        """Whether one whole name in class or id is a word of BOILER, with words of BESIDE or more such words at most."""
+        for x in ("class", "id"):
+            for name in (attrs.get(x) or "").split():
+                words = set(PARTS.findall(SPLIT_CASE.sub(" ", name).lower()))
+                own = words & BOILER
+                if own and words <= BOILER | BESIDE and not (x == "id" and own == words and own <= ANCHORS):
+                    return True
+        return False
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        """As the standard parser, but `<!-->` and `<!--->` are whole comments, and one without an end goes to the page's end."""
+        for whole in ("<!-->", "<!--->"):
+            if self.rawdata.startswith(whole, i):
+                return i + len(whole)
+        end = super().parse_comment(i, report)
+        return end if end >= 0 else len(self.rawdata)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -163,8 +191,9 @@ def main_text(html: str | None) -> str:
     A line's ratio is its characters outside links over the tags since the line before; ratios are smoothed over the
     neighbouring lines. A region, the lines that one element holds without a break, is content if its peak comes to SHARE
     of the ratios' deviation (the region with the highest peak always is), unless most of its text is links.
-    Where a region inside article or main is content, all there count but those of links (cells and quotes of links stay),
-    and no others. Declarations and marked sections of any form are passed over."""
+    Where a region inside article or main is content, all there count but those of links (cells, quotes and sentences of links
+    stay), and no others. Declarations and marked sections of any form are passed over, and a comment without an end reaches
+    to the page's end."""
     if not html:
         return ""
     parser = Lines()
