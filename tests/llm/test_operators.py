@@ -364,6 +364,20 @@ def test_mix(spark, awkward, empty, docs):
     assert mixing.mix(awkward).count() == len(AWKWARD) and mixing.mix(empty).count() == 0
 
 
+def test_equal_rows_are_told_apart_where_the_budget_ends(spark):
+    rows = [(1, "two words", "a")] * 1000 + [(i, "one", "b") for i in range(10, 700)] + [(2, "three small words", "c")] * 40
+    docs = spark.createDataFrame(rows, SCHEMA.replace(", lang string", "").replace(", n_chars long", "")).repartition(7)
+    got = mixing.mix(docs).collect()
+    taken, goal = Counter(), {}
+    for r in got:
+        assert r["taken"] in (0, r["size"], 2 * r["size"])
+        taken[r["source"]] += r["taken"]
+        goal[r["source"]] = r["target"]
+    assert len(got) == len(rows) and all(-1 < goal[s] - taken[s] < 3 for s in goal)
+    again = mixing.mix(docs.repartition(3)).collect()
+    assert sorted((r["doc_id"], r["taken"]) for r in got) == sorted((r["doc_id"], r["taken"]) for r in again)
+
+
 # 10
 def plain_stats(text):
     words = WORD.findall(text or "")
@@ -431,17 +445,23 @@ def test_verdict_equals_a_plain_one(spark, docs):
     for i, t, lang in rows:
         t, r = t or "", judged[i]
         c, ws = np.array(plain_classes(t), float), re.split(quality.PARTED, t.lower())
-        known = lang is None or lang in by_lang
-        far_class = min(divergence(c / c.sum(), q) for q in classes) if known and c.sum() >= quality.LEAST_CHARS else None
+        far_class = min(divergence(c / c.sum(), q) for q in classes) if c.sum() >= quality.LEAST_CHARS else None
         far_word = None
-        if known and len(ws) >= quality.LEAST_WORDS:
+        if len(ws) >= quality.LEAST_WORDS:
             n = Counter(ws)
             far_word = min(divergence([*[n[w] / len(ws) for w in q], 1 - sum(n[w] for w in q) / len(ws)], [*q.values(), 1 - sum(q.values())]) for q in common_words)
         for got, want in ((r["class_distance"], far_class), (r["word_distance"], far_word)):
             assert (got is None) == (want is None) and (want is None or abs(got - want) < 1e-6), (i, got, want)
         limit = quality.WORD_LIMIT + quality.NOISE / math.sqrt(max(1, r["n_words"]))
         assert r["kept"] == (not r["base_failed"] and not (far_class or 0) > quality.CLASS_LIMIT and not (far_word or 0) > limit)
-    assert not judged[90_002]["kept"]
+    assert not judged[90_001]["kept"] and not judged[90_002]["kept"]
+
+
+def test_a_rare_language_is_no_free_pass(spark, docs):
+    junk = "".join(chr(0x400 + i % 32) + " " * (i % 7 == 0) for i in range(900))
+    rows = [(90_000 + i, junk, lang) for i, lang in enumerate(["zz", "zz", "en", None])]
+    judged = quality.judge(docs.select("doc_id", "text", "lang").unionAll(spark.createDataFrame(rows, "doc_id long, text string, lang string"))).where("doc_id >= 90000")
+    assert {r["kept"] for r in judged.collect()} == {False}
 
 
 # pipeline
@@ -549,6 +569,11 @@ LONG = "A long paragraph of the article, with many words in it, that goes on and
         (f"<![foo[ bar ]]><![%x;[ a ]]><main><p>{LONG}</p></main>", [LONG.strip()], []),
         (f"<!DOCTYPE html [<!ENTITY a 'b'>]><nav><a href=x>Menu</a></nav><main><p>{LONG}</p></main>", [LONG.strip()], ["Menu"]),
         (f"<body><div id=nav><ul><li><a href=a>Home</a></li><li><a href=b>About</a></li></ul></div><div><p>{LONG}</p><p>{LONG}</p></div><div class=footer>Imprint</div></body>", [LONG.strip()], ["Home", "Imprint"]),
+        (f"<article><p>{LONG}</p><section><a href=x>The whole sentence is one link to read.</a></section><div class=more><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul></div></article>", ["one link to read."], ["One", "Two"]),
+        (f'<article><p>{LONG}</p><div class="notice-board-history"><p>The board of 1820.</p></div><section id="menu"><h2>Menu of the feast</h2><p>Soup, then fish.</p></section></article>', ["The board of 1820.", "Menu of the feast", "Soup, then fish."], []),
+        (f'<article><p>{LONG}</p><div class="cookie-notice">We use them.</div><div id="comments"><p>First reader.</p></div><ul class="share-buttons"><li>Tell all</li></ul></article>', [LONG.strip()], ["We use", "First reader", "Tell all"]),
+        (f"<article><p>{LONG}</p></article><!-- never closed <p>lost</p>", [LONG.strip()], ["never closed", "<p>", "lost"]),
+        (f"<main><!--><p>{LONG}</p><!-- a > b --><p>Last.</p></main>", [LONG.strip(), "Last."], ["a > b"]),
     ],
 )
 def test_regions_of_planted_pages(html, kept, gone):
