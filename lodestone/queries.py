@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
-from lodestone.operators import change, chunking, concepts, entities, graph, impact, relations, retrieval, views
+from lodestone.operators import annotations, change, chunking, concepts, entities, graph, impact, relations, retrieval, views
 from lodestone.plans import impact_analysis
 from lodestone.sources import files, tables
 
@@ -614,3 +614,69 @@ def imp24(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("document_id"), F.col("text").alias("content"))
     found = impact_analysis.analyze(chunks, vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), mentions, nodes, edges, docs.select(F.col("doc_id").alias("id"), F.concat_ws("/", "source", "doc_id").alias("filename")), ASKED, first, stop=STOP)
     return found.select("id", "name", "score", "level", "distance", "path", "label", "category", F.size("documents").alias("n_documents"))
+
+
+# tokens with annotations: the lines of a part, one after another, as words of a chunk, padded to PAD characters
+WORDS = ("service", "api", "Order", "minute", "-", "the", "Stock", "30", "and", "routing", "policy", "runs")
+WORD_POS = ("NOUN", "PROPN", "PROPN", "NOUN", "PUNCT", "DET", "PROPN", "NUM", "CCONJ", "ADJ", "NOUN", "VERB")
+DEPS, PAD, SENTENCE_WORDS = ("compound", "nsubj", "amod", "dobj"), 8, 12
+WORD_AT = "(l_orderkey + 7 * l_linenumber + l_suppkey) % 12"
+LISTED = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+QUOTED = lambda xs: ", ".join(f"'{x}'" for x in xs)
+WORDS_SQL = (
+    f"t AS (SELECT l_partkey AS id, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey) - 1 AS p, {LISTED(WORDS)}[{WORD_AT} + 1] AS w, {LISTED(WORD_POS)}[{WORD_AT} + 1] AS pos, {LISTED(DEPS)}[l_suppkey % 4 + 1] AS dep FROM lineitem), "
+    f"u AS (SELECT *, p // {SENTENCE_WORDS} AS sent, pos IN ({QUOTED(annotations.NOMINAL)}) AND w <> '-' AS nominal FROM t)"
+)
+
+
+def line_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_suppkey", F.expr(WORD_AT).cast("int").alias("k"), (F.col("l_suppkey") % 4).cast("int").alias("d")))).alias("lines"))
+    pick = lambda xs, i: F.array(*[F.lit(x) for x in xs])[i]
+
+    def token(x, i):
+        w = pick(WORDS, x["k"])
+        start = i * PAD
+        return F.struct(
+            w.alias("text"), F.lower(w).alias("lemma"), pick(WORD_POS, x["k"]).alias("pos"), pick(DEPS, x["d"]).alias("dep"), w.isin("the", "and").alias("stop"), (w == "30").alias("number"),
+            F.floor(i / SENTENCE_WORDS).cast("int").alias("sentence"), start.alias("start"), (start + F.length(w)).alias("end"),
+        )
+
+    return lines.select("id", F.array_join(F.transform("lines", lambda x: F.rpad(pick(WORDS, x["k"]), PAD, " ")), "").alias("text"), F.transform("lines", token).alias("tokens"))
+
+
+@query(
+    "ent03_structural_phrases",
+    f"WITH RECURSIVE {WORDS_SQL}, m AS (SELECT id, p, sent FROM u WHERE lower(w) IN ({QUOTED(annotations.MARKER_WORDS)})), "
+    f"grow AS (SELECT id, p AS marker, sent, p AS start, 0 AS steps FROM m UNION ALL SELECT g.id, marker, g.sent, start - CASE WHEN a.nominal THEN 1 ELSE 2 END, steps + CASE WHEN a.nominal THEN 1 ELSE 2 END FROM grow g JOIN u a ON a.id = g.id AND a.p = start - 1 AND a.sent = g.sent LEFT JOIN u b ON b.id = g.id AND b.p = start - 2 AND b.sent = g.sent WHERE steps < {annotations.LEFT} AND (a.nominal OR (a.w = '-' AND b.w = '30'))), "
+    f"firsts AS (SELECT id, marker, sent, min(start) AS first FROM grow GROUP BY 1, 2, 3), fits AS (SELECT id, p, sent FROM u WHERE nominal AND dep IN ({QUOTED(annotations.ATTACHED)})), "
+    "ends AS (SELECT f.id, marker, first, CASE WHEN x.p IS NULL THEN marker WHEN y.p IS NULL THEN marker + 1 ELSE marker + 2 END AS last FROM firsts f LEFT JOIN fits x ON x.id = f.id AND x.p = marker + 1 AND x.sent = f.sent LEFT JOIN fits y ON y.id = f.id AND y.p = marker + 2 AND y.sent = f.sent) "
+    f"SELECT e.id, marker, first, last, rtrim(string_agg(rpad(w, {PAD}, ' '), '' ORDER BY p)) AS phrase FROM ends e JOIN u ON u.id = e.id AND u.p BETWEEN first AND last GROUP BY 1, 2, 3, 4",
+)
+def ent03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases grown around marker words to the left and right, never across sentences."""
+    found = line_words(spark, sf_dir).select("id", "text", "tokens", F.explode(annotations.structural_spans(F.col("tokens"))).alias("s"))
+    phrase = annotations.covered_text(F.col("text"), F.col("tokens"), F.col("s.first"), F.col("s.last"))
+    return found.select("id", F.col("s.marker").cast("long").alias("marker"), F.col("s.first").cast("long").alias("first"), F.col("s.last").cast("long").alias("last"), phrase.alias("phrase"))
+
+
+SPAN_LABELS = ("API_PATTERN", "ORG", "NOUN_PHRASE", "DATE")
+
+
+@query(
+    "ent06_filtered",
+    f"WITH {WORDS_SQL}, s AS (SELECT id, p AS first, least(p + (p + id) % 9, max(p) OVER (PARTITION BY id)) AS last, {LISTED(SPAN_LABELS)}[p % 5 + 1] AS label FROM u), "
+    "x AS (SELECT s.id, first, last, label, p, w, pos, w IN ('the', 'and') AS stop, p % 12 = 0 AS opens FROM s JOIN u ON u.id = s.id AND u.p BETWEEN first AND last), "
+    f"g AS (SELECT id, first, last, label, count(*) FILTER (w <> '-') AS n, count(*) FILTER (w <> '-' AND NOT stop AND pos <> 'DET') AS content, count(*) FILTER (NOT stop AND pos IN ('NOUN', 'PROPN')) AS nouns, "
+    f"count(*) FILTER (w <> '-' AND NOT stop AND pos = 'PROPN' AND lower(w) NOT IN ({GENERIC_SQL}) AND (NOT opens OR coalesce(label IN ({QUOTED(entities.VOUCHING)}), false))) AS fine, "
+    f"arg_min(lower(w), p) FILTER (w <> '-') IN ({QUOTED(annotations.CLAUSE_WORDS)}) OR arg_max(lower(w), p) FILTER (w <> '-') IN ({QUOTED(annotations.CLAUSE_WORDS)}) AS loose, string_agg(w, ' ' ORDER BY p) AS phrase FROM x GROUP BY 1, 2, 3, 4) "
+    f"SELECT id, first, last, label FROM g WHERE n BETWEEN 1 AND 7 AND (coalesce(label IN ({QUOTED(annotations.PROVEN)}), false) OR (nouns > 0 AND (content > 1 OR fine = 1) AND NOT loose)) "
+    r"AND trim(regexp_replace(regexp_replace(phrase, '^((the|and) )+', ''), '([^ ])( (the|and))+$', '\1'), '- ') <> ''",
+)
+def ent06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of every place, up to nine words long, that the filters of candidates let pass."""
+    chunks = annotations.with_starts(line_words(spark, sf_dir))
+    last = F.least(F.col("first") + F.pmod(F.col("first") + F.col("id"), F.lit(9)), F.size("tokens") - 1).cast("int")
+    label = F.get(F.array(*[F.lit(x) for x in SPAN_LABELS]), F.col("first") % 5)
+    spans = chunks.select("id", "text", "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - 1)).alias("first")).withColumns({"last": last, "label": label})
+    own = spans.select("id", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "label", annotations.covered_text(F.col("text"), F.col("tokens"), F.col("first"), F.col("last")).alias("text"), annotations.span_tokens(F.col("tokens"), F.col("first"), F.col("last")).alias("tokens"))
+    return annotations.filtered(own).select("id", "first", "last", "label")
