@@ -145,28 +145,43 @@ def txt06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.rejected(table(spark, sf_dir, "documents")).where("reason = 'no text'")
 
 
-FROM_TO_SQL = change.FROM_TO.replace("'", "''")
+CLEAN_SQL = lambda x: f"trim({x}, ' :,-')"
 
 
-@query("chg01_from_to", rf"WITH q AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS q FROM documents) SELECT doc_id, trim(regexp_extract(q, '{FROM_TO_SQL}', 1)) AS old_raw, trim(regexp_extract(q, '{FROM_TO_SQL}', 2)) AS new_raw FROM q WHERE regexp_matches(q, '{FROM_TO_SQL}')")
+@query(
+    "chg01_from_to",
+    r"WITH q AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS q FROM documents WHERE contains(lower(text), 'from')), s AS (SELECT doc_id, unnest(string_split_regex(q, '[,.;]')) AS s, generate_subscripts(string_split_regex(q, '[,.;]'), 1) AS i FROM q), "
+    r"w AS (SELECT doc_id, i, list_filter(string_split(s, ' '), lambda x: x <> '') AS w FROM s), o AS (SELECT *, list_position(list_transform(w, lambda x: lower(regexp_extract(x, '[\p{L}\p{N}_]*$'))), 'from') AS o FROM w), "
+    r"c AS (SELECT *, list_min(list_filter(range(o + 2, len(w)), lambda j: lower(w[j]) IN ('to', '→', '->'))) AS c FROM o WHERE o > 0), "
+    r"e AS (SELECT *, coalesce(list_min(list_filter(range(c + 2, len(w) + 1), lambda k: regexp_extract(lower(w[k]), '^[\p{L}\p{N}_]*') IN ('for', 'which', 'that', 'so', 'because', 'and'))), len(w) + 1) AS e FROM c WHERE c IS NOT NULL) "
+    + f"SELECT doc_id, {CLEAN_SQL("array_to_string(w[o + 1 : c - 1], ' ')")} AS old_raw, {CLEAN_SQL("array_to_string(w[c + 1 : e - 1], ' ')")} AS new_raw FROM e QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) = 1",
+)
 def chg01(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("query"))
     return change.parsed(docs).where("pattern = 'FROM_TO'").select("doc_id", "old_raw", "new_raw")
 
 
-REQUESTS = (
-    "Change the cache lifetime of the catalog from 15 minutes to 5 minutes.", "We will change storage from Disk v1 to Object Store.",
-    "Update the answer window from 4 hours to 1 hour for urgent tickets.", "20m → 5m", "Introduce mandatory reviews for new suppliers.", "Replace the weekly export with a feed.",
-)
+AGES = "(1 + o_orderkey % 90)", "(1 + coalesce(o_custkey, 0) % 60)"
+CHANGED_SQL = "CASE WHEN b > a THEN 'INCREASE' WHEN b < a THEN 'DECREASE' ELSE 'CHANGE' END"
 
 
 @query(
     "chg03_requests",
-    "SELECT * FROM (VALUES (0, 'VALUE_CHANGE', '15 minutes', '5 minutes', 'DECREASE', 0.666667::DOUBLE), (1, 'VALUE_CHANGE', 'Disk v1', 'Object Store', 'CHANGE', NULL), (2, 'VALUE_CHANGE', '4 hours', '1 hour', 'DECREASE', 0.75), (3, 'VALUE_CHANGE', '20m', '5m', 'DECREASE', 0.75), (4, 'REQUIREMENT_CHANGE', NULL, NULL, 'CHANGE', NULL), (5, 'REPLACEMENT', 'the weekly export', 'a feed', 'CHANGE', NULL)) AS t(id, change_type, old_raw, new_raw, direction, magnitude)",
+    f"WITH r AS (SELECT o_orderkey AS id, o_orderkey % 6 AS k, {AGES[0]} AS a, {AGES[1]} AS b FROM orders) SELECT id, CASE WHEN k IN (0, 1, 3, 5) THEN 'VALUE_CHANGE' WHEN k = 2 THEN 'REPLACEMENT' ELSE 'REQUIREMENT_CHANGE' END AS change_type, "
+    "CASE k WHEN 0 THEN a || ' minutes' WHEN 1 THEN 'Disk v1' WHEN 2 THEN 'the export of ' || id WHEN 3 THEN a || 'm' WHEN 5 THEN a::VARCHAR END AS old_raw, CASE k WHEN 0 THEN b || ' mins' WHEN 1 THEN 'Object Store' WHEN 2 THEN 'a feed' WHEN 3 THEN b || 'm' WHEN 5 THEN b::VARCHAR END AS new_raw, "
+    f"CASE WHEN k IN (0, 3, 5) THEN {CHANGED_SQL} WHEN k = 2 THEN 'REPLACEMENT' ELSE 'CHANGE' END AS direction, CASE WHEN k IN (0, 3, 5) THEN round(abs(b - a) / a::DOUBLE, 6) END AS magnitude, "
+    "CASE k WHEN 0 THEN 'lifetime of order ' || id WHEN 1 THEN 'storage of ' || id WHEN 2 THEN 'export of ' || id WHEN 3 THEN 'Age of ' || id WHEN 4 THEN 'introduce reviews for order ' || id || '.' ELSE 'Move limit ' || id END AS subject FROM r",
 )
 def chg03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(REQUESTS)), "id int, query string")
-    return change.specified(rows).select("id", "change_type", "old_raw", "new_raw", "direction", F.round("magnitude", 6).alias("magnitude"))
+    """A request of one of six kinds for every order."""
+    a, b = AGES
+    said = (
+        f"concat('Change the lifetime of order ', o_orderkey, ' from ', {a}, ' minutes to ', {b}, ' mins.')", "concat('We will change storage of ', o_orderkey, ' from Disk v1 to Object Store, at once')", "concat('Replace the export of ', o_orderkey, ' with a feed')",
+        f"concat('Age of ', o_orderkey, ': ', {a}, 'm → ', {b}, 'm')", "concat('Please introduce reviews for order ', o_orderkey, '.')", f"concat('Move limit ', o_orderkey, ' from ', {a}, ' to ', {b}, ' for all')",
+    )
+    text = "CASE o_orderkey % 6 " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(said)) + " END AS query"
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr(text))
+    return change.specified(rows).select("id", "change_type", "old_raw", "new_raw", "direction", F.round("magnitude", 6).alias("magnitude"), "subject")
 
 
 @query("src13_replace", "SELECT doc_id, 'kept' AS origin FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) UNION ALL SELECT DISTINCT doc_id, 'fresh' FROM labels")
@@ -249,17 +264,33 @@ def rel07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.across_chunks(rows).select("source", "target", "relationship_type", "confidence")
 
 
-SENTENCES = (
-    ("Cart Service calls Stock API for every item.", "CALLS"), ("Parcel Engine reads Route Database each night.", "READS_FROM"), ("Late Parcel routes to Depot Team.", "ROUTES_TO"),
-    ("Related Systems: Parcel Engine, Cart Service", "RELATED_SYSTEM"), ("Route Database is owned by Depot Team.", "OWNED_BY"), ("Cart Service and Parcel Engine are both important systems.", None),
+# what stands between two names, and the edges that it gives
+TOLD = (
+    ("calls", "CALLS 0.96"), ("invoke", "CALLS 0.96"), ("requests", "CALLS 0.94"), ("queries", "QUERIES 0.94"), ("reads from", "READS_FROM 0.96"), ("reads", "READS_FROM 0.94"), ("fetches from", "READS_FROM 0.94"),
+    ("writes to", "WRITES_TO 0.96"), ("sends to", "SENDS_TO 0.94 ROUTES_TO 0.92"), ("posts to", "SENDS_TO 0.94"), ("depends on", "DEPENDS_ON 0.96"), ("relies on", "DEPENDS_ON 0.96"), ("uses", "USES 0.93"), ("utilizes", "USES 0.93"),
+    ("leverages", "USES 0.93"), ("routes to", "ROUTES_TO 0.96"), ("triggers", "TRIGGERS 0.96"), ("initiates", "TRIGGERS 0.94"), ("feeds", "FEEDS 0.92"), ("notifies", "NOTIFIES 0.96"), ("alerts", "NOTIFIES 0.94"),
+    ("loops in", "INVOLVES 0.92"), ("is owned by", "OWNED_BY 0.98"), ("is maintained by", "MAINTAINED_BY 0.98"), ("is operated by", "OPERATED_BY 0.98"), ("is managed by", "MANAGED_BY 0.96"), ("is assigned to", "ASSIGNED_TO 0.96"),
+    ("is escalated to", "ESCALATES_TO 0.96"), ("coordinates with", "COORDINATES_WITH 0.94"), ("is governed by", "GOVERNED_BY 0.98"), ("is regulated by", "GOVERNED_BY 0.96"), ("is enforced by", "ENFORCED_BY 0.98"),
+    ("is implemented by", "IMPLEMENTED_BY 0.96"), ("implements", "IMPLEMENTS 0.94"), ("supports", "SUPPORTS 0.90"), ("references", "REFERENCES 0.98"), ("is described in", "DOCUMENTED_IN 0.96"), ("is documented in", "DOCUMENTED_IN 0.96"),
+    ("is defined in", "DEFINED_IN 0.96"), ("is specified in", "DEFINED_IN 0.96"), ("is related to", "RELATED_TO 0.86"), ("and", ""), (". The others stand by", ""),
 )
-ENTITIES = ("Cart Service", "Stock API", "Parcel Engine", "Route Database", "Depot Team", "Late Parcel")
+EDGES_SQL = ", ".join(f"({k}, '{kind}', {c}::DOUBLE)" for k, (_, edges) in enumerate(TOLD) for kind, c in zip(edges.split()[::2], edges.split()[1::2], strict=True))
 
 
-@query("rel04_nearest_pairs", "SELECT * FROM (VALUES (0, 'Cart Service', 'Stock API', 'CALLS', 0.96::DOUBLE), (1, 'Parcel Engine', 'Route Database', 'READS_FROM', 0.94), (2, 'Late Parcel', 'Depot Team', 'ROUTES_TO', 0.96), (3, 'Parcel Engine', 'Cart Service', 'RELATED_SYSTEM', 0.90), (4, 'Route Database', 'Depot Team', 'OWNED_BY', 0.98)) AS t(chunk_id, source, target, relationship_type, confidence)")
+@query(
+    "rel04_nearest_pairs",
+    f"WITH e(k, relationship_type, confidence) AS (VALUES {EDGES_SQL}) SELECT c_custkey AS chunk_id, 'C' || c_custkey AS source, 'N' || c_nationkey AS target, relationship_type, confidence FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN e ON k = c_custkey % {len(TOLD)} "
+    "UNION ALL SELECT c_custkey, 'N' || c_nationkey, 'C' || c_custkey, 'RELATED_SYSTEM', 0.9 FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 7 = 0",
+)
 def rel04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(SENTENCES)], "chunk_id int, content string")
-    names = spark.createDataFrame([(i, e, e) for i in range(len(SENTENCES)) for e in ENTITIES], "chunk_id int, id string, name string")
+    """A sentence with each trigger in turn for every customer, a list of systems for some, and names that are parts of others."""
+    both = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    told = F.array(*[F.lit(t) for t, _ in TOLD])[(F.col("c_custkey") % len(TOLD)).cast("int")]
+    listed = F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("\nRelated Systems: "), "n_name", F.lit(", "), "c_name")).otherwise("")
+    chunks = both.select(F.col("c_custkey").alias("chunk_id"), F.concat(F.lit("So it is. A "), "c_name", F.lit(" "), told, F.lit(" the "), "n_name", F.lit("."), listed).alias("content"))
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    part = F.substring("c_name", 1, 8)  # "Customer": never stands alone
+    names = both.select(F.col("c_custkey").alias("chunk_id"), key("C", "c_custkey").alias("id"), F.col("c_name").alias("name")).unionAll(both.select("c_custkey", key("N", "c_nationkey"), "n_name")).unionAll(both.select("c_custkey", F.lit("X"), part))
     return relations.extract(chunks, names).drop("evidence")
 
 
