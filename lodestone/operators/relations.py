@@ -26,6 +26,8 @@ TRIGGERS = (
 #: Labels of lists: pattern, type (fixed values); their confidence, the farthest mention from a trigger, the longest labelled line.
 LABELS = (("systems?", "RELATED_SYSTEM"), ("apis?", "RELATED_API"), ("workflows?", "RELATED_WORKFLOW"), ("polic(?:y|ies)", "RELATED_POLICY"), ("sops?", "RELATED_SOP"), ("documents?", "REFERENCES"))
 LABEL_CONFIDENCE, FARTHEST, LONGEST_LINE = 0.90, 240, 600
+#: A word of a name, and words of a name that are looked up; a longer name is verified whole.
+NAME_WORD, MOST_RUN = r"[\p{L}\p{N}_]+", 7
 
 
 def places(text: Column, pattern: Column | str, length: Column | None = None) -> Column:
@@ -42,18 +44,64 @@ def places(text: Column, pattern: Column | str, length: Column | None = None) ->
     return F.aggregate(F.filter(F.arrays_zip(gaps.alias("g"), sizes.alias("n")), lambda x: x["n"].isNotNull()), start, step, lambda a: a["out"])
 
 
+def _run_hash(words: Column) -> Column:
+    return F.xxhash64(words)
+
+
+def name_runs(names: DataFrame) -> DataFrame:
+    """names (chunk_id, entity, name) with lead (characters before the first word), words (the number of them looked up) and hash (of these); names without a word have 0 words."""
+    w = F.slice(F.regexp_extract_all("name", F.lit(NAME_WORD), F.lit(0)), 1, MOST_RUN)
+    return names.withColumns({"words": F.size(w), "hash": _run_hash(w), "lead": F.regexp_instr("name", F.lit(NAME_WORD)) - 1})
+
+
+def text_runs(text: Column, sizes: Column) -> Column:
+    """(hash, start) of every run of words whose length is among sizes: the words and their places are found once."""
+    words, starts = F.regexp_extract_all(text, F.lit(NAME_WORD), F.lit(0)), F.transform(places(text, NAME_WORD), lambda p: p["start"])
+
+    def runs(x: Column) -> Column:
+        each = lambda k: F.when(F.size(x["w"]) >= k, F.transform(F.sequence(F.lit(0), F.size(x["w"]) - k), lambda i: F.struct(_run_hash(F.slice(x["w"], i + 1, k)).alias("hash"), F.get(x["s"], i).alias("start"))))
+        return F.flatten(F.filter(F.transform(sizes, each), lambda r: r.isNotNull()))
+
+    return X.let(F.struct(words.alias("w"), starts.alias("s")), runs)
+
+
+def found_names(pieces: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(chunk_id, piece, entity, name, start) of names that may stand in a piece: those whose first MOST_RUN words do.
+
+    A dictionary join: every run of words of a length that the chunk's names have is hashed once and meets the names of its
+    chunk by that hash, so that a piece is read once whatever the number of names; start is where the whole name would begin.
+    Names without a word meet each piece of their chunk that holds them."""
+    names = name_runs(mentions.select("chunk_id", F.col("id").alias("entity"), "name").where("name != ''").distinct())
+    lengths = names.where("words > 0").groupBy("chunk_id").agg(F.collect_set("words").alias("sizes"))  # MOST_RUN numbers at most
+    runs = pieces.join(lengths, "chunk_id").select("chunk_id", "piece", F.explode(text_runs(F.col("text"), F.col("sizes"))).alias("r")).select("chunk_id", "piece", "r.hash", "r.start")
+    met = runs.join(names.where("words > 0").select("chunk_id", "hash", "entity", "name", "lead"), ["chunk_id", "hash"])
+    met = met.select("chunk_id", "piece", "entity", "name", (F.col("start") - F.col("lead")).alias("start"))
+    signs = pieces.join(names.where("words = 0").select("chunk_id", "entity", "name"), "chunk_id").where(F.contains("text", F.col("name")))
+    quoted = F.concat(F.lit(r"\Q"), F.col("name"), F.lit(r"\E"))
+    return met.unionAll(signs.select("chunk_id", "piece", "entity", "name", F.explode(places(F.col("text"), quoted, F.length("name"))).alias("p")).select("chunk_id", "piece", "entity", "name", "p.start"))
+
+
 def placed_mentions(pieces: DataFrame, mentions: DataFrame) -> DataFrame:
     """pieces (chunk_id, piece, text) with spans: the mentions (id, name) of the chunk found in the text, case-sensitive, between
-    word boundaries; from the left the longest first, overlapping ones dropped. One join on the chunk."""
-    both = pieces.join(mentions.select("chunk_id", F.col("id").alias("entity"), "name").where("name != ''"), "chunk_id")
-    quoted = F.concat(F.lit(r"\Q"), F.col("name"), F.lit(r"\E"))
-    found = both.select("chunk_id", "piece", "text", "entity", F.explode(places(F.col("text"), quoted, F.length("name"))).alias("p"))
+    word boundaries; from the left the longest first, overlapping ones dropped.
+
+    found_names() says what may stand where; each place is verified in the text. Pieces without a mention give no row, nor do
+    null texts and names; names that occur twice among a chunk's mentions count once."""
+    maybe = found_names(pieces, mentions).where("start >= 0").groupBy("chunk_id", "piece").agg(F.collect_set(F.struct("start", "name", "entity")).alias("maybe"))
+    both = pieces.join(maybe, ["chunk_id", "piece"])
     edge = lambda c: ~c.rlike(r"[\p{L}\p{N}_]")
-    left, right = F.substring("text", F.col("p.start"), F.lit(1)), F.substring("text", F.col("p.end") + 1, F.lit(1))
-    found = found.where(((F.col("p.start") == 0) | edge(left)) & edge(right))
-    spans = found.groupBy("chunk_id", "piece", "text").agg(F.array_sort(F.collect_set(F.struct("p.start", (F.col("p.start") - F.col("p.end")).alias("minus"), "p.end", "entity"))).alias("all"))
+    text = F.col("text")
+
+    def stands(x: Column) -> Column:
+        end = x["start"] + F.length(x["name"])
+        whole = F.substring(text, x["start"] + 1, F.length(x["name"])) == x["name"]
+        return whole & ((x["start"] == 0) | edge(F.substring(text, x["start"], F.lit(1)))) & edge(F.substring(text, end + 1, F.lit(1)))
+
+    span = lambda x: F.struct(x["start"].alias("start"), (-F.length(x["name"])).alias("minus"), (x["start"] + F.length(x["name"])).alias("end"), x["entity"].alias("entity"))
+    spans = both.select("chunk_id", "piece", "text", F.array_sort(F.transform(F.filter("maybe", stands), span)).alias("all")).where(F.size("all") > 0)
     kind = spans.schema["all"].dataType
-    keep = F.aggregate("all", F.array().cast(kind), lambda a, x: F.when(F.exists(a, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])), a).otherwise(F.array_append(a, x)))
+    # sorted by start, so that a span overlaps those kept if it begins before the last of them ends
+    keep = F.aggregate("all", F.array().cast(kind), lambda a, x: F.when((F.size(a) > 0) & (x["start"] < F.get(a, F.size(a) - 1)["end"]), a).otherwise(F.array_append(a, x)))
     return spans.select("chunk_id", "piece", "text", keep.alias("spans"))
 
 
@@ -62,7 +110,8 @@ def triggered(placed: DataFrame) -> DataFrame:
     each = []
     for pattern, kind, confidence in TRIGGERS:
         each.append(F.transform(places(F.col("text"), f"(?i){pattern}"), _trigger(kind, confidence)))
-    rows = placed.where(F.size("spans") >= 2).select("chunk_id", "text", "spans", F.explode(F.concat(*each)).alias("t"))
+    some = "|".join(p for p, _, _ in TRIGGERS)  # a text without any is read once
+    rows = placed.where((F.size("spans") >= 2) & F.col("text").rlike(f"(?i){some}")).select("chunk_id", "text", "spans", F.explode(F.concat(*each)).alias("t"))
     before = F.array_max(F.transform(F.filter("spans", lambda m: m["end"] <= F.col("t.start")), lambda m: F.struct(m["end"].alias("end"), m["entity"].alias("entity"))))
     after = F.array_min(F.transform(F.filter("spans", lambda m: m["start"] >= F.col("t.end")), lambda m: F.struct(m["start"].alias("start"), m["entity"].alias("entity"))))
     rows = rows.withColumns({"b": before, "a": after}).where("b is not null and a is not null and b.entity != a.entity")
