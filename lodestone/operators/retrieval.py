@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -10,18 +11,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import text as X
-from lodestone.sources.scratch import staged
+from lodestone.sources.scratch import drop_staged, staged
 
 #: Rows of a group and queries that meet in one task of best_match.
 BLOCKS = 16
 
 
+def term_arrays(docs: DataFrame, id_col: str, text_col: str, stop: Sequence[str] = (), sizes: Sequence[int] = (1, 2)) -> DataFrame:
+    """(id, terms) of documents, one row each: the terms (value) and how often each occurs (n), sorted; null where there are none."""
+    terms = X.tokens(F.coalesce(F.col(text_col), F.lit("")), stop)
+    return docs.select(F.col(id_col).alias("id"), X.runs(F.sort_array(X.ngrams(terms, sizes))).alias("terms"))
+
+
 def term_counts(docs: DataFrame, id_col: str, text_col: str, stop: Sequence[str] = (), sizes: Sequence[int] = (1, 2)) -> DataFrame:
     """(id, term, tf) of documents, one row each: terms are sorted and counted inside the row, so nothing is shuffled."""
-    terms = X.tokens(F.coalesce(F.col(text_col), F.lit("")), stop)
-    found = X.runs(F.sort_array(X.ngrams(terms, sizes)))
     # the outer form keeps the optimizer from counting every row twice, once to see whether it is empty
-    return docs.select(F.col(id_col).alias("id"), F.explode_outer(found).alias("r")).where("r is not null").select("id", F.col("r.value").alias("term"), F.col("r.n").cast("long").alias("tf"))
+    return term_arrays(docs, id_col, text_col, stop, sizes).select("id", F.explode_outer("terms").alias("r")).where("r is not null").select("id", F.col("r.value").alias("term"), F.col("r.n").cast("long").alias("tf"))
 
 
 def document_frequencies(counts: DataFrame, n_docs: int, max_df: float = 0.95) -> DataFrame:
@@ -43,7 +48,9 @@ def norms(weights: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """Written tables that any number of searches read: counts (id, term, tf), idf (term, df, idf), and norms (id, norm) of n_docs documents."""
+    """Written tables that any number of searches read: counts (id, term, tf), idf (term, df, idf), and norms (id, norm) of n_docs documents.
+
+    key: what tells documents apart in counts and norms; buckets: where counts lie in so many by the hashes of their terms."""
 
     counts: DataFrame
     idf: DataFrame
@@ -52,6 +59,8 @@ class Index:
     stop: tuple[str, ...]
     sizes: tuple[int, ...]
     sublinear: bool
+    key: tuple[str, ...] = ("id",)
+    buckets: int | None = None
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stop: Sequence[str] = (), sizes: Sequence[int] = (1, 2), max_df: float = 0.95, sublinear: bool = True) -> Index:
@@ -67,27 +76,55 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def search(index: Index, query: str, k: int) -> DataFrame:
     """(id, score): the k documents with the highest cosine to the query, scores above 0 only; ties by id, where scores that differ by less than rounding errors are equal.
 
-    Only the query's terms are read from the index; they come by a broadcast, for a request has a few."""
+    Only the query's terms are read from the index, by filters on terms and buckets that reach the files; a request has a few,
+    and they come by a broadcast."""
     if k <= 0:
         raise ValueError("k must be positive")
     spark: SparkSession = index.counts.sparkSession
-    asked = term_counts(spark.createDataFrame([(0, query)], "id int, text string"), "id", "text", index.stop, index.sizes)
-    own = weigh(asked, index.idf.join(F.broadcast(asked.select("term")), "term", "left_semi"), index.sublinear)
-    length = own.agg(F.sqrt(F.sum(F.col("w") * F.col("w")))).first()[0]
-    if not length:
+    weights = asked_weights(spark, query, index.idf, index.stop, index.sizes, index.sublinear)
+    if not weights:
         return index.norms.select("id", F.lit(0.0).alias("score")).limit(0)
-    terms = own.join(index.idf, "term").select("term", "idf", (F.col("w") / length).alias("wq"))
+    terms = spark.createDataFrame(weights, "term string, idf double, wq double")
+    counts = index.counts.where(F.col("term").isin([t for t, _, _ in weights]))
+    if index.buckets:
+        own = terms.select(F.pmod(F.xxhash64("term"), F.lit(index.buckets)).cast("int").alias("b")).distinct().collect()
+        counts = counts.where(F.col("bucket").isin([r["b"] for r in own]))
     tf: Column = 1.0 + F.log("tf") if index.sublinear else F.col("tf").cast("double")
-    hits = index.counts.join(F.broadcast(terms), "term").groupBy("id").agg(F.sum(tf * F.col("idf") * F.col("wq")).alias("dot"))
-    scored = hits.join(index.norms, "id").select("id", (F.col("dot") / F.col("norm")).alias("score"))
+    hits = counts.join(F.broadcast(terms), "term").groupBy(*index.key).agg(F.sum(tf * F.col("idf") * F.col("wq")).alias("dot"))
+    scored = hits.join(index.norms, list(index.key)).select("id", (F.col("dot") / F.col("norm")).alias("score"))
     return scored.orderBy(F.desc(F.round("score", 10)), "id").limit(k).where("score > 0")
 
 
+def asked_weights(spark: SparkSession, query: str, idf: DataFrame, stop: Sequence[str], sizes: Sequence[int], sublinear: bool) -> list[tuple[str, float, float]]:
+    """(term, idf, weight) of a request's terms that the index has, in the length of 1."""
+    asked = {r["term"]: r["tf"] for r in term_counts(spark.createDataFrame([(0, query)], "id int, text string"), "id", "text", stop, sizes).collect()}
+    own = idf.where(F.col("term").isin(list(asked))).select("term", "idf").collect() if asked else []
+    raw = {r["term"]: (r["idf"], (1.0 + math.log(asked[r["term"]]) if sublinear else float(asked[r["term"]])) * r["idf"]) for r in own}
+    length = math.sqrt(sum(w * w for _, w in raw.values()))
+    return [(t, i, w / length) for t, (i, w) in sorted(raw.items())] if length else []
+
+
 def tfidf_search(docs: DataFrame, query: str, k: int, id_col: str = "doc_id", text_col: str = "text", stop: Sequence[str] = (), max_df: float = 0.95) -> DataFrame:
-    """search() in an index over 1- and 2-grams that is built for it."""
+    """search() of one request over 1- and 2-grams, without an index: terms are written once by document, counted, and joined only for the documents that have a term of the request; what was written is dropped. k rows come to the driver."""
     if k <= 0:
         raise ValueError("k must be positive")
-    return search(build_index(docs, id_col, text_col, stop, max_df=max_df), query, k)
+    spark = docs.sparkSession
+    held = staged(term_arrays(docs, id_col, text_col, stop), "search-terms")
+    n = held.count()
+    terms = lambda rows: rows.where(F.size("terms") > 0).select("id", F.explode("terms").alias("t")).select("id", F.col("t.value").alias("term"), F.col("t.n").cast("long").alias("tf"))
+    idf = staged(document_frequencies(terms(held), n, max_df), "search-idf")
+    weights = asked_weights(spark, query, idf, stop, (1, 2), True)
+    found: list = []
+    if weights:
+        asked = F.array(*[F.lit(t) for t, _, _ in weights])
+        some = held.where(F.arrays_overlap(F.transform("terms", lambda t: t["value"]), asked))
+        wq = F.coalesce(F.create_map(*[x for t, _, w in weights for x in (F.lit(t), F.lit(w))])[F.col("term")], F.lit(0.0))
+        w = (1.0 + F.log("tf")) * F.col("idf")
+        dots = terms(some).join(idf.select("term", "idf"), "term").groupBy("id").agg((F.sum(w * wq) / F.sqrt(F.sum(w * w))).alias("score"))
+        found = dots.orderBy(F.desc(F.round("score", 10)), "id").limit(k).where("score > 0").collect()
+    out = spark.createDataFrame(found, f"id {docs.schema[id_col].dataType.simpleString()}, score double")
+    drop_staged(held, idf)
+    return out
 
 
 def similarity_to(query: str, rows: DataFrame, id_col: str, text_col: str, stop: Sequence[str] = ()) -> DataFrame:
@@ -145,12 +182,14 @@ def over_fetch(k: int) -> int:
     return max(2 * k, 20)
 
 
-def hybrid_search(docs: DataFrame, vectors: DataFrame, query: str, query_vector: Sequence[float], k: int = 10, stop: Sequence[str] = (), tenant: str | None = None, tenant_col: str = "organization_id") -> DataFrame:
-    """The k best of both sides fused, of one tenant's rows if one is given; no documents give no rows."""
+def hybrid_search(docs: DataFrame | Index, vectors: DataFrame, query: str, query_vector: Sequence[float], k: int = 10, stop: Sequence[str] = (), tenant: str | None = None, tenant_col: str = "organization_id") -> DataFrame:
+    """The k best of both sides fused, of one tenant's rows if one is given; no documents give no rows. docs may be an open index, which is one tenant's then."""
     if tenant is not None:
-        docs, vectors = (x.where(F.col(tenant_col) == tenant) for x in (docs, vectors))
+        vectors = vectors.where(F.col(tenant_col) == tenant)
+        docs = docs if isinstance(docs, Index) else docs.where(F.col(tenant_col) == tenant)
     n = over_fetch(k)
-    return fuse(tfidf_search(docs, query, n, stop=stop), dense_search(vectors, query_vector, n), k)
+    lexical = search(docs, query, n) if isinstance(docs, Index) else tfidf_search(docs, query, n, stop=stop)
+    return fuse(lexical, dense_search(vectors, query_vector, n), k)
 
 
 def answer(hits: DataFrame) -> DataFrame:

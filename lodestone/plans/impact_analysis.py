@@ -15,10 +15,10 @@ from lodestone.sources.scratch import checkpointed
 DENSE, LEXICAL = 0.75, 0.25
 
 
-def relevant_chunks(chunks: DataFrame, vectors: DataFrame, query: str, query_vector: Sequence[float], top_k: int, stop: Sequence[str] = ()) -> DataFrame:
-    """(chunk_id, rank, evidence): the hits of both searches, fused, that pass the gate."""
+def relevant_chunks(chunks: DataFrame, vectors: DataFrame, query: str, query_vector: Sequence[float], top_k: int, stop: Sequence[str] = (), index: retrieval.Index | None = None) -> DataFrame:
+    """(chunk_id, rank, evidence): the hits of both searches, fused, that pass the gate. index: an open one of the chunks."""
     n = retrieval.over_fetch(top_k)
-    lexical = retrieval.tfidf_search(chunks, query, n, "id", "content", stop)
+    lexical = retrieval.search(index, query, n) if index else retrieval.tfidf_search(chunks, query, n, "id", "content", stop)
     dense = retrieval.dense_search(vectors, query_vector, n, "id", "vector")
     return impact.chunk_evidence(retrieval.fuse(lexical, dense, n)).select(F.col("id").alias("chunk_id"), "rank", "evidence")
 
@@ -39,12 +39,13 @@ def entity_scores(hits: DataFrame, mentions: DataFrame, nodes: DataFrame, query:
     return rated.select("id", "name", "evidence", X.clip(DENSE * dense + LEXICAL * F.col("lexical")).alias("similarity"), named.alias("named"), "occurrences")
 
 
-def analyze(chunks: DataFrame, vectors: DataFrame, mentions: DataFrame, nodes: DataFrame, edges: DataFrame, documents: DataFrame, query: str, query_vector: Sequence[float], top_k: int = 10, max_distance: int = 3, stop: Sequence[str] = ()) -> DataFrame:
+def analyze(chunks: DataFrame, vectors: DataFrame, mentions: DataFrame, nodes: DataFrame, edges: DataFrame, documents: DataFrame, query: str, query_vector: Sequence[float], top_k: int = 10, max_distance: int = 3, stop: Sequence[str] = (), index: retrieval.Index | None = None) -> DataFrame:
     """Impact rows of a request, each with the documents that mention it; no rows for a blank request or an empty graph.
 
     chunks: id, document_id, content; vectors: id, vector of the chunks; mentions: chunk_id, canonical_id, name,
     description, place (order in the chunk); nodes: id, name, entity_type, vector; edges: source, target,
-    relationship_type, confidence; documents: id, filename."""
+    relationship_type, confidence; documents: id, filename; index: an open index of the chunks' contents, which spares one built
+    for the request."""
     if top_k <= 0 or max_distance < 0:
         raise ValueError("top_k must be positive and max_distance not negative")
     blank = not query.strip()
@@ -53,7 +54,7 @@ def analyze(chunks: DataFrame, vectors: DataFrame, mentions: DataFrame, nodes: D
     if blank:
         seeds = rated.select("id", F.lit(0.0).alias("semantic")).limit(0)
     else:
-        hits = checkpointed(relevant_chunks(chunks, vectors, query, query_vector, top_k, stop))
+        hits = checkpointed(relevant_chunks(chunks, vectors, query, query_vector, top_k, stop, index))
         seeds = checkpointed(impact.seeds(entity_scores(hits, mentions, nodes, query, query_vector, stop)))
     rows = checkpointed(impact.propagate(rated, edges, seeds, max_distance))
     named = impact.explained(rows, nodes)

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
-from lodestone.operators import annotations, change, chunking, concepts, entities, graph, impact, relations, retrieval, views
+from lodestone.operators import annotations, change, chunking, concepts, entities, graph, impact, relations, retrieval, stored_index, views
 from lodestone.plans import impact_analysis
-from lodestone.sources import files, tables
+from lodestone.sources import files, snapshots, tables
+from lodestone.sources.scratch import new_path
 
 STOP = ("the", "and", "of", "to", "in", "is", "die", "der", "la", "le", "de")
 ASKED = "idiot clown onthe anat thing reation"
@@ -711,3 +712,31 @@ def ent06(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = chunks.select("id", "text", "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - 1)).alias("first")).withColumns({"last": last, "label": label})
     own = spans.select("id", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "label", annotations.covered_text(F.col("text"), F.col("tokens"), F.col("first"), F.col("last")).alias("text"), annotations.span_tokens(F.col("tokens"), F.col("first"), F.col("last")).alias("tokens"))
     return annotations.filtered(own).select("id", "first", "last", "label")
+
+
+ASKED_TOO = "there thing onthe ofthe tion"
+
+
+def _searched_sql(n: int, asked: str) -> str:
+    own = ASKED_SQL.replace(ASKED, asked)
+    return f"SELECT {n} AS request, id AS doc_id, round(score, 6) AS score FROM (WITH {own}, {SCORES_SQL} SELECT id, score FROM scores WHERE score > 0 ORDER BY round(score, 10) DESC, id LIMIT 10)"
+
+
+@query(
+    "lex07_opened_index",
+    f"WITH documents AS (SELECT doc_id, CASE WHEN doc_id % 50 = 7 THEN coalesce(text, '') || ' {ASKED}' ELSE text END AS text FROM main.documents WHERE doc_id % 50 <> 8 UNION ALL SELECT -1, '{ASKED_TOO}'), {TERMS_SQL}, {IDF_SQL}, {WEIGHTS_SQL} {_searched_sql(1, ASKED)} UNION ALL {_searched_sql(2, ASKED_TOO)}",
+)
+def lex07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two requests to one saved index, after documents were replaced, added and taken out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    root = new_path(spark, "index")
+    stored_index.create(docs, root, stop=STOP, buckets=8)
+    other = docs.where("doc_id % 50 = 7").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(f" {ASKED}")))
+    stored_index.replace(spark, root, other.unionAll(spark.createDataFrame([(-1, ASKED_TOO)], other.schema)))
+    stored_index.delete(spark, root, docs.where("doc_id % 50 = 8"))
+    index = stored_index.open_index(spark, root)
+    hits = [retrieval.search(index, q, 10).select(F.lit(k).alias("request"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score")) for k, q in ((1, ASKED), (2, ASKED_TOO))]
+    found = hits[0].unionAll(hits[1])
+    out = spark.createDataFrame(found.collect(), found.schema)  # ten rows a request
+    snapshots.drop(spark, root)
+    return out
