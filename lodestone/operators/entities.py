@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import text as X
+from lodestone.operators.ordering import numbered
 from lodestone.operators.relations import places
-from lodestone.sources.scratch import checkpointed
+from lodestone.sources.scratch import checkpointed, staged
 
 #: Words that mark a structural type, types by priority, and words at a name's ends that aren't part of it (fixed values).
 MARKERS = {
@@ -30,6 +34,8 @@ CONTEXT = (
     "api apis architecture article articles checkout database databases documentation document documents gateway guide guides issue issues module modules policy policies "
     "request requests responsibility responsibilities rule rules service services status support team teams transaction transactions workflow workflows"
 ).split()
+#: Names of a group that are resolved in turn at once, founders that one task compares them with, and digits of a cosine that count.
+BLOCK, FOUNDERS, DIGITS = 2048, 8192, 12
 STRUCTURAL = {"EXACT_DUPLICATE": 1.0, "REPEATED_NAME_ARTIFACT": 1.0, "CONTEXT_EXTENSION": 0.20, "DESCRIPTIVE_EXTENSION": 0.90}
 
 
@@ -164,48 +170,99 @@ def resolve_batch(rows: DataFrame, chunks: DataFrame) -> DataFrame:
     return resolve_in_order(placed.withColumn("position", F.struct("document_id", "chunk_index", "place")))
 
 
-def resolve_in_order(rows: DataFrame, limit: float = 0.82) -> DataFrame:
+def _units(vectors: pd.Series) -> np.ndarray:
+    """The vectors as rows of length 1, shorter ones filled up with zeros; null vectors and null or non-finite components are zeros."""
+    own = [np.nan_to_num(np.asarray([] if v is None else v, dtype=float), posinf=0.0, neginf=0.0) for v in vectors]
+    out = np.zeros((len(own), max((len(v) for v in own), default=0) or 1))
+    for i, v in enumerate(own):
+        out[i, : len(v)] = v
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Rounded, so that equal ones are equal however they were summed."""
+    n = min(a.shape[1], b.shape[1])
+    return np.round(a[:, :n] @ b[:, :n].T, DIGITS)
+
+
+def _joins(cosine: float, own: str, other: str, limit: float) -> bool:
+    a, b = set(own.split()), set(other.split())
+    return 0.75 * min(1.0, max(0.0, cosine)) + 0.25 * (len(a & b) / len(a | b) if a | b else 0.0) >= limit
+
+
+def _nearest_founders(asked: pd.DataFrame, pool: pd.DataFrame) -> pd.DataFrame:
+    """Of one part of a pool, the founder with the highest cosine to each row asked for, the earlier one on a tie."""
+    if not len(asked) or not len(pool):
+        return asked[["organization_id", "entity_type", "name"]].iloc[:0].assign(cosine=pd.Series(dtype=float), founded_at=pd.Series(dtype=int), founder=pd.Series(dtype=object))
+    pool = pool.sort_values("place", ignore_index=True)
+    theirs, best, at = _units(pool["vector"]), np.full(len(asked), -np.inf), np.zeros(len(asked), int)
+    for k in range(0, len(asked), 1024):
+        cosines = _cosines(_units(asked["vector"].iloc[k : k + 1024]), theirs)
+        at[k : k + 1024], best[k : k + 1024] = cosines.argmax(1), cosines.max(1)
+    return asked[["organization_id", "entity_type", "name"]].assign(cosine=best, founded_at=pool["place"].to_numpy()[at], founder=pool["name"].to_numpy()[at])
+
+
+def _in_turn(block: pd.DataFrame, limit: float) -> pd.DataFrame:
+    """One block of a group's names in their order: each joins the earlier founder, of the pool or of the block, with the highest cosine if it is close enough, else founds one."""
+    block = block.sort_values("place", ignore_index=True)
+    units, names, out = _units(block["vector"]), block["name"].tolist(), []
+    founders: list[int] = []
+    within = _cosines(units, units)
+    for i, (cosine, founder) in enumerate(zip(block["cosine"], block["founder"], strict=True)):
+        best = founder if founder is not None and not pd.isna(cosine) else None
+        if founders:
+            own = within[i, founders]
+            k = int(own.argmax())
+            if best is None or own[k] > cosine:
+                best, cosine = names[founders[k]], own[k]
+        if best is None or not _joins(float(cosine), names[i], best, limit):
+            founders.append(i)
+            best = names[i]
+        out.append(best)
+    return block[["organization_id", "entity_type", "name", "place"]].assign(founder=out)
+
+
+def resolve_in_order(rows: DataFrame, limit: float = 0.82, block: int = BLOCK) -> DataFrame:
     """(id, canonical_id) of rows (organization_id, entity_type, id, normalized_name, vector, position): each row joins the
     earlier canonical entity of its name, else that with the highest cosine if 0.75 cosine + 0.25 Jaccard is limit or more, else founds one.
 
-    The order decides, so a group (organization, type) is one sequential task over its distinct names; the first row of a
-    name stands for all of them, which keeps the group to its names."""
-    key = ["organization_id", "entity_type", "normalized_name"]
+    As one after another, in blocks of so many names of each group (organization, type): a block's names are compared with the
+    founders of the blocks before, which are written and dealt in parts, and only what is within the block is taken in turn. So
+    a task holds a block and a part of the founders, however large a group is; a round of two jobs serves a block of every
+    group. The first row of a name, by position and id, stands for all. Cosines count to 12 digits; a null or zero vector has a
+    cosine of 0 with all; rows with a null organization, type or name give no row."""
+    group, key = ["organization_id", "entity_type"], ["organization_id", "entity_type", "normalized_name"]
+    spark = rows.sparkSession
+    fine = rows.where(" and ".join(f"{k} is not null" for k in key))
     first = F.min(F.struct("position", "id", "vector")).alias("f")
-    names = rows.groupBy(*key).agg(first).select(*key, "f.position", "f.id", "f.vector")
-
-    def greedy(table: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        pool, size, ids, sets, out = np.empty((0, 0)), 0, [], [], []
-        turn = lambda r: (tuple(r.position.values()) if isinstance(r.position, dict) else r.position, r.id)
-        for r in sorted(table.itertuples(), key=turn):
-            v = np.asarray(r.vector, float)
-            v = v / (np.linalg.norm(v) or 1.0)
-            own = set(r.normalized_name.split())
-            found = None
-            if size:
-                cos = pool[:size] @ v
-                k = int(cos.argmax())
-                share = len(own & sets[k]) / len(own | sets[k]) if own | sets[k] else 0.0
-                if 0.75 * min(1.0, max(0.0, cos[k])) + 0.25 * share >= limit:
-                    found = ids[k]
-            if found is None:
-                found = r.id
-                if size == len(pool):  # doubled, so that rows are copied twice at most
-                    more = np.empty((max(64, 2 * size), len(v)))
-                    more[:size] = pool[:size] if size else 0
-                    pool = more
-                pool[size] = v
-                size += 1
-                ids.append(r.id)
-                sets.append(own)
-            out.append((r.organization_id, r.entity_type, r.normalized_name, found))
-        return pd.DataFrame(out, columns=[*key, "canonical_id"])
-
-    kind = rows.schema
-    done = names.groupBy("organization_id", "entity_type").applyInPandas(greedy, ", ".join(f"{k} {kind[k].dataType.simpleString()}" for k in key) + f", canonical_id {kind['id'].dataType.simpleString()}")
-    return rows.select("id", *key).join(done, key).select("id", "canonical_id")
+    names = fine.groupBy(*key).agg(first).select(*group, F.col("normalized_name").alias("name"), "f.position", "f.id", "f.vector")
+    ordered = numbered(names, group, ["position", "id"]).select(*group, "name", "id", F.col("vector").cast("array<double>").alias("vector"), "place")
+    most = ordered.agg(F.coalesce(F.max("place"), F.lit(-1))).first()[0]
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in group)
+    found: list[DataFrame] = []
+    pool: list[DataFrame] = []
+    for start in range(0, most + 1, block):
+        own = ordered.where(F.col("place").between(start, start + block - 1))
+        if pool:
+            held = reduce(DataFrame.unionAll, pool)
+            parts = held.groupBy(*group).agg(F.ceil(F.count("*") / FOUNDERS).cast("int").alias("parts"))
+            dealt = held.join(parts, group).withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")).drop("parts")
+            asked = own.join(parts, group).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*group, "part", "name", "vector")
+            schema = f"{kinds}, name string, cosine double, founded_at long, founder string"
+            # each part answers for itself; the best of a name's answers is a keyed maximum
+            near = asked.groupBy(*group, "part").cogroup(dealt.groupBy(*group, "part")).applyInPandas(_nearest_founders, schema)
+            best = near.groupBy(*group, "name").agg(F.max(F.struct("cosine", (-F.col("founded_at")).alias("_early"), "founder")).alias("b")).select(*group, "name", "b.cosine", "b.founder")
+            own = own.join(best, [*group, "name"], "left")
+        else:
+            own = own.withColumns({"cosine": F.lit(None).cast("double"), "founder": F.lit(None).cast("string")})
+        turn = own.groupBy(*group).applyInPandas(lambda t: _in_turn(t, limit), f"{kinds}, name string, place long, founder string")
+        found.append(staged(turn, "resolved"))
+        pool.append(staged(found[-1].where("name = founder").select(*group, "name").join(ordered, [*group, "name"]).select(*group, "name", "vector", "place"), "founders"))
+    if not found:
+        return spark.createDataFrame([], rows.select("id", F.col("id").alias("canonical_id")).schema)
+    done = reduce(DataFrame.unionAll, found)
+    told = done.join(ordered.select(*group, F.col("name").alias("founder"), F.col("id").alias("canonical_id")), [*group, "founder"])
+    return fine.select("id", *key).join(told.select(*group, F.col("name").alias("normalized_name"), "canonical_id"), key).select("id", "canonical_id")
 
 
 def relation(a: Column, b: Column) -> Column:

@@ -252,7 +252,15 @@ def rec13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.merge_rounds(part_names(spark, sf_dir), "MEDIUM")
 
 
-@query("res04_resolve_in_order")
+FOUNDER_SQL = "list_sort(list_transform(list_filter(a, lambda f: f.id = f.to_), lambda f: {'c': round(list_inner_product(f.v, x.v), 12), 'n': -f.id}))[-1]"
+
+
+@query(
+    "res04_resolve_in_order",
+    f"WITH {DENSE_SQL.split(', dense')[0]}, g AS (SELECT label, list({{'id': id, 'v': v, 'to_': id}} ORDER BY id) AS xs FROM unit WHERE label IS NOT NULL GROUP BY label), "
+    f"r AS (SELECT list_reduce(xs, lambda a, x: list_append(a, {{'id': x.id, 'v': x.v, 'to_': CASE WHEN 0.75 * least(1, greatest(0, ({FOUNDER_SQL}).c)) + 0.25 / 3 >= 0.82 THEN -({FOUNDER_SQL}).n ELSE x.id END}}), xs[1:0]) AS done FROM g), "
+    "e AS (SELECT unnest(done) AS x FROM r) SELECT x.id AS id, x.to_ AS canonical_id FROM e",
+)
 def res04(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").where("embedding is not null")
     rows = v.select(F.lit("org").alias("organization_id"), F.concat(F.lit("T"), F.col("label").cast("string")).alias("entity_type"), F.col("vec_id").alias("id"), F.concat_ws(" ", F.lit("name"), "vec_id").alias("normalized_name"), F.col("embedding").alias("vector"), F.col("vec_id").alias("position"))
