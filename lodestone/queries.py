@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
-from lodestone.operators import annotations, change, chunking, concepts, entities, graph, impact, relations, retrieval, stored_index, views
+from lodestone.operators import annotations, change, chunking, concepts, entities, graph, impact, preprocessing, relations, retrieval, similar, stored_index, views
 from lodestone.plans import impact_analysis
 from lodestone.sources import files, snapshots, tables
 from lodestone.sources.scratch import new_path
@@ -748,3 +748,29 @@ def lex07(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spark.createDataFrame(found.collect(), found.schema)  # ten rows a request
     snapshots.drop(spark, root)
     return out
+
+
+@query(
+    "vec05_similar_pairs",
+    "WITH d AS (SELECT label, embedding::DOUBLE[] AS v, min(vec_id) AS rep, count(*) AS n FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL GROUP BY 1, 2), u AS (SELECT label, rep, n, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM d) "
+    "SELECT a.label, a.rep AS first, b.rep AS second, a.n * b.n AS n_pairs, round(list_inner_product(a.v, b.v), 6) AS cosine FROM u a JOIN u b ON a.label = b.label AND a.rep < b.rep AND list_inner_product(a.v, b.v) >= 0.3",
+)
+def vec05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different vectors of one label with a cosine of 0.3 or more, and how many pairs of rows they stand for."""
+    found = similar.directions(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+    held = found.select(F.col("group").alias("label"), "rep", "n")
+    pairs = similar.similar_pairs(found, 0.3).withColumnRenamed("group", "label")
+    both = pairs.join(held.select("label", F.col("rep").alias("first"), F.col("n").alias("a")), ["label", "first"]).join(held.select("label", F.col("rep").alias("second"), F.col("n").alias("b")), ["label", "second"])
+    return both.select("label", "first", "second", (F.col("a") * F.col("b")).alias("n_pairs"), F.round("cosine", 6).alias("cosine"))
+
+
+@query(
+    "txt01_preprocessed",
+    rf"WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '\p{{L}}+') AND lower(x) NOT IN ({STOP_SQL})) AS ws FROM documents) "
+    "SELECT doc_id, array_to_string(list_transform(ws, lambda x: CASE WHEN length(x) >= 6 AND lower(x) LIKE '%ing' THEN left(lower(x), length(x) - 3) ELSE lower(x) END), ' ') AS text FROM w",
+)
+def txt01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as lemmas without stop words, by a dictionary that has a lemma for every word of the documents in -ing."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    forms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("form")).where(r"form rlike '^\\p{L}{3,}ing$'").distinct()
+    return preprocessing.preprocessed(docs, forms.select("form", F.left("form", F.length("form") - 3).alias("lemma")), "doc_id", "text", STOP)
