@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.operators import annotations, change, chunking, concepts, entities, graph, impact, preprocessing, relations, retrieval, similar, stored_index, views
-from lodestone.plans import impact_analysis
-from lodestone.sources import files, snapshots, tables
+from lodestone.plans import impact_analysis, knowledge_base
+from lodestone.sources import files, keyed, snapshots, tables
 from lodestone.sources.scratch import new_path
 
 STOP = ("the", "and", "of", "to", "in", "is", "die", "der", "la", "le", "de")
@@ -774,3 +774,55 @@ def txt01(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     forms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("form")).where(r"form rlike '^\\p{L}{3,}ing$'").distinct()
     return preprocessing.preprocessed(docs, forms.select("form", F.left("form", F.length("form") - 3).alias("lemma")), "doc_id", "text", STOP)
+
+
+KEYED = {
+    "nations": keyed.Table("id bigint, name string", ("id",), "id"),
+    "customers": keyed.Table("id bigint, nation bigint, segment string", ("id",), "nation", {"nation": "nations"}),
+    "orders": keyed.Table("id bigint, customer bigint, price decimal(18,2)", ("id",), "customer", {"customer": "customers"}),
+}
+
+
+@query(
+    "src11_keyed_tables",
+    "WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 3 ELSE c_nationkey END AS nation, CASE WHEN c_custkey % 7 = 0 THEN 'MOVED' ELSE c_mktsegment END AS segment FROM customer WHERE c_nationkey % 5 <> 2 AND c_custkey % 11 <> 4), "
+    "o AS (SELECT o_custkey, count(*) AS n_orders, round(sum(o_totalprice)::DOUBLE, 2) AS total FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1) SELECT c_custkey AS id, nation, segment, coalesce(n_orders, 0) AS n_orders, total FROM c LEFT JOIN o ON o_custkey = c_custkey",
+)
+def src11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations, customers and orders as keyed tables: nations and customers go with all that refers to them, and customers are put in place of others, whose orders stay."""
+    root = new_path(spark, "keyed")
+    base = keyed.Tables(spark, root, KEYED, buckets=4)
+    customer = table(spark, sf_dir, "customer")
+    known = customer.select(F.col("c_custkey").cast("bigint").alias("id"), F.col("c_nationkey").cast("bigint").alias("nation"), F.col("c_mktsegment").alias("segment"))
+    orders = table(spark, sf_dir, "orders").where("o_custkey IS NOT NULL").select(F.col("o_orderkey").cast("bigint").alias("id"), F.col("o_custkey").cast("bigint").alias("customer"), F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
+    change = base.change()
+    change.put("nations", table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("name")))
+    change.put("customers", known)
+    change.put("orders", orders.join(known.select(F.col("id").alias("customer")), "customer", "left_semi"))
+    change.commit()
+    change = base.change()
+    change.delete("nations", change.current["nations"].where("id % 5 = 2").select("id"))
+    change.delete("customers", known.where("id % 11 = 4").select("id"))
+    moved = change.current["customers"].where("id % 7 = 0").select("id", F.lit(3).cast("bigint").alias("nation"), F.lit("MOVED").alias("segment"))
+    change.put("customers", moved)
+    change.commit()
+    totals = base.read("orders").groupBy(F.col("customer").alias("id")).agg(F.count("*").alias("n_orders"), F.round(F.sum("price").cast("double"), 2).alias("total"))
+    return base.read("customers").join(totals, "id", "left").select("id", "nation", "segment", F.coalesce("n_orders", F.lit(0)).alias("n_orders"), "total")
+
+
+@query(
+    "gra01_upkeep",
+    "WITH c AS (SELECT c_custkey, n_name || ' Service' AS source, r_name || ' Database' AS target FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE c_custkey % 10 > 1) "
+    "SELECT DISTINCT source, target, CASE WHEN c_custkey % 10 < 5 THEN 'CALLS' ELSE 'DEPENDS_ON' END AS relationship_type, 0.96::DOUBLE AS confidence FROM c",
+)
+def gra01_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph of a knowledge base of customers' sentences, after some were replaced and others taken out."""
+    both = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    said = lambda verb: both.select(F.col("c_custkey").cast("string").alias("id"), F.lit("all").alias("organization_id"), F.col("c_name").alias("filename"), F.concat(F.lit("The "), "n_name", F.lit(f" Service {verb} the "), "r_name", F.lit(" Database.")).alias("text"))
+    root = new_path(spark, "knowledge")
+    base = knowledge_base.tables(spark, root, buckets=4)
+    knowledge_base.update(base, said("depends on"))
+    knowledge_base.update(base, said("calls").where("id % 10 in (2, 3, 4)"), both.where("c_custkey % 10 < 2").select(F.col("c_custkey").cast("string").alias("id")))
+    names = base.read("canonical").select("id", "name")
+    edges = base.read("edges").join(names.select(F.col("id").alias("source"), F.col("name").alias("a")), "source").join(names.select(F.col("id").alias("target"), F.col("name").alias("b")), "target")
+    return edges.select(F.col("a").alias("source"), F.col("b").alias("target"), "relationship_type", "confidence")
