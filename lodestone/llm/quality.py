@@ -62,10 +62,10 @@ def repeat_words(ws: Column, k: int = 5) -> Column:
         return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(C.let(C.let(placed, places), covered))
 
     def hashed(w: Column) -> Column:
-        windows = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*[w[i + j] for j in range(k)]))
+        windows = F.transform(F.slice(w, F.lit(1), F.size(w) - k + 1), lambda x, i: F.xxhash64(x, *[w[i + j] for j in range(1, k)]))
         return F.when(F.size(w) <= k, 0).otherwise(C.let(windows, repeated))
 
-    return C.let(ws, hashed).cast("long")
+    return C.let(F.transform(ws, lambda w: F.xxhash64(w)), hashed).cast("long")
 
 
 def dup_lines(text: Column) -> Column:
@@ -211,16 +211,16 @@ def word_distance(ws: Column, refs: dict[str, dict[str, float]]) -> Column:
     m, slots = _slots(vocabulary)
     slot, names = _numbers(slots, "int"), F.array(*[F.lit(w) for w in vocabulary])
 
-    def bucket(w: Column) -> Column:
-        at = slot[F.pmod(F.xxhash64(w), F.lit(m)).cast("int")] - 1
-        return F.when((at >= 0) & (names[F.greatest(at, F.lit(0))] == w), at).otherwise(-1)
+    def buckets(w: Column) -> Column:
+        at = F.transform(w, lambda x: slot[F.pmod(F.xxhash64(x), F.lit(m)).cast("int")] - 1)
+        return F.zip_with(at, w, lambda a, x: F.when((a >= 0) & (F.get(names, a) == x), a))
 
     def nearest(n: Column) -> Callable[[Column], Column]:
         each = [(_numbers([float(ref.get(w, 0.0)) for w in vocabulary], "double"), sum(ref.values())) for _, ref in sorted(refs.items())]
         return lambda counted: F.array_min(F.array(*[_distance(counted, n, q, mass) for q, mass in each]))
 
     def of_words(w: Column) -> Column:
-        ids = F.array_sort(F.filter(F.transform(w, bucket), lambda i: i >= 0))
+        ids = F.array_sort(F.filter(buckets(w), lambda i: i.isNotNull()))
         return F.when(F.size(w) >= LEAST_WORDS, C.let(C.let(ids, _runs), nearest(F.size(w).cast("double"))))
 
     return C.let(ws, of_words)
