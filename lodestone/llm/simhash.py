@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,9 @@ from lodestone.llm import common as C
 VARIANTS = 1 << 22
 #: Sent copies of fingerprints that a bucket should hold about.
 BUCKET_ROWS = 100_000
+#: A bucket is dealt over more tasks by SPLIT further bits while it has over BUCKET_ROWS rows, or over HOT times the mean and LEAST rows,
+#: and over LAST bits are left. Buckets up to which the list of those comes by a broadcast.
+SPLIT, HOT, LEAST, LAST, MOST_SENT = 6, 2, 4096, 12, 1_000_000
 
 
 def shingle_hashes(text: Column, k: int = 4) -> Column:
@@ -134,39 +138,82 @@ def near_pairs(distinct: DataFrame, reach: int = 4) -> DataFrame:
     Every fingerprint emits all variants within half the reach. Variants are shuffled by their leading bits: a fingerprint
     goes once to each prefix that some of its variants have, and the variants with that prefix are made there, as integers
     that are sorted; those that two fingerprints share are links, verified by their distance. Prefixes grow with the number
-    of fingerprints, so that a bucket stays small. No fingerprints give no rows."""
+    of fingerprints, so that a bucket stays small; the buckets of a large group of near copies are dealt over more tasks by
+    further bits in the same way, again and again while they are large. No fingerprints give no rows."""
     spark = distinct.sparkSession
     if reach != 4:
         raise ValueError("half the reach is 2 here")
     half = reach // 2
     total = max(1, distinct.count())
     bits = next((b for b in range(6, 20) if total * (1 + b + b * (b - 1) // 2) <= BUCKET_ROWS << b), 20)
-    low_bits = 64 - bits
+
+    schema = "bucket long, radius byte, node long, _fp long"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flips = masks(bits, half)
         away = np.bitwise_count(flips).astype(np.int8)
         for batch in batches:
             node, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            bucket = ((fp.view(np.uint64) >> np.uint64(low_bits))[:, None] ^ flips).astype(np.int64)
+            bucket = ((fp.view(np.uint64) >> np.uint64(64 - bits))[:, None] ^ flips).astype(np.int64)
             n = len(flips)
             yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel()), pa.array(np.tile(half - away, len(fp))), pa.array(np.repeat(node, n)), pa.array(np.repeat(fp, n))], names=["bucket", "radius", "node", "_fp"])
 
+    sent = C.staged(distinct.select("node", "_fp").mapInArrow(send, schema), "simhash-sent")
+    used, limit, parts, scratch = bits, None, [], [sent]
+    while True:
+        sizes = C.staged(sent.groupBy("bucket").agg(F.count("*").alias("n")), "simhash-buckets")
+        scratch.append(sizes)
+        if limit is None:
+            mean = sizes.agg(F.coalesce(F.avg("n"), F.lit(0.0))).first()[0]
+            limit = max(LEAST, min(BUCKET_ROWS, HOT * mean))
+        hot = sizes.where(F.col("n") > limit).select("bucket")
+        n_hot = 0 if 64 - used <= LAST else hot.count()
+        if n_hot <= MOST_SENT:
+            hot = F.broadcast(hot)
+        cold = sent.join(hot, "bucket", "left_anti") if n_hot else sent
+        n_buckets = min(1 << min(used, 24), max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << min(bits, 8)))
+        parts.append(cold.repartition(n_buckets, "bucket").groupBy("bucket").applyInPandas(_meeting(64 - used, reach), "a long, b long"))
+        if not n_hot:
+            break
+        sent = C.staged(sent.join(hot, "bucket", "left_semi").select("bucket", "radius", "node", "_fp").mapInArrow(_dealing(used), schema), "simhash-sent")
+        scratch.append(sent)
+        used += SPLIT
+    links = C.staged(reduce(DataFrame.unionAll, parts), "simhash-pairs")
+    C.drop_staged(*scratch)
+    return links
+
+
+def _meeting(free: int, reach: int):
+    """Of one bucket, whose rows have `free` bits left: the first node that each one is linked with, over variants that they share."""
+
     def meet(table: pd.DataFrame) -> pd.DataFrame:
         table = table.sort_values("node")
         node, fp = table["node"].to_numpy(), table["_fp"].to_numpy().view(np.uint64)
-        low = fp & np.uint64((1 << low_bits) - 1)
         found: list[np.ndarray] = []
         if len(fp) > 1:
-            _meet(fp, low, table["radius"].to_numpy().astype(np.int64), low_bits, reach, found)
+            _meet(fp, fp & np.uint64((1 << free) - 1), table["radius"].to_numpy().astype(np.int64), free, reach, found)
         pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
         root = _roots(len(fp), pairs)
         linked = np.flatnonzero(root != np.arange(len(fp)))
         return pd.DataFrame({"a": node[linked], "b": node[root[linked]]})
 
-    n_buckets = min(1 << bits, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << min(bits, 8)))
-    sent = distinct.select("node", "_fp").mapInArrow(send, "bucket long, radius byte, node long, _fp long")
-    return sent.repartition(n_buckets, "bucket").groupBy("bucket").applyInPandas(meet, "a long, b long")
+    return meet
+
+
+def _dealing(used: int):
+    """Rows of buckets of `used` bits as rows of buckets of SPLIT more: one for each that some of a row's variants fall in, with the flips that are left."""
+    shift, flips = np.uint64(64 - used - SPLIT), masks(SPLIT, 2)
+    away = np.bitwise_count(flips).astype(np.int64)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket, radius, node, fp = (batch.column(i).to_numpy() for i in range(4))
+            top = fp.view(np.uint64) >> shift & np.uint64((1 << SPLIT) - 1)
+            i, j = np.nonzero(away[None, :] <= radius[:, None])
+            to = bucket[i] << SPLIT | (top[i] ^ flips[j]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(to), pa.array((radius[i] - away[j]).astype(np.int8)), pa.array(node[i]), pa.array(fp[i])], names=["bucket", "radius", "node", "_fp"])
+
+    return deal
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, reach: int = 4) -> DataFrame:

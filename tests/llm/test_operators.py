@@ -299,6 +299,22 @@ def test_meeting_equals_all_pairs(monkeypatch):
 
 
 # 8
+
+
+def test_hot_buckets_are_dealt_without_losing_a_link(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    middle = int(r.integers(0, 1 << 63))
+    flip = lambda x, n: int(x) ^ sum(1 << int(b) for b in r.choice(64, n, replace=False))
+    fps = {flip(middle, int(n)) for n in r.integers(0, 9, 400)} | {int(x) for x in r.integers(0, 1 << 63, 300)}
+    fps |= {flip(x, 4) for x in sorted(fps)[:100]}
+    signed = [x - (1 << 64) if x >> 63 else x for x in sorted(fps)]
+    monkeypatch.setattr(simhash, "LEAST", 20)
+    monkeypatch.setattr(simhash, "HOT", 0.01)
+    pairs = simhash.near_pairs(spark.createDataFrame([(x, x) for x in signed], "node long, _fp long")).collect()
+    want = components(signed, [(a, b) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 4])
+    assert components(signed, [(p["a"], p["b"]) for p in pairs]) == want and len(set(want.values())) < len(signed) - 100
+
+
 def all_segmentations(lattice, unit):
     out = []
 
