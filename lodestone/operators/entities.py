@@ -149,6 +149,16 @@ def exact_matches(rows: DataFrame, canonical: DataFrame) -> DataFrame:
     return rows.join(canonical.select(*key, F.col("id").alias("canonical_id")), key, "left")
 
 
+def linked(rows: DataFrame, chunks: DataFrame, documents: DataFrame, canonical: DataFrame) -> DataFrame:
+    """rows (id, chunk_id, normalized_name, entity_type) with canonical_id: the canonical entity of their name and type in the
+    organization of their chunk's document; null without one.
+
+    rows: mentions; chunks: id, document_id; documents: id, organization_id. One plan: the organization comes over two keyed
+    joins of ids alone, then exact_matches()."""
+    owned = chunks.select(F.col("id").alias("chunk_id"), "document_id").join(documents.select(F.col("id").alias("document_id"), "organization_id"), "document_id").select("chunk_id", "organization_id")
+    return exact_matches(rows.drop("organization_id", "canonical_id").join(owned, "chunk_id", "left"), canonical)
+
+
 def per_chunk(rows: DataFrame, order: str = "place") -> DataFrame:
     """One row for each chunk, name (trimmed, lower case) and type (trimmed, upper case), the first by order; blank names and types go."""
     key = ["chunk_id", "normalized_name", "entity_type"]

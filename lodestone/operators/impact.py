@@ -79,7 +79,11 @@ def propagate(nodes: DataFrame, edges: DataFrame, seed_rows: DataFrame, max_dist
     kind = F.when(F.col("entity_type") == "TEAM", "STAKEHOLDER").when(F.col("entity_type").isin(*DIRECT_TYPES), "DIRECT_CHANGE").otherwise("REVIEW_REQUIRED")
     direct = direct.select("id", F.col("id").alias("seed"), "raw", F.lit(0).alias("distance"), F.array("id").alias("path"), F.lit("DIRECT").alias("label"), kind.alias("category"))
     tiers = F.create_map(*[x for d, (a, b) in TIERS.items() for x in (F.lit(d), F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")))])[F.col("distance")]
-    found = graph.reach(edges, seed_rows.select("id"), min(max_distance, max(TIERS)))
+    # over d hops a seed gives semantic / d at most, whatever the path: it stops before the first tier that it can't pass
+    most = F.lit(0)
+    for d in sorted(TIERS):
+        most = F.when((most == d - 1) & (F.col("semantic") / d >= TIERS[d][0]), d).otherwise(most)
+    found = graph.reach(edges, seed_rows.select("id", most.alias("most")), min(max_distance, max(TIERS)))
     near = found.join(seed_rows.withColumnRenamed("id", "seed"), "seed").join(known.withColumnRenamed("id", "node"), "node")
     proximity = F.try_divide(F.lit(1.0), F.col("distance"))
     spread = clip(F.col("semantic") * F.col("strength") * proximity)

@@ -13,8 +13,8 @@ from pyspark.sql.window import Window
 from lodestone.functions import text as X
 from lodestone.sources.scratch import drop_staged, staged
 
-#: Rows of a group and queries that meet in one task of best_match.
-BLOCKS = 16
+#: Rows of a group that a query meets in one task of best_match, about.
+BLOCK_ROWS = 4096
 
 
 def term_arrays(docs: DataFrame, id_col: str, text_col: str, stop: Sequence[str] = (), sizes: Sequence[int] = (1, 2)) -> DataFrame:
@@ -152,10 +152,14 @@ def dense_search(vectors: DataFrame, query: Sequence[float], k: int, id_col: str
     return scored.orderBy(F.desc(F.round("score", 10)), "id").limit(k)
 
 
-def best_match(queries: DataFrame, rows: DataFrame, id_col: str, vector_col: str, by: str, blocks: int = BLOCKS) -> DataFrame:
+def best_match(queries: DataFrame, rows: DataFrame, id_col: str, vector_col: str, by: str, blocks: int | None = None) -> DataFrame:
     """(id, best, score): for each query row the other row of the same group with the highest cosine, the smaller id on a tie.
 
-    The rows of a group are dealt over blocks, to each of which its queries go, so that a large group isn't one task."""
+    The rows of a group are dealt over blocks, to each of which its queries go, so that a large group isn't one task; there are
+    as many as the largest group needs for BLOCK_ROWS rows in each."""
+    if blocks is None:
+        most = rows.groupBy(by).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+        blocks = max(1, -(-most // BLOCK_ROWS))
     q = queries.select(F.col(id_col).alias("id"), F.col(by).alias("g"), X.unit(F.col(vector_col)).alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     r = rows.select(F.col(id_col).alias("other"), F.col(by).alias("g"), X.unit(F.col(vector_col)).alias("rv"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("int").alias("block"))
     pairs = q.join(r, ["g", "block"]).where("id != other").select("id", "other", X.dot(F.col("qv"), F.col("rv")).alias("score"))

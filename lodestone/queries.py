@@ -826,3 +826,18 @@ def gra01_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = base.read("canonical").select("id", "name")
     edges = base.read("edges").join(names.select(F.col("id").alias("source"), F.col("name").alias("a")), "source").join(names.select(F.col("id").alias("target"), F.col("name").alias("b")), "target")
     return edges.select(F.col("a").alias("source"), F.col("b").alias("target"), "relationship_type", "confidence")
+
+
+@query(
+    "joi12_linked",
+    "WITH c AS (SELECT DISTINCT c_nationkey AS org, lower(l_returnflag) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE c_nationkey % 2 = 0) "
+    "SELECT l_orderkey, l_linenumber, c.org * 1000 + ascii(c.n) AS canonical_id FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN c ON c.org = c_nationkey AND c.n = lower(l_returnflag)",
+)
+def joi12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as mentions in orders of customers of nations, linked to the canonical entities that every other nation has."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_orderkey").alias("chunk_id"), F.lower("l_returnflag").alias("normalized_name"), F.lit("API").alias("entity_type"))
+    chunks = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("document_id"))
+    documents = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("organization_id"))
+    known = rows.join(chunks, F.col("chunk_id") == F.col("id")).drop("id").join(documents.where("organization_id % 2 = 0"), F.col("document_id") == F.col("id"))
+    canonical = known.select("organization_id", "normalized_name", "entity_type").distinct().withColumn("id", F.col("organization_id") * 1000 + F.ascii("normalized_name"))
+    return entities.linked(rows, chunks, documents, canonical).select("l_orderkey", "l_linenumber", F.col("canonical_id").cast("long").alias("canonical_id"))

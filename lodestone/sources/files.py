@@ -47,7 +47,7 @@ def pdf_text(raw: bytes) -> str:
 
 
 def with_text(files: DataFrame) -> DataFrame:
-    """files with extracted_text and reason: why a file was refused, else null."""
+    """files with extracted_text and reason: why a file was refused, else null. Where files have a column mime, what an upload says of itself, it must be that of the suffix or application/octet-stream."""
 
     def parse(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in tables:
@@ -59,6 +59,9 @@ def with_text(files: DataFrame) -> DataFrame:
                     out.append((None, f"unreadable: {type(e).__name__}"))
             yield t.drop(columns="content").assign(extracted_text=[x for x, _ in out], reason=[r for _, r in out])
 
+    kinds = accepted_mime(F.col("suffix"), F.col("mime")) if "mime" in files.columns else F.lit(True)
+    misnamed = files.where(F.col("suffix").isin(*MIME) & ~F.coalesce(kinds, F.lit(False))).withColumns({"extracted_text": F.lit(None).cast("string"), "reason": F.lit("wrong media type")})
+    files = files.where(~F.col("suffix").isin(*MIME) | F.coalesce(kinds, F.lit(False))).drop("mime")
     small = F.col("size") <= MOST_BYTES
     plain = files.where((F.col("suffix") == "txt") & small)
     plain = plain.withColumn("extracted_text", strip(F.expr("string(content)"))).withColumn("reason", F.when(F.col("extracted_text") == "", "no text"))
@@ -66,7 +69,7 @@ def with_text(files: DataFrame) -> DataFrame:
     rich = rich.withColumn("reason", F.when(F.col("extracted_text") == "", "no text").otherwise(F.col("reason")))
     refused = files.where(~F.col("suffix").isin(*MIME) | ~small).withColumns({"extracted_text": F.lit(None).cast("string"), "reason": F.when(~small, "too large").otherwise("unsupported type")})
     cols = ["path", "name", "suffix", "size", "extracted_text", "reason"]
-    return plain.select(*cols).unionAll(rich.select(*cols)).unionAll(refused.select(*cols)).withColumn("safe_name", safe_filename(F.col("name")))
+    return plain.select(*cols).unionAll(rich.select(*cols)).unionAll(refused.select(*cols)).unionAll(misnamed.select(*cols)).withColumn("safe_name", safe_filename(F.col("name")))
 
 
 def accepted_mime(kind: Column, mime: Column) -> Column:

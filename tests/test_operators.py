@@ -73,6 +73,16 @@ def test_impact_chain(spark):
     assert graph.shortest_path(edges, "a", "x").count() == 0
 
 
+def test_seeds_stop_before_a_tier_that_they_cannot_pass(spark):
+    edges = spark.createDataFrame([(a, b, "USES", 1.0) for a, b in ("ab", "bc", "cd", "xb")], "source string, target string, relationship_type string, confidence double")
+    nodes = spark.createDataFrame([(n, n, "API", 1.0) for n in "abcdx"], "id string, name string, entity_type string, importance double")
+    found = graph.reach(edges, spark.createDataFrame([("a", 3), ("x", 1)], "id string, most int"), 3)
+    assert {(r["seed"], r["node"]) for r in found.collect()} == {("a", "b"), ("a", "c"), ("a", "x"), ("a", "d"), ("x", "b")}
+    for semantic, far in ((0.73, "d"), (0.71, "c"), (0.39, "b"), (0.11, "a")):
+        got = impact.propagate(nodes, edges, spark.createDataFrame([("a", semantic)], "id string, semantic double")).collect()
+        assert max(r["id"] for r in got if r["id"] != "x") == far
+
+
 def test_relations_of_sentences(spark):
     chunks = spark.createDataFrame([(0, "Cart Service depends on Parcel Engine. Parcel Engine and Cart Service are old."), (1, "Related APIs: A1, B2, C3")], "chunk_id int, content string")
     names = spark.createDataFrame([(0, "q", "Cart Service"), (0, "r", "Parcel Engine"), (1, "a", "A1"), (1, "b", "B2"), (1, "c", "C3")], "chunk_id int, id string, name string")
