@@ -70,9 +70,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows; what a stage has written is dropped once the next one has."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
         docs = common.staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        common.drop_staged(*before)
+        before = [docs]
     return docs
 
 
