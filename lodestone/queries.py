@@ -650,7 +650,7 @@ def imp24(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = first_vector(vectors)
     nodes = nodes.withColumn("vector", F.array(*[F.lit(float(x)) for x in first]))
     n = table(spark, sf_dir, "supplier").count()
-    mentions = docs.select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("S"), (F.col("doc_id") % n + 1).cast("string")).alias("canonical_id"), F.concat_ws(" ", "source", "lang").alias("name"), F.substring("text", 1, 200).alias("description"), F.lit(0).alias("place"))
+    mentions = docs.select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("S"), (F.col("doc_id") % n + 1).cast("string")).alias("canonical_id"), F.concat_ws(" ", "source", "lang").alias("name"), F.col("text").alias("description"), F.lit(0).alias("place"))
     chunks = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("document_id"), F.col("text").alias("content"))
     found = impact_analysis.analyze(chunks, vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), mentions, nodes, edges, docs.select(F.col("doc_id").alias("id"), F.concat_ws("/", "source", "doc_id").alias("filename")), ASKED, first, stop=STOP)
     return found.select("id", "name", "score", "level", "distance", "path", "label", "category", F.size("documents").alias("n_documents"))
@@ -841,3 +841,50 @@ def joi12(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = rows.join(chunks, F.col("chunk_id") == F.col("id")).drop("id").join(documents.where("organization_id % 2 = 0"), F.col("document_id") == F.col("id"))
     canonical = known.select("organization_id", "normalized_name", "entity_type").distinct().withColumn("id", F.col("organization_id") * 1000 + F.ascii("normalized_name"))
     return entities.linked(rows, chunks, documents, canonical).select("l_orderkey", "l_linenumber", F.col("canonical_id").cast("long").alias("canonical_id"))
+
+
+# suppliers' sentences as chunks with vectors of their own, and a request about one nation's service
+REQUEST_VECTOR, NATION_ASKED = (1.0, 0.3, 0.1, 0.5), 7
+SAID_SQL = "'The ' || n_name || ' Service depends on the ' || r_name || ' Database.'"
+
+
+def _plain_terms_sql(source: str, to: str) -> str:
+    """CTEs (to: id, term, tf) of the 1- and 2-grams of a source (id, text)."""
+    return f"{to}_tok AS (SELECT id, {TOKENS_SQL} AS t FROM {source}), {to} AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({GRAMS_SQL}) AS term FROM {to}_tok) GROUP BY 1, 2)"
+
+
+COSINE_SQL = lambda a, b: f"list_inner_product({a}, {b}) / sqrt(list_inner_product({a}, {a})) / sqrt(list_inner_product({b}, {b}))"
+CLIP_SQL = lambda x: f"least(1.0, greatest(0.0, {x}))"
+
+
+@query(
+    "imp08_seeds",
+    f"WITH q AS (SELECT 'Change the ' || n_name || ' Service' AS text, {list(REQUEST_VECTOR)}::DOUBLE[] AS v FROM nation WHERE n_nationkey = {NATION_ASKED}), "
+    f"c AS (SELECT s_suppkey || '-0' AS id, n_name, r_name, {SAID_SQL} AS text, [CASE WHEN n_nationkey = {NATION_ASKED} THEN 1.0 ELSE 0.2 END, n_regionkey / 5.0, s_suppkey % 1000 / 1000.0, 0.5]::DOUBLE[] AS v FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey), "
+    f"{_plain_terms_sql('c', 'ct')}, {_plain_terms_sql('(SELECT 0 AS id, text FROM q)', 'qt')}, n AS (SELECT count(*) AS n FROM c), i AS (SELECT term, ln((1.0 + any_value(n.n)) / (1.0 + count(*))) + 1.0 AS idf FROM ct, n GROUP BY term HAVING count(*) <= 0.95 * any_value(n.n)), "
+    "w AS (SELECT id, term, (1.0 + ln(tf)) * idf AS w FROM ct JOIN i USING (term)), qw AS (SELECT term, (1.0 + ln(tf)) * idf AS w FROM qt JOIN i USING (term)), qn AS (SELECT term, w / sqrt((SELECT sum(w * w) FROM qw)) AS wq FROM qw), "
+    "lex AS (SELECT id, sum(w * coalesce(wq, 0)) / sqrt(sum(w * w)) AS s FROM w LEFT JOIN qn USING (term) GROUP BY id), lex20 AS (SELECT *, row_number() OVER (ORDER BY round(s, 10) DESC, id) AS tr FROM lex WHERE s > 0 QUALIFY tr <= 20), "
+    f"den AS (SELECT id, {COSINE_SQL('c.v', 'q.v')} AS s FROM c, q), den20 AS (SELECT *, row_number() OVER (ORDER BY round(s, 10) DESC, id) AS dr FROM den QUALIFY dr <= 20), "
+    "fused AS (SELECT coalesce(l.id, d.id) AS id, l.s AS ls, d.s AS ds FROM lex20 l FULL JOIN den20 d ON l.id = d.id ORDER BY round(coalesce(1.0 / (60 + tr), 0) + coalesce(1.0 / (60 + dr), 0), 6) DESC, tr NULLS LAST, dr NULLS FIRST LIMIT 20), "
+    f"hits AS (SELECT id, rel, row_number() OVER (ORDER BY rel DESC, id) AS r FROM (SELECT id, greatest({CLIP_SQL('coalesce(ls, 0.0)')}, {CLIP_SQL('coalesce(ds, 0.0)')}) AS rel FROM fused WHERE {CLIP_SQL('coalesce(ds, 0.0)')} >= 0.2 OR {CLIP_SQL('coalesce(ls, 0.0)')} >= 0.08)), "
+    "m AS (SELECT r, 0.8 * rel + 0.2 / sqrt(r) AS e, unnest([n_name || ' Service', r_name || ' Database']) AS name FROM hits JOIN c USING (id)), f AS (SELECT name, least(1.0, arg_min(e, r) + 0.5 * (sum(e) - arg_min(e, r))) AS evidence, count(*) AS occurrences FROM m GROUP BY name), "
+    f"{_plain_terms_sql('(SELECT name AS id, name AS text FROM f)', 'ft')}, k AS (SELECT count(*) + 1 AS n FROM f), fi AS (SELECT term, ln((1.0 + any_value(k.n)) / (1.0 + count(*))) + 1.0 AS idf FROM (SELECT term FROM ft UNION ALL SELECT term FROM qt), k GROUP BY term), "
+    "fw AS (SELECT id, term, tf * idf AS w FROM ft JOIN fi USING (term)), fq AS (SELECT term, tf * idf AS w FROM qt JOIN fi USING (term)), fn AS (SELECT term, w / sqrt((SELECT sum(w * w) FROM fq)) AS wq FROM fq), ls AS (SELECT id AS name, sum(w * coalesce(wq, 0)) / sqrt(sum(w * w)) AS s FROM fw LEFT JOIN fn USING (term) GROUP BY 1), "
+    f"sim AS (SELECT f.*, 0.75 * {CLIP_SQL(COSINE_SQL(f'[CASE WHEN f.name = (SELECT n_name FROM nation WHERE n_nationkey = {NATION_ASKED}) || {chr(39)} Service{chr(39)} THEN 1.0 ELSE 0.2 END, 0.2, 0.1, 0.5]::DOUBLE[]', 'q.v'))} + 0.25 * {CLIP_SQL('coalesce(ls.s, 0.0)')} AS similarity, contains(lower(q.text), lower(f.name)) AS named FROM q, f LEFT JOIN ls USING (name)), "
+    f"z AS (SELECT *, {CLIP_SQL('0.4 * evidence + 0.6 * similarity + CASE WHEN named THEN 0.05 ELSE 0.0 END * evidence + least(0.10, 0.03 * (occurrences - 1)) * evidence')} AS semantic FROM sim) SELECT name, round(semantic, 6) AS semantic FROM z WHERE evidence >= 0.15 AND similarity >= 0.20 AND semantic >= 0.50",
+)
+def imp08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entities that a request starts from: chunks are searched both ways, and the mentions that the library finds in them are scored and gated."""
+    both = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    asked = table(spark, sf_dir, "nation").where(F.col("n_nationkey") == NATION_ASKED).select("n_name").first()[0]
+    documents = both.select(F.col("s_suppkey").cast("string").alias("id"), F.lit("all").alias("organization_id"), F.lit("").alias("filename"), F.concat(F.lit("The "), "n_name", F.lit(" Service depends on the "), "r_name", F.lit(" Database.")).alias("text"))
+    chunks, mentions = knowledge_base.derived(documents)
+    numbers = [F.when(F.col("n_nationkey") == NATION_ASKED, 1.0).otherwise(0.2), F.col("n_regionkey") / 5.0, F.col("s_suppkey") % 1000 / 1000.0, F.lit(0.5)]
+    vectors = both.select(F.concat(F.col("s_suppkey").cast("string"), F.lit("-0")).alias("id"), F.array(*[x.cast("double") for x in numbers]).alias("vector"))
+    own = F.array(F.when(F.col("name") == f"{asked} Service", 1.0).otherwise(0.2), F.lit(0.2), F.lit(0.1), F.lit(0.5))
+    nodes = knowledge_base.canonical_of(mentions).select("id", "name", "entity_type", own.alias("vector"))
+    placed = mentions.select("chunk_id", "canonical_id", "name", F.lit(None).cast("string").alias("description"), F.when(F.endswith("name", F.lit("Service")), 0).otherwise(1).alias("place"))
+    text = f"Change the {asked} Service"
+    hits = impact_analysis.relevant_chunks(chunks, vectors, text, REQUEST_VECTOR, 10, STOP)
+    found = impact.seeds(impact_analysis.entity_scores(hits, placed, nodes, text, REQUEST_VECTOR, STOP))
+    return found.join(nodes.select("id", "name"), "id").select("name", F.round("semantic", 6).alias("semantic"))
