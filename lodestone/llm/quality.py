@@ -203,24 +203,25 @@ def _distance(counted: Column, n: Column, q: Column, mass: float) -> Column:
 def word_distance(ws: Column, refs: dict[str, dict[str, float]]) -> Column:
     """The Jensen-Shannon distance of the text's common-word histogram from the nearest language's; null below LEAST_WORDS.
 
-    A histogram has one bucket for each common word of the language and one for all other words. A word's bucket is looked
-    up by its hash in a literal array, and compared; the buckets found are sorted and counted by runs."""
+    A histogram has one bucket for each common word of the language and one for all other words. Other words are sifted out by a
+    set of the common ones; a common word's bucket is looked up by its hash in a literal array, and the buckets found are
+    sorted and counted by runs."""
     if not refs:
         return F.lit(None).cast("double")
     vocabulary = sorted({w for ref in refs.values() for w in ref})
     m, slots = _slots(vocabulary)
-    slot, names = _numbers(slots, "int"), F.array(*[F.lit(w) for w in vocabulary])
+    slot = _numbers(slots, "int")
 
-    def buckets(w: Column) -> Column:
-        at = F.transform(w, lambda x: slot[F.pmod(F.xxhash64(x), F.lit(m)).cast("int")] - 1)
-        return F.zip_with(at, w, lambda a, x: F.when((a >= 0) & (F.get(names, a) == x), a))
+    def bucket(w: Column) -> Column:
+        """The place of a common word: no two of them have one slot."""
+        return slot[F.pmod(F.xxhash64(w), F.lit(m)).cast("int")] - 1
 
     def nearest(n: Column) -> Callable[[Column], Column]:
         each = [(_numbers([float(ref.get(w, 0.0)) for w in vocabulary], "double"), sum(ref.values())) for _, ref in sorted(refs.items())]
         return lambda counted: F.array_min(F.array(*[_distance(counted, n, q, mass) for q, mass in each]))
 
     def of_words(w: Column) -> Column:
-        ids = F.array_sort(F.filter(buckets(w), lambda i: i.isNotNull()))
+        ids = F.sort_array(F.transform(F.filter(w, lambda x: x.isin(*vocabulary)), bucket))
         return F.when(F.size(w) >= LEAST_WORDS, C.let(C.let(ids, _runs), nearest(F.size(w).cast("double"))))
 
     return C.let(ws, of_words)
