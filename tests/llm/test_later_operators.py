@@ -237,3 +237,12 @@ def test_rare_words_are_joined(spark, model, monkeypatch):
     few = context_mixing.train(train, counted)
     assert len(few.index) <= 5
     assert {r["w"]: (r["base_score"], r["n_known"]) for r in context_mixing.score(texts, few, counted).collect()} == whole
+
+
+def test_long_words_are_spelt_in_parts(model, monkeypatch):
+    m = model[0]
+    words = [b"short", b"abc" * 700, b"x", b"ordinary" * 90, b"y" * 1000]
+    whole = m.spell(words)
+    monkeypatch.setattr(context_mixing, "RUN", 50)
+    assert m.spell(words) == pytest.approx(whole, rel=1e-6)
+    assert [m.spell([w])[0] for w in words] == pytest.approx(list(whole), rel=1e-6)
