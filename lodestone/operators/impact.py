@@ -83,7 +83,8 @@ def propagate(nodes: DataFrame, edges: DataFrame, seed_rows: DataFrame, max_dist
     most = F.lit(0)
     for d in sorted(TIERS):
         most = F.when((most == d - 1) & (F.col("semantic") / d >= TIERS[d][0]), d).otherwise(most)
-    found = graph.reach(edges, seed_rows.select("id", most.alias("most")), min(max_distance, max(TIERS)))
+    # a row's score grows with its path's strength and of equal ones the smaller seed counts, so leaves of the same score give way
+    found = graph.reach(edges, seed_rows.select("id", most.alias("most"), "semantic"), min(max_distance, max(TIERS)), "semantic")
     near = found.join(seed_rows.withColumnRenamed("id", "seed"), "seed").join(known.withColumnRenamed("id", "node"), "node")
     proximity = F.try_divide(F.lit(1.0), F.col("distance"))
     spread = clip(F.col("semantic") * F.col("strength") * proximity)
