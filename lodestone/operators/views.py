@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from lodestone.operators.ordering import numbered
+from lodestone.sources.scratch import checkpointed
 
 
 def category(kind: Column) -> Column:
@@ -75,6 +77,7 @@ def cascade(rows: DataFrame) -> DataFrame:
     parent is the last node of a row's path before its end that is another result, by id or else by name whatever its
     case; else the only result one step nearer; else null, the root. Nodes stand by level, in the order of their scores.
     Results are a request's list: levels are a few, and names that several results share count for the greatest id."""
+    rows = checkpointed(rows.select("id", "name", "distance", "path", "score"))
     ids = rows.select(F.col("id").alias("_id")).distinct()
     names = rows.groupBy(F.lower(F.trim("name")).alias("_name")).agg(F.max("id").alias("_named"))
     before = F.filter(F.transform("path", lambda p: F.trim(p)), lambda p: p != "")
@@ -82,8 +85,9 @@ def cascade(rows: DataFrame) -> DataFrame:
     found = steps.join(ids, F.col("node") == F.col("_id"), "left").join(names, F.lower("node") == F.col("_name"), "left").withColumn("hit", F.coalesce("_id", "_named"))
     on_path = found.where("hit is not null and hit != id").groupBy("id").agg(F.max(F.struct("at", "hit"))["hit"].alias("by_path"))
     lone = rows.groupBy("distance").agg(F.count("*").alias("n"), F.min("id").alias("only")).where("n = 1").select((F.col("distance") + 1).alias("distance"), "only")
-    place = F.row_number().over(Window.partitionBy("distance").orderBy(F.desc("score"), "id")) - 1
-    placed = rows.select("id", "distance", (GRID_X + STEP_X * F.col("distance")).alias("x"), (GRID_Y + STEP_Y * place).alias("y"))
+    # a level may have most of the rows, so places come from ranges
+    levels = numbered(rows.select("id", "distance", F.coalesce(-F.col("score"), F.lit(float("inf"))).alias("_down")), ["distance"], ["_down", "id"])
+    placed = levels.select("id", "distance", (GRID_X + STEP_X * F.col("distance")).alias("x"), (GRID_Y + STEP_Y * F.col("place")).cast("int").alias("y"))
     return placed.join(on_path, "id", "left").join(lone, "distance", "left").select("id", F.coalesce("by_path", F.when(F.col("only") != F.col("id"), F.col("only"))).alias("parent"), "x", "y").distinct()
 
 

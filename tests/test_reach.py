@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import graph, impact
+from lodestone.operators import graph, impact, views
 
 EDGES = "source string, target string, relationship_type string, confidence double"
 KINDS = ("USES", "SUPPORTS", "OWNED_BY", "NO_SUCH", "DEPENDS_ON")
@@ -78,3 +78,15 @@ def test_impact_rows_grow_with_nodes_not_with_seeds_times_nodes(spark, monkeypat
     monkeypatch.setattr(graph, "reach", counted)
     assert impact.propagate(nodes, edges, nodes.select("id", F.lit(0.95).alias("semantic"))).count() == n
     assert sizes[0] < 25 * n
+
+
+def test_cascade_computes_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(node):
+        seen.add(1)
+        return node
+
+    rows = spark.createDataFrame([("a", "A", 0, ["a"], 0.9), ("b", "B", 1, ["a", "b"], 0.8), ("c", "C", 1, ["a", "c"], 0.7)], "id string, name string, distance int, path array<string>, score double")
+    got = views.cascade(rows.withColumn("id", F.udf(noted)("id"))).collect()
+    assert {(r["id"], r["parent"], r["y"]) for r in got} == {("a", None, 70), ("b", "a", 70), ("c", "a", 275)} and seen.value == 3
