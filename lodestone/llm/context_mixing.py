@@ -36,8 +36,6 @@ CHUNK, HELD, HELD_BYTES, RUN = 1 << 14, 500_000, 1 << 28, 1 << 16
 GROUP, LANES, FIRST, BLOCK = 1 << 16, 1000, 64, 1 << 13
 #: Tokens whose bits are worked on at once: their arrays stay in a core's cache.
 SLICE = 1024
-#: One training text in so many, by a hash, also teaches the first weights, without its own counts.
-TUNED = 32
 #: How fast weights follow: steps are sums of slopes over the number of bits (times a constant) and this many.
 STEADY, STEADY_TEXT, CURVE = 2000.0, 400.0, 0.5
 #: Stages of a path, bins of the refinement, counters' start.
@@ -459,8 +457,8 @@ def _learnt(rows: DataFrame, weights: np.ndarray, refined: np.ndarray, events: C
 def train(texts: DataFrame, words: DataFrame) -> Model:
     """Learns from texts (a binary column `text`); words: count_words() of them, staged.
 
-    Counters and word counts are gathered from all texts. The driver holds SENT words and tables of 2 ** MOST_BITS counters
-    at most, whatever the corpus; first weights come from one text in TUNED, by hash."""
+    Counters and word counts are gathered from all texts, and every text teaches the first weights, without its own counts. The
+    driver holds SENT words and tables of 2 ** MOST_BITS counters at most, whatever the corpus."""
     spark = texts.sparkSession
     known = words.where("word IS NOT NULL")
     got = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("word"), F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0)), F.count_if((F.col("n") == 1) & F.col("word").isNotNull())).first()
@@ -518,9 +516,8 @@ def train(texts: DataFrame, words: DataFrame) -> Model:
             gate, stage = byte_gate(len(bit), seen)
             yield logits, gate, stage, signs(bit)
 
-    tuned = lambda c: F.pmod(F.xxhash64(c), F.lit(TUNED)) == 0
-    model.weights, model.refined = _learnt(texts.where(tuned("text")).select("text"), model.weights, model.refined, word_inputs)
-    model.byte_weights, model.byte_refined = _learnt(known.where(tuned("word")).select("word"), model.byte_weights, model.byte_refined, byte_inputs)
+    model.weights, model.refined = _learnt(texts.select("text"), model.weights, model.refined, word_inputs)
+    model.byte_weights, model.byte_refined = _learnt(known.select("word"), model.byte_weights, model.byte_refined, byte_inputs)
     model.words, model.spelt = counted.pack(), spelt.pack()
     raw.destroy()
     sent.destroy()

@@ -246,3 +246,13 @@ def test_long_words_are_spelt_in_parts(model, monkeypatch):
     monkeypatch.setattr(context_mixing, "RUN", 50)
     assert m.spell(words) == pytest.approx(whole, rel=1e-6)
     assert [m.spell([w])[0] for w in words] == pytest.approx(list(whole), rel=1e-6)
+
+
+def test_every_training_text_teaches_the_first_weights(spark):
+    """Few texts, none of which a hash would have picked as one in 32."""
+    F = context_mixing.F
+    texts = spark.createDataFrame([(f"the cat {i} sat on the mat and the cat {i} ran",) for i in range(40)], "text string").select(F.col("text").cast("binary").alias("text"))
+    texts = texts.where(F.pmod(F.xxhash64("text"), F.lit(32)) != 0)
+    words = context_mixing.C.staged(context_mixing.count_words(texts), "lm-every").where(F.pmod(F.xxhash64("word"), F.lit(32)) != 0)
+    m = context_mixing.train(texts, words)
+    assert (m.weights != 0.35).any() and (m.byte_weights != 0.3).any()
