@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,18 +19,93 @@ from lodestone.sources.scratch import drop_staged, staged
 
 #: Rows of a group that a query meets in one task of best_match, about.
 BLOCK_ROWS = 4096
+#: Terms that a task holds before it hands them on, besides those of one document.
+TERMS_AT_ONCE = 1 << 16
+
+
+def _tallies(batches: Iterator[pa.RecordBatch], stop: frozenset[str], sizes: tuple[int, ...]) -> Iterator[tuple[pa.Array, list[int], list[str], list[int]]]:
+    """(ids, how many terms each has, terms, how often each occurs) of documents (id, tokens joined by spaces), about TERMS_AT_ONCE terms at a time."""
+    for batch in batches:
+        ids, begin, lengths, terms, counts = batch.column(0), 0, [], [], []
+        for k, text in enumerate(batch.column(1)):
+            t = [w for w in text.as_py().split(" ") if w and w not in stop]
+            found = Counter(chain.from_iterable(t if n == 1 else map(" ".join, zip(*[t[i:] for i in range(n)], strict=False)) for n in sizes))
+            own = sorted(found)
+            lengths.append(len(own))
+            terms += own
+            counts += map(found.__getitem__, own)
+            if len(terms) >= TERMS_AT_ONCE:
+                yield ids[begin : k + 1], lengths, terms, counts
+                begin, lengths, terms, counts = k + 1, [], [], []
+        if lengths:
+            yield ids[begin:], lengths, terms, counts
+
+
+def _joined_tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.array_join(X.tokens(F.coalesce(F.col(text_col), F.lit(""))), " ").alias("tokens"))
 
 
 def term_arrays(docs: DataFrame, id_col: str, text_col: str, stop: Sequence[str] = (), sizes: Sequence[int] = (1, 2)) -> DataFrame:
     """(id, terms) of documents, one row each: the terms (value) and how often each occurs (n), sorted; null where there are none."""
-    terms = X.tokens(F.coalesce(F.col(text_col), F.lit("")), stop)
-    return docs.select(F.col(id_col).alias("id"), X.runs(F.sort_array(X.ngrams(terms, sizes))).alias("terms"))
+    without, of = frozenset(stop), tuple(sizes)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, lengths, terms, counts in _tallies(batches, without, of):
+            each = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(counts, pa.int32())], ["value", "n"])
+            ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+            none = pa.array([n == 0 for n in lengths], pa.bool_())
+            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(ends, each, mask=none)], ["id", "terms"])
+
+    return _joined_tokens(docs, id_col, text_col).mapInArrow(work, f"id {docs.schema[id_col].dataType.simpleString()}, terms array<struct<value:string,n:int>>")
 
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str, stop: Sequence[str] = (), sizes: Sequence[int] = (1, 2)) -> DataFrame:
     """(id, term, tf) of documents, one row each: terms are sorted and counted inside the row, so nothing is shuffled."""
-    # the outer form keeps the optimizer from counting every row twice, once to see whether it is empty
-    return term_arrays(docs, id_col, text_col, stop, sizes).select("id", F.explode_outer("terms").alias("r")).where("r is not null").select("id", F.col("r.value").alias("term"), F.col("r.n").cast("long").alias("tf"))
+    without, of = frozenset(stop), tuple(sizes)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, lengths, terms, counts in _tallies(batches, without, of):
+            of_term = ids.take(pa.array(np.repeat(np.arange(len(ids)), lengths)))
+            yield pa.RecordBatch.from_arrays([of_term, pa.array(terms, pa.string()), pa.array(counts, pa.int64())], ["id", "term", "tf"])
+
+    return _joined_tokens(docs, id_col, text_col).mapInArrow(work, f"id {docs.schema[id_col].dataType.simpleString()}, term string, tf long")
+
+
+def squared_counts(docs: DataFrame, id_col: str, text_col: str, stop: Sequence[str] = (), sizes: Sequence[int] = (1, 2), sublinear: bool = True) -> DataFrame:
+    """(id, term, tf, w2, own, terms) of documents: w2 is the squared weight of a term by its frequency alone; own, their sum over the document, and terms, their number, stand on the first row of each document, 0 on the others."""
+    without, of = frozenset(stop), tuple(sizes)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, lengths, terms, counts in _tallies(batches, without, of):
+            tf, n = np.array(counts, dtype=np.int64), np.array(lengths)
+            w2 = (1.0 + np.log(tf) if sublinear else tf.astype(float)) ** 2
+            own, some = np.zeros(len(tf)), np.zeros(len(tf), dtype=np.int32)
+            first = (np.cumsum(n) - n)[n > 0]
+            if len(first):
+                own[first], some[first] = np.add.reduceat(w2, first), n[n > 0]
+            of_term = ids.take(pa.array(np.repeat(np.arange(len(ids)), n)))
+            yield pa.RecordBatch.from_arrays([of_term, pa.array(terms, pa.string()), pa.array(tf), pa.array(w2), pa.array(own), pa.array(some)], ["id", "term", "tf", "w2", "own", "terms"])
+
+    return _joined_tokens(docs, id_col, text_col).mapInArrow(work, f"id {docs.schema[id_col].dataType.simpleString()}, term string, tf long, w2 double, own double, terms int")
+
+
+def _idf(df: Column, n_docs: int) -> Column:
+    return F.log((1.0 + n_docs) / (1.0 + df)) + 1.0
+
+
+def lengths(docs: DataFrame, id_col: str, text_col: str, n_docs: int, stop: Sequence[str] = (), sizes: Sequence[int] = (1, 2), max_df: float = 1.0, sublinear: bool = True) -> DataFrame:
+    """(id, norm) as norms() gives it for the weights of all terms in at most max_df of the n_docs documents; documents without such a term are left out.
+
+    Terms are shuffled once, to be counted. Each document starts from its length as if it alone had each of its terms, which
+    needs no other document; only terms that others have too come back to it, with what they change."""
+    most = max_df * n_docs
+    rows = squared_counts(docs, id_col, text_col, stop, sizes, sublinear).withColumn("df", F.count("*").over(Window.partitionBy("term")))
+    alone = _idf(F.lit(1), n_docs) ** 2
+    kept = F.col("df") <= most
+    change = F.when(F.col("df") > 1, F.col("w2") * (F.when(kept, _idf(F.col("df"), n_docs) ** 2).otherwise(0.0) - alone)).otherwise(0.0)
+    each = rows.where("own > 0 OR df > 1").select("id", (F.col("own") * alone + change).alias("part"), (F.col("terms") - F.when(kept, 0).otherwise(1)).alias("left"))
+    out = each.groupBy("id").agg(F.sum("part").alias("square"), F.sum("left").alias("left")).where(F.col("left") > 0)
+    return out.where(F.lit(most >= 1)).select("id", F.sqrt(F.greatest(F.lit(0.0), F.col("square"))).alias("norm"))
 
 
 def document_frequencies(counts: DataFrame, n_docs: int, max_df: float = 0.95) -> DataFrame:
@@ -105,42 +184,49 @@ def asked_weights(spark: SparkSession, query: str, idf: DataFrame, stop: Sequenc
 
 
 def tfidf_search(docs: DataFrame, query: str, k: int, id_col: str = "doc_id", text_col: str = "text", stop: Sequence[str] = (), max_df: float = 0.95) -> DataFrame:
-    """search() of one request over 1- and 2-grams, without an index: terms are written once by document, counted, and joined only for the documents that have a term of the request; what was written is dropped. k rows come to the driver."""
+    """search() of one request over 1- and 2-grams, without an index: terms are written once by document, and only those of the documents that have a term of the request are counted and joined; what was written is dropped. k rows come to the driver."""
     if k <= 0:
         raise ValueError("k must be positive")
     spark = docs.sparkSession
     held = staged(term_arrays(docs, id_col, text_col, stop), "search-terms")
     n = held.count()
     terms = lambda rows: rows.where(F.size("terms") > 0).select("id", F.explode("terms").alias("t")).select("id", F.col("t.value").alias("term"), F.col("t.n").cast("long").alias("tf"))
-    idf = staged(document_frequencies(terms(held), n, max_df), "search-idf")
-    weights = asked_weights(spark, query, idf, stop, (1, 2), True)
+    own = [r["term"] for r in term_counts(spark.createDataFrame([(0, query)], "id int, text string"), "id", "text", stop).select("term").collect()]
+    some = staged(held.where(F.arrays_overlap("terms.value", F.array(*[F.lit(t) for t in own]))) if own else held.limit(0), "search-found")
+    weights = asked_weights(spark, query, document_frequencies(terms(some).where(F.col("term").isin(own)), n, max_df), stop, (1, 2), True)
     found: list = []
     if weights:
-        asked = F.array(*[F.lit(t) for t, _, _ in weights])
-        some = held.where(F.arrays_overlap(F.transform("terms", lambda t: t["value"]), asked))
+        # documents that have a term of the request aren't few always, so nothing is collected; where they are, their terms are broadcast
+        wanted = staged(terms(some).select("term").distinct(), "search-wanted")
+        idf = document_frequencies(terms(held).select("term").join(wanted, "term", "left_semi"), n, max_df)
         wq = F.coalesce(F.create_map(*[x for t, _, w in weights for x in (F.lit(t), F.lit(w))])[F.col("term")], F.lit(0.0))
         w = (1.0 + F.log("tf")) * F.col("idf")
         dots = terms(some).join(idf.select("term", "idf"), "term").groupBy("id").agg((F.sum(w * wq) / F.sqrt(F.sum(w * w))).alias("score"))
         found = dots.orderBy(F.desc(F.round("score", 10)), "id").limit(k).where("score > 0").collect()
+        drop_staged(wanted)
     out = spark.createDataFrame(found, f"id {docs.schema[id_col].dataType.simpleString()}, score double")
-    drop_staged(held, idf)
+    drop_staged(held, some)
     return out
 
 
 def similarity_to(query: str, rows: DataFrame, id_col: str, text_col: str, stop: Sequence[str] = ()) -> DataFrame:
     """(id, lexical) of every row: the cosine of its text and the query, 0 to 1, over plain term frequencies of 1- and 2-grams with an idf fitted on the rows and the query."""
     spark = rows.sparkSession
-    own = term_counts(spark.createDataFrame([(0, query)], "id int, text string"), "id", "text", stop)
-    counts = staged(term_counts(rows, id_col, text_col, stop), "context-counts")
+    own = {r["term"]: r["tf"] for r in term_counts(spark.createDataFrame([(0, query)], "id int, text string"), "id", "text", stop).collect()}
     n = rows.count() + 1
-    df = counts.select("term").unionAll(own.select("term")).groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.select("term", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    asked = weigh(own, idf, sublinear=False)
-    length = asked.agg(F.sqrt(F.sum(F.col("w") * F.col("w")))).first()[0] or 1.0
-    wq = F.coalesce("wq", F.lit(0.0))
-    both = weigh(counts, idf, sublinear=False).join(F.broadcast(asked.select("term", (F.col("w") / length).alias("wq"))), "term", "left")  # at most one row a term of the query
-    found = both.groupBy("id").agg((F.sum(F.col("w") * wq) / F.sqrt(F.sum(F.col("w") * F.col("w")))).alias("s"))
-    return rows.select(F.col(id_col).alias("id")).join(found, "id", "left").select("id", X.clip(F.coalesce("s", F.lit(0.0))).alias("lexical"))
+    asked = F.col("term").isin(list(own)) if own else F.lit(False)
+    found = squared_counts(rows, id_col, text_col, stop, sublinear=False).withColumn("df", F.count("*").over(Window.partitionBy("term")))
+    # as in lengths(): only terms that others have too, the query among them, change what a document has alone
+    alone, idf = _idf(F.lit(1), n) ** 2, _idf(F.col("df") + F.when(asked, 1).otherwise(0), n)
+    qtf = F.coalesce(F.create_map(*[x for t, k in own.items() for x in (F.lit(t), F.lit(float(k)))])[F.col("term")], F.lit(0.0)) if own else F.lit(0.0)
+    part = F.col("own") * alone + F.when(asked | (F.col("df") > 1), F.col("w2") * (idf**2 - alone)).otherwise(0.0)
+    each = found.where((F.col("own") > 0) | (F.col("df") > 1) | asked).select("id", part.alias("part"), (F.col("tf") * idf * idf * qtf).alias("dot"), F.when(asked, F.struct("term", "df")).alias("seen"))
+    sums = staged(each.groupBy("id").agg(F.sum("part").alias("square"), F.sum("dot").alias("dot"), F.collect_set("seen").alias("seen")), "context-sums")
+    # a document tells of each of the query's terms that it has in how many documents it is
+    seen = {r["term"]: r["df"] for r in sums.where(F.size("seen") > 0).select(F.explode("seen").alias("s")).select("s.term", "s.df").distinct().collect()}
+    length = math.sqrt(sum((k * (math.log((1.0 + n) / (2.0 + seen.get(t, 0))) + 1.0)) ** 2 for t, k in own.items())) or 1.0
+    scores = sums.select("id", (F.col("dot") / F.lit(length) / F.sqrt("square")).alias("s"))
+    return rows.select(F.col(id_col).alias("id")).join(scores, "id", "left").select("id", X.clip(F.coalesce("s", F.lit(0.0))).alias("lexical"))
 
 
 def dense_search(vectors: DataFrame, query: Sequence[float], k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
