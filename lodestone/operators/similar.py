@@ -15,6 +15,8 @@ from lodestone.sources.scratch import drop_staged, staged
 
 #: Rows by whose directions angles are measured and dimensions are ordered, rows of a block, and the share of dimensions that come first.
 SAMPLE, BLOCK, LEADING = 4096, 1024, 0.25
+#: Pairs whose vectors are side by side at once.
+AT_ONCE = 1 << 14
 #: By so much may angles, and cosines of two unit vectors, be off by rounding.
 SLACK = 1e-9
 
@@ -58,7 +60,8 @@ def compare(table: pd.DataFrame, order: np.ndarray, limit: float) -> pd.DataFram
     if lo == hi:
         may = np.triu(may, 1)
     i, j = np.nonzero(may)
-    cosine = np.einsum("ij,ij->i", x[i], y[j])
+    # where most pairs may reach the limit, both sides of all of them would be a copy of every vector for every other one
+    cosine = np.concatenate([np.empty(0), *[np.einsum("ij,ij->i", x[i[k : k + AT_ONCE]], y[j[k : k + AT_ONCE]]) for k in range(0, len(i), AT_ONCE)]])
     hit = cosine >= limit
     p, q = a["rep"].to_numpy()[i[hit]], b["rep"].to_numpy()[j[hit]]
     return pd.DataFrame({"first": np.minimum(p, q), "second": np.maximum(p, q), "cosine": cosine[hit]})
