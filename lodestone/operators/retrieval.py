@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from lodestone.sources.scratch import drop_staged, staged
 
 #: Rows of a group that a query meets in one task of best_match, about.
 BLOCK_ROWS = 4096
+#: Queries whose products with a block are held at once, pairs whose scores are summed at once, and by how much products may be off by rounding.
+QUERIES_AT_ONCE, PAIRS_AT_ONCE, NEAR = 512, 1 << 18, 1e-9
 #: Terms that a task holds before it hands them on, besides those of one document.
 TERMS_AT_ONCE = 1 << 16
 
@@ -238,18 +241,46 @@ def dense_search(vectors: DataFrame, query: Sequence[float], k: int, id_col: str
     return scored.orderBy(F.desc(F.round("score", 10)), "id").limit(k)
 
 
+def _best_of(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+    """(id, best, score) of queries (id, v) and rows (other, v) with vectors of one size: a product of matrices finds the rows near the best score, whose scores are then summed in the order of dimensions, so that equal vectors score the same."""
+    x, y = (np.stack(t["v"].to_numpy()) for t in (q, r))
+    ids, others = q["id"].to_numpy(), r["other"].to_numpy()
+    found = []
+    for begin in range(0, len(x), QUERIES_AT_ONCE):
+        part = slice(begin, begin + QUERIES_AT_ONCE)
+        rough = x[part] @ y.T
+        rough[ids[part, None] == others[None, :]] = -np.inf
+        rough[np.isnan(rough)] = np.inf  # counts as the highest, as Spark has it
+        i, j = np.nonzero((rough >= rough.max(axis=1, keepdims=True) - NEAR) & (rough > -np.inf))
+        for k in range(0, len(i), PAIRS_AT_ONCE):
+            a, b = i[k : k + PAIRS_AT_ONCE] + begin, j[k : k + PAIRS_AT_ONCE]
+            score = np.zeros(len(a))
+            for d in range(x.shape[1]):
+                score += x[a, d] * y[b, d]
+            pairs = pd.DataFrame({"id": ids[a], "best": others[b], "score": score, "_nan": np.isnan(score)})
+            found.append(pairs.sort_values(["_nan", "score", "best"], ascending=[False, False, True], kind="stable").drop_duplicates("id")[["id", "best", "score"]])
+    return pd.concat(found) if found else pd.DataFrame({"id": ids[:0], "best": others[:0], "score": np.zeros(0)})
+
+
 def best_match(queries: DataFrame, rows: DataFrame, id_col: str, vector_col: str, by: str, blocks: int | None = None) -> DataFrame:
-    """(id, best, score): for each query row the other row of the same group with the highest cosine, the smaller id on a tie.
-
-    The rows of a group are dealt over blocks, to each of which its queries go, so that a large group isn't one task; there are
-    as many as the largest group needs for BLOCK_ROWS rows in each."""
-    if blocks is None:
-        most = rows.groupBy(by).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-        blocks = max(1, -(-most // BLOCK_ROWS))
-    q = queries.select(F.col(id_col).alias("id"), F.col(by).alias("g"), X.unit(F.col(vector_col)).alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    r = rows.select(F.col(id_col).alias("other"), F.col(by).alias("g"), X.unit(F.col(vector_col)).alias("rv"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("int").alias("block"))
-    pairs = q.join(r, ["g", "block"]).where("id != other").select("id", "other", X.dot(F.col("qv"), F.col("rv")).alias("score"))
-    return pairs.groupBy("id").agg(F.max(F.struct("score", (-F.col("other")).alias("o"))).alias("m")).select("id", (-F.col("m.o")).alias("best"), F.col("m.score").alias("score"))
+    """(id, best, score): for each query row the other row of the same group with the highest cosine, the smaller id on a tie; null vectors, and those of different sizes, don't meet. Ids are longs.
+
+    The rows and the queries of a group are dealt over blocks, and each block of queries meets each of rows in a task of its
+    own, so that a large group isn't one task; there are as many as the largest group needs for BLOCK_ROWS rows in each."""
+    needed = lambda df: max(1, -(-df.groupBy(by).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0] // BLOCK_ROWS))
+    r_blocks, q_blocks = blocks or needed(rows), needed(queries)
+    of = lambda n, seed: F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    fine = lambda df: df.where((F.size(vector_col) > 0) & F.col(by).isNotNull() & F.forall(vector_col, lambda e: e.isNotNull())).select(F.col(id_col).cast("long").alias(id_col), F.col(by).alias("g"), F.size(vector_col).alias("size"), X.unit(F.col(vector_col)).alias("v"))
+    q = fine(queries).withColumn("qb", of(q_blocks, 1)).withColumn("rb", every(r_blocks)).withColumnRenamed(id_col, "id")
+    r = fine(rows).withColumn("rb", of(r_blocks, 2)).withColumn("qb", every(q_blocks)).withColumnRenamed(id_col, "other")
+
+    def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return _best_of(left, right) if len(left) and len(right) else pd.DataFrame({"id": [], "best": [], "score": []})
+
+    key = ["g", "size", "qb", "rb"]
+    pairs = q.groupBy(*key).cogroup(r.groupBy(*key)).applyInPandas(work, "id long, best long, score double")
+    return pairs.groupBy("id").agg(F.max(F.struct("score", (-F.col("best")).alias("o"))).alias("m")).select("id", (-F.col("m.o")).alias("best"), F.col("m.score").alias("score"))
 
 
 def ranked(hits: DataFrame, name: str) -> DataFrame:
