@@ -42,10 +42,10 @@ def contexts(rows: DataFrame, key: str = "canonical_id") -> DataFrame:
 def source_documents(entities: DataFrame, mentions: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """(id, documents): the distinct documents (name, id) that mention each asked entity (a column id), by name; an entity without any has an empty list.
 
-    mentions: canonical_id, chunk_id; chunks: id, document_id; documents: id, filename. Asked entities are few and go first, so that only their mentions meet the chunks."""
+    mentions: canonical_id, chunk_id; chunks: id, document_id; documents: id, filename. Asked entities are few and go first, so that only their mentions meet the chunks. Documents are made distinct once, in the set of their entity."""
     asked = entities.select("id").distinct()
-    found = mentions.select(F.col("canonical_id").alias("id"), "chunk_id").join(asked, "id", "left_semi").distinct()
-    placed = found.join(chunks.select(F.col("id").alias("chunk_id"), "document_id"), "chunk_id").select("id", "document_id").distinct()
+    found = mentions.select(F.col("canonical_id").alias("id"), "chunk_id").join(asked, "id", "left_semi")
+    placed = found.join(chunks.select(F.col("id").alias("chunk_id"), "document_id"), "chunk_id").select("id", "document_id")
     named = placed.join(documents.select(F.col("id").alias("document_id"), "filename"), "document_id")
     listed = named.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("filename", "document_id"))).alias("documents"))
     return asked.join(listed, "id", "left").select("id", F.coalesce("documents", F.array().cast(listed.schema["documents"].dataType)).alias("documents"))
