@@ -187,7 +187,7 @@ def asked_weights(spark: SparkSession, query: str, idf: DataFrame, stop: Sequenc
 
 
 def tfidf_search(docs: DataFrame, query: str, k: int, id_col: str = "doc_id", text_col: str = "text", stop: Sequence[str] = (), max_df: float = 0.95) -> DataFrame:
-    """search() of one request over 1- and 2-grams, without an index: terms are written once by document, and only those of the documents that have a term of the request are counted and joined; what was written is dropped. k rows come to the driver."""
+    """search() of one request over 1- and 2-grams, without an index: terms are written once by document, counted, and joined only for the documents that have a term of the request; what was written is dropped. k rows come to the driver."""
     if k <= 0:
         raise ValueError("k must be positive")
     spark = docs.sparkSession
@@ -199,14 +199,12 @@ def tfidf_search(docs: DataFrame, query: str, k: int, id_col: str = "doc_id", te
     weights = asked_weights(spark, query, document_frequencies(terms(some).where(F.col("term").isin(own)), n, max_df), stop, (1, 2), True)
     found: list = []
     if weights:
-        # documents that have a term of the request aren't few always, so nothing is collected; where they are, their terms are broadcast
-        wanted = staged(terms(some).select("term").distinct(), "search-wanted")
-        idf = document_frequencies(terms(held).select("term").join(wanted, "term", "left_semi"), n, max_df)
+        # counted once, in the job that joins it: the request's own weights are known from the documents found
+        idf = document_frequencies(terms(held), n, max_df)
         wq = F.coalesce(F.create_map(*[x for t, _, w in weights for x in (F.lit(t), F.lit(w))])[F.col("term")], F.lit(0.0))
         w = (1.0 + F.log("tf")) * F.col("idf")
         dots = terms(some).join(idf.select("term", "idf"), "term").groupBy("id").agg((F.sum(w * wq) / F.sqrt(F.sum(w * w))).alias("score"))
         found = dots.orderBy(F.desc(F.round("score", 10)), "id").limit(k).where("score > 0").collect()
-        drop_staged(wanted)
     out = spark.createDataFrame(found, f"id {docs.schema[id_col].dataType.simpleString()}, score double")
     drop_staged(held, some)
     return out
