@@ -27,6 +27,8 @@ GENERIC = "thing something anything everything nothing example way time part kin
 VOUCHING, STRONG = ("ORG", "PRODUCT", "FAC", "GPE"), ("ORG", "PRODUCT", "FAC")
 MOST_WORDS = 7
 API_NAME = r"(?:[\p{L}\p{N}_]+[ -]){0,3}[\p{L}\p{N}_]*(?i:API|SDK)\b|(?i:GET|POST|PUT|PATCH|DELETE)\s+/[A-Za-z0-9_/{}.-]+"
+#: What a text has if API_NAME matches in it, and only then.
+API_END = r"(?i:API|SDK)\b|(?i:GET|POST|PUT|PATCH|DELETE)\s+/[A-Za-z0-9_/{}.-]"
 PHRASE = r"(?:\p{Lu}[\p{L}\p{N}_-]*[ ]){1,5}(?i:MARKERS)\b"
 NAMED = r"\p{Lu}[\p{L}\p{N}_-]+(?:[ ]\p{Lu}[\p{L}\p{N}_-]+){1,4}"
 #: Words that set a name apart rather than describe it (fixed values).
@@ -53,13 +55,19 @@ def candidates(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "con
 
     A rule-based stand-in for a tagger: patterns over the whole text, a row for every place where one matches."""
     markers = "|".join(w for ws in MARKERS.values() for w in ws.split())
-    kinds = [("API", API_NAME, 1.00), ("STRUCTURAL", PHRASE.replace("MARKERS", markers), 0.98), ("NAMED", NAMED, 0.85)]
-    parts = []
-    for source, pattern, score in kinds:
-        found = chunks.where(F.col(text_col).rlike(pattern)).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.explode(places(F.col(text_col), pattern)).alias("p"))
-        name = X.clean_name(F.substring("t", F.col("p.start") + 1, F.col("p.end") - F.col("p.start")), EDGES)
-        parts.append(found.select("id", name.alias("name"), X.normalize_name(name).alias("normalized_name"), "p.start", "p.end", F.lit(score).alias("score"), F.lit(source).alias("source")))
-    out = parts[0].unionAll(parts[1]).unionAll(parts[2]).where(f"normalized_name != '' and size(split(normalized_name, ' ')) <= {MOST_WORDS}")
+    # with each pattern one that every text with a match has and that is found without going back over words
+    kinds = [("API", API_NAME, API_END, 1.00), ("STRUCTURAL", PHRASE.replace("MARKERS", markers), f"[ ](?i:{markers})\\b", 0.98), ("NAMED", NAMED, NAMED, 0.85)]
+    text = F.col(text_col)
+    none = F.array().cast("array<struct<start:int,end:int,score:double,source:string>>")
+
+    def found(source: str, pattern: str, sign: str, score: float) -> Column:
+        return F.when(text.rlike(sign), F.transform(places(text, pattern), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.lit(score).alias("score"), F.lit(source).alias("source")))).otherwise(none)
+
+    # outer: else Spark infers a filter that finds all places a second time
+    each = chunks.select(F.col(id_col).alias("id"), text.alias("t"), F.explode_outer(F.concat(*[found(*k) for k in kinds])).alias("p")).where("p is not null")
+    name = X.clean_name(F.substring("t", F.col("p.start") + 1, F.col("p.end") - F.col("p.start")), EDGES)
+    out = each.select("id", name.alias("name"), X.normalize_name(name).alias("normalized_name"), "p.start", "p.end", "p.score", "p.source")
+    out = out.where(f"normalized_name != '' and size(split(normalized_name, ' ')) <= {MOST_WORDS}")
     first = F.row_number().over(Window.partitionBy("id", "start", "end", "normalized_name").orderBy(F.desc("score")))
     return out.withColumn("_n", first).where("_n = 1").drop("_n")
 
