@@ -63,8 +63,7 @@ def candidates(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "con
     def found(source: str, pattern: str, sign: str, score: float) -> Column:
         return F.when(text.rlike(sign), F.transform(places(text, pattern), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.lit(score).alias("score"), F.lit(source).alias("source")))).otherwise(none)
 
-    # outer: else Spark infers a filter that finds all places a second time
-    each = chunks.select(F.col(id_col).alias("id"), text.alias("t"), F.explode_outer(F.concat(*[found(*k) for k in kinds])).alias("p")).where("p is not null")
+    each = chunks.select(F.col(id_col).alias("id"), text.alias("t"), F.explode(F.concat(*[found(*k) for k in kinds])).alias("p"))
     name = X.clean_name(F.substring("t", F.col("p.start") + 1, F.col("p.end") - F.col("p.start")), EDGES)
     out = each.select("id", name.alias("name"), X.normalize_name(name).alias("normalized_name"), "p.start", "p.end", "p.score", "p.source")
     out = out.where(f"normalized_name != '' and size(split(normalized_name, ' ')) <= {MOST_WORDS}")

@@ -108,8 +108,10 @@ def placed_mentions(pieces: DataFrame, mentions: DataFrame) -> DataFrame:
 def triggered(placed: DataFrame) -> DataFrame:
     """The nearest mention before and after each trigger, as edges; both within FARTHEST characters."""
     each = []
+    none = F.array().cast("array<struct<start:int,end:int,kind:string,confidence:double>>")
     for pattern, kind, confidence in TRIGGERS:
-        each.append(F.transform(places(F.col("text"), f"(?i){pattern}"), _trigger(kind, confidence)))
+        found = F.transform(places(F.col("text"), f"(?i){pattern}"), _trigger(kind, confidence))
+        each.append(F.when(F.col("text").rlike(f"(?i){pattern}"), found).otherwise(none))
     some = "|".join(p for p, _, _ in TRIGGERS)  # a text without any is read once
     rows = placed.where((F.size("spans") >= 2) & F.col("text").rlike(f"(?i){some}")).select("chunk_id", "text", "spans", F.explode(F.concat(*each)).alias("t"))
     before = F.array_max(F.transform(F.filter("spans", lambda m: m["end"] <= F.col("t.start")), lambda m: F.struct(m["end"].alias("end"), m["entity"].alias("entity"))))

@@ -18,6 +18,8 @@ SCHEMA = {
     "edges": Table("source string, target string, relationship_type string, confidence double", ("source", "target", "relationship_type"), "source"),
 }
 EDGE = ["source", "target", "relationship_type"]
+#: Documents that one task derives from at most where their texts are short: by bytes alone a few megabytes of them are one task.
+DOCUMENTS_A_FILE = 10_000
 
 
 def tables(spark: SparkSession, root: str, buckets: int = 64) -> Tables:
@@ -65,7 +67,7 @@ def update(base: Tables, documents: DataFrame | None = None, gone: DataFrame | N
 
 
 def _apply(change: Change, documents: DataFrame | None, gone: DataFrame | None) -> None:
-    fresh = None if documents is None else change._hold(documents.select("id", "organization_id", "filename", "text"), "documents")
+    fresh = None if documents is None else change._hold(documents.select("id", "organization_id", "filename", "text"), "documents", DOCUMENTS_A_FILE)
     ids = [x.select("id") for x in (fresh, gone) if x is not None]
     if not ids:
         return

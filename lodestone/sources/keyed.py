@@ -77,8 +77,8 @@ class Change:
     def _touch(self, name: str, rows: DataFrame) -> None:
         self.touched[name] |= {r["b"] for r in rows.select(self._bucket(name).alias("b")).distinct().collect()}  # a number for each bucket at most
 
-    def _hold(self, rows: DataFrame, name: str) -> DataFrame:
-        self.scratch.append(staged(rows, f"keyed-{name}"))
+    def _hold(self, rows: DataFrame, name: str, rows_a_file: int = 0) -> DataFrame:
+        self.scratch.append(staged(rows, f"keyed-{name}", rows_a_file))
         return self.scratch[-1]
 
     def delete(self, name: str, values: DataFrame) -> DataFrame:
