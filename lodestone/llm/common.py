@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -60,6 +61,12 @@ def drop_staged(*frames: DataFrame) -> None:
             drop_path(df.sparkSession, folder)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, so that Spark drops the shuffle files and broadcasts of jobs that are done; else they stay until it happens to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds what a Python worker holds of very long texts at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

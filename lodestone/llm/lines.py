@@ -161,9 +161,11 @@ def _long_edited(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     shared = each.withColumns({"_before": F.lag("h1").over(along), "_after": F.lead("h1").over(along)}).where("_before is not null or _after is not null")
     shared = C.staged(shared.select("h1", "print"), "line-prints")
     asked = distinct.where("prints is not null").join(shared.select("h1").distinct(), "h1", "left_semi").select("h1", "h2", "place.*")
+    C.let_go(docs.sparkSession)
     words = F.col("words")
     lines = _with_words(docs, asked).select("h1", "h2", F.struct("doc", "rev", "line").alias("place"), F.size(words).alias("n"), parities(words).alias("odd"), F.array_join(words, " ").alias("raw"))
     lines = C.staged(lines, "line-long")
+    C.let_go(docs.sparkSession)
     rows = C.staged(shared.join(lines.select("h1", "h2", "place", "n", "odd"), "h1"), "line-printed")
     longer = F.greatest("n", "b.n")
     most = F.floor(longer / WORDS_AN_EDIT).cast("int")
@@ -176,24 +178,31 @@ def _long_edited(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 
     other = F.struct("place", "n", "odd")
     first = _verified(lines, pairs(rows, rows.groupBy("print").agg(F.min(other).alias("b"))))
+    C.let_go(docs.sparkSession)
     rest = _verified(lines, pairs(rows.join(first, ["h1", "h2"], "left_anti"), rows.select("print", other.alias("b"))))
     C.drop_staged(shared, lines, rows)
+    C.let_go(docs.sparkSession)
     return first.unionAll(rest)
 
 
 def dropped_lines(docs: DataFrame, short_repeats: bool = False) -> DataFrame:
     """(doc, rev, line) of every line that goes, written down. docs: doc, rev (hash of the text), text without nulls."""
-    seen = C.staged(_occurrences(docs, 1 if short_repeats else LEAST_WORDS), "line-seen")
+    full = C.staged(_occurrences(docs, 1 if short_repeats else LEAST_WORDS), "line-full")
     place = F.struct("doc", "rev", "line")
-    distinct = C.staged(seen.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("n"), F.first("keys").alias("keys"), F.first("prints").alias("prints")), "line-distinct")
+    distinct = C.staged(full.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("n"), F.first("keys").alias("keys"), F.first("prints").alias("prints")), "line-distinct")
+    seen = C.staged(full.drop("keys", "prints"), "line-seen")  # most of the bytes aren't asked for again
+    C.drop_staged(full)
+    C.let_go(docs.sparkSession)
     # lines that share no half with another one have no neighbour
     halves = distinct.select("h1", F.explode("keys").alias("half"))
     shared = halves.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo != hi").select("half")
     sides = halves.join(shared, "half", "left_semi").select("h1").distinct()
     near = C.staged(distinct.select("h1", "h2", "place.*").join(sides, "h1", "left_semi"), "line-near")
     found = C.staged(_with_words(docs, near).select("h1", "h2", place.alias("place"), "words"), "line-words")
+    C.let_go(docs.sparkSession)
     hashed = found.select("h1", "place", F.size("words").alias("n"), running_hashes(F.col("words")).alias("front"), running_hashes(F.reverse("words")).alias("back"))  # back[k]: of the last k words
     hashed = C.staged(hashed.join(_quarters(hashed), "h1"), "line-hashed")
+    C.let_go(docs.sparkSession)
     slim = _variants(hashed)
     least = lambda role: F.min(F.when(F.col("role") != role, F.col("place")))
     firsts = slim.groupBy("key").agg(least("d").alias("whole"), least("w").alias("longer"), F.count("*").alias("c")).where("c > 1 and whole is not null and longer is not null").drop("c")
@@ -205,6 +214,7 @@ def dropped_lines(docs: DataFrame, short_repeats: bool = False) -> DataFrame:
     same = F.when(F.col("role") == "s", (F.size(mine) == F.size(other)) & (_without(mine, at) == _without(other, at))).when(F.col("role") == "w", mine == _without(other, at)).otherwise(_without(mine, at) == other)
     short = C.staged(both.where(same).select("h1", "h2").distinct(), "line-edited")
     C.drop_staged(near, found, hashed)
+    C.let_go(docs.sparkSession)
     long = _long_edited(docs, distinct)
     edited = short.unionAll(long).distinct().withColumn("edited", F.lit(True))
     table = distinct.select("h1", "h2", "place", "n").join(edited, ["h1", "h2"], "left").select(F.struct("h1", "h2").alias("hash"), "n", F.col("place").alias("first"), F.coalesce("edited", F.lit(False)).alias("edited"))
@@ -214,6 +224,7 @@ def dropped_lines(docs: DataFrame, short_repeats: bool = False) -> DataFrame:
     told = C.lookup(rows, table, "hash", ["first", "edited"], "n", F.struct("doc", "rev", "line"))
     gone = C.staged(told.where(F.col("edited") | (F.col("first").isNotNull() & ~place.eqNullSafe(F.col("first")))).select("doc", "rev", "line"), "line-dropped")
     C.drop_staged(seen, distinct, short, long, table)
+    C.let_go(docs.sparkSession)
     return gone
 
 
@@ -240,6 +251,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short
     gone = dropped.groupBy(F.col("doc").alias("_doc"), F.col("rev").alias("_rev")).agg(F.array_sort(F.collect_set("line")).alias("gone"))
     gone = C.staged(gone, "line-gone")
     C.drop_staged(dropped)
+    C.let_go(docs.sparkSession)
     told = C.marked(keyed, gone.select(F.col("_doc").alias("doc"), F.col("_rev").alias("rev")), ["doc", "rev"])
     some = told.where("_maybe").join(gone, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("rev") == F.col("_rev")), "left").select("row", "gone")
     out = some.unionAll(told.where("not _maybe").select("row", F.lit(None).cast("array<int>").alias("gone")))  # nothing of these goes: they aren't shuffled

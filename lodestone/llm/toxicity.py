@@ -6,7 +6,7 @@ import itertools
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -75,7 +75,7 @@ class Machine:
         out[at] += np.add.reduceat(self.w[ids], starts) * x[at] + 0.5 * pairs * x[at] ** 2
         return out
 
-    def fit(self, examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, shrink: float = SHRINK, seed: int = SEED, least_rows: int = LEAST_ROWS) -> None:
+    def fit(self, examples: Sequence[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, shrink: float = SHRINK, seed: int = SEED, least_rows: int = LEAST_ROWS) -> None:
         """AdaGrad on the log loss, a document at a time by the window that now scores highest; the rarer label weighs more. Terms of fewer than least_rows documents stay at zero."""
         rng = np.random.default_rng(seed)
         of_docs = np.zeros(len(self.w), np.int32)
@@ -112,6 +112,20 @@ class Machine:
                 self.bias -= rate * g / math.sqrt(gb)
 
 
+class Examples:
+    """(bucket, window) of the terms of documents, made from the terms that each window has when they are asked for."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.rows = rows
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes = self.rows[k]
+        return ids, np.repeat(np.arange(len(sizes)), sizes)
+
+
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, buckets: int = BUCKETS, epochs: int = EPOCHS) -> Machine:
     """Learns from the labelled documents whose crc32(doc_id as text) mod 5 isn't 0, at most most_rows of them by the smallest
     hashes of their ids; these bounded rows are all that the driver holds of the corpus. Null labels or texts are left out;
@@ -124,20 +138,29 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, bucket
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [terms.windows(t) for t in batch.column(2).to_pylist()]
-            lists = [pa.array([x[i].astype(np.int32) for x in got], pa.list_(pa.int32())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "toxic", "ids", "windows"])
+            ids = pa.array([x[0].astype(np.int32) for x in got], pa.list_(pa.int32()))
+            sizes = pa.array([np.bincount(x[1]).astype(np.int32) for x in got], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids, sizes], names=["doc_id", "toxic", "ids", "sizes"])
 
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(chosen, "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
-    found = rows.mapInArrow(hashed, "doc_id long, toxic int, ids array<int>, windows array<int>").toArrow()
+    machine = _taught(rows.mapInArrow(hashed, "doc_id long, toxic int, ids array<int>, sizes array<int>"), buckets, epochs)
+    pa.default_memory_pool().release_unused()
+    C.let_go(docs.sparkSession)
+    return machine
+
+
+def _taught(rows: DataFrame, buckets: int, epochs: int) -> Machine:
+    """A machine that has learnt from rows (doc_id, toxic, ids, sizes)."""
+    found = rows.toArrow()
     machine = Machine(buckets)
     y = found.column("toxic").to_numpy()
     if len(y) and 0 < y.mean() < 1:
         order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
         examples = []  # views of the table's memory, not copies
-        for ids, windows in zip(found.column("ids").chunks, found.column("windows").chunks, strict=True):
-            a, b = ids.values.to_numpy(), windows.values.to_numpy()
-            examples += [(a[i:j], b[i:j]) for i, j in itertools.pairwise(ids.offsets.to_numpy())]
-        machine.fit([examples[i] for i in order], y[order], epochs)
+        for ids, sizes in zip(found.column("ids").chunks, found.column("sizes").chunks, strict=True):
+            a, b = ids.values.to_numpy(), sizes.values.to_numpy()
+            examples += [(a[i:j], b[k:m]) for (i, j), (k, m) in zip(itertools.pairwise(ids.offsets.to_numpy()), itertools.pairwise(sizes.offsets.to_numpy()), strict=True)]
+        machine.fit(Examples([examples[i] for i in order]), y[order], epochs)
     else:
         machine.bias = 30.0 if len(y) and y.mean() == 1 else -30.0
         machine.v[:] = 0
