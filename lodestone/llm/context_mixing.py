@@ -18,7 +18,6 @@ from dataclasses import dataclass, field
 from itertools import chain, repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,15 +35,24 @@ CHUNK, HELD, HELD_BYTES, RUN = 1 << 14, 500_000, 1 << 28, 1 << 16
 GROUP, LANES, FIRST, BLOCK = 1 << 16, 1000, 64, 1 << 13
 #: Tokens whose bits are worked on at once: their arrays stay in a core's cache.
 SLICE = 1024
+#: Bytes of words that are counted and learnt from together.
+TAUGHT = 1 << 11
 #: How fast weights follow: steps are sums of slopes over the number of bits (times a constant) and this many.
 STEADY, STEADY_TEXT, CURVE = 2000.0, 400.0, 0.5
 #: Stages of a path, bins of the refinement, counters' start.
 STAGES, BINS, START = 8, 24, 0.4
 GATES = STAGES * 16
 ALL = np.ones(1, bool)
+#: Of the sums of tables the part that has weights, which are added as whole multiples of 1 / FINE, so that their order doesn't matter.
+STATE, FINE = -1, 1 << 20
 ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
+def taken(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """values[at]; all places are inside, so that nothing is looked through for some that aren't."""
+    return values.take(at, mode="clip")
+
+
 class Mixer:
     """Weights by lane and gate, and a correction by lane, stage and bin of the mixed prediction; slopes are what the next step learns from."""
 
@@ -59,18 +67,18 @@ class Mixer:
     def code(self, inputs: list[np.ndarray], gate: np.ndarray, stage: np.ndarray, lane: np.ndarray, sign: np.ndarray, learn: np.ndarray | None) -> np.ndarray:
         """The cost of each bit (sign: 1 or -1); keeps the slopes of those whose lanes learn says."""
         at = lane * self.gates + gate
-        x = self.w[0].take(at) * inputs[0]
+        x = taken(self.w[0], at) * inputs[0]
         for w, own in zip(self.w[1:], inputs[1:], strict=True):
-            x += w.take(at) * own
+            x += taken(w, at) * own
         cell = np.clip(x * 2 + BINS / 2, 0, BINS - 1).astype(np.int64) + stage * BINS + lane * self.per_lane
-        x += self.r.take(cell)
+        x += taken(self.r, cell)
         x *= sign
         e = np.exp(-np.clip(x, -30, 30))
         if learn is not None:
             off = e / (1 + e) * sign
             if not learn.all():
-                on = np.flatnonzero(learn[lane])
-                at, cell, off, inputs = at[on], cell[on], off[on], [v[on] for v in inputs]
+                on = np.flatnonzero(taken(learn, lane))
+                at, cell, off, inputs = taken(at, on), taken(cell, on), taken(off, on), [taken(v, on) for v in inputs]
             for slope, own in zip(self.slopes, inputs, strict=False):
                 np.add.at(slope, at, off * own)
             np.add.at(self.slopes[-1], cell, off)
@@ -111,21 +119,9 @@ class Counters:
 
     def read(self, slots: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """(logits, seen) by order."""
-        got = [self.packed[k].take(s) for k, s in enumerate(slots)]
+        got = [taken(self.packed[k], s) for k, s in enumerate(slots)]
         return [(v >> 2) * np.float32(1 / 64) for v in got], [(v & 3).astype(np.int64) for v in got]
 
-    def read_without(self, slots: list[np.ndarray], bit: np.ndarray, own: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """read() of counts less those of the bits' own texts (own: the text's number)."""
-        logits, seen = [], []
-        for k, s in enumerate(slots):
-            inverse, _ = pd.factorize(own.astype(np.int64) * self.size + s)
-            ones = np.bincount(inverse, bit)[inverse]
-            zero = np.maximum(0, self.counts[k, 0][s] - (np.bincount(inverse)[inverse] - ones)).astype(np.float32)
-            one = np.maximum(0, self.counts[k, 1][s] - ones).astype(np.float32)
-            logits.append(self.logit(zero, one))
-            seen.append(self.seen(zero + one))
-        return logits, seen
-
 
 def signs(bit: np.ndarray) -> np.ndarray:
     """1 for a bit that is set, else -1."""
@@ -321,9 +317,9 @@ class Model:
             for c in range(a, b, SLICE):
                 own = slice(c, min(b, c + SLICE))
                 t, path = self.code.bits(symbols[own])
-                logits, seen = self.words.read(slots([h[own].take(t) for h in of], self.code.node.take(path), self.words.size))
-                stage, of_bit = self.code.stage.take(path), lane[own].take(t)
-                cost = mixer.code([self.code.logit.take(path), *logits], self.gate(stage, seen), stage, of_bit, self.code.sign.take(path), more if more.any() else None)
+                logits, seen = self.words.read(slots([taken(h[own], t) for h in of], taken(self.code.node, path), self.words.size))
+                stage, of_bit = taken(self.code.stage, path), taken(lane[own], t)
+                cost = mixer.code([taken(self.code.logit, path), *logits], self.gate(stage, seen), stage, of_bit, taken(self.code.sign, path), more if more.any() else None)
                 bits += np.bincount(of_bit, cost, len(bits))
             if more.any():
                 mixer.step()
@@ -386,17 +382,17 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 def _summed(parts: DataFrame) -> DataFrame:
-    """(part, counts) with the counts of equal parts added, one after another in a sorted partition, so that a part's rows are never held together."""
+    """(part, counts) with the counts of equal parts (STATE: of weights) added, one after another in a sorted partition, so that a part's rows are never held together."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total = None, None
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.astype("<f4").tobytes()])], names=["part", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.astype("<i8" if now == STATE else "<f4").tobytes()])], names=["part", "counts"])
 
         for batch in batches:
             for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                values = np.frombuffer(counts.as_py(), "<u4")
+                values = np.frombuffer(counts.as_py(), "<i8" if part == STATE else "<u4")
                 if part != now:
                     if now is not None:
                         yield done()
@@ -409,55 +405,61 @@ def _summed(parts: DataFrame) -> DataFrame:
     return parts.repartition("part").sortWithinPartitions("part").mapInArrow(work, "part int, counts binary")
 
 
-def gather(rows: DataFrame, orders: int, size: int, events: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[list[np.ndarray], np.ndarray]]]) -> Counters:
-    """Counters over all rows: events gives (slots by order, bits) of runs of a task's rows. Each task adds up a table of its own; tables are summed chunk by chunk."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(orders * 2 * size, np.uint32)
-        for places, bit in events(batches):
-            for k, s in enumerate(places):
-                np.add.at(table[2 * k * size : 2 * (k + 1) * size], s + bit * size, np.uint32(1))
-        for part, a in enumerate(range(0, len(table), CHUNK)):
-            own = table[a : a + CHUNK]
-            if own.any():
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([own.astype("<u4").tobytes()])], names=["part", "counts"])
-
-    table = np.zeros(orders * 2 * size, np.float32)
-    for r in _summed(rows.mapInArrow(work, "part int, counts binary")).toLocalIterator():
-        own = np.frombuffer(r["counts"], "<f4")
-        table[r["part"] * CHUNK : r["part"] * CHUNK + len(own)] = own
-    return Counters(size, table.reshape(orders, 2, size))
-
+def gather(rows: DataFrame, orders: int, size: int, weights: np.ndarray, refined: np.ndarray, events: Callable) -> tuple[Counters, np.ndarray, np.ndarray]:
+    """Counters over all rows, and weights and refinement that all rows have taught.
 
-def _learnt(rows: DataFrame, weights: np.ndarray, refined: np.ndarray, events: Callable) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and refinement after one pass over each task's rows, averaged by the bits of the tasks; as given without rows."""
+    events gives runs of a task's rows: slices of (slots by order, bits, further inputs, gate by what was seen, stage), of whole texts
+    or words. Each task adds up a table of its own. A run's bits are predicted from what the task has counted before it, so from
+    nothing of their own texts, and teach the weights; then they are counted. Tables are summed chunk by chunk, weights averaged by
+    the bits of the tasks; they are as given without rows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(orders * 2 * size, np.uint32)  # a slot's zeros and ones side by side
+        each = [table[2 * k * size : 2 * (k + 1) * size] for k in range(orders)]
+        both = [x.view(np.uint64) for x in each]
         mixer, n = Mixer(weights, refined), 0
-        for inputs, gate, stage, sign in events(batches):
-            for a in range(0, len(sign), 1 << 14):
-                s = slice(a, a + (1 << 14))
-                mixer.code([v[s] for v in inputs], gate[s], stage[s], np.zeros(len(sign[s]), np.int64), sign[s], ALL)
+        for run in events(batches):
+            held = []
+            for places, bit, inputs, gate, stage in run:
+                logits, seen = [], []
+                for x, s in zip(both, places, strict=True):
+                    zero, one = taken(x, s).view(np.uint32).reshape(-1, 2).T.astype(np.float32)
+                    logits.append(Counters.logit(zero, one))
+                    seen.append(Counters.seen(zero + one).astype(np.int64))
+                mixer.code([*inputs, *logits], gate(seen), stage, np.zeros(len(bit), np.int64), signs(bit), ALL)
                 mixer.step()
-            n += len(sign)
+                n += len(bit)
+                held.append([(2 * s + bit).astype(np.uint32) for s in places])
+            for places in held:
+                for x, s in zip(each, places, strict=True):
+                    np.add.at(x, s.astype(np.int64), np.uint32(1))
+        row = lambda part, raw: pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([raw])], names=["part", "counts"])
+        for part, a in enumerate(range(0, len(table), CHUNK)):
+            own = table[a : a + CHUNK]
+            if own.any():
+                yield row(part, own.astype("<u4").tobytes())
         if n:
-            raw = np.concatenate([np.stack(mixer.w, 1).ravel(), mixer.r]).astype("<f8").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([raw])], names=["n", "state"])
+            state = np.concatenate([np.stack(mixer.w, 1).ravel(), mixer.r]).astype(np.float64)
+            yield row(STATE, np.append(np.rint(state * FINE).astype(np.int64) * n, n).astype("<i8").tobytes())
 
-    total, state = 0, np.zeros(weights.size + refined.size)
-    for r in rows.mapInArrow(work, "n long, state binary").toLocalIterator():
-        total += r["n"]
-        state += r["n"] * np.frombuffer(r["state"], "<f8")
-    if not total:
-        return weights, refined
-    state /= total
-    return state[: weights.size].reshape(weights.shape), state[weights.size :].reshape(refined.shape)
+    table = np.zeros(orders * 2 * size, np.float32)
+    summed = C.staged(_summed(rows.mapInArrow(work, "part int, counts binary")), "lm-counts")  # all parts at once; below, one after another
+    for r in summed.toLocalIterator():
+        if r["part"] == STATE:
+            state = np.frombuffer(r["counts"], "<i8")
+            state = state[:-1] / (FINE * state[-1])
+            weights, refined = state[: weights.size].reshape(weights.shape), state[weights.size :].reshape(refined.shape)
+        else:
+            own = np.frombuffer(r["counts"], "<f4")
+            table[r["part"] * CHUNK : r["part"] * CHUNK + len(own)] = own
+    C.drop_staged(summed)
+    return Counters(size, np.ascontiguousarray(table.reshape(orders, size, 2).transpose(0, 2, 1))), weights, refined
 
 
 def train(texts: DataFrame, words: DataFrame) -> Model:
     """Learns from texts (a binary column `text`); words: count_words() of them, staged.
 
-    Counters and word counts are gathered from all texts, and every text teaches the first weights, without its own counts. The
+    Counters and word counts are gathered from all texts, and every text and word teaches the first weights, before it is counted. The
     driver holds SENT words and tables of 2 ** MOST_BITS counters at most, whatever the corpus."""
     spark = texts.sparkSession
     known = words.where("word IS NOT NULL")
@@ -481,45 +483,38 @@ def train(texts: DataFrame, words: DataFrame) -> Model:
     model = Model({w: i for i, (w, _) in enumerate(top)}, np.array([n for _, n in top], np.int64), coded, code, blank, blank, tokens, kinds + (n_texts > 0), n_texts, rare, new)
     sent = spark.sparkContext.broadcast(model)
 
-    def coded_bits(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple]:
+    def word_events(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[tuple]]:
         own = sent.value
-        for group in grouped(_texts(batches)):
-            symbols, lengths = own.symbols(own.ranks(group, own.paths), np.array([len(g) for g in group], np.int64))
-            of = hashes(symbols, np.cumsum(lengths) - lengths)
-            text = np.repeat(np.arange(len(lengths)), lengths)
-            for a in range(0, len(symbols), most):
-                t, path = own.code.bits(symbols[a : a + most])
-                yield text[a : a + most].take(t), slots([h[a : a + most].take(t) for h in of], own.code.node.take(path), size), path
 
-    def word_events(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for _, places, path in coded_bits(batches, SLICE):
-            yield places, sent.value.code.sign.take(path) > 0
+        def cut(symbols: np.ndarray, of: list[np.ndarray]) -> Iterator[tuple]:
+            for a in range(0, len(symbols), SLICE):
+                t, path = own.code.bits(symbols[a : a + SLICE])
+                stage = taken(own.code.stage, path)
+                places = slots([taken(h[a : a + SLICE], t) for h in of], taken(own.code.node, path), size)
+                yield places, taken(own.code.sign, path) > 0, [taken(own.code.logit, path)], functools.partial(own.gate, stage), stage
 
-    def byte_events(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for _, of, node, bit in chain.from_iterable(byte_runs(b.column(0).to_pylist()) for b in batches):
-            yield slots(of, node, 1 << BYTE_BITS), bit
-
-    counted = gather(texts.select("text"), 2, size, word_events)
-    spelt = gather(known.select("word"), 4, 1 << BYTE_BITS, byte_events)
-    raw = spark.sparkContext.broadcast((counted, spelt))
+        for group in grouped(_texts(batches)):
+            symbols, lengths = own.symbols(own.ranks(group, own.paths), np.array([len(g) for g in group], np.int64))
+            ends = np.cumsum(lengths)
+            of = hashes(symbols, ends - lengths)
+            # whole texts, of SLICE symbols together at most, or one
+            at, first = 0, 0
+            while first < len(ends):
+                first = max(first + 1, int(np.searchsorted(ends, at + SLICE, side="right")))
+                yield cut(symbols[at : ends[first - 1]], [h[at : ends[first - 1]] for h in of])
+                at = int(ends[first - 1])
+
+    def byte_events(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[tuple]]:
+        def one(of: list[np.ndarray], node: np.ndarray, bit: np.ndarray) -> tuple:
+            return slots(of, node, 1 << BYTE_BITS), bit, [], lambda seen: byte_gate(len(bit), seen)[0], np.tile(np.arange(8), len(bit) // 8)
 
-    def word_inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        own = sent.value
-        for text, places, path in coded_bits(batches, 1 << 30):  # whole texts, for their own counts
-            bit, stage = own.code.sign[path] > 0, own.code.stage[path]
-            logits, seen = raw.value[0].read_without(places, bit, text)
-            yield [own.code.logit[path], *logits], own.gate(stage, seen), stage, own.code.sign[path]
-
-    def byte_inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for word, of, node, bit in chain.from_iterable(byte_runs(b.column(0).to_pylist()) for b in batches):
-            logits, seen = raw.value[1].read_without(slots(of, node, 1 << BYTE_BITS), bit, word)
-            gate, stage = byte_gate(len(bit), seen)
-            yield logits, gate, stage, signs(bit)
+        for batch in batches:
+            for part in _by_size(batch.column(0).to_pylist(), TAUGHT):
+                yield (one(of, node, bit) for _, of, node, bit in byte_runs(part))
 
-    model.weights, model.refined = _learnt(texts.select("text"), model.weights, model.refined, word_inputs)
-    model.byte_weights, model.byte_refined = _learnt(known.select("word"), model.byte_weights, model.byte_refined, byte_inputs)
+    counted, model.weights, model.refined = gather(texts.select("text"), 2, size, model.weights, model.refined, word_events)
+    spelt, model.byte_weights, model.byte_refined = gather(known.select("word"), 4, 1 << BYTE_BITS, model.byte_weights, model.byte_refined, byte_events)
     model.words, model.spelt = counted.pack(), spelt.pack()
-    raw.destroy()
     sent.destroy()
     return model
 

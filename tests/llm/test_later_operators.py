@@ -256,3 +256,32 @@ def test_every_training_text_teaches_the_first_weights(spark):
     words = context_mixing.C.staged(context_mixing.count_words(texts), "lm-every").where(F.pmod(F.xxhash64("word"), F.lit(32)) != 0)
     m = context_mixing.train(texts, words)
     assert (m.weights != 0.35).any() and (m.byte_weights != 0.3).any()
+
+
+def test_learning_runs_over_all_tasks_at_once(spark):
+    """No job for each part of the texts: these would run one after another."""
+    F, context = context_mixing.F, spark.sparkContext
+    texts = spark.range(60).select(F.concat(F.lit("the cat sat on mat "), F.col("id").cast("string")).cast("binary").alias("text")).repartition(40)
+    words = context_mixing.C.staged(context_mixing.count_words(texts), "lm-tasks")
+    context.setJobGroup("lm-tasks", "learning")
+    try:
+        context_mixing.train(texts, words)
+        assert len(context.statusTracker().getJobIdsForGroup("lm-tasks")) < 40
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_texts_are_predicted_before_they_are_counted(spark):
+    """The first text of a task teaches from nothing that it says itself; counts are of all."""
+    rows = spark.createDataFrame([(bytearray(b"x"),)] * 3, "text binary").coalesce(1)
+
+    def events(batches):
+        stage = np.zeros(2, np.int64)
+        for batch in batches:
+            for _ in range(batch.num_rows):
+                yield iter([([np.array([5, 5])], np.array([True, True]), [], lambda s: s[0], stage)])
+
+    counters, weights, _ = context_mixing.gather(rows, 1, 16, np.full((4, 1), 0.5), np.zeros((1, context_mixing.BINS)), events)
+    assert counters.counts[0, 1, 5] == 6 and counters.counts.sum() == 6
+    # before them the slot had 0, 2 and 4 ones: gate 1 (1 or 2) and gate 2 (3 to 15) learn, gate 0 has a logit of zero
+    assert weights[0, 0] == 0.5 and weights[1, 0] > 0.5 and weights[2, 0] > 0.5 and weights[3, 0] == 0.5
