@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,8 @@ PARTNER = LONG - LONG // WORDS_AN_EDIT
 #: Words in a gram and grams in a window, whose least hash is a fingerprint. k = n // 20 edits part a line's n - k or more
 #: unedited words into k + 1 runs, so that one has 13 words or more: the GRAM + WINDOW - 1 words of a whole window.
 GRAM, WINDOW = 5, 9
+#: Shares of the lines, and of their fingerprints, that are shuffled one after another.
+TURNS = 2
 #: Words whose running hashes are chained in one go.
 CHAIN = 512
 #: Signs that stand for words where lines are verified: SIGNS characters beyond the first plane, by two hashes.
@@ -117,12 +120,13 @@ def _without(words: Column, at: Column) -> Column:
 
 
 def _with_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (doc, rev, line, ...) with the words of each line."""
-    rest = [c for c in wanted.columns if c not in ("doc", "rev")]
-    of_doc = wanted.groupBy(F.col("doc").alias("_doc"), F.col("rev").alias("_rev")).agg(F.collect_list(F.struct(*rest)).alias("wanted"))  # one entry a line of the document
-    texts = C.marked(docs, wanted, ["doc", "rev"]).where("_maybe").join(of_doc, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("rev") == F.col("_rev"))).select("doc", "rev", "wanted", F.split(normal(F.col("text")), "\n").alias("lines"))
-    entry = lambda x: F.struct(x.alias("x"), F.split(F.col("lines")[x["line"]], " ").alias("words"))
-    return texts.select("doc", "rev", F.explode(F.transform("wanted", entry)).alias("y")).select("doc", "rev", *[F.col(f"y.x.{c}") for c in rest], "y.words")
+    """wanted (doc, rev, line, ...) with the words of each line. Texts are parted where they are read, and only lines that a bitmap lets by are shuffled, not texts."""
+    rest = [c for c in wanted.columns if c not in ("doc", "rev", "line")]
+    lines = docs.select("doc", "rev", F.posexplode(F.split(normal(F.col("text")), "\n")).alias("line", "raw")).where("raw != ''")
+    asked = wanted.select(F.col("doc").alias("_doc"), F.col("rev").alias("_rev"), F.col("line").alias("_line"), *rest)
+    same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("rev") == F.col("_rev")) & (F.col("line") == F.col("_line"))
+    found = C.marked(lines, wanted, ["doc", "rev", "line"]).where("_maybe").join(asked, same)
+    return found.select("doc", "rev", "line", *rest, F.split("raw", " ").alias("words"))
 
 
 def signs(words: Column, seed: int) -> Column:
@@ -151,17 +155,33 @@ def _verified(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     return out
 
 
-def _long_edited(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+def _in_turns(work: Callable[[Column], DataFrame], by: str, name: str) -> DataFrame:
+    """work() for each of TURNS shares of the rows, as a condition on the hash by, all written down: of shuffle files only one share's are there at a time."""
+    parts = []
+    for turn in range(TURNS):
+        parts.append(C.staged(work(F.pmod(by, F.lit(TURNS)) == turn), name))
+        C.let_go(parts[-1].sparkSession)
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _shared_prints(distinct: DataFrame) -> DataFrame:
+    """(h1, print) of the fingerprints that two lines or more have, written down."""
+    each = distinct.where("prints is not null").select("h1", F.explode("prints").alias("print"))
+    along = Window.partitionBy("print").orderBy("h1")
+
+    def shared(own: Column) -> DataFrame:
+        beside = each.where(own).withColumns({"_before": F.lag("h1").over(along), "_after": F.lead("h1").over(along)})
+        return beside.where("_before is not null or _after is not null").select("h1", "print")
+
+    return _in_turns(shared, "print", "line-prints")
+
+
+def _long_edited(docs: DataFrame, distinct: DataFrame, shared: DataFrame) -> DataFrame:
     """(h1, h2) of the lines that are within n // WORDS_AN_EDIT edits of an earlier one, n (LONG or more) the words of the longer of both.
 
     Close lines share a fingerprint. Each line is verified against the earliest of each of its fingerprints, and only lines
     that none of these settles against all earlier ones that share a fingerprint and whose length and parities allow it."""
-    each = distinct.where("prints is not null").select("h1", F.explode("prints").alias("print"))
-    along = Window.partitionBy("print").orderBy("h1")
-    shared = each.withColumns({"_before": F.lag("h1").over(along), "_after": F.lead("h1").over(along)}).where("_before is not null or _after is not null")
-    shared = C.staged(shared.select("h1", "print"), "line-prints")
-    asked = distinct.where("prints is not null").join(shared.select("h1").distinct(), "h1", "left_semi").select("h1", "h2", "place.*")
-    C.let_go(docs.sparkSession)
+    asked = distinct.where("printed").join(shared.select("h1").distinct(), "h1", "left_semi").select("h1", "h2", "place.*")
     words = F.col("words")
     lines = _with_words(docs, asked).select("h1", "h2", F.struct("doc", "rev", "line").alias("place"), F.size(words).alias("n"), parities(words).alias("odd"), F.array_join(words, " ").alias("raw"))
     lines = C.staged(lines, "line-long")
@@ -189,15 +209,20 @@ def dropped_lines(docs: DataFrame, short_repeats: bool = False) -> DataFrame:
     """(doc, rev, line) of every line that goes, written down. docs: doc, rev (hash of the text), text without nulls."""
     full = C.staged(_occurrences(docs, 1 if short_repeats else LEAST_WORDS), "line-full")
     place = F.struct("doc", "rev", "line")
-    distinct = C.staged(full.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("n"), F.first("keys").alias("keys"), F.first("prints").alias("prints")), "line-distinct")
+    once = [F.min(place).alias("place"), F.count("*").alias("n"), F.first("keys").alias("keys"), F.first("prints").alias("prints")]
+    whole = _in_turns(lambda own: full.where(own).groupBy("h1", "h2").agg(*once), "h1", "line-distinct")
     seen = C.staged(full.drop("keys", "prints"), "line-seen")  # most of the bytes aren't asked for again
     C.drop_staged(full)
     C.let_go(docs.sparkSession)
     # lines that share no half with another one have no neighbour
-    halves = distinct.select("h1", F.explode("keys").alias("half"))
+    halves = whole.select("h1", F.explode("keys").alias("half"))
     shared = halves.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo != hi").select("half")
     sides = halves.join(shared, "half", "left_semi").select("h1").distinct()
-    near = C.staged(distinct.select("h1", "h2", "place.*").join(sides, "h1", "left_semi"), "line-near")
+    near = C.staged(whole.select("h1", "h2", "place.*").join(sides, "h1", "left_semi"), "line-near")
+    C.let_go(docs.sparkSession)
+    prints = _shared_prints(whole)
+    distinct = C.staged(whole.select("h1", "h2", "place", "n", F.col("prints").isNotNull().alias("printed")), "line-places")
+    C.drop_staged(whole)
     found = C.staged(_with_words(docs, near).select("h1", "h2", place.alias("place"), "words"), "line-words")
     C.let_go(docs.sparkSession)
     hashed = found.select("h1", "place", F.size("words").alias("n"), running_hashes(F.col("words")).alias("front"), running_hashes(F.reverse("words")).alias("back"))  # back[k]: of the last k words
@@ -215,7 +240,7 @@ def dropped_lines(docs: DataFrame, short_repeats: bool = False) -> DataFrame:
     short = C.staged(both.where(same).select("h1", "h2").distinct(), "line-edited")
     C.drop_staged(near, found, hashed)
     C.let_go(docs.sparkSession)
-    long = _long_edited(docs, distinct)
+    long = _long_edited(docs, distinct, prints)
     edited = short.unionAll(long).distinct().withColumn("edited", F.lit(True))
     table = distinct.select("h1", "h2", "place", "n").join(edited, ["h1", "h2"], "left").select(F.struct("h1", "h2").alias("hash"), "n", F.col("place").alias("first"), F.coalesce("edited", F.lit(False)).alias("edited"))
     # a line that stands nowhere else and is close to none stays without being looked up

@@ -656,3 +656,23 @@ def test_run_keeps_what_each_stage_decides(spark, tmp_path):
     encoder = pieces.Encoder(pieces.model_path(), pieces.N_BEST)
     for r in now.limit(50).collect():
         assert r["ids_crc32"] == zlib.crc32(encoder(one[r["doc_id"]] or "")[0][1])
+
+
+def test_lines_are_shuffled_in_turns_and_without_their_texts(spark, monkeypatch):
+    """The same lines go whatever the number of turns; where words are looked up, no text leaves the task that reads it."""
+    r = random.Random(11)
+    say = lambda n: " ".join(r.choice("ab cd ef gh ij kl mn op".split()) for _ in range(n))
+    base = [say(n) for n in (3, 6, 12, 45, 60)]
+    texts = [(i if i % 9 else None, "\n".join(r.choice([x, x + " more", say(8), say(50), ""]) for x in base)) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc long, text string").selectExpr("doc", "xxhash64(text) as rev", "text")
+    every = []
+    for turns in (1, 2, 3):
+        monkeypatch.setattr(lines, "TURNS", turns)
+        every.append({tuple(x) for x in lines.dropped_lines(docs, short_repeats=True).collect()})
+    assert every[0] and every[0] == every[1] == every[2]
+    wanted = docs.selectExpr("doc", "rev", "0 as line").where("text not like '\n%'").distinct()
+    found = lines._with_words(docs, wanted)
+    own = {(d, v): t.split("\n")[0].split(" ") for d, v, t in docs.collect()}
+    assert {(x["doc"], x["rev"]): x["words"] for x in found.collect()} == {k: v for k, v in own.items() if v != [""]}
+    shuffled = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1:]]
+    assert shuffled and all("Generate posexplode" in x for x in shuffled[:1]) and "collect_list" not in shuffled[0]
