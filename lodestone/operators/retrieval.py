@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import text as X
+from lodestone.operators import term_sums
 from lodestone.sources.scratch import drop_staged, staged
 
 #: Rows of a group that a query meets in one task of best_match, about.
@@ -44,10 +45,6 @@ def _tallies(batches: Iterator[pa.RecordBatch], stop: frozenset[str], sizes: tup
             yield ids[begin:], lengths, terms, counts
 
 
-def _joined_tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.array_join(X.tokens(F.coalesce(F.col(text_col), F.lit(""))), " ").alias("tokens"))
-
-
 def term_arrays(docs: DataFrame, id_col: str, text_col: str, stop: Sequence[str] = (), sizes: Sequence[int] = (1, 2)) -> DataFrame:
     """(id, terms) of documents, one row each: the terms (value) and how often each occurs (n), sorted; null where there are none."""
     without, of = frozenset(stop), tuple(sizes)
@@ -59,7 +56,7 @@ def term_arrays(docs: DataFrame, id_col: str, text_col: str, stop: Sequence[str]
             none = pa.array([n == 0 for n in lengths], pa.bool_())
             yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(ends, each, mask=none)], ["id", "terms"])
 
-    return _joined_tokens(docs, id_col, text_col).mapInArrow(work, f"id {docs.schema[id_col].dataType.simpleString()}, terms array<struct<value:string,n:int>>")
+    return term_sums.joined_tokens(docs, id_col, text_col).mapInArrow(work, f"id {docs.schema[id_col].dataType.simpleString()}, terms array<struct<value:string,n:int>>")
 
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str, stop: Sequence[str] = (), sizes: Sequence[int] = (1, 2)) -> DataFrame:
@@ -71,7 +68,7 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str, stop: Sequence[str]
             of_term = ids.take(pa.array(np.repeat(np.arange(len(ids)), lengths)))
             yield pa.RecordBatch.from_arrays([of_term, pa.array(terms, pa.string()), pa.array(counts, pa.int64())], ["id", "term", "tf"])
 
-    return _joined_tokens(docs, id_col, text_col).mapInArrow(work, f"id {docs.schema[id_col].dataType.simpleString()}, term string, tf long")
+    return term_sums.joined_tokens(docs, id_col, text_col).mapInArrow(work, f"id {docs.schema[id_col].dataType.simpleString()}, term string, tf long")
 
 
 def squared_counts(docs: DataFrame, id_col: str, text_col: str, stop: Sequence[str] = (), sizes: Sequence[int] = (1, 2), sublinear: bool = True) -> DataFrame:
@@ -89,7 +86,7 @@ def squared_counts(docs: DataFrame, id_col: str, text_col: str, stop: Sequence[s
             of_term = ids.take(pa.array(np.repeat(np.arange(len(ids)), n)))
             yield pa.RecordBatch.from_arrays([of_term, pa.array(terms, pa.string()), pa.array(tf), pa.array(w2), pa.array(own), pa.array(some)], ["id", "term", "tf", "w2", "own", "terms"])
 
-    return _joined_tokens(docs, id_col, text_col).mapInArrow(work, f"id {docs.schema[id_col].dataType.simpleString()}, term string, tf long, w2 double, own double, terms int")
+    return term_sums.joined_tokens(docs, id_col, text_col).mapInArrow(work, f"id {docs.schema[id_col].dataType.simpleString()}, term string, tf long, w2 double, own double, terms int")
 
 
 def _idf(df: Column, n_docs: int) -> Column:
@@ -99,16 +96,10 @@ def _idf(df: Column, n_docs: int) -> Column:
 def lengths(docs: DataFrame, id_col: str, text_col: str, n_docs: int, stop: Sequence[str] = (), sizes: Sequence[int] = (1, 2), max_df: float = 1.0, sublinear: bool = True) -> DataFrame:
     """(id, norm) as norms() gives it for the weights of all terms in at most max_df of the n_docs documents; documents without such a term are left out.
 
-    Terms are shuffled once, to be counted. Each document starts from its length as if it alone had each of its terms, which
-    needs no other document; only terms that others have too come back to it, with what they change."""
+    Terms are shuffled once, as hashes, to be counted, and sums by document come back."""
     most = max_df * n_docs
-    rows = squared_counts(docs, id_col, text_col, stop, sizes, sublinear).withColumn("df", F.count("*").over(Window.partitionBy("term")))
-    alone = _idf(F.lit(1), n_docs) ** 2
-    kept = F.col("df") <= most
-    change = F.when(F.col("df") > 1, F.col("w2") * (F.when(kept, _idf(F.col("df"), n_docs) ** 2).otherwise(0.0) - alone)).otherwise(0.0)
-    each = rows.where("own > 0 OR df > 1").select("id", (F.col("own") * alone + change).alias("part"), (F.col("terms") - F.when(kept, 0).otherwise(1)).alias("left"))
-    out = each.groupBy("id").agg(F.sum("part").alias("square"), F.sum("left").alias("left")).where(F.col("left") > 0)
-    return out.where(F.lit(most >= 1)).select("id", F.sqrt(F.greatest(F.lit(0.0), F.col("square"))).alias("norm"))
+    squares = term_sums.sums(docs, id_col, text_col, lambda df: [np.where(df <= most, (np.log((1.0 + n_docs) / (1.0 + df)) + 1.0) ** 2, 0.0)], 1, stop, sizes, sublinear)
+    return squares.where("s0 > 0").select("id", F.sqrt("s0").alias("norm"))
 
 
 def document_frequencies(counts: DataFrame, n_docs: int, max_df: float = 0.95) -> DataFrame:
