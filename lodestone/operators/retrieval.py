@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from itertools import chain
 
@@ -61,6 +61,11 @@ def term_arrays(docs: DataFrame, id_col: str, text_col: str, stop: Sequence[str]
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str, stop: Sequence[str] = (), sizes: Sequence[int] = (1, 2)) -> DataFrame:
     """(id, term, tf) of documents, one row each: terms are sorted and counted inside the row, so nothing is shuffled."""
+    return token_counts(term_sums.joined_tokens(docs, id_col, text_col), stop, sizes)
+
+
+def token_counts(rows: DataFrame, stop: Sequence[str] = (), sizes: Sequence[int] = (1, 2)) -> DataFrame:
+    """(id, term, tf) of rows (id, tokens joined by spaces)."""
     without, of = frozenset(stop), tuple(sizes)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,7 +73,7 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str, stop: Sequence[str]
             of_term = ids.take(pa.array(np.repeat(np.arange(len(ids)), lengths)))
             yield pa.RecordBatch.from_arrays([of_term, pa.array(terms, pa.string()), pa.array(counts, pa.int64())], ["id", "term", "tf"])
 
-    return term_sums.joined_tokens(docs, id_col, text_col).mapInArrow(work, f"id {docs.schema[id_col].dataType.simpleString()}, term string, tf long")
+    return rows.mapInArrow(work, f"id {rows.schema['id'].dataType.simpleString()}, term string, tf long")
 
 
 def squared_counts(docs: DataFrame, id_col: str, text_col: str, stop: Sequence[str] = (), sizes: Sequence[int] = (1, 2), sublinear: bool = True) -> DataFrame:
@@ -123,7 +128,7 @@ def norms(weights: DataFrame) -> DataFrame:
 class Index:
     """Written tables that any number of searches read: counts (id, term, tf), idf (term, df, idf), and norms (id, norm) of n_docs documents.
 
-    key: what tells documents apart in counts and norms; buckets: where counts lie in so many by the hashes of their terms."""
+    key: what tells documents apart in counts and norms; lookup: gives idf and counts of the terms that it is called with, where that needn't read all."""
 
     counts: DataFrame
     idf: DataFrame
@@ -133,7 +138,7 @@ class Index:
     sizes: tuple[int, ...]
     sublinear: bool
     key: tuple[str, ...] = ("id",)
-    buckets: int | None = None
+    lookup: Callable[[Sequence[str]], tuple[DataFrame, DataFrame]] | None = None
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stop: Sequence[str] = (), sizes: Sequence[int] = (1, 2), max_df: float = 0.95, sublinear: bool = True) -> Index:
@@ -149,28 +154,31 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def search(index: Index, query: str, k: int) -> DataFrame:
     """(id, score): the k documents with the highest cosine to the query, scores above 0 only; ties by id, where scores that differ by less than rounding errors are equal.
 
-    Only the query's terms are read from the index, by filters on terms and buckets that reach the files; a request has a few,
-    and they come by a broadcast."""
+    Only the query's terms are read from the index, by its lookup or by filters on terms that reach the files; a request has a
+    few, and they come by a broadcast."""
     if k <= 0:
         raise ValueError("k must be positive")
     spark: SparkSession = index.counts.sparkSession
-    weights = asked_weights(spark, query, index.idf, index.stop, index.sizes, index.sublinear)
+    asked = asked_counts(spark, query, index.stop, index.sizes)
+    idf, counts = index.lookup(list(asked)) if index.lookup and asked else (index.idf, index.counts)
+    weights = asked_weights(asked, idf, index.sublinear)
     if not weights:
         return index.norms.select("id", F.lit(0.0).alias("score")).limit(0)
     terms = spark.createDataFrame(weights, "term string, idf double, wq double")
-    counts = index.counts.where(F.col("term").isin([t for t, _, _ in weights]))
-    if index.buckets:
-        own = terms.select(F.pmod(F.xxhash64("term"), F.lit(index.buckets)).cast("int").alias("b")).distinct().collect()
-        counts = counts.where(F.col("bucket").isin([r["b"] for r in own]))
+    counts = counts.where(F.col("term").isin([t for t, _, _ in weights]))
     tf: Column = 1.0 + F.log("tf") if index.sublinear else F.col("tf").cast("double")
     hits = counts.join(F.broadcast(terms), "term").groupBy(*index.key).agg(F.sum(tf * F.col("idf") * F.col("wq")).alias("dot"))
     scored = hits.join(index.norms, list(index.key)).select("id", (F.col("dot") / F.col("norm")).alias("score"))
     return scored.orderBy(F.desc(F.round("score", 10)), "id").limit(k).where("score > 0")
 
 
-def asked_weights(spark: SparkSession, query: str, idf: DataFrame, stop: Sequence[str], sizes: Sequence[int], sublinear: bool) -> list[tuple[str, float, float]]:
-    """(term, idf, weight) of a request's terms that the index has, in the length of 1."""
-    asked = {r["term"]: r["tf"] for r in term_counts(spark.createDataFrame([(0, query)], "id int, text string"), "id", "text", stop, sizes).collect()}
+def asked_counts(spark: SparkSession, query: str, stop: Sequence[str], sizes: Sequence[int]) -> dict[str, int]:
+    """How often a request has each of its terms."""
+    return {r["term"]: r["tf"] for r in term_counts(spark.createDataFrame([(0, query)], "id int, text string"), "id", "text", stop, sizes).collect()}
+
+
+def asked_weights(asked: dict[str, int], idf: DataFrame, sublinear: bool) -> list[tuple[str, float, float]]:
+    """(term, idf, weight) of a request's terms that idf has, in the length of 1."""
     own = idf.where(F.col("term").isin(list(asked))).select("term", "idf").collect() if asked else []
     raw = {r["term"]: (r["idf"], (1.0 + math.log(asked[r["term"]]) if sublinear else float(asked[r["term"]])) * r["idf"]) for r in own}
     length = math.sqrt(sum(w * w for _, w in raw.values()))
@@ -185,9 +193,10 @@ def tfidf_search(docs: DataFrame, query: str, k: int, id_col: str = "doc_id", te
     held = staged(term_arrays(docs, id_col, text_col, stop), "search-terms")
     n = held.count()
     terms = lambda rows: rows.where(F.size("terms") > 0).select("id", F.explode("terms").alias("t")).select("id", F.col("t.value").alias("term"), F.col("t.n").cast("long").alias("tf"))
-    own = [r["term"] for r in term_counts(spark.createDataFrame([(0, query)], "id int, text string"), "id", "text", stop).select("term").collect()]
+    asked = asked_counts(spark, query, stop, (1, 2))
+    own = list(asked)
     some = staged(held.where(F.arrays_overlap("terms.value", F.array(*[F.lit(t) for t in own]))) if own else held.limit(0), "search-found")
-    weights = asked_weights(spark, query, document_frequencies(terms(some).where(F.col("term").isin(own)), n, max_df), stop, (1, 2), True)
+    weights = asked_weights(asked, document_frequencies(terms(some).where(F.col("term").isin(own)), n, max_df), True)
     found: list = []
     if weights:
         # counted once, in the job that joins it: the request's own weights are known from the documents found
@@ -204,7 +213,7 @@ def tfidf_search(docs: DataFrame, query: str, k: int, id_col: str = "doc_id", te
 def similarity_to(query: str, rows: DataFrame, id_col: str, text_col: str, stop: Sequence[str] = ()) -> DataFrame:
     """(id, lexical) of every row: the cosine of its text and the query, 0 to 1, over plain term frequencies of 1- and 2-grams with an idf fitted on the rows and the query."""
     spark = rows.sparkSession
-    own = {r["term"]: r["tf"] for r in term_counts(spark.createDataFrame([(0, query)], "id int, text string"), "id", "text", stop).collect()}
+    own = asked_counts(spark, query, stop, (1, 2))
     n = rows.count() + 1
     asked = F.col("term").isin(list(own)) if own else F.lit(False)
     found = squared_counts(rows, id_col, text_col, stop, sublinear=False).withColumn("df", F.count("*").over(Window.partitionBy("term")))

@@ -1,41 +1,34 @@
 """A lexical index that is saved, opened by its path and kept up to date document by document.
 
-Its tables: postings (id, gen, term, tf) by buckets of terms; forward (id, gen, terms), the same by document, by buckets of
-ids; terms (term, df); docs (id, gen, s0, s1, s2). gen is the generation that wrote a document: only the postings of its
-present one count, so that a replaced document's old postings needn't be found to be outdated.
+Its tables: pairs, what slices of documents hold of each group of terms (term_sums.pairs), by buckets of groups; forward (id, gen, tokens);
+docs (id, gen), the present documents. gen is the generation that wrote a document: only its present one counts, so that a
+replaced document's old pairs needn't be found to be outdated; of a document that goes, only how many others have its terms is
+written, as less than none.
 
-A document's length needs the inverse frequencies of all its terms, and these change with every document. With
-idf = a - l, where a = 1 + ln(1 + n) is the same for all terms and l = ln(1 + df), a squared length is a² s0 - 2 a s1 + s2 for
-s0, s1, s2 = the sums of w², w² l, w² l² over its terms (w by the term's frequency alone): another number of documents
-changes a only, and another df the sums of the documents that hold the term, which its postings tell."""
+A document's length needs the inverse frequencies of all its terms, and these change with every document. Lengths (id, gen,
+norm) are therefore made when a changed index is opened first, from the pairs alone, and saved with that version."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators.retrieval import Index, term_arrays
+from lodestone.operators import term_sums
+from lodestone.operators.retrieval import Index, document_frequencies, token_counts
 from lodestone.sources import snapshots
 from lodestone.sources.snapshots import Snapshot
 
-#: Parts that a bucket's rows are dealt over while they are written, so that one frequent term isn't one task.
-SALTS = 16
-
-
-def _bucket(of: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(of), F.lit(buckets)).cast("int")
-
 
 def _schemas(facts: dict) -> dict[str, str]:
     key = facts["id_type"]
     return {
-        "postings": f"id {key}, gen int, term string, tf long, bucket int",
-        "forward": f"id {key}, gen int, terms array<struct<value:string,n:int>>, bucket int",
-        "terms": "term string, df long",
-        "docs": f"id {key}, gen int, s0 double, s1 double, s2 double",
+        "pairs": f"slice long, {term_sums.FIELDS.format(key)}, term_group int, bucket int",
+        "forward": f"id {key}, gen int, tokens string",
+        "docs": f"id {key}, gen int",
+        "lengths": f"id {key}, gen int, norm double",
     }
 
 
@@ -43,56 +36,25 @@ def _tables(spark: SparkSession, at: Snapshot) -> dict[str, DataFrame]:
     return {name: at.table(spark, name, schema) for name, schema in _schemas(at.facts).items()}
 
 
-def _weight(facts: dict, tf: Column) -> Column:
-    return 1.0 + F.log(tf) if facts["sublinear"] else tf.cast("double")
-
-
-def _kept(df: Column, facts: dict) -> Column:
-    return df <= facts["max_df"] * facts["n_docs"]
-
-
-def _counted(forward: DataFrame) -> DataFrame:
-    return forward.select("id", "gen", F.explode("terms").alias("t")).select("id", "gen", F.col("t.value").alias("term"), F.col("t.n").cast("long").alias("tf"))
-
-
-def _sums(counts: DataFrame, coefficients: DataFrame, facts: dict) -> DataFrame:
-    """(id, gen, s0, s1, s2) of counts by the coefficients (term, c0, c1, c2)."""
-    w = _weight(facts, F.col("tf"))
-    each = counts.join(coefficients, "term").select("id", "gen", *[(w * w * F.col(f"c{k}")).alias(f"s{k}") for k in range(3)])
-    return each.groupBy("id", "gen").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(3)])
-
-
-def _coefficients(df: Column, facts: dict) -> list[Column]:
-    """What a term gives to s0, s1, s2 for a weight of 1: nothing if it is in too many documents."""
-    log = F.log(1.0 + df)
-    return [F.when(_kept(df, facts), x).otherwise(0.0) for x in (F.lit(1.0), log, log * log)]
-
-
-def _write(root: str, forward: DataFrame, facts: dict) -> tuple[str, str]:
-    """The folders of new documents' forward lists and postings."""
-    buckets = facts["buckets"]
-    own = snapshots.stage(forward.withColumn("bucket", _bucket(F.col("id"), buckets)).repartition("bucket", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS))), root, "forward", ["bucket"])
-    back = forward.sparkSession.read.schema(_schemas(facts)["forward"]).parquet(f"{root}/{own}")
-    postings = _counted(back).withColumn("bucket", _bucket(F.col("term"), buckets))
-    dealt = postings.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(SALTS))).sortWithinPartitions("bucket", "term", "id")
-    return own, snapshots.stage(dealt, root, "postings", ["bucket"])
-
-
-def _forward(docs: DataFrame, id_col: str, text_col: str, facts: dict, gen: int) -> DataFrame:
-    terms = term_arrays(docs, id_col, text_col, facts["stop"], facts["sizes"])
-    return terms.select("id", F.lit(gen).alias("gen"), F.coalesce("terms", F.array().cast("array<struct<value:string,n:int>>")).alias("terms"))
+def _write_pairs(root: str, fresh: DataFrame, lost: DataFrame | None, facts: dict) -> str:
+    """The folder of what fresh documents (id, gen, tokens) add and lost ones take from the pairs."""
+    made = lambda rows, **how: term_sums.pairs(rows.select("id", "tokens"), facts["groups"], facts["stop"], facts["sizes"], facts["gen"], **how)
+    rows = made(fresh) if lost is None else made(fresh).unionAll(made(lost, lost=True))
+    # the ids of all slices have a bucket of their own; a task writes its rows where they are made, group after group
+    rows = rows.withColumn("term_group", F.greatest("term_group", F.lit(-1)).cast("int")).withColumn("bucket", F.floor(F.col("term_group") * facts["buckets"] / facts["groups"]).cast("int"))
+    return snapshots.stage(rows.sortWithinPartitions("bucket", "term_group"), root, "pairs", ["bucket"])
 
 
 def create(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: str = "text", stop: Sequence[str] = (), sizes: Sequence[int] = (1, 2), max_df: float = 0.95, sublinear: bool = True, buckets: int = 64) -> Snapshot:
-    """Indexes docs (one row an id, which isn't null) under root, a path that all executors share, in place of what may be there; the texts are read once."""
+    """Indexes docs (one row an id, which isn't null) under root, a path that all executors share, in place of what may be there; terms are in as many buckets, and in as many groups or more."""
     spark = docs.sparkSession
-    facts = {"id_type": docs.schema[id_col].dataType.simpleString(), "stop": list(stop), "sizes": list(sizes), "max_df": max_df, "sublinear": sublinear, "buckets": buckets, "gen": 0, "n_docs": 0}
+    facts = {"id_type": docs.schema[id_col].dataType.simpleString(), "stop": list(stop), "sizes": list(sizes), "max_df": max_df, "sublinear": sublinear, "buckets": buckets, "groups": max(buckets, term_sums.groups_for(docs, text_col, sizes)), "gen": 0, "n_docs": 0}
     before = snapshots.latest(spark, root)
     return _changed(Snapshot(root, before.number, {}, facts), docs, None, id_col, text_col)
 
 
 def replace(spark: SparkSession, root: str, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Snapshot:
-    """Puts docs (one row an id) in the place of the documents with their ids, or adds them; ready when it returns, all or nothing."""
+    """Puts docs (one row an id) in the place of the documents with their ids, or adds them, all or nothing; who opens the index from then on finds them."""
     return _changed(_existing(spark, root), docs, docs.select(F.col(id_col).alias("id")), id_col, text_col)
 
 
@@ -113,37 +75,22 @@ def _changed(now: Snapshot, docs: DataFrame, gone: DataFrame | None, id_col: str
     """The version of the index in which the documents with the ids `gone` are replaced by docs."""
     spark, root = docs.sparkSession, now.root
     facts = now.facts | {"gen": now.facts["gen"] + 1}
-    tables = _tables(spark, now)
-    fresh_folder, postings_folder = _write(root, _forward(docs, id_col, text_col, facts, facts["gen"]), facts)
-    fresh = spark.read.schema(_schemas(facts)["forward"]).parquet(f"{root}/{fresh_folder}")
+    tables, schemas = _tables(spark, now), _schemas(now.facts)
+    tokens = term_sums.joined_tokens(docs, id_col, text_col).select("id", F.lit(facts["gen"]).alias("gen"), "tokens")
+    fresh_folder = snapshots.stage(tokens, root, "forward")
+    fresh = spark.read.schema(schemas["forward"]).parquet(f"{root}/{fresh_folder}")
     n_fresh, n_ids = fresh.agg(F.count("*"), F.count_distinct("id")).first()
     if n_fresh != n_ids:
         raise ValueError("an id has two documents, or none")
-    scratch = []
-    if gone is None:
-        old, n_old = tables["docs"].limit(0), 0
-    else:
+    scratch, lost, live, n_old = [], None, fresh.select("id", "gen"), 0
+    if gone is not None:
         scratch.append(snapshots.stage(tables["docs"].join(gone, "id", "left_semi"), root, "gone"))
-        old = spark.read.schema(_schemas(facts)["docs"]).parquet(f"{root}/{scratch[-1]}")
+        old = spark.read.schema(schemas["docs"]).parquet(f"{root}/{scratch[-1]}")
         n_old = old.count()
+        lost = tables["forward"].join(old, ["id", "gen"], "left_semi")
+        live = tables["docs"].join(old.select("id"), "id", "left_anti").unionAll(live)
     facts["n_docs"] = now.facts["n_docs"] + n_fresh - n_old
-    # how many documents more or fewer have a term
-    lost = tables["forward"].join(old.select("id", "gen"), ["id", "gen"], "left_semi")
-    delta = _counted(fresh).select("term", F.lit(1).alias("d")).unionAll(_counted(lost).select("term", F.lit(-1).alias("d"))).groupBy("term").agg(F.sum("d").alias("d"))
-    both = tables["terms"].join(delta, "term", "full_outer").select("term", F.coalesce("df", F.lit(0)).alias("before"), (F.coalesce("df", F.lit(0)) + F.coalesce("d", F.lit(0))).alias("df"))
-    terms_folder = snapshots.stage(both.where("df > 0 OR before > 0").sortWithinPartitions("term"), root, "terms")
-    both = spark.read.schema("term string, before long, df long").parquet(f"{root}/{terms_folder}")
-    new, was = _coefficients(F.col("df"), facts), _coefficients(F.col("before"), now.facts)
-    own = _sums(_counted(fresh), both.select("term", *[c.alias(f"c{k}") for k, c in enumerate(new)]), facts)
-    rows = fresh.select("id", "gen").join(own, ["id", "gen"], "left").select("id", "gen", *[F.coalesce(f"s{k}", F.lit(0.0)).alias(f"s{k}") for k in range(3)])
-    if now.facts["n_docs"]:
-        # the documents that stay, with the sums of those that hold a term whose part in a length changes
-        other = both.where((F.col("before") != F.col("df")) | (_kept(F.col("before"), now.facts) != _kept(F.col("df"), facts))).where("before > 0")
-        moved = _sums(tables["postings"].select("id", "gen", "term", "tf"), other.select("term", *[(a - b).alias(f"c{k}") for k, (a, b) in enumerate(zip(new, was, strict=True))]), facts)
-        stay = tables["docs"].join(old.select("id"), "id", "left_anti").join(moved.withColumnsRenamed({f"s{k}": f"m{k}" for k in range(3)}), ["id", "gen"], "left")
-        rows = rows.unionAll(stay.select("id", "gen", *[(F.col(f"s{k}") + F.coalesce(f"m{k}", F.lit(0.0))).alias(f"s{k}") for k in range(3)]))
-    docs_folder = snapshots.stage(rows, root, "docs")
-    folders = {"postings": [*now.tables.get("postings", []), postings_folder], "forward": [*now.tables.get("forward", []), fresh_folder], "terms": [terms_folder], "docs": [docs_folder]}
+    folders = {"pairs": [*now.tables.get("pairs", []), _write_pairs(root, fresh, lost, facts)], "forward": [*now.tables.get("forward", []), fresh_folder], "docs": [snapshots.stage(live, root, "docs")]}
     done = snapshots.commit(spark, now, folders, facts)
     for folder in scratch:
         snapshots.drop(spark, f"{root}/{folder}")
@@ -151,23 +98,46 @@ def _changed(now: Snapshot, docs: DataFrame, gone: DataFrame | None, id_col: str
 
 
 def compact(spark: SparkSession, root: str) -> Snapshot:
-    """Rewrites postings and forward lists without those of documents that were replaced, each in one folder."""
+    """Rewrites pairs and forward rows without those of documents that were replaced, each in one folder."""
     now = _existing(spark, root)
-    tables = _tables(spark, now)
-    live = tables["docs"].select("id", "gen")
-    forward = snapshots.stage(tables["forward"].join(live, ["id", "gen"], "left_semi").repartition("bucket", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS))), root, "forward", ["bucket"])
-    dealt = tables["postings"].join(live, ["id", "gen"], "left_semi").repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(SALTS))).sortWithinPartitions("bucket", "term", "id")
-    return snapshots.commit(spark, now, now.tables | {"postings": [snapshots.stage(dealt, root, "postings", ["bucket"])], "forward": [forward]}, now.facts)
+    facts, tables = now.facts | {"gen": now.facts["gen"] + 1}, _tables(spark, now)
+    live = tables["forward"].join(tables["docs"], ["id", "gen"], "left_semi").withColumn("gen", F.lit(facts["gen"]))
+    forward = snapshots.stage(live, root, "forward")
+    back = spark.read.schema(_schemas(facts)["forward"]).parquet(f"{root}/{forward}")
+    return snapshots.commit(spark, now, {"pairs": [_write_pairs(root, back, None, facts)], "forward": [forward], "docs": [snapshots.stage(back.select("id", "gen"), root, "docs")]}, facts)
+
+
+def _kept(facts: dict) -> float:
+    return facts["max_df"] * facts["n_docs"]
+
+
+def _measured(spark: SparkSession, now: Snapshot) -> Snapshot:
+    """The version with the lengths of its documents; those without a term that counts are left out."""
+    tables, n, most = _tables(spark, now), now.facts["n_docs"], _kept(now.facts)
+    squares = term_sums.added(tables["pairs"].withColumn("term_group", F.when(F.col("term_group") < 0, -1 - F.col("slice")).otherwise(F.col("term_group"))), lambda df: [np.where(df <= most, (np.log((1.0 + n) / (1.0 + df)) + 1.0) ** 2, 0.0)], 1, now.facts["sublinear"])
+    norms = squares.where("s0 > 0").join(tables["docs"], ["id", "gen"], "left_semi").select("id", "gen", F.sqrt("s0").alias("norm"))
+    return snapshots.commit(spark, now, now.tables | {"lengths": [snapshots.stage(norms, now.root, "lengths")]}, now.facts)
 
 
 def open_index(spark: SparkSession, root: str) -> Index:
-    """The latest version as retrieval.search() reads it: of postings only the buckets and row groups of the terms asked for."""
+    """The latest version as retrieval.search() reads it: of pairs only the groups of the terms asked for. The first to open a version saves its lengths."""
     now = _existing(spark, root)
+    if "lengths" not in now.tables:
+        try:
+            now = _measured(spark, now)
+        except snapshots.Conflict:
+            return open_index(spark, root)
     tables, facts = _tables(spark, now), now.facts
-    a = 1.0 + math.log(1.0 + facts["n_docs"])
-    kept = tables["terms"].where((F.col("df") > 0) & _kept(F.col("df"), facts))
-    square = a * a * F.col("s0") - 2 * a * F.col("s1") + F.col("s2")
-    norms = tables["docs"].select("id", "gen", F.sqrt(F.greatest(F.lit(0.0), square)).alias("norm")).where("norm > 0")
-    return Index(
-        tables["postings"], kept.withColumn("idf", a - F.log(1.0 + F.col("df"))), norms, facts["n_docs"], tuple(facts["stop"]), tuple(facts["sizes"]), facts["sublinear"], ("id", "gen"), facts["buckets"]
-    )
+    n, key = facts["n_docs"], ["id", "gen"]
+    counts = token_counts(tables["forward"].join(tables["docs"], key, "left_semi").select("id", "tokens"), facts["stop"], facts["sizes"])
+
+    def lookup(terms: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+        asked = term_sums.by_group(terms, facts["groups"])
+        found = term_sums.found(tables["pairs"].where(F.col("bucket").isin([g * facts["buckets"] // facts["groups"] for g in asked])), asked)
+        df = found.groupBy("term").agg(F.sum("n").alias("df")).where((F.col("df") > 0) & (F.col("df") <= _kept(facts)))
+        idf = df.withColumn("idf", F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0)
+        at = found.select("slice", "term", F.explode("at").alias("a"))
+        ids = tables["pairs"].where("term_group < 0").select("slice", "gen", "ids")
+        return idf, at.join(ids, "slice").select(F.element_at("ids", F.col("a.place") + 1).alias("id"), "gen", "term", F.col("a.tf").alias("tf"))
+
+    return Index(counts, document_frequencies(counts, n, facts["max_df"]), tables["lengths"], n, tuple(facts["stop"]), tuple(facts["sizes"]), facts["sublinear"], tuple(key), lookup)
